@@ -35,7 +35,7 @@ class Limits:
     ngrams: tuple[tuple[int, float], ...] = ((4, 0.40), (6, 0.34), (10, 0.28))
     lines: float = 0.30
     min_words: int = 50
-    symbols_per_word: float = 0.5
+    symbols_per_word: float = 0.25
 
 
 def _block(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str, np.ndarray]:

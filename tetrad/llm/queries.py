@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tetrad.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tetrad.llm import packing
 
@@ -27,11 +32,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_sequences(spark, folder, index)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tetrad.llm import fingerprints
+
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tetrad.llm import quality
 
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_best_fit_packing, op4_token_files, op7_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_best_fit_packing, op4_token_files, op5_fingerprints, op7_quality_rules)}
 SQL: dict[str, str] = {}
