@@ -9,8 +9,8 @@ nothing.  The fingerprint keeps the ``KEPT`` least of the chosen k-mers'
 common values among the least of their union, an estimate of the Jaccard
 similarity of the chosen k-mers.
 
-A text of which no k-mer is chosen, or of fewer than ``K`` words, has its words
-as anchors.
+A text of which no k-mer is chosen has its words as anchors, and a text of fewer
+than ``FEW`` words has them besides its k-mers, which are too few to compare.
 
 Defined results: null texts are as empty ones, whose fingerprint is that of the
 one empty word, the same for all of them; equal texts have equal fingerprints; of rows with
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tetrad.llm.shared import texts
 
 K, S, KEPT = 4, 2, 64
+#: Below so many words, the words themselves are anchors too.
+FEW = 20
 #: Cells of the id range that are counted on the driver to cut it into buckets.
 CELLS = 1 << 15
 #: Most buckets, and the rows that a bucket aims at below it.
@@ -50,7 +52,8 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         lambda v: v.isNotNull(),
     )
     df = df.withColumn("_c", chosen)
-    values = F.when(F.size("_c") > 0, F.col("_c")).otherwise(F.transform("_h", lambda h: F.shiftrightunsigned(h, 32)))
+    words = F.transform("_h", lambda h: F.shiftrightunsigned(h, 32))
+    values = F.when((F.size("_c") > 0) & (F.size("_h") >= FEW), F.col("_c")).otherwise(F.concat("_c", words))
     df = df.withColumn(out, F.slice(F.sort_array(F.array_distinct(values)), 1, KEPT))
     return df.drop("_h", "_s", "_c")
 
