@@ -17,7 +17,9 @@ are ignored; an empty table gives an empty result and no file.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from tetrad.llm.shared import new_folder, small_batches, texts, written
 
-#: White space other than single blanks and line ends: such texts go whole to the library.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​  ﻿]|  ")
+#: White space but single blanks and line ends, or a NUL: such texts go whole to the library.
+_ODD = re.compile(r"[^\S \n]|[\x00\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]|[ \n][ \n]")
+#: A full stop or comma that does not follow a letter or digit.
+_LOOSE = re.compile(r"[\W_][.,]|^[.,]")
 #: Distinct chunks remembered by a process; beyond it, it forgets and begins anew.
 MEMORY = 400_000
 
@@ -47,25 +51,45 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts by the tokenizer file, as little-endian 32-bit bytes.
 
-    ``joined`` tells how chunks end: for a byte-level vocabulary a chunk begins
-    with the blank before its word; for a vocabulary that drops white space the
-    blanks go.  Both cut at a single blank between other characters, where the
-    pre-tokenizer always cuts.
+    A text is cut before each blank or line end that follows another character,
+    and before each full stop or comma that follows a letter or digit.  Both
+    kinds of pre-tokenizer (byte-level, and words without white space) cut there
+    whatever stands before, so the ids of the chunks in a row are those of the
+    text.
     """
 
     def __init__(self, path: str) -> None:
-        import json
-
         from tokenizers import Tokenizer
 
         path = tokenizer_path(path)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        drops_white = "\\s+" in json.dumps(spec.get("normalizer") or {})
-        self.lead = "" if drops_white else " "
-        self.known: dict[str, bytes] = {}
+        # the blank before a word, and whether words are put in lower case, as far as the file says so plainly
+        normal, before = json.dumps(spec.get("normalizer")), json.dumps(spec.get("pre_tokenizer"))
+        self.blank: str | None = None
+        if normal == "null" and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"].get("add_prefix_space"):
+            self.blank, self.lower = "\u0120", False
+        elif "NFC" in normal and "Lowercase" in normal and "[\\\\p{L}]+" in before and '"Removed"' in before:
+            self.blank, self.lower = "", True
+
+    def _word(self, chunk: str) -> bytes | None:
+        """Ids of a blank and letters, by the vocabulary's model alone, which is
+        what is left of the library's work for them; None for other chunks."""
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if self.blank is None or not word.isalpha():
+            return None
+        blank = self.blank if chunk[:1] == " " else ""
+        if self.lower:
+            small = word if word.islower() else word.lower()
+            if not word.isascii() and (len(small) != len(word) or "\u03a3" in word or not unicodedata.is_normalized("NFC", word)):
+                return None
+            word = small
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return np.array([t.id for t in self.library.model.tokenize(blank + word)], "<u4").tobytes()
 
     def _ask(self, chunks: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
@@ -75,21 +99,47 @@ class Encoder:
         """For each text its ids."""
         if len(self.known) > MEMORY:
             self.known = {}
-        lead, known, cut = self.lead, self.known, []
+        known, flat, ends = self.known, [], []
         for text in batch:
             if _ODD.search(text):
-                cut.append(None)
+                ends.append(-1)
                 continue
-            first, *rest = text.split(" ")
-            # with a lead, later chunks carry it; the key "\0" + chunk stands for a chunk without it
-            cut.append(["\0" + first, *rest] if lead else [first, *rest])
-        new = list({c for chunks in cut if chunks for c in chunks} - known.keys())
-        asked = [c[1:] if c[:1] == "\0" else lead + c for c in new] if lead else new
-        known.update(zip(new, self._ask(asked), strict=True))
-        whole = iter(self._ask([t for t, c in zip(batch, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
-
-
+            marked = text.replace(" ", "\0 ").replace("\n", "\0\n")
+            if not _LOOSE.search(text):
+                marked = marked.replace(".", "\0.").replace(",", "\0,")
+            flat += marked.split("\0")
+            ends.append(len(flat))
+        ids = list(map(known.get, flat))
+        if None in ids:
+            new = list({c for c, v in zip(flat, ids, strict=True) if v is None})
+            rest = []
+            for c in new:
+                got = self._word(c)
+                if got is None:
+                    rest.append(c)
+                else:
+                    known[c] = got
+            known.update(zip(rest, self._ask(rest), strict=True))
+            ids = list(map(known.__getitem__, flat))
+        whole = iter(self._ask([t for t, e in zip(batch, ends, strict=True) if e < 0]))
+        out, first = [], 0
+        for end in ends:
+            if end < 0:
+                out.append(next(whole))
+            else:
+                out.append(b"".join(ids[first:end]))
+                first = end
+        return out
+
+
+def _byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
+_BYTE_NAMES = _byte_names()
 _encoders: dict[str, Encoder] = {}
 
 
