@@ -57,5 +57,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_best_fit_packing, op4_token_files, op5_fingerprints, op6_toxicity, op7_quality_rules)}
+#: Weights of the languages in the mix.
+TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tetrad.llm import mixing
+
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs, TARGETS)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_best_fit_packing, op4_token_files, op5_fingerprints, op6_toxicity, op7_quality_rules, op10_mixing)}
 SQL: dict[str, str] = {}
