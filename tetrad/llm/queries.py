@@ -63,6 +63,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tetrad.llm import repeats
+
+    return repeats.spans(table(spark, sf_dir, "documents"))
+
+
 #: Weights of the languages in the mix.
 TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
 
@@ -74,5 +80,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, docs, TARGETS)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_best_fit_packing, op4_token_files, op5_fingerprints, op6_toxicity, op7_quality_rules, op8_ngram_jaccard_join, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_best_fit_packing, op4_token_files, op5_fingerprints, op6_toxicity, op7_quality_rules, op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_mixing)}
 SQL: dict[str, str] = {}

@@ -47,15 +47,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that operators have written so far.
-
-    Only for a caller that holds no unread result of them, such as a pipeline
-    whose stages have each been written out.
-    """
+def written_since(first: int | None = None) -> int | list[str]:
+    """How many tables have been written; or with that number, the paths since
+    then, which the caller now owns."""
+    if first is None:
+        return len(_written)
+    paths = _written[first:]
+    del _written[first:]
+    return paths
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables whose readers are done."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
