@@ -16,6 +16,10 @@ parts, a part may also be looked up with its one-deletion neighbourhood (the
 part and itself less each of its members, on both sides), which catches one
 difference more; ``cut_of`` takes whichever makes fewer entries.
 
+Before any pair is made, sets that cannot have a partner go: all parts of all
+sets are counted in their buckets, and a set of p parts needs p - h of them met
+by others (``alive``); texts that only share a passage fall short of that.
+
 Entries travel as packed arrays, one row for each task and target, so that the
 reducers sort plain numbers.  Within a bucket every set is paired with the
 bucket's first only; which pairs that leaves is looked at again after the
@@ -23,7 +27,7 @@ first links are known, and only pairs of different components are verified.
 So no link between components is lost, and a large group of near copies is
 never paired out.
 
-Equal sets are one node throughout.  Verification intersects the 48-bit hashes
+Equal sets are one node throughout.  Verification intersects the 40-bit hashes
 of both sets' n-grams, sent for the sets that need it only.
 
 Defined results: null and empty texts, and texts without a word, have an empty
@@ -48,12 +52,14 @@ from pyspark.sql import functions as F
 
 from tetrad.llm import kernels as K
 from tetrad.llm.components import components
-from tetrad.llm.shared import blocks, small_batches, text_bytes, texts, written
+from tetrad.llm.shared import blocks, collect_garbage, small_batches, text_bytes, texts, written
 
 #: Sets of up to this size are cut into single n-grams, where parts could come out too few.
 SINGLES = 64
 #: A task tells the n-grams that so many of its distinct sets hold; the driver keeps the COMMON commonest.
 OFTEN, COMMON = 12, 200_000
+#: Sets that one task compares with a group's centre at most.
+GROUP = 200
 #: Bits of the filter that tells which texts' sets are wanted for verification (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +111,11 @@ def cut_of(rule: Rule, high: int) -> Cut:
     return Cut(whole) if cost_whole <= cost_halves else Cut(halves, deletions=True)
 
 
+def fine_cut(rule: Rule, high: int) -> Cut:
+    """More parts, all of which are counted: the more of them must be the same."""
+    return Cut(1 << 32) if high <= SINGLES else Cut(math.ceil(0.5 * high + 2 * math.sqrt(high)))
+
+
 # ---- sets -------------------------------------------------------------------
 
 
@@ -160,10 +171,10 @@ def sets(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, n_shingles long, set_key long")
 
 
-def common_grams(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
+def common_grams(docs: DataFrame, rule: Rule, bits: np.ndarray | None = None, text: str = "text") -> np.ndarray:
     """Sorted hashes of the n-grams that many distinct sets of some task's share
-    hold, the ``COMMON`` commonest of all texts.  They steer costs only: links
-    do not depend on them."""
+    hold, the ``COMMON`` commonest of all texts that are still looked at.  They
+    steer costs only: links do not depend on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -183,9 +194,9 @@ def common_grams(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
 
         for batch in batches:
             for _, grams, bounds in shingles(batch.column(0), rule):
-                keys = keys_of(grams, bounds).tolist()
-                fresh = [k not in seen for k in keys]
-                seen.update(keys)
+                keys = keys_of(grams, bounds)
+                fresh = _passes(bits, keys) & np.array([k not in seen for k in keys.tolist()], bool)
+                seen.update(keys[fresh].tolist())
                 held.append(grams[np.repeat(fresh, np.diff(bounds))])
                 size += len(held[-1])
                 if size > 4_000_000:
@@ -201,8 +212,9 @@ def common_grams(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
 # ---- entries ----------------------------------------------------------------
 
 
-def entries(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, number of the set, whether it only looks up) for sets given as sorted hashes."""
+def entries(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, rule: Rule, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, number of the set, whether it only looks up) for sets given as
+    sorted hashes; with ``whole``, all parts in both cuts, which are finer then."""
     sizes = np.diff(bounds)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if not len(grams):
@@ -218,7 +230,7 @@ def entries(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, rule: Rul
     # common n-grams behind the others, each in order of their hashes
     order = np.lexsort((grams, hot, owner))
     grams, hot = grams[order], hot[order]
-    cuts = [cut_of(rule, int(t)) for t in tops]
+    cuts = [(fine_cut if whole else cut_of)(rule, int(t)) for t in tops]
     for lower in (0, 1):
         use = (band >= lower) & (sizes > 0)
         at = np.maximum(band - lower, 0)
@@ -248,7 +260,7 @@ def entries(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, rule: Rul
         looks = np.zeros(len(po), bool)
         looks[rank] = before < need[po[rank]]
         # own band: all parts are entries; next smaller band: those that look up
-        put = np.ones(len(po), bool) if not lower else looks
+        put = np.ones(len(po), bool) if whole or not lower else looks
         out.append((K.mix(total + salt)[put], po[put], np.full(int(put.sum()), bool(lower))))
         if split.any():
             member = np.repeat(np.arange(len(po)), count)
@@ -259,70 +271,84 @@ def entries(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, rule: Rul
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _packed(docs: DataFrame, rule: Rule, common: np.ndarray, targets: int, text: str) -> DataFrame:
-    """(target, keys, sizes, signatures, owners): a task's entries by target."""
+def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Sets that a filter lets through; empty ones never."""
+    if bits is None:
+        return keys != 0
+    at = K.mix(keys) % np.uint64(FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (keys != 0)
+
+
+def _packed(docs: DataFrame, rule: Rule, common: np.ndarray, targets: int, text: str, bits: np.ndarray | None, whole: bool) -> DataFrame:
+    """(target, keys, sizes, parts, signatures, owners): a task's entries by target.
+
+    An owner is a set in one of its two cuts; its place in ``keys`` is even for
+    its own band's, odd for the next smaller one's; ``parts`` counts its parts.
+    """
 
     def flush(keys: list[np.ndarray], sizes: list[np.ndarray], sig: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
         key, size, s, o = (np.concatenate(x) for x in (keys, sizes, sig, own))
+        parts = np.bincount(o, minlength=2 * len(key))
         target = ((s >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)
         order = np.argsort(target, kind="stable")
         s, o = s[order], o[order]
         cut = np.searchsorted(target[order], np.arange(targets + 1).astype(np.uint64))
-        rows = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for t in range(targets):
             a, b = cut[t], cut[t + 1]
             if a == b:
                 continue
             mine, short = np.unique(o[a:b], return_inverse=True)
             rows[0].append(t)
-            rows[1].append(key[mine].tobytes())
-            rows[2].append(size[mine].astype("<u4").tobytes())
+            rows[1].append((key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes())
+            rows[2].append(size[mine >> 1].astype("<u4").tobytes())
+            rows[3].append(parts[mine].astype("<u4").tobytes())
             # the low 40 bits and the target tell signatures apart
-            rows[3].append((s[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            rows[4].append(short.astype("<u2").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["target", "keys", "sizes", "signatures", "owners"])
+            rows[4].append((s[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            rows[5].append(short.astype("<u2").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["target", "keys", "sizes", "parts", "signatures", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, sig, own, n, seen, held = [], [], [], [], 0, set(), 0
         for batch in batches:
             for _, grams, bounds in shingles(batch.column(0), rule):
                 found = keys_of(grams, bounds)
-                fresh = np.array([k not in seen and k != 0 for k in found.tolist()], bool)
+                fresh = _passes(bits, found) & np.array([k not in seen for k in found.tolist()], bool)
                 # a set that comes twice in one block counts once
-                _, at = np.unique(found, return_index=True)
                 once = np.zeros(len(found), bool)
-                once[at] = True
+                once[np.unique(found, return_index=True)[1]] = True
                 fresh &= once
+                if not fresh.any():
+                    continue
                 seen.update(found[fresh].tolist())
-                keep = np.repeat(fresh, np.diff(bounds))
                 size = np.diff(bounds)[fresh]
-                s, o, _ = entries(grams[keep], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), common, rule)
+                s, o, lower = entries(grams[np.repeat(fresh, np.diff(bounds))], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), common, rule, whole)
                 keys.append(found[fresh])
                 sizes.append(size)
                 sig.append(s)
-                own.append(o + n)
+                own.append(2 * (o + n) + lower)
                 n += len(size)
                 held += len(s)
-                if held > 6_000_000 or n > 40_000:
+                if held > 5_000_000 or n > 25_000:
                     yield flush(keys, sizes, sig, own)
                     keys, sizes, sig, own, n, held = [], [], [], [], 0, 0
         if held:
             yield flush(keys, sizes, sig, own)
 
-    return texts(docs, text=text).mapInArrow(run, "target int, keys binary, sizes binary, signatures binary, owners binary")
+    return texts(docs, text=text).mapInArrow(run, "target int, keys binary, sizes binary, parts binary, signatures binary, owners binary")
 
 
-def _buckets(rows: Iterator[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
-    """Entries of a target in order of their signatures: (bucket number, key, size), buckets of two sets or more."""
-    key, size, sig = [], [], []
-    for keys, sizes, signatures, owners in rows:
+def _buckets(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Entries of a target in order of their signatures: (bucket number, key,
+    whether it only looks up, size, parts), buckets of two sets or more."""
+    columns: tuple[list, ...] = ([], [], [], [])
+    for keys, sizes, parts, signatures, owners in zip(*[table.column(c).to_pylist() for c in ("keys", "sizes", "parts", "signatures", "owners")], strict=True):
         o = np.frombuffer(owners, "<u2")
-        key.append(np.frombuffer(keys, np.uint64)[o])
-        size.append(np.frombuffer(sizes, "<u4")[o])
         wide = np.zeros((len(o), 8), np.uint8)
         wide[:, :5] = np.frombuffer(signatures, np.uint8).reshape(-1, 5)
-        sig.append(wide.view("<u8").reshape(-1))
-    key, size, sig = (np.concatenate(x) for x in (key, size, sig))
+        for into, values in zip(columns, (wide.view("<u8").reshape(-1), np.frombuffer(keys, np.uint64)[o], np.frombuffer(sizes, "<u4")[o], np.frombuffer(parts, "<u4")[o]), strict=True):
+            into.append(values)
+    sig, key, size, parts = (np.concatenate(x) for x in columns)
     order = np.argsort(sig)
     s = sig[order]
     same = s[1:] == s[:-1]
@@ -330,20 +356,79 @@ def _buckets(rows: Iterator[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndar
     shared[1:] |= same
     shared[:-1] |= same
     order = order[shared]
-    sig, key, size = sig[order], key[order], size[order]
-    order = np.lexsort((key, sig))
-    sig, key, size = sig[order], key[order], size[order]
-    if not len(sig):
-        return np.zeros(0, np.int64), key, size
-    once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
-    sig, key, size = sig[once], key[once], size[once]
-    number = np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]]))
-    many = np.bincount(number)[number] > 1
-    number = np.unique(number[many], return_inverse=True)[1]
-    return number, key[many], size[many]
-
-
-def candidates(docs: DataFrame, rule: Rule, common: np.ndarray, text: str = "text") -> DataFrame:
+    order = order[np.lexsort((key[order], sig[order]))]
+    sig, key, size, parts = sig[order], key[order], size[order], parts[order]
+    if len(sig):
+        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
+        sig, key, size, parts = sig[once], key[once], size[once], parts[once]
+        number = np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]]))
+        many = np.bincount(number)[number] > 1
+        number = np.unique(number[many], return_inverse=True)[1]
+        key, size, parts = key[many], size[many], parts[many]
+    else:
+        number = np.zeros(0, np.int64)
+    return number, key >> np.uint64(1), (key & np.uint64(1)).astype(bool), size.astype(np.int64), parts.astype(np.int64)
+
+
+def alive(docs: DataFrame, rule: Rule, bits: np.ndarray | None, text: str = "text") -> DataFrame:
+    """Written table (k) of the sets that can be linked at all.
+
+    Each of the at most h members by which two linked sets differ touches one
+    part, so of a set's p parts at least p - h are the same in its partner.  A
+    set of which fewer parts are met by any suitable set has no partner.
+    """
+    targets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(table: pa.Table) -> pa.Table:
+        number, key, lower, size, parts = _buckets(table)
+        out: dict[str, list] = {"q": [], "kind": [], "keys": [], "need": [], "met": []}
+        if len(number):
+            n_own = np.bincount(number, weights=~lower)[number]
+            n_lower = np.bincount(number, weights=lower)[number]
+            tops = np.array(bands(rule, int(size.max())), np.int64)
+            band = np.searchsorted(tops, size)
+            reach = lambda other: np.maximum(parts - (rule.den - rule.num) * (size + other) // (rule.den + rule.num), 1)
+            kinds = (
+                (~lower & (n_own > 1), reach(tops[band])),  # with a set of its own band
+                (~lower & (n_lower > 0), reach(size * rule.den // rule.num)),  # with a larger set that looks down
+                (lower & (n_own > 0), reach(tops[np.maximum(band - 1, 0)])),  # with a smaller set
+            )
+            for kind, (hit, need) in enumerate(kinds):
+                own, at, met = np.unique(key[hit], return_index=True, return_counts=True)
+                q = (K.mix(own) % np.uint64(targets)).astype(np.int64)
+                order = np.argsort(q, kind="stable")
+                cut = np.searchsorted(q[order], np.arange(targets + 1))
+                need = need[hit][at]
+                for t in range(targets):
+                    mine = order[cut[t] : cut[t + 1]]
+                    if len(mine):
+                        out["q"].append(t)
+                        out["kind"].append(kind)
+                        out["keys"].append(own[mine].tobytes())
+                        out["need"].append(need[mine].astype("<u4").tobytes())
+                        out["met"].append(met[mine].astype("<u4").tobytes())
+        kinds_of = {"q": pa.int32(), "kind": pa.int32(), "keys": pa.binary(), "need": pa.binary(), "met": pa.binary()}
+        return pa.table({c: pa.array(out[c], t) for c, t in kinds_of.items()})
+
+    def judge(table: pa.Table) -> pa.Table:
+        good = [np.zeros(0, np.uint64)]
+        kind = np.array(table.column("kind").to_pylist())
+        sent = [table.column(c).to_pylist() for c in ("keys", "need", "met")]
+        for k in np.unique(kind):
+            mine = np.flatnonzero(kind == k)
+            key, need, met = (np.concatenate([np.frombuffer(x[i], t) for i in mine]) for x, t in zip(sent, (np.uint64, "<u4", "<u4"), strict=True))
+            own, at, of = np.unique(key, return_index=True, return_inverse=True)
+            good.append(own[np.bincount(of, weights=met) >= need[at]])
+        return pa.table({"k": pa.array(np.unique(np.concatenate(good)).astype(np.int64), pa.int64())})
+
+    packed = _packed(docs, rule, np.zeros(0, np.uint64), targets, text, bits, whole=True)
+    met = packed.groupBy("target").applyInArrow(count, "q int, kind int, keys binary, need binary, met binary")
+    out = written(met.groupBy("q").applyInArrow(judge, "k long"), "alive")
+    collect_garbage(docs.sparkSession)
+    return out
+
+
+def candidates(docs: DataFrame, rule: Rule, common: np.ndarray, bits: np.ndarray | None = None, text: str = "text") -> DataFrame:
     """Written table of packed candidates, two kinds of rows by target:
 
     pairs (a, b, n): each set of a bucket with the bucket's first set, and how
@@ -354,7 +439,7 @@ def candidates(docs: DataFrame, rule: Rule, common: np.ndarray, text: str = "tex
     targets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def find(table: pa.Table) -> pa.Table:
-        number, key, size = _buckets(zip(*[table.column(c).to_pylist() for c in ("keys", "sizes", "signatures", "owners")], strict=True))
+        number, key, _, size, _ = _buckets(table)
         out = {"kind": [], "a": [], "b": [], "n": []}
         if len(number):
             first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
@@ -362,7 +447,7 @@ def candidates(docs: DataFrame, rule: Rule, common: np.ndarray, text: str = "tex
             lead = np.repeat(first, count)
             rest = np.arange(len(number)) != lead
             a, b = key[rest], key[lead][rest]
-            close = rule.num * np.maximum(size[rest], size[lead][rest]).astype(np.int64) <= rule.den * np.minimum(size[rest], size[lead][rest]).astype(np.int64)
+            close = rule.num * np.maximum(size[rest], size[lead][rest]) <= rule.den * np.minimum(size[rest], size[lead][rest])
             a, b = a[close], b[close]
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -384,7 +469,7 @@ def candidates(docs: DataFrame, rule: Rule, common: np.ndarray, text: str = "tex
                 out["n"] += [0] * len(members)
         return pa.table({"kind": pa.array(out["kind"], pa.int32()), "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "n": pa.array(out["n"], pa.int64())})
 
-    packed = _packed(docs, rule, common, targets, text)
+    packed = _packed(docs, rule, common, targets, text, bits, whole=False)
     return written(packed.groupBy("target").applyInArrow(find, "kind int, a long, b long, n long"), "candidates")
 
 
@@ -401,6 +486,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
+    # 1 MB a row
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in ids.coalesce(8).mapInArrow(run, "bits binary").collect():  # 8 rows of 1 MB
         out |= np.frombuffer(r["bits"], np.uint8)
@@ -417,35 +503,40 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule, text: str = "text") ->
             keys, found = [], []
             for _, grams, bounds in shingles(batch.column(0), rule):
                 own = keys_of(grams, bounds)
-                at = K.mix(own) % np.uint64(FILTER_BITS)
-                hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (own != 0)
-                for i in np.flatnonzero(hit):
+                for i in np.flatnonzero(_passes(bits, own)):
                     if (k := int(own[i])) not in seen:
                         seen.add(k)
                         keys.append(k)
-                        found.append(np.ascontiguousarray(grams[bounds[i] : bounds[i + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())
+                        own_bits = np.sort(grams[bounds[i] : bounds[i + 1]] & np.uint64((1 << 40) - 1))
+                        found.append(np.ascontiguousarray(own_bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["k", "grams"])
 
     def wide(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 6, 8), np.uint8)
-        out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        out = np.zeros((len(raw) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
         return out.view("<u8").reshape(-1)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = wide(x), wide(y)
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                good.append(bool(rule.linked(np.int64((a[at] == b).sum()), len(a), len(b))))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    # a set of several texts is sent once a task and then kept once
-    own = texts(docs, text=text).mapInArrow(run, "k long, grams binary").join(needed, "k", "left_semi").groupBy("k").agg(F.first("grams").alias("grams"))
-    own = written(own, "sets")
-    both = pairs.select("a", "b").join(own.select(F.col("k").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("k").alias("b"), F.col("grams").alias("y")), "b")
-    return written(both.mapInArrow(check, "a long, b long"), "links")
+    def check(group: pa.Table) -> pa.Table:
+        centre = group.column("b")[0].as_py()
+        found = dict(zip(group.column("k").to_pylist(), group.column("grams").to_pylist(), strict=True))
+        own = wide(found.pop(centre))
+        good = []
+        for k, raw in found.items():
+            other = wide(raw)
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            if rule.linked(np.int64((own[at] == other).sum()), len(own), len(other)):
+                good.append(k)
+        return pa.table({"a": pa.array(good, pa.int64()), "b": pa.array([centre] * len(good), pa.int64())})
+
+    # a set goes to each of its partners' groups; a large group is dealt into shares, and its centre to all of them
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("shares"))
+    dealt = pairs.select("a", "b").join(shares, "b")
+    members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
+    centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    sent = texts(docs, text=text).mapInArrow(run, "k long, grams binary").join(members.union(centres), "k").select("b", "share", "k", "grams")
+    out = written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
+    collect_garbage(docs.sparkSession)
+    return out
 
 
 def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,7 +545,10 @@ def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str
     small_batches(spark)
     docs = docs.where(F.col(f"`{key}`").isNotNull())
     nodes = written(sets(docs, rule, key, text), "nodes")
-    found = candidates(docs, rule, common_grams(docs, rule, text), text)
+    # who can be linked at all; of those who are left, once more
+    bits = _wanted(alive(docs, rule, None, text))
+    bits = _wanted(alive(docs, rule, bits, text))
+    found = candidates(docs, rule, common_grams(docs, rule, bits, text), bits, text)
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = written(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))), "pairs")
     lists = found.where("kind = 1").select("a", F.col("b").alias("list"))
