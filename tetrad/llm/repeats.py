@@ -84,15 +84,15 @@ def _unpack(rows: bytes) -> pa.RecordBatch:
 # ---- anchors and runs -------------------------------------------------------
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place where they are all there."""
+def _prefixes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial hash, and the factors that undo a place."""
     n = len(data)
-    forward = K.powers(n)
     backward = np.full(n, _INVERSE, np.uint64)
     backward[0] = 1
-    backward = np.cumprod(backward)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(K._VALUES[data] * forward)])
-    return K.mix((total[GRAM:] - total[:-GRAM]) * backward[: n - GRAM + 1])
+    np.cumprod(backward, out=backward)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(K._VALUES[data] * K.powers(n), out=total[1:])
+    return total, backward
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -106,9 +106,9 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor's hash) of every run, in order."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor's hash, segment's hash) of every run, in order."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if len(data) < length:
         return none
     parts = []
@@ -116,7 +116,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
         lo, hi = int(offsets[a]), int(offsets[b])
         if hi - lo < length:
             continue
-        hashed = _gram_hashes(data[lo:hi])
+        total, backward = _prefixes(data[lo:hi])
+        hashed = K.mix((total[GRAM:] - total[:-GRAM]) * backward[: hi - lo - GRAM + 1])
         least = _sliding_least((hashed & ~_PLACE) | np.arange(len(hashed), dtype=np.uint64), length - GRAM + 1)
         anchor = (least & _PLACE).astype(np.int64)
         ends = offsets[a + 1 : b + 1] - lo
@@ -134,7 +135,9 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
         new = np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        parts.append((at[first] + lo, at[last] + lo, hashed[own[first]]))
+        i, j = at[first], at[last]
+        segment = K.mix((total[j + length] - total[i]) * backward[i] + (j - i).astype(np.uint64))
+        parts.append((i + lo, j + lo, hashed[own[first]], segment))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
 
 
@@ -170,7 +173,7 @@ def _flagged(packed: DataFrame, text: str, length: int, targets: int) -> DataFra
 def _live_runs(rows: pa.RecordBatch, text: str, bits: list[dict], length: int, targets: int) -> tuple[np.ndarray, ...]:
     """Bytes, offsets, and the runs of the anchors that occur again."""
     data, offsets = text_bytes(rows.column(text).cast(pa.large_string()).fill_null(""))
-    first, last, hashed = runs(data, offsets, length)
+    first, last, hashed, segment = runs(data, offsets, length)
     own, of = np.unique(hashed, return_inverse=True)
     again = np.zeros(len(own), bool)
     cut = np.searchsorted(_target(own, targets), np.arange(targets + 1).astype(np.uint64))
@@ -178,23 +181,13 @@ def _live_runs(rows: pa.RecordBatch, text: str, bits: list[dict], length: int, t
         a, b = cut[x["target"]], cut[x["target"] + 1]
         again[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: b - a].astype(bool)
     live = again[of]
-    return data, offsets, first[live], last[live], hashed[live]
+    return data, offsets, first[live], last[live], hashed[live], segment[live]
 
 
-def _distinct(data: np.ndarray, first: np.ndarray, last: np.ndarray, hashed: np.ndarray, length: int, targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(hashed: np.ndarray, key: np.ndarray, targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's runs: the distinct segments in order of target and content
     (index of a run that has it), which of them each run has, how often each
     occurs, and the targets' bounds."""
-    key = np.zeros(len(first), np.uint64)
-    ends = last + length
-    for parity in (0, 1):  # neighbouring segments overlap; hash every other one, and long overlaps one by one
-        at = np.arange(parity, len(first), 2)
-        clear = np.concatenate([[True], first[at][1:] >= ends[at][:-1]]) if len(at) else np.zeros(0, bool)
-        good = at[clear & np.concatenate([clear[1:], [True]])] if len(at) else at
-        key[good] = K.hashes(data, first[good], ends[good])
-        for i in np.setdiff1d(at, good):
-            key[i] = K.hashes(data, first[i : i + 1], ends[i : i + 1])[0]
-    key = K.mix(key + hashed * np.uint64(3))
     target = _target(hashed, targets)
     order = np.lexsort((key, hashed, target))
     k, h = key[order], hashed[order]
@@ -211,11 +204,11 @@ def _judged(packed: DataFrame, flags: DataFrame, text: str, length: int, targets
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, rows, bits in zip(*[batch.column(c).to_pylist() for c in ("block", "rows", "bits")], strict=True):
-                data, _, first, last, hashed = _live_runs(_unpack(rows), text, bits, length, targets)
+                data, _, first, last, hashed, segment = _live_runs(_unpack(rows), text, bits, length, targets)
                 if not len(first):
                     continue
-                chosen, _, count, cut = _distinct(data, first, last, hashed, length, targets)
-                out: list[list] = [[], [], [], [], [], []]
+                chosen, _, count, cut = _distinct(hashed, segment, targets)
+                out: list[list] = [[], [], [], [], [], [], []]
                 for t in range(targets):
                     mine = chosen[cut[t] : cut[t + 1]]
                     if not len(mine):
@@ -227,9 +220,10 @@ def _judged(packed: DataFrame, flags: DataFrame, text: str, length: int, targets
                     out[2].append(hashed[mine].tobytes())
                     out[3].append(sizes.astype("<u4").tobytes())
                     out[4].append((count[cut[t] : cut[t + 1]] > 1).tobytes())
+                    out[6].append(segment[mine].tobytes())
                     out[5].append(pa.compress(data[where].tobytes(), codec="zstd", asbytes=True))
-                kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["target", "block", "anchors", "sizes", "often", "segments"])
+                kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["target", "block", "anchors", "sizes", "often", "segments", "keys"])
 
     def judge(table: pa.Table) -> pa.Table:
         sent = [table.column(c).to_pylist() for c in ("anchors", "sizes", "often", "segments")]
@@ -241,7 +235,7 @@ def _judged(packed: DataFrame, flags: DataFrame, text: str, length: int, targets
         ends = np.cumsum(sizes)
         begins = ends - sizes
         # equal segments are one; it is repeated if it came more than once
-        key = K.mix(K.hashes(data, begins, ends) + anchors * np.uint64(3))
+        key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
         order = np.lexsort((key, anchors))
         k, h = key[order], anchors[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
@@ -261,7 +255,7 @@ def _judged(packed: DataFrame, flags: DataFrame, text: str, length: int, targets
             # whole anchors together, as many as make a good array
             stop = at + 1
             size = int(sizes[chosen[some[at]]])
-            while stop < len(some) and (size < (1 << 21) or h[some[stop]] == h[some[stop - 1]]):
+            while stop < len(some) and (size < (1 << 19) or h[some[stop]] == h[some[stop - 1]]):
                 size += int(sizes[chosen[some[stop]]])
                 stop += 1
             mine = some[at:stop]
@@ -284,17 +278,17 @@ def _judged(packed: DataFrame, flags: DataFrame, text: str, length: int, targets
         return pa.table({"block": table.column("block"), "target": table.column("target"), "bits": pa.array(out, pa.binary())})
 
     live = packed.join(flags, "block")
-    sent = live.mapInArrow(send, "target int, block string, anchors binary, sizes binary, often binary, segments binary")
+    sent = live.mapInArrow(send, "target int, block string, anchors binary, sizes binary, often binary, segments binary, keys binary")
     judged = sent.groupBy("target").applyInArrow(judge, "block string, target int, bits binary")
     return written(judged.groupBy("block").agg(F.collect_list(F.struct("target", "bits")).alias("judged")), "windows")
 
 
 def _covered(rows: pa.RecordBatch, text: str, bits: list[dict], judged: list[dict], length: int, targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets, and whether each byte is removed."""
-    data, offsets, first, last, hashed = _live_runs(rows, text, bits, length, targets)
+    data, offsets, first, last, hashed, segment = _live_runs(rows, text, bits, length, targets)
     gone = np.zeros(len(data) + 1, np.int64)
     if len(first) and judged:
-        chosen, number, _, cut = _distinct(data, first, last, hashed, length, targets)
+        chosen, number, _, cut = _distinct(hashed, segment, targets)
         windows = last[chosen] - first[chosen] + 1
         bounds = np.concatenate([[0], np.cumsum(windows)])
         hit = np.zeros(int(bounds[-1]), bool)
@@ -304,8 +298,8 @@ def _covered(rows: pa.RecordBatch, text: str, bits: list[dict], judged: list[dic
         w = windows[number]
         offset = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         starts = (np.repeat(first, w) + offset)[hit[np.repeat(bounds[number], w) + offset]]
-        np.add.at(gone, starts, 1)
-        np.add.at(gone, starts + length, -1)
+        gone += np.bincount(starts, minlength=len(gone))
+        gone -= np.bincount(starts + length, minlength=len(gone))
     return data, offsets, np.cumsum(gone[:-1]) > 0
 
 

@@ -14,18 +14,20 @@ import numpy as np
 
 
 def _words(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place as a big-endian number; zeros behind the end."""
-    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        out |= wide[k : k + len(data)] << np.uint64(56 - 8 * k)
-    return out
+    """The 8 bytes from each place as a big-endian number; zeros behind the end.
+    A view that overlaps itself: what is looked up is copied, the rest is not."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), ">u8", buffer=padded, strides=(1,))
+
+
+def _at(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return words[places].astype(np.uint64)
 
 
 def direct(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """The places in the order of their first ``depth`` bytes."""
-    order = places[np.argsort(words[places], kind="stable")]
-    group = words[order]
+    order = places[np.argsort(_at(words, places), kind="stable")]
+    group = _at(words, order)
     same = group[1:] == group[:-1]
     tied = np.zeros(len(order), bool)
     tied[1:] |= same
@@ -37,7 +39,7 @@ def direct(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         mine = order[at]
-        key = words[np.minimum(mine + shift, len(words) - 1)]
+        key = _at(words, np.minimum(mine + shift, len(words) - 1))
         key = np.where(mine + shift < len(words), key, np.uint64(0))
         sort = np.lexsort((key, number))
         order[at] = mine[sort]
@@ -56,16 +58,17 @@ def suffix_array(data: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
     # smaller than the successor: a smaller byte, or the same as for the next place if equal; the last is not
-    step = np.sign(np.diff(data.astype(np.int16)))
-    differs = np.flatnonzero(np.append(step, -1))
-    upward = np.append(step, -1)[differs[np.searchsorted(differs, np.arange(n))]] > 0
-    ups = direct(_words(data), np.flatnonzero(upward), depth)
+    ends = np.append(np.flatnonzero(data[1:] != data[:-1]), n - 1)
+    rises = np.append(data[ends[:-1] + 1] > data[ends[:-1]], False)
+    upward = np.repeat(rises, np.diff(ends, prepend=-1))
+    ups = direct(_words(data), np.flatnonzero(upward).astype(kind), depth)
     up_first = np.searchsorted(data[ups], np.arange(257))
     down_count = np.bincount(data[~upward], minlength=256)
     all_count = np.bincount(data, minlength=256)
     first = np.concatenate([[0], np.cumsum(all_count)])
-    out = np.empty(n, np.int64)
+    out = np.empty(n, kind)
     filled = first[:256].copy()
 
     def induce(found: np.ndarray, least: int) -> None:
@@ -111,7 +114,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         a, b = left[live] + shift, right[live] + shift
         inside = (a < len(data)) & (b < len(data))
         live, a, b = live[inside], a[inside], b[inside]
-        differ = words[a] ^ words[b]
+        differ = _at(words, a) ^ _at(words, b)
         rest = differ > 0
         if rest.any():
             bits = np.zeros(int(rest.sum()), np.int64)
