@@ -279,7 +279,8 @@ def _judged(packed: DataFrame, flags: DataFrame, text: str, length: int, targets
 
     live = packed.join(flags, "block")
     sent = live.mapInArrow(send, "target int, block string, anchors binary, sizes binary, often binary, segments binary, keys binary")
-    judged = sent.groupBy("target").applyInArrow(judge, "block string, target int, bits binary")
+    # a fixed number of partitions, so that little data with much work is not put together
+    judged = sent.repartition(targets // 2, "target").groupBy("target").applyInArrow(judge, "block string, target int, bits binary")
     return written(judged.groupBy("block").agg(F.collect_list(F.struct("target", "bits")).alias("judged")), "windows")
 
 
