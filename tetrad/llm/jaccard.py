@@ -154,6 +154,35 @@ def keys_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _read(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The sets of a batch of texts, or of stored sets."""
+    if batch.schema.names[0] != "grams":
+        yield from shingles(batch.column(0), rule)
+        return
+    raw = batch.column(0).to_pylist()
+    sizes = [len(x) // 8 for x in raw]
+    yield 0, np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def stored(docs: DataFrame, rule: Rule, bits: np.ndarray, text: str = "text") -> DataFrame:
+    """Written table (grams) of the sets that a filter lets through, each once a
+    task, so that later passes need not cut the texts again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for _, grams, bounds in shingles(batch.column(0), rule):
+                keys = keys_of(grams, bounds)
+                for i in np.flatnonzero(_passes(bits, keys)):
+                    if (k := int(keys[i])) not in seen:
+                        seen.add(k)
+                        out.append(grams[bounds[i] : bounds[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["grams"])
+
+    return written(texts(docs, text=text).mapInArrow(run, "grams binary"), "set-store")
+
+
 def sets(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, set_key) of every text; set_key is null for empty sets."""
     small_batches(docs.sparkSession)
@@ -171,7 +200,7 @@ def sets(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, n_shingles long, set_key long")
 
 
-def common_grams(docs: DataFrame, rule: Rule, bits: np.ndarray | None = None, text: str = "text") -> np.ndarray:
+def common_grams(source: DataFrame, rule: Rule, bits: np.ndarray | None = None) -> np.ndarray:
     """Sorted hashes of the n-grams that many distinct sets of some task's share
     hold, the ``COMMON`` commonest of all texts that are still looked at.  They
     steer costs only: links do not depend on them."""
@@ -193,7 +222,7 @@ def common_grams(docs: DataFrame, rule: Rule, bits: np.ndarray | None = None, te
             size = 0
 
         for batch in batches:
-            for _, grams, bounds in shingles(batch.column(0), rule):
+            for _, grams, bounds in _read(batch, rule):
                 keys = keys_of(grams, bounds)
                 fresh = _passes(bits, keys) & np.array([k not in seen for k in keys.tolist()], bool)
                 seen.update(keys[fresh].tolist())
@@ -204,7 +233,7 @@ def common_grams(docs: DataFrame, rule: Rule, bits: np.ndarray | None = None, te
         settle()
         yield pa.RecordBatch.from_arrays([pa.array(np.array(list(often), np.uint64).astype(np.int64)), pa.array(np.array(list(often.values()), np.int64))], ["gram", "n"])
 
-    counted = texts(docs, text=text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     best = counted.orderBy(F.desc("n"), "gram").limit(COMMON).select("gram").toPandas()["gram"].to_numpy()
     return np.sort(best.astype(np.int64).astype(np.uint64))
 
@@ -279,7 +308,7 @@ def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (keys != 0)
 
 
-def _packed(docs: DataFrame, rule: Rule, common: np.ndarray, targets: int, text: str, bits: np.ndarray | None, whole: bool) -> DataFrame:
+def _packed(source: DataFrame, rule: Rule, common: np.ndarray, targets: int, bits: np.ndarray | None, whole: bool) -> DataFrame:
     """(target, keys, sizes, parts, signatures, owners): a task's entries by target.
 
     An owner is a set in one of its two cuts; its place in ``keys`` is even for
@@ -311,7 +340,7 @@ def _packed(docs: DataFrame, rule: Rule, common: np.ndarray, targets: int, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, sig, own, n, seen, held = [], [], [], [], 0, set(), 0
         for batch in batches:
-            for _, grams, bounds in shingles(batch.column(0), rule):
+            for _, grams, bounds in _read(batch, rule):
                 found = keys_of(grams, bounds)
                 fresh = _passes(bits, found) & np.array([k not in seen for k in found.tolist()], bool)
                 # a set that comes twice in one block counts once
@@ -335,7 +364,7 @@ def _packed(docs: DataFrame, rule: Rule, common: np.ndarray, targets: int, text:
         if held:
             yield flush(keys, sizes, sig, own)
 
-    return texts(docs, text=text).mapInArrow(run, "target int, keys binary, sizes binary, parts binary, signatures binary, owners binary")
+    return source.mapInArrow(run, "target int, keys binary, sizes binary, parts binary, signatures binary, owners binary")
 
 
 def _buckets(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -370,14 +399,15 @@ def _buckets(table: pa.Table) -> tuple[np.ndarray, ...]:
     return number, key >> np.uint64(1), (key & np.uint64(1)).astype(bool), size.astype(np.int64), parts.astype(np.int64)
 
 
-def alive(docs: DataFrame, rule: Rule, bits: np.ndarray | None, text: str = "text") -> DataFrame:
+def alive(source: DataFrame, rule: Rule, bits: np.ndarray | None = None) -> DataFrame:
     """Written table (k) of the sets that can be linked at all.
 
     Each of the at most h members by which two linked sets differ touches one
     part, so of a set's p parts at least p - h are the same in its partner.  A
     set of which fewer parts are met by any suitable set has no partner.
     """
-    targets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    targets = 4 * spread
 
     def count(table: pa.Table) -> pa.Table:
         number, key, lower, size, parts = _buckets(table)
@@ -421,21 +451,22 @@ def alive(docs: DataFrame, rule: Rule, bits: np.ndarray | None, text: str = "tex
             good.append(own[np.bincount(of, weights=met) >= need[at]])
         return pa.table({"k": pa.array(np.unique(np.concatenate(good)).astype(np.int64), pa.int64())})
 
-    packed = _packed(docs, rule, np.zeros(0, np.uint64), targets, text, bits, whole=True)
-    met = packed.groupBy("target").applyInArrow(count, "q int, kind int, keys binary, need binary, met binary")
+    packed = _packed(source, rule, np.zeros(0, np.uint64), targets, bits, whole=True)
+    # a fixed number of partitions: little data here is much work
+    met = packed.repartition(spread, "target").groupBy("target").applyInArrow(count, "q int, kind int, keys binary, need binary, met binary")
     out = written(met.groupBy("q").applyInArrow(judge, "k long"), "alive")
-    collect_garbage(docs.sparkSession)
+    collect_garbage(source.sparkSession)
     return out
 
 
-def candidates(docs: DataFrame, rule: Rule, common: np.ndarray, bits: np.ndarray | None = None, text: str = "text") -> DataFrame:
+def candidates(source: DataFrame, rule: Rule, common: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
     """Written table of packed candidates, two kinds of rows by target:
 
     pairs (a, b, n): each set of a bucket with the bucket's first set, and how
     often; lists: the members of the buckets of three sets or more, equal
     lists once.
     """
-    spark = docs.sparkSession
+    spark = source.sparkSession
     targets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def find(table: pa.Table) -> pa.Table:
@@ -469,7 +500,7 @@ def candidates(docs: DataFrame, rule: Rule, common: np.ndarray, bits: np.ndarray
                 out["n"] += [0] * len(members)
         return pa.table({"kind": pa.array(out["kind"], pa.int32()), "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "n": pa.array(out["n"], pa.int64())})
 
-    packed = _packed(docs, rule, common, targets, text, bits, whole=False)
+    packed = _packed(source, rule, common, targets, bits, whole=False)
     return written(packed.groupBy("target").applyInArrow(find, "kind int, a long, b long, n long"), "candidates")
 
 
@@ -493,7 +524,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
+def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of set keys that are linked, by exact intersection."""
     bits = _wanted(pairs.select(F.explode(F.array("a", "b"))).distinct())
 
@@ -501,7 +532,7 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule, text: str = "text") ->
         seen: set[int] = set()
         for batch in batches:
             keys, found = [], []
-            for _, grams, bounds in shingles(batch.column(0), rule):
+            for _, grams, bounds in _read(batch, rule):
                 own = keys_of(grams, bounds)
                 for i in np.flatnonzero(_passes(bits, own)):
                     if (k := int(own[i])) not in seen:
@@ -533,9 +564,9 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule, text: str = "text") ->
     dealt = pairs.select("a", "b").join(shares, "b")
     members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
     centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    sent = texts(docs, text=text).mapInArrow(run, "k long, grams binary").join(members.union(centres), "k").select("b", "share", "k", "grams")
+    sent = source.mapInArrow(run, "k long, grams binary").join(members.union(centres), "k").select("b", "share", "k", "grams")
     out = written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
-    collect_garbage(docs.sparkSession)
+    collect_garbage(source.sparkSession)
     return out
 
 
@@ -546,21 +577,21 @@ def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str
     docs = docs.where(F.col(f"`{key}`").isNotNull())
     nodes = written(sets(docs, rule, key, text), "nodes")
     # who can be linked at all; of those who are left, once more
-    bits = _wanted(alive(docs, rule, None, text))
-    bits = _wanted(alive(docs, rule, bits, text))
-    found = candidates(docs, rule, common_grams(docs, rule, bits, text), bits, text)
+    store = stored(docs, rule, _wanted(alive(texts(docs, text=text), rule)), text)
+    bits = _wanted(alive(store, rule))
+    found = candidates(store, rule, common_grams(store, rule, bits), bits)
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = written(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))), "pairs")
     lists = found.where("kind = 1").select("a", F.col("b").alias("list"))
     # first each set with the partner that shares most; then what still joins different components
-    links = verify(docs, pairs.where("rank = 1"), rule, text)
+    links = verify(store, pairs.where("rank = 1"), rule)
     label = written(components(links), "labels")
     tried = pairs.where("rank = 1").select("a", "b")
     named = lambda df, c: df.join(label.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(f"l_{c}", F.coalesce(f"l_{c}", c))
     apart = named(named(pairs.where("rank > 1").select("a", "b"), "a"), "b").where("l_a <> l_b").select("a", "b")
     if apart.limit(1).count():
         apart = written(apart, "apart")
-        links = links.union(verify(docs, apart, rule, text))
+        links = links.union(verify(store, apart, rule))
         label = written(components(links), "labels")
         tried = tried.union(apart)
     # members of a bucket that are still apart: every such pair that was not tried
@@ -574,7 +605,7 @@ def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str
     rest = rest.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct().join(tried.distinct(), ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if rest.limit(1).count():
-        links = links.union(verify(docs, rest, rule, text))
+        links = links.union(verify(store, rest, rule))
         label = written(components(links), "labels")
     named_nodes = nodes.join(label.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("_c", F.coalesce("label", "set_key"))
     least = named_nodes.where("_c is not null").groupBy("_c").agg(F.min(f"`{key}`").alias("_least"))
@@ -582,6 +613,8 @@ def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that are their class's smallest id."""
-    kept = classes(docs, rule, key, text).where(F.col(f"`{key}`") == F.col("component_id")).select(f"`{key}`").distinct()
-    return docs.join(kept, key, "left_semi")
+    """The documents, with all their columns, but those of a class whose smallest
+    id is another's; rows without an id stay."""
+    found = classes(docs, rule, key, text).select(f"`{key}`", (F.col(f"`{key}`") == F.col("component_id")).alias("_first"))
+    gone = found.groupBy(key).agg(F.bool_or("_first").alias("_first")).where("not _first").select(f"`{key}`")
+    return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
