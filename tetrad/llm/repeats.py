@@ -39,7 +39,7 @@ from tetrad.llm.suffixes import repeated_windows
 
 GRAM = 64
 #: Bytes of text in a block; longer documents are blocks of their own.
-BLOCK = 12 << 20
+BLOCK = 3 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
