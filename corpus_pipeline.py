@@ -51,8 +51,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def language_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of scarce languages are repeated until tokens match the target weights."""
-    return mixing.mixed(docs, docs, TARGETS)
+    """Documents of scarce languages are repeated until tokens match the target weights; none is dropped."""
+    return mixing.mixed(docs, docs, TARGETS, floor=1.0)
 
 
 @_stage

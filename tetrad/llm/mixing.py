@@ -13,7 +13,8 @@ and every step is one pass over a narrow written table with one row of sums
 per partition.
 
 Targets are weights; the total is the least for which no domain needs to
-shrink, so that a mix repeats documents of scarce domains and drops none.
+shrink, so that a mix repeats documents of scarce domains; with a floor of 1 it
+drops none, whatever the posteriors.
 ``copies`` turns a rate into a whole number of copies: its whole part, and one
 more for the share of ids (by hash) that its fraction says.
 
@@ -110,15 +111,15 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str =
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, n_tokens long, p array<double>")
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the gradient steps: each moves along the posteriors and stops at 0."""
+def rates(p: np.ndarray, steps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
+    """Rates after the gradient steps: each moves along the posteriors and stops at the floor."""
     r = np.ones(len(p))
     for step in steps:
-        r = np.maximum(r - p @ step, 0)
+        r = np.maximum(r - p @ step, floor)
     return r
 
 
-def fit(member: DataFrame, weights: np.ndarray, rounds: int = 40, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit(member: DataFrame, weights: np.ndarray, floor: float = 0.0, rounds: int = 40, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps whose rates match the targets; the targets; the tokens reached.
 
     Least squares of (expected tokens - targets), each domain in units of its
@@ -137,7 +138,7 @@ def fit(member: DataFrame, weights: np.ndarray, rounds: int = 40, close: float =
                     continue
                 n = batch.column("n_tokens").to_numpy()
                 p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                total[:size] += (rates(p, steps) * n) @ p
+                total[:size] += (rates(p, steps, floor) * n) @ p
                 total[size:] += ((p * n[:, None]).T @ p).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
@@ -166,17 +167,17 @@ def fit(member: DataFrame, weights: np.ndarray, rounds: int = 40, close: float =
     return steps, targets, reached
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """(key, n_tokens, domain, p, rate, copies) of every document."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str = "doc_id", text: str = "text", label: str = "lang", floor: float = 0.0) -> DataFrame:
+    """(key, n_tokens, domain, p, rate, copies) of every document; no rate is below the floor."""
     domains = sorted(targets)
     member = written(posteriors(docs, learn(labelled, domains, text, label), key, text), "posteriors")
-    steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]))
+    steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]), floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(domains))
             best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
-            r = np.where(batch.column("n_tokens").to_numpy() > 0, rates(p, steps), 1.0)
+            r = np.where(batch.column("n_tokens").to_numpy() > 0, rates(p, steps, floor), 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_tokens"), pa.array([domains[k] for k in best], pa.string()), pa.array(p.max(1, initial=0) if len(p) else [], pa.float64()), pa.array(r, pa.float64())], [key, "n_tokens", "domain", "p", "rate"])
 
     kind = member.schema[key].dataType.simpleString()
@@ -191,7 +192,7 @@ def _copies(rate: str, key: str) -> Column:
     return (F.floor(near) + F.when(part < near - F.floor(near), 1).otherwise(0)).cast("long")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str = "doc_id", text: str = "text", label: str = "lang", floor: float = 0.0) -> DataFrame:
     """The documents with all their columns, each as often as its copies say.
 
     The posteriors are found again where the documents are read, so that no
@@ -200,14 +201,14 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], ke
     domains = sorted(targets)
     model = learn(labelled, domains, text, label)
     member = written(posteriors(docs, model, key, text), "posteriors")
-    steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]))
+    steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]), floor)
     whole = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
     schema = T.StructType([*whole.schema.fields, T.StructField("_rate", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, p = _membership(batch.column(text).fill_null(""), model)
-            rate = np.where(sizes > 0, rates(p, steps), 1.0)
+            rate = np.where(sizes > 0, rates(p, steps, floor), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate, pa.float64())], [*batch.schema.names, "_rate"])
 
     copied = whole.mapInArrow(run, schema).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies("_rate", key).cast("int"))))
