@@ -249,6 +249,12 @@ def max_size_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.raw_clusters(v, least=3, most=20)
 
 
+@query(f"with {TCORE}, {REP}, {PAIR}, {RAW} select size, count(*) freq from (select cluster_id, count(*) size from raw group by cluster_id) group by size")
+def clusters_of_2000_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the clusters of a vocabulary, two million pairs and more."""
+    return clusters.statistics(clusters.raw_clusters(features.representatives(features.char_vectors(tokens(spark, d, 2000)))))
+
+
 @query()
 def lcs_distances(spark: SparkSession, d: str) -> DataFrame:
     pairs = ratios(spark, d).select("a", "b").distinct()
