@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tetrad.llm.shared import small_batches, texts
+from tetrad.llm.shared import small_batches, texts, written
 
 #: Most labelled rows that the classifier learns from (chosen by a hash of the id).
 SAMPLE = 20_000
@@ -239,7 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if n > sample:
         # a hash threshold, so that which rows are taken depends on their id only
         given = given.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    rows = texts(docs, key, text=text).join(F.broadcast(given) if n <= sample * 2 else given, key).select("text", "_y").limit(sample * 2)
+    # about ``sample`` ids at most, so they may be broadcast; one text an id
+    rows = texts(docs, key, text=text).join(F.broadcast(given), key).dropDuplicates([key])
+    rows = written(rows.select("text", "_y"), "labelled")
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +259,6 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     hits.setdefault(word, [0, 0])[y[i] > 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.string()), *[pa.array([v[k] for v in hits.values()], pa.int64()) for k in (0, 1)]], ["word", "misses", "hits"])
 
-    rows = rows.repartition(16) if n else rows
     totals = {r["_y"]: r["count"] for r in rows.groupBy((F.col("_y") > 0).cast("int").alias("_y")).count().collect()}
     if len(totals) < 2:
         return Model(channel, {}, None)
