@@ -423,6 +423,36 @@ def balanced_negatives(spark: SparkSession, d: str) -> DataFrame:
     return analogies.balanced_negatives(quads(spark, d), ["i", "j"]).select("i", "j", "of", "form", "a", "b", "c", "d")
 
 
+#: The band of the operator itself, 1,000,000 pairs a class.
+PAIRS_ALL = PAIRS.replace("2000 //", f"{analogies.PAIRS} //")
+PQUAD_ALL = PQUAD.replace(PAIRS, PAIRS_ALL)
+
+
+@query(SQL["msd_class_pairs"].replace(PAIRS, PAIRS_ALL))
+def msd_class_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    return analogies.class_pairs(tagged(spark, d), "brand", "id")
+
+
+def quads_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = tagged(spark, d)
+    return analogies.of_pairs(analogies.class_pairs(rows, "brand", "id"), rows, "id", "lemma", "form")
+
+
+@query(SQL["enrich_quads"].replace(PQUAD, PQUAD_ALL))
+def enrich_quads_all(spark: SparkSession, d: str) -> DataFrame:
+    return analogies.enriched(quads_all(spark, d))
+
+
+@query(SQL["negative_quads"].replace(PQUAD, PQUAD_ALL))
+def negative_quads_all(spark: SparkSession, d: str) -> DataFrame:
+    return analogies.negatives(quads_all(spark, d))
+
+
+@query(SQL["balanced_negatives"].replace(PQUAD, PQUAD_ALL))
+def balanced_negatives_all(spark: SparkSession, d: str) -> DataFrame:
+    return analogies.balanced_negatives(quads_all(spark, d), ["i", "j"]).select("i", "j", "of", "form", "a", "b", "c", "d")
+
+
 @query()
 def solve_analogies(spark: SparkSession, d: str) -> DataFrame:
     q = analogies.of_clusters(ratios(spark, d), check=False)
