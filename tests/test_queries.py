@@ -1,5 +1,7 @@
 """Registered queries that take their whole input, against plain versions."""
 
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from tetrad.plans import queries
@@ -19,3 +21,26 @@ def test_class_pairs_of_large_classes(spark, tmp_path):
     assert queries.QUERIES["enrich_quads_all"](spark, str(tmp_path)).count() == 8 * total
     assert queries.QUERIES["negative_quads_all"](spark, str(tmp_path)).count() == 3 * total
     assert queries.QUERIES["balanced_negatives_all"](spark, str(tmp_path)).where("i >= 2100").count() == 8 * found["small"][0]
+
+
+def test_whole_vocabulary(spark, tmp_path):
+    """More than 2000 tokens in four languages: the rare ones stay, in every language."""
+    letters = "abcdefghijkl"
+    made = {lang: ["".join(letters[(i // 12**k) % 12] for k in range(4)) + end for i in range(2500)] for lang, end in (("en", ""), ("de", "ü"), ("es", "x"), ("fr", ""))}
+    rows = [(n, " ".join(w[k : k + 500]), lang) for lang, w in made.items() for n, k in enumerate(range(0, 2500, 500))]
+    rows += [(9, None, "en"), (10, "Rare RARE", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    words = {w for x in made.values() for w in x} | {"rare"}
+    of = defaultdict(list)
+    for w in sorted(words):
+        of["".join(sorted(w))].append(w)
+    assert sorted(run("alphagrams_all")) == sorted((w, a) for a, x in of.items() for w in x)
+    assert sorted(run("inverse_dictionary_all")) == sorted((a, " ".join(x)) for a, x in of.items())
+    assert sorted(run("indistinguishables_all")) == sorted((x[0], " ".join(x)) for x in of.values())
+    assert sorted(run("equivalents_of_word_all")) == sorted((w, " ".join(x)) for x in of.values() for w in x)
+    assert {w for w, _ in run("train_test_split_all")} == words and len(run("random_sample_100_all")) == 100
+    checked = run("ascii_checks_all")
+    assert len(checked) == 4 * 2500 + 1 and {r[0] for r in checked if not r[2]} == {"de"}
+    assert len(run("sample_each_language_all")) == 80
+    assert len(run("transfer_matrix_all")) == 16

@@ -52,6 +52,17 @@ def tokens(spark: SparkSession, d: str, n: int, lang: str | None = "en") -> Data
     return windows.first_n(counted, ["lang"], [F.desc("n"), "word"], n)
 
 
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """(lang, word, n): all tokens of all languages."""
+    words = table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def all_words(spark: SparkSession, d: str) -> DataFrame:
+    """(word): the distinct tokens of all languages."""
+    return vocabulary(spark, d).select("word").distinct()
+
+
 def tagged(spark: SparkSession, d: str) -> DataFrame:
     """Parts as (id, lemma, form, msd)."""
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("lemma"), F.col("p_name").alias("form"), F.concat_ws(";", "p_type", "p_brand").alias("msd"), F.col("p_brand").alias("brand"))
@@ -586,7 +597,10 @@ SCORED = f"{LANGS}, s as (select al.lang model_lang, q.lang data_lang, valid, ca
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    t = tokens(spark, d, 40, None)
+    return _matrix_of(tokens(spark, d, 40, None))
+
+
+def _matrix_of(t: DataFrame) -> DataFrame:
     models = t.select("lang", F.explode(S.chars("word")).alias("ch")).groupBy("lang").agg(F.collect_set("ch").alias("alphabet"))
     ranked = windows.numbered(t, ["lang"], [F.desc("n"), "word"], "k")
     x, y = ranked.alias("x"), ranked.alias("y")
@@ -618,3 +632,89 @@ def dendrogram(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
     return transfer.communities(transfer.adjacency(_matrix(spark, d), "acc_valid"))
+
+
+# ---- the whole vocabulary --------------------------------------------------------------------
+
+
+ALL = "t as (select lang, w word, count(*) n from (select lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) w from documents) group by lang, w)"
+#: The distinct words in place of the ranked ones.
+WORDS = f"{ALL.replace('t as', 'every as', 1)}, t as (select distinct word from every)"
+
+
+def _whole(name: str) -> str:
+    """SQL of a query on ranked tokens, on the whole vocabulary."""
+    out = SQL[name]
+    for n, lang, other in ((2000, "en", WORDS), (300, None, ALL), (500, None, ALL), (40, None, ALL)):
+        out = out.replace(top(n, lang), other)
+    return out
+
+
+@query(_whole("indistinguishables"))
+def indistinguishables_all(spark: SparkSession, d: str) -> DataFrame:
+    classes = features.equivalence_classes(features.char_vectors(all_words(spark, d)))
+    return classes.select("rep", F.array_join("members", " ").alias("members"))
+
+
+@query(_whole("equivalents_of_word"))
+def equivalents_of_word_all(spark: SparkSession, d: str) -> DataFrame:
+    words = all_words(spark, d)
+    found = features.equivalents(words, features.equivalence_classes(features.char_vectors(words)))
+    return found.select("word", F.array_join("members", " ").alias("members"))
+
+
+@query(_whole("alphagrams"))
+def alphagrams_all(spark: SparkSession, d: str) -> DataFrame:
+    return all_words(spark, d).select("word", S.alphagram("word").alias("alphagram"))
+
+
+@query(_whole("inverse_dictionary"))
+def inverse_dictionary_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = all_words(spark, d).select("word", S.alphagram("word").alias("alphagram"))
+    return features.inverse(rows, "word", "alphagram").select("alphagram", F.array_join("keys", " ").alias("keys"))
+
+
+@query(_whole("ascii_checks"))
+def ascii_checks_all(spark: SparkSession, d: str) -> DataFrame:
+    t = vocabulary(spark, d)
+    return t.select("lang", "word", S.is_ascii("word").alias("is_ascii"), S.mask_non_ascii("word").alias("masked"), S.utf8_size("word").cast("long").alias("utf8_bytes"))
+
+
+@query(_whole("random_sample_100"))
+def random_sample_100_all(spark: SparkSession, d: str) -> DataFrame:
+    return windows.sample(all_words(spark, d), ["word"], 100)
+
+
+@query(_whole("sample_each_language"))
+def sample_each_language_all(spark: SparkSession, d: str) -> DataFrame:
+    return windows.sample_each(vocabulary(spark, d).select("lang", "word"), ["lang"], ["lang", "word"], 20)
+
+
+@query(_whole("train_test_split"))
+def train_test_split_all(spark: SparkSession, d: str) -> DataFrame:
+    return windows.split(all_words(spark, d), ["word"])
+
+
+@query(_whole("transfer_matrix"))
+def transfer_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix_of(vocabulary(spark, d))
+
+
+@query(_whole("transfer_pivot"))
+def transfer_pivot_all(spark: SparkSession, d: str) -> DataFrame:
+    return transfer.pivoted(_matrix_of(vocabulary(spark, d)), ["de", "en", "es", "fr"], "acc_valid")
+
+
+@query(_whole("language_adjacency"))
+def language_adjacency_all(spark: SparkSession, d: str) -> DataFrame:
+    return transfer.adjacency(_matrix_of(vocabulary(spark, d)))
+
+
+@query()
+def dendrogram_all(spark: SparkSession, d: str) -> DataFrame:
+    return transfer.dendrogram(transfer.adjacency(_matrix_of(vocabulary(spark, d)), "acc_valid"))
+
+
+@query()
+def communities_all(spark: SparkSession, d: str) -> DataFrame:
+    return transfer.communities(transfer.adjacency(_matrix_of(vocabulary(spark, d)), "acc_valid"))
