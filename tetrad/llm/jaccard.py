@@ -24,8 +24,9 @@ Entries travel as packed arrays, one row for each task and target, so that the
 reducers sort plain numbers.  Within a bucket every set is paired with the
 bucket's first only; which pairs that leaves is looked at again after the
 first links are known, and only pairs of different components are verified.
-So no link between components is lost, and a large group of near copies is
-never paired out.
+So no link between components is lost, and ``classes`` never pairs a large
+group of near copies out.  ``linked_classes`` also counts each row's links: all
+pairs of different sets of a component are compared, in blocks.
 
 Equal sets are one node throughout.  Verification intersects the 40-bit hashes
 of both sets' n-grams, sent for the sets that need it only.
@@ -60,6 +61,8 @@ SINGLES = 64
 OFTEN, COMMON = 12, 200_000
 #: Sets that one task compares with a group's centre at most.
 GROUP = 200
+#: Sets of one component that are compared with each other at a time, about, and n-grams at a time.
+SHARE, WIDTH = 512, 4096
 #: Bits of the filter that tells which texts' sets are wanted for verification (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -524,9 +527,8 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of set keys that are linked, by exact intersection."""
-    bits = _wanted(pairs.select(F.explode(F.array("a", "b"))).distinct())
+def _sent(source: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
+    """(k, grams): the 40-bit hashes of the sets that pass the filter; a set may come from several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -542,18 +544,26 @@ def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
                         found.append(np.ascontiguousarray(own_bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["k", "grams"])
 
-    def wide(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return out.view("<u8").reshape(-1)
+    return source.mapInArrow(run, "k long, grams binary")
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of set keys that are linked, by exact intersection."""
+    bits = _wanted(pairs.select(F.explode(F.array("a", "b"))).distinct())
 
     def check(group: pa.Table) -> pa.Table:
         centre = group.column("b")[0].as_py()
         found = dict(zip(group.column("k").to_pylist(), group.column("grams").to_pylist(), strict=True))
-        own = wide(found.pop(centre))
+        own = _wide(found.pop(centre))
         good = []
         for k, raw in found.items():
-            other = wide(raw)
+            other = _wide(raw)
             at = np.minimum(np.searchsorted(own, other), len(own) - 1)
             if rule.linked(np.int64((own[at] == other).sum()), len(own), len(other)):
                 good.append(k)
@@ -564,14 +574,63 @@ def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     dealt = pairs.select("a", "b").join(shares, "b")
     members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
     centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    sent = source.mapInArrow(run, "k long, grams binary").join(members.union(centres), "k").select("b", "share", "k", "grams")
+    sent = _sent(source, rule, bits).join(members.union(centres), "k").select("b", "share", "k", "grams")
     out = written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
     collect_garbage(source.sparkSession)
     return out
 
 
-def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row with an id."""
+def link_counts(source: DataFrame, label: DataFrame, weights: DataFrame, rule: Rule) -> DataFrame:
+    """(k, n) of each set of a component: the weights of the other sets that it is
+    linked to, summed.  Linked sets have one component, so all pairs of sets of a
+    component are compared, and every link is found.
+
+    A component is cut into shares of about ``SHARE`` sets, and each pair of its
+    shares is a group of its own, so no task ever holds a whole large component.
+    """
+    shares = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    own = label.join(shares, "label").join(weights.select(F.col("set_key").alias("id"), "weight"), "id")
+    own = own.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = own.select(F.col("id").alias("k"), "label", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"), "share", "weight")
+
+    def count(group: pa.Table) -> pa.Table:
+        key, at = np.unique(group.column("k").to_numpy(), return_index=True)  # a set may be sent twice
+        second = (group.column("share").to_numpy() != group.column("i").to_numpy())[at]
+        weight = group.column("weight").to_numpy()[at].astype(np.int64)
+        found = [_wide(group.column("grams")[int(i)].as_py()) for i in at]
+        size = np.array([len(x) for x in found], np.int64)
+        owner = np.repeat(np.arange(len(key)), size)
+        gram, column, held = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        # only what two sets or more hold is common to any
+        number = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[column]
+        owner, number = owner[number >= 0], number[number >= 0]
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        x, y = (np.arange(len(key)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+        common = np.zeros((len(x), len(y)), np.float64)
+        for low in range(0, int(held[held > 1].size), WIDTH):
+            a, b = np.searchsorted(number, [low, low + WIDTH])
+            there = np.zeros((len(key), WIDTH), np.float32)
+            there[owner[a:b], number[a:b] - low] = 1
+            common += there[x] @ there[y].T
+        linked = rule.linked(common.astype(np.int64), size[x][:, None], size[y][None, :])
+        if same:
+            np.fill_diagonal(linked, False)
+        out = np.zeros(len(key), np.int64)
+        out[x] += linked @ weight[y]
+        if not same:
+            out[y] += weight[x] @ linked
+        return pa.table({"k": pa.array(key, pa.int64()), "n": pa.array(out, pa.int64())})
+
+    sent = _sent(source, rule, _wanted(label.select("id"))).join(dealt, "k")
+    return sent.groupBy("label", "i", "j").applyInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _classed(docs: DataFrame, rule: Rule, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, n_shingles, component_id, set_key) of every row with an id; the sets
+    that can be linked; the components (id, label) of those that are."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     docs = docs.where(F.col(f"`{key}`").isNotNull())
@@ -609,7 +668,22 @@ def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str
         label = written(components(links), "labels")
     named_nodes = nodes.join(label.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("_c", F.coalesce("label", "set_key"))
     least = named_nodes.where("_c is not null").groupBy("_c").agg(F.min(f"`{key}`").alias("_least"))
-    return named_nodes.join(least, "_c", "left").select(f"`{key}`", "n_shingles", F.coalesce("_least", F.col(f"`{key}`")).alias("component_id"))
+    return named_nodes.join(least, "_c", "left").select(f"`{key}`", "n_shingles", F.coalesce("_least", F.col(f"`{key}`")).alias("component_id"), "set_key"), store, label
+
+
+def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row with an id."""
+    return _classed(docs, rule, key, text)[0].drop("set_key")
+
+
+def linked_classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, n_links) of every row with an id; n_links
+    counts the other rows that the row is linked to, equal sets among them."""
+    found, store, label = _classed(docs, rule, key, text)
+    weights = written(found.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    counted = link_counts(store, label, weights, rule).withColumnRenamed("k", "set_key")
+    out = found.join(weights, "set_key", "left").join(counted, "set_key", "left")
+    return out.select(f"`{key}`", "n_shingles", "component_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:

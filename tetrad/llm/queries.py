@@ -60,7 +60,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tetrad.llm import jaccard
 
-    return jaccard.classes(table(spark, sf_dir, "documents"))
+    return jaccard.linked_classes(table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
