@@ -3,10 +3,13 @@
 1. A character language model: counts of three letters in a row over all texts,
    summed over the cluster (one row per triple at most reaches the driver).
 2. A token that shows noise (digits or symbols among letters, a letter three
-   times in a row, letters standing alone one after another) becomes a lattice
+   times in a row, every letter twice, three or more letters standing alone one
+   after another) becomes a lattice
    of letters it may stand for; Viterbi finds the likeliest word under the
    language model and the channel's costs.  Tokens without noise have one path
-   only and stay as they are.
+   only and stay as they are, and so do figures without any letter; a token with
+   other symbols than those of ``LEET`` and ``BETWEEN`` is decoded if at least
+   two and half of its characters are letters.
 3. A classifier on the restored words: from at most ``SAMPLE`` labelled rows
    (a bound on the training rows only; every text is scored), each word, word
    start and letter sequence gets the lower confidence bound of its log odds;
@@ -49,9 +52,16 @@ BETWEEN = ".-_*~'`,:;/\\^\""
 
 _EDGES = re.compile(r"^[^\w@$!|+(<€£¥]+|[^\w@$|+€£¥]+$")
 _RUNS = re.compile(r"([^\w])\1+$|^([^\w])\2+")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?!\w)")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
+_LONG = re.compile(r"(.)\1{3,}")
+_PAIRS = re.compile(r"(?:([^\W\d_])\1)+")
+
+
+def _doubled(word: str) -> bool:
+    """Every letter stands twice in a row."""
+    return len(word) >= 6 and _PAIRS.fullmatch(word) is not None
 
 # ---- the character language model ----------------------------------------
 
@@ -96,6 +106,14 @@ def triples(docs: DataFrame, text: str = "text") -> DataFrame:
     return texts(docs, text=text).mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
+def _spelled(word: tuple) -> str:
+    out = []
+    while word:
+        word, c = word
+        out.append(c)
+    return "".join(reversed(out))
+
+
 @dataclass
 class Channel:
     """The language model and the decoder."""
@@ -130,31 +148,36 @@ class Channel:
                     options.append(("", 0.7))
                 options = options or [("", 3.0)]
             steps.append(options)
-        # state: last two classes -> (cost, word so far)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # state: last two classes -> (cost, word so far as (all before, last letter)), so that time is linear
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for options in steps:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, word) in states.items():
                 for c, price in options:
                     if c:
                         k = letter_class(c)
-                        to, total, longer = (b, k), cost + price + float(self.cost[a, b, k]), word + c
+                        to, total, longer = (b, k), cost + price + float(self.cost[a, b, k]), (word, c)
                     else:
                         to, total, longer = (a, b), cost + price + 1.0, word
                     if to not in after or total < after[to][0]:
                         after[to] = (total, longer)
             states = after
-        return min((cost + float(self.cost[a, b, 0]), word) for (a, b), (cost, word) in states.items())[1]
+        ended = [(cost + float(self.cost[a, b, 0]), word) for (a, b), (cost, word) in states.items()]
+        least = min(cost for cost, _ in ended)
+        return min(_spelled(word) for cost, word in ended if cost == least)
 
     def restore(self, token: str) -> str:
         """The token in lower case without edge marks, and decoded if it shows noise."""
         word = _RUNS.sub("", token.lower())
         word = _EDGES.sub("", word)
         letters = len(_LETTER.findall(word))
-        if letters == len(word) and not _THRICE.search(word):
-            return word
-        if letters < 2 or letters * 2 < len(word) or len(word) > 40:
+        if letters == len(word) and not _doubled(word) and not _THRICE.search(word):
             return word
+        # a drawn out letter or mark tells no more than a short run of it
+        word = _LONG.sub(r"\1\1\1", word)
+        # letters, or symbols for them, must make the word: figures alone are none
+        if not letters or not all(_LETTER.match(c) or c in LEET or c in BETWEEN for c in word):
+            return word if letters < 2 or letters * 2 < len(word) else self.decode(word)
         return self.decode(word)
 
     def words(self, text: str) -> list[str]:
