@@ -144,6 +144,31 @@ def test_packing(docs, empty):
     assert packing.pack(empty, "word_bpe_49k.json").count() == 0
 
 
+def test_places_of_a_hot_length(spark):
+    """A length of most pieces is dealt to shares; rows without an id or with the same one are pieces too."""
+    r = random.Random(7)
+    lengths = [9] * 300 + [r.randint(1, 12) for _ in range(200)]
+    made = spark.createDataFrame([(None if i % 50 == 0 else i // 3, 0, 0, n, i % 2) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    places = defaultdict(list)
+    for per_share in (7, 10_000):
+        places.clear()
+        for x in packing.place(made, 12, per_share=per_share).collect():
+            places[x["sequence_id"]].append((x["offset"], x["length"]))
+        assert sorted(n for p in places.values() for _, n in p) == sorted(lengths)
+        for p in places.values():
+            p.sort()
+            assert [o for o, _ in p] == [sum(n for _, n in p[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 12
+        # no fewer than the tokens need, and no more than best-fit decreasing makes
+        bins: list[int] = []
+        for n in sorted(lengths, reverse=True):
+            fit = [b for b, full in enumerate(bins) if full + n <= 12]
+            if fit:
+                bins[max(fit, key=lambda b: bins[b])] += n
+            else:
+                bins.append(n)
+        assert -(-sum(lengths) // 12) <= len(places) <= len(bins)
+
+
 def test_fullest_bin_is_fullest():
     from itertools import product
 
@@ -178,11 +203,21 @@ def test_token_files(docs, empty, spark):
         file = pa.ipc.open_file(f)
         assert pa.types.is_fixed_size_list(file.schema.field("ids").type)
         first = index.where(index.file == name).orderBy("at").first()
-        assert tokens.read_ids(file, first["at"], first["n_tokens"]).tolist() == ids[first["doc_id"]].tolist()
+        assert np.concatenate(tokens.read_ids(file, first["at"], first["n_tokens"])).tolist() == ids[first["doc_id"]].tolist()
     folder, index = tokens.write_sequences(empty, "byte_bpe_50k.json", end_id=2)
     assert tokens.read_sequences(spark, folder, index).count() == 0
 
 
+def test_wide_ids_and_several_files(docs, spark, monkeypatch):
+    monkeypatch.setattr(tokens, "FILE_IDS", 300)
+    folder, index = tokens.write_sequences(docs, "byte_bpe_50k.json", end_id=70_000, length=64)
+    ids = _ids("byte_bpe_50k.json", 70_000)
+    got = {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokens.read_sequences(spark, folder, index).collect()}
+    assert got == {(i, len(ids[i]), zlib.crc32(ids[i].tobytes())) for i, _ in ROWS}
+    with pytest.raises(Exception, match="16 bits"):
+        tokens.write_sequences(docs, "byte_bpe_50k.json", end_id=70_000, small_ids=True)
+
+
 def shingle_sets(rows):
     out = []
     for _, t in rows:

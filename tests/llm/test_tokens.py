@@ -18,8 +18,8 @@ ODD = [
 def test_encoder_equals_library(name):
     e = Encoder(name)
     r = random.Random(3)
-    parts = ["an", "É", "ß", ".", ",", " ", " ", "\n", "'s", "12", "!!", "_", "x", "Σ", "́", "\t"]
-    texts = ODD + ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    parts = ["an", "É", "ß", ".", ",", " ", " ", "\n", "'s", "12", "!!", "_", "x", "Σ", "́", "\t", "\r\n", "'", "(", "-", "|", "<|endoftext|>", "\x1c", "\u3000", "a-very-long-word" * 2]
+    texts = ODD + ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(4000)]
     for batch in (texts, texts):  # the second time from memory
         got = e(batch)
         for text, ids in zip(batch, got, strict=True):

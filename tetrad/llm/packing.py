@@ -1,7 +1,7 @@
 """Best-fit packing by minimum bin slack, planned on the histogram of lengths.
 
 Only the counts of pieces by length reach the driver (at most ``capacity``
-rows, whatever the input).  There each bin is filled by a bitset subset-sum
+rows, and one more for every half million pieces).  There each bin is filled by a bitset subset-sum
 over the lengths still available, starting from the longest; the fullest
 feasible combination is removed as often as its lengths last, which is what
 packing bin by bin would do.  Each removal uses up a length, so there are at
@@ -16,7 +16,7 @@ result.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,45 +71,44 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return bins
 
 
-def place(made: DataFrame, capacity: int, key: str = "doc_id", salts: int = 64) -> DataFrame:
+def place(made: DataFrame, capacity: int, key: str = "doc_id", per_share: int = 500_000) -> DataFrame:
     """Add sequence_id and offset to a table of pieces that can be read again.
 
-    Ranks within a length are counted in ``salts`` shares of each length, so a
-    length that holds a large part of all rows is not ranked by one task.
+    Ranks within a length are counted in shares of about ``per_share`` pieces,
+    so a length that holds a large part of all rows is dealt to many tasks.
     """
     spark = made.sparkSession
-    salted = made.withColumn("_salt", F.pmod(F.xxhash64(f"`{key}`", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    shares = salted.groupBy("length", "_salt").count()
-    counted = shares.collect()  # at most capacity x salts rows
-    counts: dict[int, int] = {}
-    before = []
-    for r in sorted(counted, key=lambda r: (r["length"], r["_salt"])):
-        before.append((r["length"], r["_salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    slots, first_bin = [], 0  # (length, ranks from, to, copies in a bin, first bin, offset of the first copy)
+    order = [f"`{key}`", "piece", "start", "ids_crc32"]
+    total = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    shares = {length: -(-n // per_share) for length, n in total.items() if n > per_share}
+    salts = F.lit(1)
+    if shares:
+        salts = F.coalesce(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("length")], salts)
+    salted = made.withColumn("_salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
+    counted = salted.groupBy("length", "_salt").count().collect()  # one row a length, and one more for every ``per_share`` pieces
+    slots: dict[int, list[tuple[int, ...]]] = {}  # by length: ranks from, to, copies in a bin, first bin, offset of the first copy
     given: dict[int, int] = {}
-    for used, times in plan(counts, capacity):
+    first_bin = 0
+    for used, times in plan(total, capacity):
         offset = 0
         for length in sorted(used, reverse=True):
             n, at = used[length], given.get(length, 0)
-            slots.append((length, at, at + n * times, n, first_bin, offset))
+            slots.setdefault(length, []).append((at, at + n * times, n, first_bin, offset))
             given[length] = at + n * times
             offset += n * length
         first_bin += times
-    # per length the slots' bounds as arrays: at most about capacity x a few entries in all
-    by_length: dict[int, list[tuple[int, ...]]] = {}
-    for length, *rest in slots:
-        by_length.setdefault(length, []).append(tuple(rest))
-    salt_of: dict[int, list[int]] = {length: [0] * salts for length in counts}
-    for length, salt, n in before:
-        salt_of[length][salt] = n
-    table = spark.createDataFrame(
-        [(length, salt_of[length], s) for length, s in by_length.items()],
-        "length long, _before array<long>, _slots array<struct<low: long, high: long, copies: long, bin: long, offset: long>>",
-    )
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(f"`{key}`", "piece", "start", "ids_crc32")) - 1
-    ranked = salted.withColumn("_rank", rank).join(table, "length")
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.element_at("_before", F.col("_salt") + 1))
+    # each share with the ranks before it and the slots that its own ranks meet
+    rows, before = [], dict.fromkeys(total, 0)
+    for r in sorted(counted, key=lambda r: (r["length"], r["_salt"])):
+        length, low = r["length"], before[r["length"]]
+        before[length] = high = low + r["count"]
+        own = slots[length]
+        i, j = bisect_right(own, low, key=lambda s: s[1]), bisect_left(own, high, key=lambda s: s[0])
+        rows.append((length, r["_salt"], low, own[i:j]))
+    table = spark.createDataFrame(rows, "length long, _salt int, _before long, _slots array<struct<low: long, high: long, copies: long, bin: long, offset: long>>")
+    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1
+    ranked = salted.withColumn("_rank", rank).join(table, ["length", "_salt"])
+    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     slot = F.filter("_slots", lambda s: (s["low"] <= F.col("_rank")) & (F.col("_rank") < s["high"]))[0]
     ranked = ranked.withColumn("_slot", slot)
     within = F.col("_rank") - F.col("_slot.low")
