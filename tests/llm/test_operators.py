@@ -298,19 +298,24 @@ def test_components(spark):
     assert {k: v for k, v in label.items() if k in got} == got and set(label) - set(got) <= looped
 
 
-def test_repeats(docs, empty):
-    got = Counter(map(tuple, repeats.spans(docs).collect()))
-    raw = [(i, (t or "").encode()) for i, t in ROWS]
-    count = Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
+def plain_repeats(rows, length=200):
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(b[k : k + length] for _, b in raw for k in range(len(b) - length + 1))
     want, left = Counter(), []
     for i, b in raw:
         gone = bytearray(len(b))
-        for k in range(len(b) - 199):
-            if count[b[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
         left.append((i, kept.decode("utf-8", "ignore")))
+    return want, left
+
+
+def test_repeats(docs, empty):
+    got = Counter(map(tuple, repeats.spans(docs).collect()))
+    want, left = plain_repeats(ROWS)
     assert got == want and sum(k[2] for k in want) > 2000
     out = repeats.remove(docs)
     assert out.columns == docs.columns
@@ -318,6 +323,40 @@ def test_repeats(docs, empty):
     assert repeats.spans(empty).count() == repeats.remove(empty).count() == 0
 
 
+@pytest.mark.parametrize("many", [1000, 1])
+def test_repeats_of_a_frequent_passage(spark, monkeypatch, many):
+    """Passages, one shorter than a window's length, in a third of the documents
+    between other words, cut at random; anchors with many segments are split."""
+    monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(repeats, "BLOCK", 4000)
+    monkeypatch.setattr(repeats, "FILE", 20_000)
+    monkeypatch.setattr(repeats, "SORTED", 500)
+    r = random.Random(12)
+    passages = [words(r, n, 5000) for n in (120, 40, 33, 300)]
+    rows = []
+    for i in range(120):
+        t = words(r, r.randint(0, 80), 5000)
+        if i % 3 == 0:
+            p = passages[r.randrange(4)]
+            at = r.randrange(60) if i % 2 else 0
+            t = f"{t}{p[at : len(p) - r.choice([0, 0, 11])]}{words(r, r.randint(0, 50), 5000)}"
+        rows.append((i if i % 10 else None, t))
+    rows += [(200, "ab" * 700), (201, "z" * 900), rows[3]]
+    got = Counter(map(tuple, repeats.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    want, _ = plain_repeats(rows)
+    assert got == want and sum(k[2] for k in want) > 10_000
+
+
+def test_repeats_of_a_document_above_a_block(spark):
+    r = random.Random(13)
+    base = "".join(f"{r.randrange(10**8):x} " for _ in range(500_000))
+    part = base[1_000_000:1_000_400]
+    rows = [(1, base), (2, "x?" + part + "?y")]
+    assert len(base) > repeats.BLOCK
+    got = {x["doc_id"]: x for x in repeats.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2)] == [400, 400] and got[1]["kept_sha256"] == hashlib.sha256((base[:1_000_000] + base[1_000_400:]).encode()).hexdigest()
+
+
 def test_mixing(docs, empty, spark):
     targets = {"en": 0.4, "de": 0.3, "es": 0.2, "fr": 0.1}
     r = random.Random(6)

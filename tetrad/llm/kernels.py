@@ -1,9 +1,10 @@
 """Vectorised kernels over the bytes of many texts at once.
 
-A block is a byte array with the offsets of its texts.  Hashes are polynomials
-modulo 2**64 with random odd coefficients per byte value, so equal byte strings
-have equal hashes in every process, and different ones differ but for chances
-of about 2**-50.
+A block is a byte array with the offsets of its texts.  Hashes are sums of the
+bytes' values, each times the factor of its place, modulo 2**64; values and
+factors are fixed numbers without a pattern (multilinear hashing).  So equal
+byte strings have equal hashes in every process, and different ones, also those
+that differ in a regular way, have the same hash by a chance of about 2**-60.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-_powers = np.ones(1, np.uint64)
+_factors = np.ones(0, np.uint64)
 #: Factors of the members of an n-gram.
 FACTORS = mix(np.arange(1000, 1064, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
@@ -34,15 +35,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the base."""
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 4096)
-        out = np.full(size, np.uint64(_BASE), np.uint64)
-        out[0] = 1
-        _powers = np.cumprod(out)
-    return _powers[:n]
+def factors(n: int) -> np.ndarray:
+    """The factors of the first n places."""
+    global _factors
+    if len(_factors) < n:
+        size = max(n, 2 * len(_factors), 4096)
+        _factors = mix(np.arange(5_000, 5_000 + size, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+    return _factors[:n]
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +68,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     where = np.arange(int(sizes.sum()), dtype=np.int64)
     within = where - np.repeat(first, sizes)
     where += np.repeat(starts - first, sizes)
-    values = _VALUES[data[where]] * powers(int(sizes.max()))[within]
+    values = _VALUES[data[where]] * factors(int(sizes.max()))[within]
     return mix(np.add.reduceat(values, first))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +27,14 @@ _written: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where the setting is unset (tests).
+    A local temporary folder is used only where the setting is unset and the
+    master is local (tests); a cluster without the setting is an error.
     """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("tetrad.shared.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tetrad-")
         spark.conf.set("tetrad.shared.dir", folder)
     return folder.rstrip("/")
@@ -72,6 +79,19 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def folder_files(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a folder, for files that workers write themselves."""
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def release() -> None:
+    """Give memory that this process no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to ARROW_ROWS rows, unless the user has set a size."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetrad.llm import kernels as K
-from tetrad.llm.shared import blocks, new_folder, small_batches, text_bytes, texts, written
+from tetrad.llm.shared import blocks, folder_files, new_folder, small_batches, text_bytes, texts, written
 
 #: Bytes that make a text go whole to the library: control characters that libraries class differently.
 _ODD = np.zeros(256, bool)
@@ -288,10 +288,6 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, key: str = "d
 # ---- the file format --------------------------------------------------------
 
 
-def _open(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def _schema(length: int, kind: pa.DataType) -> pa.Schema:
     return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -407,7 +403,7 @@ def write_sequences(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        fs, base = _open(folder)
+        fs, base = folder_files(folder)
         fs.create_dir(base, recursive=True)
         kind, dtype = (pa.uint16(), np.uint16) if small_ids else (pa.uint32(), np.uint32)
         writer, name, at, number = None, "", 0, 0
@@ -450,7 +446,7 @@ def read_sequences(spark: SparkSession, folder: str, index: DataFrame, key: str
     kind = index.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(folder)
+        fs, base = folder_files(folder)
         now, file = None, None
         for batch in batches:
             crcs = []
