@@ -261,22 +261,71 @@ def test_jaccard_near_the_limit(spark):
     assert got == plain_classes(rows)
 
 
-@pytest.mark.parametrize("deletions", [False, True])
-def test_pigeonhole_loses_no_pair(deletions, monkeypatch):
-    """Sets within reach share an entry, also with one-deletion neighbourhoods."""
+def test_pigeonhole_loses_no_pair():
+    """Whatever parts and deletions the larger set looks up, those of a linked pair meet."""
     rule = jaccard.Rule()
-    if deletions:
-        monkeypatch.setattr(jaccard, "cut_of", lambda rule, high: jaccard.Cut(1 << 32) if high <= 64 else jaccard.Cut(int(0.30 * high + 2 * high**0.5), True))
     r = np.random.default_rng(4)
-    for _ in range(60):
+    tried = two = 0
+    while tried < 150:
         n = int(r.integers(1, 400))
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
         lose = int(r.integers(0, len(a) // 4 + 1))
         b = np.sort(np.concatenate([r.permutation(a)[lose:], r.integers(0, 2**63, int(r.integers(0, lose + 1))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if len(b) and rule.linked(np.int64(both), len(a), len(b)):
-            sig, own, _ = jaccard.entries(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.sort(a[::3]), rule)
-            assert set(sig[own == 0].tolist()) & set(sig[own == 1].tolist())
+        if not len(b) or not rule.linked(np.int64(both), len(a), len(b)):
+            continue
+        tried += 1
+        e = jaccard.Entries(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rule, deletions=True)
+        tops = jaccard.bands(rule, len(a))
+        lower = np.searchsorted(tops, len(a)) != np.searchsorted(tops, len(b))
+        own, other = (e.owner == 0) & (e.lower == lower), (e.owner == 1) & ~e.lower
+        part, at = np.unique(e.part[own & ~e.less], return_index=True)
+        plural = e.plural[own & ~e.less][at]
+        reach = tops[np.searchsorted(tops, len(a)) - 1] if lower else len(a)
+        need = np.array([rule.difference(len(a), reach) + 1])
+        cost = r.random(len(part))
+        step = jaccard.cheapest(np.zeros(len(part), np.int64), part, cost, np.where(plural, r.random(len(part)), np.inf), need)
+        assert step.sum() >= need[0] and not (step[~plural] > 1).any()
+        two += (step > 1).sum()
+        looked = lambda which, least: set(e.signature[own & which & np.isin(e.part, part[step >= least])].tolist())
+        parts, less = set(e.signature[other & ~e.less].tolist()), set(e.signature[other & e.less].tolist())
+        assert looked(~e.less, 1) & parts or looked(~e.less, 2) & less or looked(e.less, 2) & parts
+    assert two > 1000
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Near copies between the limits, and a passage that many texts share, with
+    repeated n-grams; groups go over several shares."""
+    monkeypatch.setattr(jaccard, "SHARE", 16)
+    monkeypatch.setattr(jaccard, "HELD", 20_000)
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base, passage = [word() for _ in range(90)], [word() for _ in range(45)]
+    rows = []
+    for _ in range(130):
+        own = list(base)
+        for _ in range(r.randint(0, 4)):
+            own[r.randrange(len(own))] = word()
+        rows.append((len(rows), " ".join(own)))
+    for _ in range(130):
+        own = passage + [word() for _ in range(r.randint(5, 40))]
+        rows.append((len(rows), " ".join(own)))
+    rows += [(500 + i, " ".join([word()] * 3 * (i + 5))) for i in range(4)] + [(600 + i, "same words again " * (20 + i)) for i in range(4)]
+    got = Counter(map(tuple, jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()))
+    assert got == plain_classes(rows)
+
+
+def test_rows_without_an_id_or_with_the_same_one(spark):
+    r = random.Random(22)
+    t = [words(r, 60, 3000) for _ in range(5)]
+    rows = [(1, t[0]), (1, t[0]), (1, t[1]), (2, t[1]), (None, t[2]), (None, t[2]), (3, t[3]), (None, t[3]), (None, ""), (4, None), (4, None), (5, t[4]), (6, t[4] + " more")]
+    df = spark.createDataFrame([(i, x, 7) for i, x in rows], "doc_id long, text string, _set_key int")
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.classes(df).collect())
+    assert got == Counter({(1, 1): 3, (2, 1): 1, (None, None): 3, (3, 3): 1, (None, 3): 1, (4, 4): 2, (5, 5): 1, (6, 5): 1})
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    want = Counter([(1, t[0]), (1, t[1]), (None, t[2]), (3, t[3]), (None, ""), (4, None), (4, None), (5, t[4])])
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
 
 
 def test_components(spark):

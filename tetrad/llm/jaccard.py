@@ -7,35 +7,35 @@ of the hashed universe, at least one of any h + 1 of its parts is the same in
 the other (pigeonhole).  Parts are made for bands of sizes a factor den / num
 apart: a set is indexed by all its parts of its own band's cut, and looks up
 h + 1 of its parts in its own band's and the next smaller band's cut, so that
-every pair within reach meets in the larger set's look-up.
-
-Which parts are looked up is chosen by cost: n-grams that many sets of some
-share of the input hold (``common``) are cut apart from the rest, and the rest
-is looked up first, larger parts before smaller ones.  In place of two whole
-parts, a part may also be looked up with its one-deletion neighbourhood (the
+every pair within reach meets in the larger set's look-up.  A part that has two
+n-grams or more may also be looked up with its one-deletion neighbourhood (the
 part and itself less each of its members, on both sides), which catches one
-difference more; ``cut_of`` takes whichever makes fewer entries.
-
-Before any pair is made, sets that cannot have a partner go: all parts of all
-sets are counted in their buckets, and a set of p parts needs p - h of them met
-by others (``alive``); texts that only share a passage fall short of that.
-
-Entries travel as packed arrays, one row for each task and target, so that the
-reducers sort plain numbers.  Within a bucket every set is paired with the
-bucket's first only; which pairs that leaves is looked at again after the
-first links are known, and only pairs of different components are verified.
-So no link between components is lost, and ``classes`` never pairs a large
-group of near copies out.  ``linked_classes`` also counts each row's links: all
-pairs of different sets of a component are compared, in blocks.
-
-Equal sets are one node throughout.  Verification intersects the 40-bit hashes
-of both sets' n-grams, sent for the sets that need it only.
-
-Defined results: null and empty texts, and texts without a word, have an empty
-set, no links, and are their own class; a text with fewer words than n has its
-whole word sequence as one n-gram; texts of any length are taken whole; of rows
-with the same id all take part, and each row gets its result; rows with a null
-id are left out of the join and are no class; extra columns are ignored; an
+difference more and so counts as two parts.
+
+Which parts are looked up is chosen by cost, from counted buckets:
+
+1. All parts of all sets are counted in their buckets.  A set of p parts needs
+   p - h of them met by others; sets that fall short (texts that only share a
+   passage, mostly) have no partner and go (``alive``).
+2. The parts of those left are counted again, with their deletions.  Parts that
+   nobody shares are looked up for nothing, then each set looks up its cheapest
+   parts and deletions until h + 1 differences are caught (``weighed``).
+3. A bucket that somebody looks up gives one row a member: the member and the
+   bucket's first set, its leader (``met``).  First each set is compared with the
+   leader it shares most buckets with, then with its others, then the members
+   of a leader that are still in different components with each other, in
+   blocks that never leave a task: only links are put out, no pairs.
+
+Equal sets are one node throughout.  Sets are compared by the 64-bit hashes of
+their n-grams.  ``linked_classes`` also counts each row's links: all pairs of
+different sets of a component are compared, in such blocks too.
+
+Defined results: texts are lower-cased in A-Z only; null and empty texts have
+the empty set, which is linked with nothing, not even another empty set (its
+component is its own id); a text of fewer words than ``n`` has its whole word
+sequence as one n-gram; texts of any length are taken whole; every row takes
+part and gets its result, rows of the same id and rows without one too; a
+component of rows without ids alone has none; extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -53,19 +53,16 @@ from pyspark.sql import functions as F
 
 from tetrad.llm import kernels as K
 from tetrad.llm.components import components
-from tetrad.llm.shared import blocks, collect_garbage, small_batches, text_bytes, texts, written
-
-#: Sets of up to this size are cut into single n-grams, where parts could come out too few.
-SINGLES = 64
-#: A task tells the n-grams that so many of its distinct sets hold; the driver keeps the COMMON commonest.
-OFTEN, COMMON = 12, 200_000
-#: Sets that one task compares with a group's centre at most.
-GROUP = 200
-#: Sets of one component that are compared with each other at a time, about, and n-grams at a time.
-SHARE, WIDTH = 512, 4096
-#: Bits of the filter that tells which texts' sets are wanted for verification (1 MB, whatever the input).
-FILTER_BITS = 1 << 23
+from tetrad.llm.shared import blocks, collect_garbage, release, small_batches, text_bytes, texts, written
+
+#: The chance that a set has fewer parts than it must look up is held below two to minus this.
+SURE = 80
+#: Sets, and n-grams, of a share of a group whose sets are compared with each other, about; n-grams compared at a time.
+SHARE, GRAMS, WIDTH = 2048, 1_500_000, 4096
+#: Entries that a task holds before it sends them.
+HELD = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 40) - 1)
 
 
 @dataclass(frozen=True)
@@ -76,7 +73,7 @@ class Rule:
     num: int = 75
     den: int = 100
 
-    def difference(self, a: int, b: int) -> int:
+    def difference(self, a, b):
         """Largest symmetric difference of linked sets of these sizes."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
@@ -93,30 +90,30 @@ def bands(rule: Rule, most: int) -> list[int]:
     return out
 
 
-@dataclass(frozen=True)
-class Cut:
-    """Parts of a band's universe, and whether one deletion is looked up too."""
-
-    parts: int
-    deletions: bool = False
-
-
-def cut_of(rule: Rule, high: int) -> Cut:
-    """The cut with the fewest entries for sets of a band's largest size."""
-    if high <= SINGLES:
-        return Cut(1 << 32)
-    slack = 2 * math.sqrt(high)
-    need = rule.difference(high, high) + 1
-    whole = math.ceil(0.36 * high + slack)
-    halves = math.ceil(0.30 * high + slack)
-    # entries of a set's own band: all whole parts, or all halves with a deletion for each member
-    cost_whole, cost_halves = whole + need, halves + high + need // 2
-    return Cut(whole) if cost_whole <= cost_halves else Cut(halves, deletions=True)
-
-
-def fine_cut(rule: Rule, high: int) -> Cut:
-    """More parts, all of which are counted: the more of them must be the same."""
-    return Cut(1 << 32) if high <= SINGLES else Cut(math.ceil(0.5 * high + 2 * math.sqrt(high)))
+@cache
+def parts_of(rule: Rule, low: int, high: int) -> int:
+    """Into how many parts the universe is cut for sets of low to high n-grams:
+    one for every two n-grams, and so many that every set has the parts that it
+    must look up.  (The chance that n n-grams lie in k of m parts is less than
+    (m over k) (k / m)^n; for small sets that takes a part for each n-gram.)"""
+
+    def sure(m: int) -> bool:
+        for n in {low, high}:
+            k = rule.difference(n, n)
+            if 0 < k and (k >= m or math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + n * math.log(k / m) > -SURE * math.log(2)):
+                return False
+        return True
+
+    m = max(1, -(-high // 2))
+    if sure(m):
+        return m
+    top = m
+    while not sure(top) and top < 1 << 32:
+        top *= 2
+    while m < top - 1:
+        middle = (m + top) // 2
+        m, top = (m, middle) if sure(middle) else (middle, top)
+    return min(top, 1 << 32)
 
 
 # ---- sets -------------------------------------------------------------------
@@ -203,145 +200,113 @@ def sets(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, n_shingles long, set_key long")
 
 
-def common_grams(source: DataFrame, rule: Rule, bits: np.ndarray | None = None) -> np.ndarray:
-    """Sorted hashes of the n-grams that many distinct sets of some task's share
-    hold, the ``COMMON`` commonest of all texts that are still looked at.  They
-    steer costs only: links do not depend on them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        often: dict[int, int] = {}
-        held: list[np.ndarray] = []
-        size = 0
-
-        def settle() -> None:
-            nonlocal size
-            if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                many = counts >= OFTEN
-                for v, c in zip(values[many].tolist(), counts[many].tolist(), strict=True):
-                    often[v] = often.get(v, 0) + c
-            held.clear()
-            size = 0
-
-        for batch in batches:
-            for _, grams, bounds in _read(batch, rule):
-                keys = keys_of(grams, bounds)
-                fresh = _passes(bits, keys) & np.array([k not in seen for k in keys.tolist()], bool)
-                seen.update(keys[fresh].tolist())
-                held.append(grams[np.repeat(fresh, np.diff(bounds))])
-                size += len(held[-1])
-                if size > 4_000_000:
-                    settle()
-        settle()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(often), np.uint64).astype(np.int64)), pa.array(np.array(list(often.values()), np.int64))], ["gram", "n"])
-
-    counted = source.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "gram").limit(COMMON).select("gram").toPandas()["gram"].to_numpy()
-    return np.sort(best.astype(np.int64).astype(np.uint64))
-
-
 # ---- entries ----------------------------------------------------------------
 
 
-def entries(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, rule: Rule, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, number of the set, whether it only looks up) for sets given as
-    sorted hashes; with ``whole``, all parts in both cuts, which are finer then."""
-    sizes = np.diff(bounds)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if not len(grams):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    tops = np.array(bands(rule, int(sizes.max())), np.int64)
-    band = np.searchsorted(tops, sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    if len(common):
-        near = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        hot = common[near] == grams
-    else:
-        hot = np.zeros(len(grams), bool)
-    # common n-grams behind the others, each in order of their hashes
-    order = np.lexsort((grams, hot, owner))
-    grams, hot = grams[order], hot[order]
-    cuts = [(fine_cut if whole else cut_of)(rule, int(t)) for t in tops]
-    for lower in (0, 1):
-        use = (band >= lower) & (sizes > 0)
-        at = np.maximum(band - lower, 0)
-        parts = np.array([c.parts for c in cuts], np.uint64)[at]
-        split = np.array([c.deletions for c in cuts])[at]
-        keep = use[owner]
-        g, o, h = grams[keep], owner[keep], hot[keep]
-        if not len(g):
-            continue
-        part = ((g >> np.uint64(32)) * parts[o]) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1]) | (part[1:] != part[:-1])]))
-        values = K.mix(g + np.uint64(11))
-        total = np.add.reduceat(values, first)
-        count = np.diff(np.append(first, len(g)))
-        po, ph, pp = o[first], h[first], part[first]
-        salt = K.mix(pp * np.uint64(2) + ph.astype(np.uint64) + (at[po].astype(np.uint64) + np.uint64(1)) * _MIX)
-        # how many of its parts each set must look up, the cheapest first
-        reach = tops[at] if lower else sizes
-        need = (rule.den - rule.num) * (sizes + reach) // (rule.den + rule.num) + 1
-        worth = np.where(split[po] & (count > 1), 2, 1)
-        rank = np.lexsort((-count, ph, po))
-        spent = np.cumsum(worth[rank])
-        base = np.zeros(len(sizes), np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], po[rank][1:] != po[rank][:-1]]))
-        base[po[rank][starts]] = spent[starts] - worth[rank][starts]
-        before = spent - worth[rank] - base[po[rank]]
-        looks = np.zeros(len(po), bool)
-        looks[rank] = before < need[po[rank]]
-        # own band: all parts are entries; next smaller band: those that look up
-        put = np.ones(len(po), bool) if whole or not lower else looks
-        out.append((K.mix(total + salt)[put], po[put], np.full(int(put.sum()), bool(lower))))
-        if split.any():
-            member = np.repeat(np.arange(len(po)), count)
-            less = split[po[member]] & (count[member] > 1) & put[member]
-            out.append((K.mix(total[member] - values + salt[member])[less], po[member][less], np.full(int(less.sum()), bool(lower))))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+class Entries:
+    """The parts of sets given as sorted hashes with bounds: signature, number
+    of the set, whether it is a part of the next smaller band's cut (which only
+    looks up), whether it is a part less one member (with ``deletions`` only),
+    the part's number, and whether the part has two members or more."""
+
+    def __init__(self, grams: np.ndarray, bounds: np.ndarray, rule: Rule, deletions: bool = False) -> None:
+        sizes = np.diff(bounds)
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        tops = np.array(bands(rule, int(sizes.max()) if len(sizes) else 1), np.int64)
+        lows = np.concatenate([[1], tops[:-1] + 1])
+        cuts = np.array([parts_of(rule, int(a), int(b)) for a, b in zip(lows, tops, strict=True)], np.uint64)
+        band = np.searchsorted(tops, sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        values = K.mix(grams + np.uint64(11))
+        made = 0
+        for lower in (0, 1):
+            at = band - lower
+            keep = (at >= 0)[owner]
+            g, o, v = grams[keep], owner[keep], values[keep]
+            if not len(g):
+                continue
+            part = ((g >> np.uint64(32)) * cuts[at[o]]) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (part[1:] != part[:-1])]))
+            total, count = np.add.reduceat(v, first), np.diff(np.append(first, len(g)))
+            whose = o[first]
+            salt = K.mix(part[first] * np.uint64(2) + (at[whose].astype(np.uint64) + np.uint64(1)) * _MIX)
+            new = [(K.mix(total + salt), whose, np.full(len(first), bool(lower)), np.full(len(first), False), made + np.arange(len(first)), count > 1)]
+            if deletions:
+                mine = np.repeat(np.arange(len(first)), count)
+                mine_of = np.flatnonzero((count > 1)[mine])
+                of = mine[mine_of]
+                new.append((K.mix((total + salt)[of] - v[mine_of]), whose[of], np.full(len(of), bool(lower)), np.full(len(of), True), made + of, np.full(len(of), True)))
+            made += len(first)
+            for entry in new:
+                for into, x in zip(out, entry, strict=True):
+                    into.append(x)
+        kinds = (np.uint64, np.int64, bool, bool, np.int64, bool)
+        self.signature, self.owner, self.lower, self.less, self.part, self.plural = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True))
 
 
 def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     """Sets that a filter lets through; empty ones never."""
     if bits is None:
         return keys != 0
-    at = K.mix(keys) % np.uint64(FILTER_BITS)
+    at = K.mix(keys) % np.uint64(8 * len(bits))
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (keys != 0)
 
 
-def _packed(source: DataFrame, rule: Rule, common: np.ndarray, targets: int, bits: np.ndarray | None, whole: bool) -> DataFrame:
-    """(target, keys, sizes, parts, signatures, owners): a task's entries by target.
+def _of_five(raw: list[bytes]) -> np.ndarray:
+    joined = b"".join(raw)
+    out = np.zeros((len(joined) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(joined, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
 
-    An owner is a set in one of its two cuts; its place in ``keys`` is even for
-    its own band's, odd for the next smaller one's; ``parts`` counts its parts.
-    """
 
-    def flush(keys: list[np.ndarray], sizes: list[np.ndarray], sig: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
-        key, size, s, o = (np.concatenate(x) for x in (keys, sizes, sig, own))
-        parts = np.bincount(o, minlength=2 * len(key))
-        target = ((s >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)
-        order = np.argsort(target, kind="stable")
-        s, o = s[order], o[order]
-        cut = np.searchsorted(target[order], np.arange(targets + 1).astype(np.uint64))
-        rows: list[list] = [[], [], [], [], [], []]
-        for t in range(targets):
-            a, b = cut[t], cut[t + 1]
-            if a == b:
-                continue
-            mine, short = np.unique(o[a:b], return_inverse=True)
-            rows[0].append(t)
-            rows[1].append((key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes())
-            rows[2].append(size[mine >> 1].astype("<u4").tobytes())
-            rows[3].append(parts[mine].astype("<u4").tobytes())
-            # the low 40 bits and the target tell signatures apart
-            rows[4].append((s[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            rows[5].append(short.astype("<u2").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["target", "keys", "sizes", "parts", "signatures", "owners"])
+def _five(values: np.ndarray) -> np.ndarray:
+    """The low 5 bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _dealt(target: np.ndarray, targets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of targets, and (target, from, to) of those that there are."""
+    order = np.argsort(target, kind="stable")
+    cut = np.searchsorted(target[order], np.arange(targets + 1).astype(target.dtype))
+    return order, [(t, int(cut[t]), int(cut[t + 1])) for t in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
+
+
+#: A row of entries for a target: their sets' keys (doubled, odd in the next smaller band's cut), sizes, numbers of parts
+#: (and above 32 bits, of those that have two members or more);
+#: then each entry's signature (its low 40 bits and the target tell it) and the place of its set.
+_PACKED = "target int, keys binary, sizes binary, parts binary, signatures binary, owners binary"
+
+
+def _packed(source: DataFrame, rule: Rule, targets: int, bits: np.ndarray | None, deletions: bool = False) -> DataFrame:
+    """A task's entries by target; with ``deletions`` two columns more: whether
+    an entry is of a part of two members or more (1) and less one of them (2),
+    and which of its set's parts it is of."""
+
+    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, size, sig, own, less, part, plural = (np.concatenate(x) for x in held)
+        parts = np.bincount(own[~less], minlength=2 * len(key)) + (np.bincount(own[~less & plural], minlength=2 * len(key)) << 32)
+        kind = plural.astype(np.uint8) | less.astype(np.uint8) << 1
+        # a part's number within its set
+        least = np.full(2 * len(key), 1 << 62, np.int64)
+        np.minimum.at(least, own, part)
+        part = part - least[own]
+        order, shares = _dealt(((sig >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32), targets)
+        rows: list[list] = [[] for _ in range(8)]
+        for t, a, b in shares:
+            which = order[a:b]
+            mine, short = np.unique(own[which], return_inverse=True)
+            row = (t, (key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes(), size[mine >> 1].astype("<u4").tobytes(), parts[mine].astype("<u8").tobytes())
+            row += (_five(sig[which]).tobytes(), short.astype("<u4").tobytes(), kind[which].tobytes(), part[which].astype("<u4").tobytes())
+            for into, x in zip(rows, row, strict=True):
+                into.append(x)
+        names = ["target", "keys", "sizes", "parts", "signatures", "owners", "kinds", "part"]
+        n = 8 if deletions else 6
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:n]]], names[:n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, sig, own, n, seen, held = [], [], [], [], 0, set(), 0
+        held: list[list[np.ndarray]] = [[] for _ in range(7)]
+        n = count = made = 0
+        seen: set[int] = set()
         for batch in batches:
             for _, grams, bounds in _read(batch, rule):
                 found = keys_of(grams, bounds)
@@ -354,94 +319,102 @@ def _packed(source: DataFrame, rule: Rule, common: np.ndarray, targets: int, bit
                     continue
                 seen.update(found[fresh].tolist())
                 size = np.diff(bounds)[fresh]
-                s, o, lower = entries(grams[np.repeat(fresh, np.diff(bounds))], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), common, rule, whole)
-                keys.append(found[fresh])
-                sizes.append(size)
-                sig.append(s)
-                own.append(2 * (o + n) + lower)
-                n += len(size)
-                held += len(s)
-                if held > 5_000_000 or n > 25_000:
-                    yield flush(keys, sizes, sig, own)
-                    keys, sizes, sig, own, n, held = [], [], [], [], 0, 0
-        if held:
-            yield flush(keys, sizes, sig, own)
-
-    return source.mapInArrow(run, "target int, keys binary, sizes binary, parts binary, signatures binary, owners binary")
-
-
-def _buckets(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Entries of a target in order of their signatures: (bucket number, key,
-    whether it only looks up, size, parts), buckets of two sets or more."""
-    columns: tuple[list, ...] = ([], [], [], [])
-    for keys, sizes, parts, signatures, owners in zip(*[table.column(c).to_pylist() for c in ("keys", "sizes", "parts", "signatures", "owners")], strict=True):
-        o = np.frombuffer(owners, "<u2")
-        wide = np.zeros((len(o), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(signatures, np.uint8).reshape(-1, 5)
-        for into, values in zip(columns, (wide.view("<u8").reshape(-1), np.frombuffer(keys, np.uint64)[o], np.frombuffer(sizes, "<u4")[o], np.frombuffer(parts, "<u4")[o]), strict=True):
-            into.append(values)
-    sig, key, size, parts = (np.concatenate(x) for x in columns)
-    order = np.argsort(sig)
-    s = sig[order]
-    same = s[1:] == s[:-1]
-    shared = np.zeros(len(s), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    order = order[shared]
-    order = order[np.lexsort((key[order], sig[order]))]
-    sig, key, size, parts = sig[order], key[order], size[order], parts[order]
-    if len(sig):
-        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
-        sig, key, size, parts = sig[once], key[once], size[once], parts[once]
-        number = np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]]))
-        many = np.bincount(number)[number] > 1
-        number = np.unique(number[many], return_inverse=True)[1]
-        key, size, parts = key[many], size[many], parts[many]
-    else:
-        number = np.zeros(0, np.int64)
-    return number, key >> np.uint64(1), (key & np.uint64(1)).astype(bool), size.astype(np.int64), parts.astype(np.int64)
-
-
-def alive(source: DataFrame, rule: Rule, bits: np.ndarray | None = None) -> DataFrame:
+                e = Entries(grams[np.repeat(fresh, np.diff(bounds))], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), rule, deletions)
+                for into, x in zip(held, (found[fresh], size, e.signature, 2 * (e.owner + n) + e.lower, e.less, e.part + made, e.plural), strict=True):
+                    into.append(x)
+                n, count, made = n + len(size), count + len(e.signature), made + len(e.signature)
+                if count > HELD:
+                    yield flush(held)
+                    held, n, count, made = [[] for _ in range(7)], 0, 0, 0
+        if count:
+            yield flush(held)
+        release()
+
+    return source.mapInArrow(run, _PACKED + (", kinds binary, part binary" if deletions else ""))
+
+
+class _Buckets:
+    """A target's entries that share their signatures, in the order of these:
+    bucket number, key, whether of the next smaller band's cut, size, parts, and
+    where they come from."""
+
+    def __init__(self, table: pa.Table) -> None:
+        columns = {c: table.column(c).to_pylist() for c in table.column_names if c != "target"}
+        sig = _of_five(columns["signatures"])
+        owners = [np.frombuffer(x, "<u4") for x in columns["owners"]]
+        first = np.cumsum([0, *(len(x) // 8 for x in columns["keys"])])
+        owner = np.concatenate([o + f for o, f in zip(owners, first, strict=False)])
+        kinds = np.frombuffer(b"".join(columns["kinds"]), np.uint8) if "kinds" in columns else np.zeros(len(sig), np.uint8)
+        order = np.argsort(sig)
+        same = sig[order][1:] == sig[order][:-1]
+        shared = np.zeros(len(sig), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        order = order[shared]
+        key = np.frombuffer(b"".join(columns["keys"]), np.uint64)[owner[order]]
+        kind = kinds[order]
+        # a set that several tasks sent counts once
+        sort = np.lexsort((kind, key, sig[order]))
+        order, key, kind = order[sort], key[sort], kind[sort]
+        own = sig[order]
+        if len(own):
+            once = np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])])
+            order, key, kind, own = order[once], key[once], kind[once], own[once]
+            number = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
+        else:
+            number = np.zeros(0, np.int64)
+        self.number, self.signature, self.kind, self.less = number, own, kind, kind > 1
+        self.key, self.lower = key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
+        at = owner[order]
+        self.size = np.frombuffer(b"".join(columns["sizes"]), "<u4")[at].astype(np.int64)
+        self.all_parts = np.frombuffer(b"".join(columns["parts"]), "<u8")[at].astype(np.int64)
+        self.parts = self.all_parts & 0xFFFFFFFF
+        self.part = np.frombuffer(b"".join(columns["part"]), "<u4")[order].astype(np.int64) if "part" in columns else None
+
+    def count(self, which: np.ndarray) -> np.ndarray:
+        """How many of these entries each entry's bucket holds."""
+        return np.bincount(self.number, weights=which)[self.number].astype(np.int64) if len(self.number) else np.zeros(0, np.int64)
+
+
+def _targets(spark: SparkSession) -> tuple[int, int]:
+    """Partitions, and targets dealt to them."""
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spread, 2 * spread
+
+
+def alive(source: DataFrame, rule: Rule) -> DataFrame:
     """Written table (k) of the sets that can be linked at all.
 
     Each of the at most h members by which two linked sets differ touches one
     part, so of a set's p parts at least p - h are the same in its partner.  A
     set of which fewer parts are met by any suitable set has no partner.
     """
-    spread = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    targets = 4 * spread
+    spread, targets = _targets(source.sparkSession)
 
     def count(table: pa.Table) -> pa.Table:
-        number, key, lower, size, parts = _buckets(table)
-        out: dict[str, list] = {"q": [], "kind": [], "keys": [], "need": [], "met": []}
-        if len(number):
-            n_own = np.bincount(number, weights=~lower)[number]
-            n_lower = np.bincount(number, weights=lower)[number]
-            tops = np.array(bands(rule, int(size.max())), np.int64)
-            band = np.searchsorted(tops, size)
-            reach = lambda other: np.maximum(parts - (rule.den - rule.num) * (size + other) // (rule.den + rule.num), 1)
+        b = _Buckets(table)
+        out: list[list] = [[], [], [], [], []]
+        if len(b.number):
+            n_own, n_lower = b.count(~b.lower), b.count(b.lower)
+            tops = np.array(bands(rule, int(b.size.max())), np.int64)
+            band = np.searchsorted(tops, b.size)
+            need = lambda other: np.maximum(b.parts - rule.difference(b.size, other), 1)
             kinds = (
-                (~lower & (n_own > 1), reach(tops[band])),  # with a set of its own band
-                (~lower & (n_lower > 0), reach(size * rule.den // rule.num)),  # with a larger set that looks down
-                (lower & (n_own > 0), reach(tops[np.maximum(band - 1, 0)])),  # with a smaller set
+                (~b.lower & (n_own > 1), need(tops[band])),  # with a set of its own band
+                (~b.lower & (n_lower > 0), need(b.size * rule.den // rule.num)),  # with a larger set that looks down
+                (b.lower & (n_own > 0), need(tops[np.maximum(band - 1, 0)])),  # with a smaller set
             )
-            for kind, (hit, need) in enumerate(kinds):
-                own, at, met = np.unique(key[hit], return_index=True, return_counts=True)
-                q = (K.mix(own) % np.uint64(targets)).astype(np.int64)
-                order = np.argsort(q, kind="stable")
-                cut = np.searchsorted(q[order], np.arange(targets + 1))
-                need = need[hit][at]
-                for t in range(targets):
-                    mine = order[cut[t] : cut[t + 1]]
-                    if len(mine):
-                        out["q"].append(t)
-                        out["kind"].append(kind)
-                        out["keys"].append(own[mine].tobytes())
-                        out["need"].append(need[mine].astype("<u4").tobytes())
-                        out["met"].append(met[mine].astype("<u4").tobytes())
+            for kind, (hit, least) in enumerate(kinds):
+                own, at, met = np.unique(b.key[hit], return_index=True, return_counts=True)
+                least = least[hit][at]
+                order, shares = _dealt((K.mix(own) % np.uint64(targets)).astype(np.int64), targets)
+                for t, x, y in shares:
+                    mine = order[x:y]
+                    for into, v in zip(out, (t, kind, own[mine].tobytes(), least[mine].astype("<u4").tobytes(), met[mine].astype("<u4").tobytes()), strict=True):
+                        into.append(v)
         kinds_of = {"q": pa.int32(), "kind": pa.int32(), "keys": pa.binary(), "need": pa.binary(), "met": pa.binary()}
-        return pa.table({c: pa.array(out[c], t) for c, t in kinds_of.items()})
+        release()
+        return pa.table({c: pa.array(x, t) for x, (c, t) in zip(out, kinds_of.items(), strict=True)})
 
     def judge(table: pa.Table) -> pa.Table:
         good = [np.zeros(0, np.uint64)]
@@ -454,81 +427,165 @@ def alive(source: DataFrame, rule: Rule, bits: np.ndarray | None = None) -> Data
             good.append(own[np.bincount(of, weights=met) >= need[at]])
         return pa.table({"k": pa.array(np.unique(np.concatenate(good)).astype(np.int64), pa.int64())})
 
-    packed = _packed(source, rule, np.zeros(0, np.uint64), targets, bits, whole=True)
     # a fixed number of partitions: little data here is much work
-    met = packed.repartition(spread, "target").groupBy("target").applyInArrow(count, "q int, kind int, keys binary, need binary, met binary")
+    met = _packed(source, rule, targets, None).repartition(spread, "target").groupBy("target").applyInArrow(count, "q int, kind int, keys binary, need binary, met binary")
     out = written(met.groupBy("q").applyInArrow(judge, "k long"), "alive")
     collect_garbage(source.sparkSession)
     return out
 
 
-def candidates(source: DataFrame, rule: Rule, common: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
-    """Written table of packed candidates, two kinds of rows by target:
+def cheapest(owner: np.ndarray, part: np.ndarray, first: np.ndarray, second: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """How each part is looked up: not at all, as it is, or with its deletions
+    (0, 1, 2), so that each owner's numbers sum to its need at least, and their
+    costs are little.  ``first`` is the cost of a part as it is, ``second`` what
+    its deletions add (infinite where it has none).  A part's second step is
+    never taken before its first, so it is ranked by the dearer of both."""
+    steps = np.concatenate([first, np.maximum(first, second)])
+    whose, index = np.concatenate([owner, owner]), np.concatenate([np.arange(len(owner))] * 2)
+    again = np.repeat([0, 1], len(owner))
+    order = np.lexsort((again, np.concatenate([part, part]), steps, whose))
+    start = np.flatnonzero(np.concatenate([[True], whose[order][1:] != whose[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    taken = order[(rank < need[whose[order]]) & np.isfinite(steps[order])]
+    return np.bincount(index[taken], minlength=len(owner))
 
-    pairs (a, b, n): each set of a bucket with the bucket's first set, and how
-    often; lists: the members of the buckets of three sets or more, equal
-    lists once.
-    """
-    spark = source.sparkSession
-    targets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def weighed(source: DataFrame, rule: Rule, bits: np.ndarray | None) -> DataFrame:
+    """The entries that are left when each set looks up its cheapest parts:
+    (target, keys, signatures, flags), see ``_LOOKS``."""
+    spread, targets = _targets(source.sparkSession)
+
+    def count(table: pa.Table) -> pa.Table:
+        b = _Buckets(table)
+        out: list[list] = [[] for _ in range(9)]
+        if len(b.number):
+            whole, less = b.count(~b.lower & ~b.less), b.count(~b.lower & b.less)
+            # whom a look-up meets: a part meets parts, and with its deletions also others' parts less a member; less a member it meets parts
+            plain = np.where(b.less, 0, whole - (~b.lower & ~b.less))
+            more = np.where(b.less, whole, less)
+            use = (plain + more > 0) | (~b.lower & (b.count(b.lower) > 0))
+            key = (b.key << np.uint64(1) | b.lower.astype(np.uint64))[use]
+            values = [x[use] for x in (b.size, b.all_parts, b.signature, b.kind, b.part, np.minimum(plain, 1 << 30), np.minimum(more, 1 << 30))]
+            order, shares = _dealt((K.mix(key >> np.uint64(1)) % np.uint64(targets)).astype(np.int64), targets)
+            t = table.column("target")[0].as_py()
+            for q, x, y in shares:
+                mine = order[x:y]
+                keys, place, short = np.unique(key[mine], return_index=True, return_inverse=True)
+                size, parts, signature, kind, part, plain, more = (v[mine] for v in values)
+                row = (q, t, keys.tobytes(), np.stack([size[place], parts[place]]).astype("<u8").tobytes(), short.astype("<u4").tobytes())
+                row += (_five(signature).tobytes(), kind.tobytes(), part.astype("<u4").tobytes(), np.stack([plain, more]).astype("<u4").tobytes())
+                for into, v in zip(out, row, strict=True):
+                    into.append(v)
+        names = ["q", "target", "keys", "sizes", "owners", "signatures", "kinds", "part", "costs"]
+        release()
+        return pa.table({c: pa.array(x, pa.int32() if i < 2 else pa.binary()) for i, (c, x) in enumerate(zip(names, out, strict=True))})
+
+    def choose(table: pa.Table) -> pa.Table:
+        c = {name: table.column(name).to_pylist() for name in table.column_names}
+        two = lambda column, t: np.concatenate([np.frombuffer(x, t).reshape(2, -1) for x in c[column]], axis=1).astype(np.int64)
+        keys = np.frombuffer(b"".join(c["keys"]), np.uint64)
+        first = np.cumsum([0, *(len(x) // 8 for x in c["keys"])])
+        at = np.concatenate([np.frombuffer(x, "<u4") + f for x, f in zip(c["owners"], first, strict=False)])
+        sig, kind = _of_five(c["signatures"]), np.frombuffer(b"".join(c["kinds"]), np.uint8)
+        target = np.repeat(np.array(c["target"], np.int64), [len(x) // 4 for x in c["owners"]])
+        part, (plain, more), (sizes, parts) = np.frombuffer(b"".join(c["part"]), "<u4").astype(np.int64), two("costs", "<u4"), two("sizes", "<u8")
+        less, plural = kind > 1, (kind & 1) > 0
+        own, place, number = np.unique(keys[at], return_index=True, return_inverse=True)
+        size, p, q, lower = sizes[at][place], parts[at][place] & 0xFFFFFFFF, parts[at][place] >> 32, (own & np.uint64(1)).astype(bool)
+        tops = np.array(bands(rule, int(size.max())), np.int64)
+        reach = np.where(lower, tops[np.maximum(np.searchsorted(tops, size) - 1, 0)], size)
+        # the parts of which entries came; of the others nothing meets anybody, so they catch their differences for nothing
+        piece, at_piece, back = np.unique(number * (int(part.max()) + 1) + part, return_index=True, return_inverse=True)
+        whose, has_two = number[at_piece], plural[at_piece]
+        free = p - np.bincount(whose, minlength=len(own)) + q - np.bincount(whose, weights=has_two, minlength=len(own)).astype(np.int64)
+        need = rule.difference(size, reach) + 1 - free
+        cost, added = np.zeros(len(piece)), np.zeros(len(piece))
+        np.add.at(cost, back, plain)
+        np.add.at(added, back, more)
+        step = cheapest(whose, piece, cost, np.where(has_two, added, np.inf), need)[back]
+        flags = ((step > 0) & (plain > 0)).astype(np.uint8) | ((step > 1) & ~less & (more > 0)).astype(np.uint8) << 1
+        flags |= ((step > 1) & less & (more > 0)).astype(np.uint8) | less.astype(np.uint8) << 2
+        keep = (flags & 3 > 0) | ~lower[number]
+        rows: list[list] = [[], [], [], []]
+        order, shares = _dealt(target[keep], targets)
+        which = np.flatnonzero(keep)[order]
+        for t, x, y in shares:
+            mine = which[x:y]
+            for into, v in zip(rows, (t, keys[at[mine]].tobytes(), _five(sig[mine]).tobytes(), flags[mine].tobytes()), strict=True):
+                into.append(v)
+        release()
+        return pa.table({n: pa.array(x, pa.binary() if i else pa.int32()) for i, (n, x) in enumerate(zip(("target", "keys", "signatures", "flags"), rows, strict=True))})
+
+    counted = _packed(source, rule, targets, bits, deletions=True).repartition(spread, "target").groupBy("target")
+    counted = counted.applyInArrow(count, "q int, target int, keys binary, sizes binary, owners binary, signatures binary, kinds binary, part binary, costs binary")
+    return counted.repartition(spread, "q").groupBy("q").applyInArrow(choose, "target int, keys binary, signatures binary, flags binary")
+
+
+def met(chosen: DataFrame) -> DataFrame:
+    """Written table (a, b, n, looks, needed): each member a of the buckets that
+    somebody looks up, with the bucket's first set b; in how many buckets, whether
+    a looks any of them up, and whether one of the two does."""
+    spread, _ = _targets(chosen.sparkSession)
 
     def find(table: pa.Table) -> pa.Table:
-        number, key, _, size, _ = _buckets(table)
-        out = {"kind": [], "a": [], "b": [], "n": []}
-        if len(number):
-            first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            count = np.diff(np.append(first, len(number)))
-            lead = np.repeat(first, count)
-            rest = np.arange(len(number)) != lead
-            a, b = key[rest], key[lead][rest]
-            close = rule.num * np.maximum(size[rest], size[lead][rest]) <= rule.den * np.minimum(size[rest], size[lead][rest])
-            a, b = a[close], b[close]
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            if len(a):
-                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                out["kind"] += [0] * len(new)
-                out["a"] += a[new].astype(np.int64).tolist()
-                out["b"] += b[new].astype(np.int64).tolist()
-                out["n"] += np.diff(np.append(new, len(a))).tolist()
-            # lists of three or more, equal ones once; a list's name is a hash of its members
-            name = np.add.reduceat(K.mix(key + np.uint64(3)), first) ^ count.astype(np.uint64)
-            _, at = np.unique(name, return_index=True)
-            for i in at[count[at] > 2]:
-                members = key[first[i] : first[i] + count[i]].astype(np.int64).tolist()
-                label = int(name[i].astype(np.int64))
-                out["kind"] += [1] * len(members)
-                out["a"] += members
-                out["b"] += [label] * len(members)
-                out["n"] += [0] * len(members)
-        return pa.table({"kind": pa.array(out["kind"], pa.int32()), "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "n": pa.array(out["n"], pa.int64())})
-
-    packed = _packed(source, rule, common, targets, bits, whole=False)
-    return written(packed.groupBy("target").applyInArrow(find, "kind int, a long, b long, n long"), "candidates")
+        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+        sig = _of_five(table.column("signatures").to_pylist())
+        flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
+        key, lower, less = key >> np.uint64(1), (key & np.uint64(1)).astype(bool), flags > 3
+        found = [[np.zeros(0, np.uint64)] * 2 + [np.zeros(0, bool)] * 2]
+        # a bucket of parts, and one of parts less a member
+        for in_it, looks in ((~lower & ~less, (flags & 1) > 0), (~lower & less, (flags & 2) > 0)):
+            some = np.flatnonzero(in_it | looks)
+            some = some[np.lexsort((~looks[some], key[some], sig[some]))]
+            s, k, look = sig[some], key[some], looks[some]
+            if not len(some):
+                continue
+            once = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
+            s, k, look = s[once], k[once], look[once]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            size = np.diff(np.append(first, len(s)))
+            good = np.repeat((size > 1) & (np.add.reduceat(look.astype(np.int64), first) > 0), size)
+            lead = np.repeat(first, size)
+            good &= np.arange(len(s)) != lead
+            found.append([k[good], k[lead][good], look[good], (look | look[lead])[good]])
+        a, b, look, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        a, b, look, need = a[order], b[order], look[order], need[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(a)))
+        some = lambda x: np.add.reduceat(x.astype(np.int64), new) > 0 if len(new) else x[:0]
+        release()
+        return pa.table({"a": a[new].astype(np.int64), "b": b[new].astype(np.int64), "n": n, "looks": some(look), "needed": some(need)})
+
+    rows = chosen.repartition(spread, "target").groupBy("target").applyInArrow(find, "a long, b long, n long, looks boolean, needed boolean")
+    out = written(rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("looks").alias("looks"), F.max("needed").alias("needed")), "met")
+    collect_garbage(chosen.sparkSession)
+    return out
 
 
 # ---- verification -----------------------------------------------------------
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
-    """Bit filter of fixed size of the set keys that are needed; others may pass it."""
+    """Bit filter of the set keys of a table; others may pass it.  It has about 8
+    bits a key (16 KB to 128 MB), and steers costs only."""
+    bits = 1 << min(30, max(17, (8 * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        out = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            at = K.mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(FILTER_BITS)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+            at = K.mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(bits)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
 
-    # 1 MB a row
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.coalesce(8).mapInArrow(run, "bits binary").collect():  # 8 rows of 1 MB
+    out = np.zeros(bits // 8, np.uint8)
+    for r in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():  # 4 rows
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def _sent(source: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
-    """(k, grams): the 40-bit hashes of the sets that pass the filter; a set may come from several tasks."""
+    """(k, grams): the sets that pass the filter; a set may come from several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -540,37 +597,31 @@ def _sent(source: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
                     if (k := int(own[i])) not in seen:
                         seen.add(k)
                         keys.append(k)
-                        own_bits = np.sort(grams[bounds[i] : bounds[i + 1]] & np.uint64((1 << 40) - 1))
-                        found.append(np.ascontiguousarray(own_bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+                        found.append(grams[bounds[i] : bounds[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["k", "grams"])
+        release()
 
     return source.mapInArrow(run, "k long, grams binary")
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
-
-
 def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of set keys that are linked, by exact intersection."""
-    bits = _wanted(pairs.select(F.explode(F.array("a", "b"))).distinct())
+    """Written table of the pairs (a, b) of set keys that are linked, by exact intersection."""
+    bits = _wanted(pairs.select(F.explode(F.array("a", "b"))))
 
     def check(group: pa.Table) -> pa.Table:
         centre = group.column("b")[0].as_py()
         found = dict(zip(group.column("k").to_pylist(), group.column("grams").to_pylist(), strict=True))
-        own = _wide(found.pop(centre))
+        own = np.frombuffer(found.pop(centre), np.uint64)
         good = []
         for k, raw in found.items():
-            other = _wide(raw)
+            other = np.frombuffer(raw, np.uint64)
             at = np.minimum(np.searchsorted(own, other), len(own) - 1)
             if rule.linked(np.int64((own[at] == other).sum()), len(own), len(other)):
                 good.append(k)
         return pa.table({"a": pa.array(good, pa.int64()), "b": pa.array([centre] * len(good), pa.int64())})
 
-    # a set goes to each of its partners' groups; a large group is dealt into shares, and its centre to all of them
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("shares"))
+    # a large group is dealt into shares, and its centre to all of them
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     dealt = pairs.select("a", "b").join(shares, "b")
     members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
     centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
@@ -580,115 +631,195 @@ def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     return out
 
 
-def link_counts(source: DataFrame, label: DataFrame, weights: DataFrame, rule: Rule) -> DataFrame:
-    """(k, n) of each set of a component: the weights of the other sets that it is
-    linked to, summed.  Linked sets have one component, so all pairs of sets of a
-    component are compared, and every link is found.
-
-    A component is cut into shares of about ``SHARE`` sets, and each pair of its
-    shares is a group of its own, so no task ever holds a whole large component.
+def common_of(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many n-grams each of the sets numbered x has in common with each of those numbered y."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    grams = np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    g, owner = grams[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    held = np.diff(np.append(first, len(g)))
+    # only what two sets or more hold is common to any
+    shared = np.repeat(held > 1, held)
+    number = np.repeat(np.cumsum(held > 1) - 1, held)[shared]
+    owner = owner[shared]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, int((held > 1).sum()), WIDTH):
+        a, b = np.searchsorted(number, [low, low + WIDTH])
+        there = np.zeros((len(sets), WIDTH), np.float32)
+        there[owner[a:b], number[a:b] - low] = 1
+        out += there[x] @ there[y].T
+    return out.astype(np.int64)
+
+
+def compared(source: DataFrame, members: DataFrame, rule: Rule, work, schema: str) -> DataFrame:
+    """``work(linked, rows, x, y, same)`` for the sets of each group, some at a time:
+    ``linked`` tells which of the rows numbered x are linked with which of those
+    numbered y; ``rows`` holds the members' columns.
+
+    ``members`` has columns k (a set's key), g (its group), size, looks, and more.
+    Sets that look are compared with all of their group, the others with those
+    only.  A group is dealt into shares of about SHARE sets or GRAMS n-grams, and
+    each pair of its shares is one task's, so no task holds a whole large group.
     """
-    shares = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
-    own = label.join(shares, "label").join(weights.select(F.col("set_key").alias("id"), "weight"), "id")
-    own = own.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    dealt = own.select(F.col("id").alias("k"), "label", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"), "share", "weight")
-
-    def count(group: pa.Table) -> pa.Table:
-        key, at = np.unique(group.column("k").to_numpy(), return_index=True)  # a set may be sent twice
-        second = (group.column("share").to_numpy() != group.column("i").to_numpy())[at]
-        weight = group.column("weight").to_numpy()[at].astype(np.int64)
-        found = [_wide(group.column("grams")[int(i)].as_py()) for i in at]
-        size = np.array([len(x) for x in found], np.int64)
-        owner = np.repeat(np.arange(len(key)), size)
-        gram, column, held = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-        # only what two sets or more hold is common to any
-        number = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[column]
-        owner, number = owner[number >= 0], number[number >= 0]
-        order = np.argsort(number, kind="stable")
-        owner, number = owner[order], number[order]
-        same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        x, y = (np.arange(len(key)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-        common = np.zeros((len(x), len(y)), np.float64)
-        for low in range(0, int(held[held > 1].size), WIDTH):
-            a, b = np.searchsorted(number, [low, low + WIDTH])
-            there = np.zeros((len(key), WIDTH), np.float32)
-            there[owner[a:b], number[a:b] - low] = 1
-            common += there[x] @ there[y].T
-        linked = rule.linked(common.astype(np.int64), size[x][:, None], size[y][None, :])
+    shares = lambda which: F.ceil(F.greatest(F.sum(which.cast("long")) / SHARE, F.sum(F.when(which, F.col("size")).otherwise(0)) / GRAMS)).cast("int")
+    counted = members.groupBy("g").agg(shares(F.col("looks")).alias("_lookers"), shares(~F.col("looks")).alias("_others"))
+    own = members.join(counted, "g")
+    number = F.xxhash64("k")
+    own = own.withColumn("_own", F.when(F.col("looks"), F.pmod(number, F.greatest("_lookers", F.lit(1)))).otherwise(F.col("_lookers") + F.pmod(number, F.greatest("_others", F.lit(1)))).cast("int"))
+    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("looks"), F.col("_lookers") + F.col("_others")).otherwise(F.col("_lookers")) - 1)))
+    dealt = own.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_lookers", "_others", "_other")
+
+    def run(group: pa.Table) -> pa.Table:
+        _, at = np.unique(group.column("k").to_numpy(), return_index=True)  # a set may be sent twice
+        group = group.take(pa.array(at))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        second = group.column("_own").to_numpy() != group.column("_i").to_numpy()
+        same = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
+        x, y = (np.arange(len(sets)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+        linked = rule.linked(common_of(sets, x, y), size[x][:, None], size[y][None, :])
         if same:
             np.fill_diagonal(linked, False)
-        out = np.zeros(len(key), np.int64)
-        out[x] += linked @ weight[y]
-        if not same:
-            out[y] += weight[x] @ linked
-        return pa.table({"k": pa.array(key, pa.int64()), "n": pa.array(out, pa.int64())})
-
-    sent = _sent(source, rule, _wanted(label.select("id"))).join(dealt, "k")
-    return sent.groupBy("label", "i", "j").applyInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-
-
-def _classed(docs: DataFrame, rule: Rule, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, n_shingles, component_id, set_key) of every row with an id; the sets
-    that can be linked; the components (id, label) of those that are."""
+        out = work(linked, group, x, y, same)
+        release()
+        return out
+
+    sent = _sent(source, rule, _wanted(members.select("k"))).join(dealt, "k")
+    return sent.groupBy("g", "_i", "_j").applyInArrow(run, schema)
+
+
+def _join_labels(linked: np.ndarray, group: pa.Table, x: np.ndarray, y: np.ndarray, same: bool) -> pa.Table:
+    """Links that join different labels, no more than it takes."""
+    label = group.column("label").to_numpy()
+    i, j = np.nonzero(linked)
+    a, b = label[x[i]], label[y[j]]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            root[v] = root.get(root[v], root[v])
+            v = root[v]
+        return v
+
+    out = []
+    for u, v in pairs.tolist():
+        p, q = find(u), find(v)
+        if p != q:
+            root[p] = q
+            out.append((u, v))
+    return pa.table({"a": pa.array([u for u, _ in out], pa.int64()), "b": pa.array([v for _, v in out], pa.int64())})
+
+
+def _count_links(linked: np.ndarray, group: pa.Table, x: np.ndarray, y: np.ndarray, same: bool) -> pa.Table:
+    """Weights of the sets that each set is linked with, summed."""
+    weight = group.column("weight").to_numpy().astype(np.int64)
+    out = np.zeros(len(weight), np.int64)
+    out[x] += linked @ weight[y]
+    if not same:
+        out[y] += weight[x] @ linked
+    return pa.table({"k": group.column("k"), "n": pa.array(out, pa.int64())})
+
+
+# ---- the operator -----------------------------------------------------------
+
+
+def _classed(docs: DataFrame, rule: Rule, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(key, n_shingles, component_id, set_key, class) of every row; the sets that
+    can be linked; the components (id, label) of those that are; (set_key, size,
+    weight) of all sets."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    docs = docs.where(F.col(f"`{key}`").isNotNull())
     nodes = written(sets(docs, rule, key, text), "nodes")
-    # who can be linked at all; of those who are left, once more
+    weights = written(nodes.where("set_key is not null").groupBy("set_key").agg(F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("weight")), "weights")
+    # who can be linked at all; of those who are left, whom the cheapest look-ups meet
     store = stored(docs, rule, _wanted(alive(texts(docs, text=text), rule)), text)
-    bits = _wanted(alive(store, rule))
-    found = candidates(store, rule, common_grams(store, rule, bits), bits)
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = written(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))), "pairs")
-    lists = found.where("kind = 1").select("a", F.col("b").alias("list"))
-    # first each set with the partner that shares most; then what still joins different components
+    found = met(weighed(store, rule, None))
+    sized = found
+    for c in ("a", "b"):
+        sized = sized.join(weights.select(F.col("set_key").alias(c), F.col("size").alias(f"n_{c}")), c)
+    close = sized.where(F.col("needed") & (rule.num * F.greatest("n_a", "n_b") <= rule.den * F.least("n_a", "n_b")))
+    pairs = written(close.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).select("a", "b", "rank"), "pairs")
+    # first each set with the leader that it meets most, then with the others, as far as these are in other components
     links = verify(store, pairs.where("rank = 1"), rule)
     label = written(components(links), "labels")
-    tried = pairs.where("rank = 1").select("a", "b")
-    named = lambda df, c: df.join(label.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(f"l_{c}", F.coalesce(f"l_{c}", c))
-    apart = named(named(pairs.where("rank > 1").select("a", "b"), "a"), "b").where("l_a <> l_b").select("a", "b")
+
+    def named(df: DataFrame, c: str) -> DataFrame:
+        own = label.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}"))
+        return df.join(own, c, "left").withColumn(f"l_{c}", F.coalesce(f"l_{c}", c))
+
+    apart = written(named(named(pairs.where("rank > 1").select("a", "b"), "a"), "b").where("l_a <> l_b").select("a", "b"), "apart")
     if apart.limit(1).count():
-        apart = written(apart, "apart")
         links = links.union(verify(store, apart, rule))
         label = written(components(links), "labels")
-        tried = tried.union(apart)
-    # members of a bucket that are still apart: every such pair that was not tried
-    open_lists = named(lists, "a")
-    split = open_lists.groupBy("list").agg(F.min("l_a").alias("low"), F.max("l_a").alias("high")).where("low <> high").select("list")
-    left = written(open_lists.join(split, "list", "left_semi").distinct(), "open")
-    sizes = nodes.where("set_key is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n"))
-    left = left.join(sizes.withColumnRenamed("set_key", "a"), "a")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.l_a") < F.col("y.l_a")) & (rule.num * F.greatest("x.n", "y.n") <= rule.den * F.least("x.n", "y.n")))
-    rest = rest.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct().join(tried.distinct(), ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    if rest.limit(1).count():
-        links = links.union(verify(store, rest, rule))
+    # members of one leader that are still in different components, if one of them looks
+    group = named(found.select("a", "b", "looks"), "a").withColumnRenamed("l_a", "label")
+    still = group.groupBy("b").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("looks").alias("some")).where("low <> high and some").select("b")
+    group = group.join(still, "b", "left_semi").join(weights.select(F.col("set_key").alias("a"), "size"), "a")
+    group = written(group.select(F.col("a").alias("k"), F.col("b").alias("g"), "size", "looks", "label"), "groups")
+    if group.limit(1).count():
+        more = written(compared(store, group, rule, _join_labels, "a long, b long"), "links")
+        collect_garbage(spark)
+        links = links.union(more)
         label = written(components(links), "labels")
-    named_nodes = nodes.join(label.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("_c", F.coalesce("label", "set_key"))
-    least = named_nodes.where("_c is not null").groupBy("_c").agg(F.min(f"`{key}`").alias("_least"))
-    return named_nodes.join(least, "_c", "left").select(f"`{key}`", "n_shingles", F.coalesce("_least", F.col(f"`{key}`")).alias("component_id"), "set_key"), store, label
+    named_nodes = nodes.join(label.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("class", F.coalesce("label", "set_key")).drop("label")
+    least = named_nodes.where("class is not null").groupBy("class").agg(F.min(f"`{key}`").alias("_least"))
+    whole = named_nodes.join(least, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col(f"`{key}`")).otherwise(F.col("_least")))
+    return whole.select(f"`{key}`", "n_shingles", "component_id", "set_key", "class"), store, label, weights
 
 
 def classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row with an id."""
-    return _classed(docs, rule, key, text)[0].drop("set_key")
+    """(key, n_shingles, component_id) of every row."""
+    return _classed(docs, rule, key, text)[0].drop("set_key", "class")
 
 
 def linked_classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, n_links) of every row with an id; n_links
-    counts the other rows that the row is linked to, equal sets among them."""
-    found, store, label = _classed(docs, rule, key, text)
-    weights = written(found.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("weight")), "weights")
-    counted = link_counts(store, label, weights, rule).withColumnRenamed("k", "set_key")
-    out = found.join(weights, "set_key", "left").join(counted, "set_key", "left")
+    """(key, n_shingles, component_id, n_links) of every row; n_links counts the
+    other rows that the row is linked to, equal sets among them."""
+    found, store, label, weights = _classed(docs, rule, key, text)
+    members = label.withColumnRenamed("id", "set_key").join(weights, "set_key")
+    members = members.select(F.col("set_key").alias("k"), F.col("label").alias("g"), "size", F.lit(True).alias("looks"), "weight")
+    counted = compared(store, members, rule, _count_links, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).withColumnRenamed("k", "set_key")
+    out = found.join(weights.drop("size"), "set_key", "left").join(counted, "set_key", "left")
     return out.select(f"`{key}`", "n_shingles", "component_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
 
 
+def _keyed(docs: DataFrame, rule: Rule, text: str, name: str) -> DataFrame:
+    """The documents with their set's key in a column of that name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
+            found = np.concatenate([np.zeros(0, np.uint64), *(keys_of(grams, bounds) for _, grams, bounds in shingles(column, rule))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, mask=found == 0)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("long")).schema)
+
+
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, but those of a class whose smallest
-    id is another's; rows without an id stay."""
-    found = classes(docs, rule, key, text).select(f"`{key}`", (F.col(f"`{key}`") == F.col("component_id")).alias("_first"))
-    gone = found.groupBy(key).agg(F.bool_or("_first").alias("_first")).where("not _first").select(f"`{key}`")
-    return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents, with all their columns, but one row of each class: that of
+    the smallest id (one of them, where several rows of the class have it); rows
+    of the empty set stay."""
+    found = _classed(docs, rule, key, text)[0].select(F.col(f"`{key}`").alias("_key"), "set_key", "class")
+    found = written(found, "classes")
+    kept = found.where("class is not null").groupBy("class").agg(F.min_by(F.struct("_key", "set_key"), F.struct(F.col("_key").isNull(), "_key", "set_key")).alias("k")).select("k.*")
+    kept = written(kept, "kept")
+    # ids of which every row goes, and ids (or none) of which some rows may stay and others go
+    rows = found.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.count("set_key").alias("full"))
+    some = kept.groupBy("_key").agg(F.count(F.lit(1)).alias("m"))
+    rows = rows.join(some, rows["_key"].eqNullSafe(some["_key"]), "left").select(rows["_key"], "n", "full", F.coalesce("m", F.lit(0)).alias("m"))
+    rows = written(rows.where("n > 1 or _key is null or (full > 0 and m = 0)").withColumn("gone", F.expr("full = n and m = 0 and _key is not null")), "rows")
+    out = docs.join(rows.select(F.col("_key").alias("_k")), F.col(f"`{key}`").eqNullSafe(F.col("_k")), "left_anti")
+    odd = rows.where("not gone").select(F.col("_key").alias("_k"))
+    if odd.limit(1).count():
+        name = "_set_key"
+        while name in docs.columns:
+            name = f"_{name}"
+        several = docs.join(odd, F.col(f"`{key}`").eqNullSafe(F.col("_k")), "left_semi")
+        several = _keyed(several.withColumn(text, F.col(f"`{text}`").cast("string")), rule, text, name)
+        mine = kept.select(F.col("_key").alias("_k"), F.col("set_key").alias("_s"))
+        good = several.join(mine, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col(name) == F.col("_s")), "left_semi").dropDuplicates([key, name])
+        out = out.unionByName(good.drop(name)).unionByName(several.where(F.col(name).isNull()).drop(name))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
