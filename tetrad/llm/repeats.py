@@ -205,7 +205,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> Runs:
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
         last = np.append(first[1:], len(at)) - 1
         i, j, k = at[first], at[last], own[first]
-        out.append(Runs(i + lo, j + lo, k + lo, grams[k], _span_hash(grams, i, j - i + length)))
+        # mixed anew: a least hash is a small number
+        out.append(Runs(i + lo, j + lo, k + lo, K.mix(grams[k] + np.uint64(1)), _span_hash(grams, i, j - i + length)))
     whole = out[0]
     for x in out[1:]:
         whole = whole + x
