@@ -58,7 +58,7 @@ from tetrad.llm.shared import blocks, collect_garbage, release, small_batches, t
 #: The chance that a set has fewer parts than it must look up is held below two to minus this.
 SURE = 80
 #: Sets, and n-grams, of a share of a group whose sets are compared with each other, about; n-grams compared at a time.
-SHARE, GRAMS, WIDTH = 2048, 1_500_000, 4096
+SHARE, GRAMS, WIDTH = 1024, 1_000_000, 4096
 #: Entries that a task holds before it sends them.
 HELD = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -429,9 +429,7 @@ def alive(source: DataFrame, rule: Rule) -> DataFrame:
 
     # a fixed number of partitions: little data here is much work
     met = _packed(source, rule, targets, None).repartition(spread, "target").groupBy("target").applyInArrow(count, "q int, kind int, keys binary, need binary, met binary")
-    out = written(met.groupBy("q").applyInArrow(judge, "k long"), "alive")
-    collect_garbage(source.sparkSession)
-    return out
+    return written(met.groupBy("q").applyInArrow(judge, "k long"), "alive")
 
 
 def cheapest(owner: np.ndarray, part: np.ndarray, first: np.ndarray, second: np.ndarray, need: np.ndarray) -> np.ndarray:
@@ -558,9 +556,7 @@ def met(chosen: DataFrame) -> DataFrame:
         return pa.table({"a": a[new].astype(np.int64), "b": b[new].astype(np.int64), "n": n, "looks": some(look), "needed": some(need)})
 
     rows = chosen.repartition(spread, "target").groupBy("target").applyInArrow(find, "a long, b long, n long, looks boolean, needed boolean")
-    out = written(rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("looks").alias("looks"), F.max("needed").alias("needed")), "met")
-    collect_garbage(chosen.sparkSession)
-    return out
+    return written(rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("looks").alias("looks"), F.max("needed").alias("needed")), "met")
 
 
 # ---- verification -----------------------------------------------------------
@@ -626,30 +622,54 @@ def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
     centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     sent = _sent(source, rule, bits).join(members.union(centres), "k").select("b", "share", "k", "grams")
-    out = written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
-    collect_garbage(source.sparkSession)
-    return out
+    return written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
 
 
 def common_of(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many n-grams each of the sets numbered x has in common with each of those numbered y."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     grams = np.concatenate(sets)
     order = np.argsort(grams, kind="stable")
     g, owner = grams[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     held = np.diff(np.append(first, len(g)))
-    # only what two sets or more hold is common to any
-    shared = np.repeat(held > 1, held)
-    number = np.repeat(np.cumsum(held > 1) - 1, held)[shared]
-    owner = owner[shared]
-    out = np.zeros((len(x), len(y)), np.float32)
-    for low in range(0, int((held > 1).sum()), WIDTH):
+    out = np.zeros((n, n), np.int32)
+    # n-grams that a few sets hold: the pairs of their holders are counted
+    few = max(2, n // 8)
+    pairs: list[np.ndarray] = []
+    size = 0
+
+    def settle() -> None:
+        nonlocal out, size
+        if pairs:
+            out += np.bincount(np.concatenate(pairs), minlength=n * n).reshape(n, n).astype(np.int32)
+        pairs.clear()
+        size = 0
+
+    for m in np.unique(held[(held > 1) & (held <= few)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        mine = first[held == m]
+        step = max(1, 1_000_000 // len(i))
+        for low in range(0, len(mine), step):
+            who = owner[mine[low : low + step, None] + np.arange(m)]
+            pairs.append((who[:, i] * n + who[:, j]).reshape(-1))
+            size += len(pairs[-1])
+            if size > 4_000_000:
+                settle()
+    settle()
+    out += out.T
+    # n-grams that many hold: a product of matrices, some at a time
+    many = held > few
+    number = np.repeat(np.cumsum(many) - 1, held)[there := np.repeat(many, held)]
+    owner = owner[there]
+    found = out[np.ix_(x, y)].astype(np.int64)
+    for low in range(0, int(many.sum()), WIDTH):
         a, b = np.searchsorted(number, [low, low + WIDTH])
-        there = np.zeros((len(sets), WIDTH), np.float32)
-        there[owner[a:b], number[a:b] - low] = 1
-        out += there[x] @ there[y].T
-    return out.astype(np.int64)
+        holds = np.zeros((n, min(WIDTH, int(many.sum()) - low)), np.float32)
+        holds[owner[a:b], number[a:b] - low] = 1
+        found += (holds[x] @ holds[y].T).astype(np.int64)
+    return found
 
 
 def compared(source: DataFrame, members: DataFrame, rule: Rule, work, schema: str) -> DataFrame:
@@ -681,9 +701,7 @@ def compared(source: DataFrame, members: DataFrame, rule: Rule, work, schema: st
         linked = rule.linked(common_of(sets, x, y), size[x][:, None], size[y][None, :])
         if same:
             np.fill_diagonal(linked, False)
-        out = work(linked, group, x, y, same)
-        release()
-        return out
+        return work(linked, group, x, y, same)
 
     sent = _sent(source, rule, _wanted(members.select("k"))).join(dealt, "k")
     return sent.groupBy("g", "_i", "_j").applyInArrow(run, schema)
@@ -735,8 +753,11 @@ def _classed(docs: DataFrame, rule: Rule, key: str, text: str) -> tuple[DataFram
     nodes = written(sets(docs, rule, key, text), "nodes")
     weights = written(nodes.where("set_key is not null").groupBy("set_key").agg(F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("weight")), "weights")
     # who can be linked at all; of those who are left, whom the cheapest look-ups meet
-    store = stored(docs, rule, _wanted(alive(texts(docs, text=text), rule)), text)
+    wanted = _wanted(alive(texts(docs, text=text), rule))
+    collect_garbage(spark)  # the largest shuffle of all is done with
+    store = stored(docs, rule, wanted, text)
     found = met(weighed(store, rule, None))
+    collect_garbage(spark)
     sized = found
     for c in ("a", "b"):
         sized = sized.join(weights.select(F.col("set_key").alias(c), F.col("size").alias(f"n_{c}")), c)

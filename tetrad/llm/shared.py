@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -84,8 +85,15 @@ def folder_files(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
+_released = 0.0
+
+
 def release() -> None:
-    """Give memory that this process no longer uses back to the machine."""
+    """Give memory that this process no longer uses back to the machine, every other second at most."""
+    global _released
+    if time.monotonic() - _released < 2:
+        return
+    _released = time.monotonic()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it
