@@ -156,31 +156,33 @@ def keys_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _read(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The sets of a batch of texts, or of stored sets."""
-    if batch.schema.names[0] != "grams":
+    if "grams" not in batch.schema.names:
         yield from shingles(batch.column(0), rule)
         return
-    raw = batch.column(0).to_pylist()
+    raw = batch.column("grams").to_pylist()
     sizes = [len(x) // 8 for x in raw]
     yield 0, np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def stored(docs: DataFrame, rule: Rule, bits: np.ndarray, text: str = "text") -> DataFrame:
-    """Written table (grams) of the sets that a filter lets through, each once a
-    task, so that later passes need not cut the texts again."""
+    """Written table (k, grams) of the different sets that a filter lets through,
+    so that later passes need not cut the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            out = []
+            own, out = [], []
             for _, grams, bounds in shingles(batch.column(0), rule):
                 keys = keys_of(grams, bounds)
                 for i in np.flatnonzero(_passes(bits, keys)):
                     if (k := int(keys[i])) not in seen:
                         seen.add(k)
+                        own.append(k)
                         out.append(grams[bounds[i] : bounds[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(out, pa.binary())], ["k", "grams"])
+        release()
 
-    return written(texts(docs, text=text).mapInArrow(run, "grams binary"), "set-store")
+    return written(texts(docs, text=text).mapInArrow(run, "k long, grams binary").dropDuplicates(["k"]), "set-store")
 
 
 def sets(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,36 +273,37 @@ def _dealt(target: np.ndarray, targets: int) -> tuple[np.ndarray, list[tuple[int
     return order, [(t, int(cut[t]), int(cut[t + 1])) for t in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
 
 
-#: A row of entries for a target: their sets' keys (doubled, odd in the next smaller band's cut), sizes, numbers of parts
-#: (and above 32 bits, of those that have two members or more);
+#: A row of entries for a target: their sets' keys (doubled, odd in the next smaller band's cut), sizes, numbers of parts;
 #: then each entry's signature (its low 40 bits and the target tell it) and the place of its set.
 _PACKED = "target int, keys binary, sizes binary, parts binary, signatures binary, owners binary"
 
 
-def _packed(source: DataFrame, rule: Rule, targets: int, bits: np.ndarray | None, deletions: bool = False) -> DataFrame:
-    """A task's entries by target; with ``deletions`` two columns more: whether
-    an entry is of a part of two members or more (1) and less one of them (2),
-    and which of its set's parts it is of."""
+def _packed(source: DataFrame, rule: Rule, deletions: bool = False) -> DataFrame:
+    """A task's entries by target; with ``deletions`` three columns more: how many
+    of a set's parts have two members or more, whether an entry is of such a part
+    (1) and less one of them (2), and which of its set's parts it is of."""
+    labels = _labels(source.sparkSession)
+    targets = len(labels)
 
     def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         key, size, sig, own, less, part, plural = (np.concatenate(x) for x in held)
-        parts = np.bincount(own[~less], minlength=2 * len(key)) + (np.bincount(own[~less & plural], minlength=2 * len(key)) << 32)
+        parts, plurals = np.bincount(own[~less], minlength=2 * len(key)), np.bincount(own[~less & plural], minlength=2 * len(key))
         kind = plural.astype(np.uint8) | less.astype(np.uint8) << 1
         # a part's number within its set
         least = np.full(2 * len(key), 1 << 62, np.int64)
         np.minimum.at(least, own, part)
         part = part - least[own]
         order, shares = _dealt(((sig >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32), targets)
-        rows: list[list] = [[] for _ in range(8)]
+        rows: list[list] = [[] for _ in range(9)]
         for t, a, b in shares:
             which = order[a:b]
             mine, short = np.unique(own[which], return_inverse=True)
-            row = (t, (key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes(), size[mine >> 1].astype("<u4").tobytes(), parts[mine].astype("<u8").tobytes())
-            row += (_five(sig[which]).tobytes(), short.astype("<u4").tobytes(), kind[which].tobytes(), part[which].astype("<u4").tobytes())
+            row = (labels[t], (key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes(), size[mine >> 1].astype("<u4").tobytes(), parts[mine].astype("<u4").tobytes())
+            row += (_five(sig[which]).tobytes(), short.astype("<u2").tobytes(), plurals[mine].astype("<u4").tobytes(), kind[which].tobytes(), part[which].astype("<u4").tobytes())
             for into, x in zip(rows, row, strict=True):
                 into.append(x)
-        names = ["target", "keys", "sizes", "parts", "signatures", "owners", "kinds", "part"]
-        n = 8 if deletions else 6
+        names = ["target", "keys", "sizes", "parts", "signatures", "owners", "plurals", "kinds", "part"]
+        n = 9 if deletions else 6
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:n]]], names[:n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +313,7 @@ def _packed(source: DataFrame, rule: Rule, targets: int, bits: np.ndarray | None
         for batch in batches:
             for _, grams, bounds in _read(batch, rule):
                 found = keys_of(grams, bounds)
-                fresh = _passes(bits, found) & np.array([k not in seen for k in found.tolist()], bool)
+                fresh = (found != 0) & np.array([k not in seen for k in found.tolist()], bool)
                 # a set that comes twice in one block counts once
                 once = np.zeros(len(found), bool)
                 once[np.unique(found, return_index=True)[1]] = True
@@ -323,14 +326,14 @@ def _packed(source: DataFrame, rule: Rule, targets: int, bits: np.ndarray | None
                 for into, x in zip(held, (found[fresh], size, e.signature, 2 * (e.owner + n) + e.lower, e.less, e.part + made, e.plural), strict=True):
                     into.append(x)
                 n, count, made = n + len(size), count + len(e.signature), made + len(e.signature)
-                if count > HELD:
+                if count > HELD or n > 20_000:  # a row's sets have 16-bit numbers, two for each
                     yield flush(held)
                     held, n, count, made = [[] for _ in range(7)], 0, 0, 0
         if count:
             yield flush(held)
         release()
 
-    return source.mapInArrow(run, _PACKED + (", kinds binary, part binary" if deletions else ""))
+    return source.mapInArrow(run, _PACKED + (", plurals binary, kinds binary, part binary" if deletions else ""))
 
 
 class _Buckets:
@@ -341,9 +344,9 @@ class _Buckets:
     def __init__(self, table: pa.Table) -> None:
         columns = {c: table.column(c).to_pylist() for c in table.column_names if c != "target"}
         sig = _of_five(columns["signatures"])
-        owners = [np.frombuffer(x, "<u4") for x in columns["owners"]]
+        owners = [np.frombuffer(x, "<u2") for x in columns["owners"]]
         first = np.cumsum([0, *(len(x) // 8 for x in columns["keys"])])
-        owner = np.concatenate([o + f for o, f in zip(owners, first, strict=False)])
+        owner = np.concatenate([o + np.int64(f) for o, f in zip(owners, first, strict=False)])
         kinds = np.frombuffer(b"".join(columns["kinds"]), np.uint8) if "kinds" in columns else np.zeros(len(sig), np.uint8)
         order = np.argsort(sig)
         same = sig[order][1:] == sig[order][:-1]
@@ -367,8 +370,8 @@ class _Buckets:
         self.key, self.lower = key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
         at = owner[order]
         self.size = np.frombuffer(b"".join(columns["sizes"]), "<u4")[at].astype(np.int64)
-        self.all_parts = np.frombuffer(b"".join(columns["parts"]), "<u8")[at].astype(np.int64)
-        self.parts = self.all_parts & 0xFFFFFFFF
+        self.parts = np.frombuffer(b"".join(columns["parts"]), "<u4")[at].astype(np.int64)
+        self.plurals = np.frombuffer(b"".join(columns["plurals"]), "<u4")[at].astype(np.int64) if "plurals" in columns else None
         self.part = np.frombuffer(b"".join(columns["part"]), "<u4")[order].astype(np.int64) if "part" in columns else None
 
     def count(self, which: np.ndarray) -> np.ndarray:
@@ -376,10 +379,18 @@ class _Buckets:
         return np.bincount(self.number, weights=which)[self.number].astype(np.int64) if len(self.number) else np.zeros(0, np.int64)
 
 
-def _targets(spark: SparkSession) -> tuple[int, int]:
-    """Partitions, and targets dealt to them."""
+def _labels(spark: SparkSession) -> list[int]:
+    """A number for each shuffle partition that Spark's hash puts there, so that
+    each is one target and has about as much to do as any other."""
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spread, 2 * spread
+    found: dict[int, int] = {}
+    low = 0
+    while len(found) < spread:
+        rows = spark.range(low, low + 20 * spread, 1, 1).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(spread)).alias("p"))
+        for r in rows.groupBy("p").agg(F.min("i").alias("i")).collect():  # one row a partition
+            found.setdefault(r["p"], r["i"])
+        low += 20 * spread
+    return [found[p] for p in range(spread)]
 
 
 def alive(source: DataFrame, rule: Rule) -> DataFrame:
@@ -389,11 +400,12 @@ def alive(source: DataFrame, rule: Rule) -> DataFrame:
     part, so of a set's p parts at least p - h are the same in its partner.  A
     set of which fewer parts are met by any suitable set has no partner.
     """
-    spread, targets = _targets(source.sparkSession)
+    labels = _labels(source.sparkSession)
+    targets = len(labels)
 
     def count(table: pa.Table) -> pa.Table:
         b = _Buckets(table)
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         if len(b.number):
             n_own, n_lower = b.count(~b.lower), b.count(b.lower)
             tops = np.array(bands(rule, int(b.size.max())), np.int64)
@@ -404,32 +416,31 @@ def alive(source: DataFrame, rule: Rule) -> DataFrame:
                 (~b.lower & (n_lower > 0), need(b.size * rule.den // rule.num)),  # with a larger set that looks down
                 (b.lower & (n_own > 0), need(tops[np.maximum(band - 1, 0)])),  # with a smaller set
             )
+            found: list[list[np.ndarray]] = []
             for kind, (hit, least) in enumerate(kinds):
                 own, at, met = np.unique(b.key[hit], return_index=True, return_counts=True)
-                least = least[hit][at]
-                order, shares = _dealt((K.mix(own) % np.uint64(targets)).astype(np.int64), targets)
-                for t, x, y in shares:
-                    mine = order[x:y]
-                    for into, v in zip(out, (t, kind, own[mine].tobytes(), least[mine].astype("<u4").tobytes(), met[mine].astype("<u4").tobytes()), strict=True):
-                        into.append(v)
-        kinds_of = {"q": pa.int32(), "kind": pa.int32(), "keys": pa.binary(), "need": pa.binary(), "met": pa.binary()}
+                found.append([own, np.full(len(own), kind), least[hit][at], met])
+            key, kind, least, met = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, shares = _dealt((K.mix(key) % np.uint64(targets)).astype(np.int64), targets)
+            for t, x, y in shares:
+                mine = order[x:y]
+                for into, v in zip(out, (labels[t], key[mine].tobytes(), np.stack([least[mine], met[mine]]).astype("<u4").tobytes(), kind[mine].astype(np.uint8).tobytes()), strict=True):
+                    into.append(v)
         release()
-        return pa.table({c: pa.array(x, t) for x, (c, t) in zip(out, kinds_of.items(), strict=True)})
+        return pa.table({c: pa.array(x, pa.binary() if i else pa.int32()) for i, (c, x) in enumerate(zip(("q", "keys", "counts", "kinds"), out, strict=True))})
 
     def judge(table: pa.Table) -> pa.Table:
+        key, kind = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("kinds", np.uint8)))
+        need, met = np.concatenate([np.frombuffer(x, "<u4").reshape(2, -1) for x in table.column("counts").to_pylist()], axis=1)
         good = [np.zeros(0, np.uint64)]
-        kind = np.array(table.column("kind").to_pylist())
-        sent = [table.column(c).to_pylist() for c in ("keys", "need", "met")]
-        for k in np.unique(kind):
-            mine = np.flatnonzero(kind == k)
-            key, need, met = (np.concatenate([np.frombuffer(x[i], t) for i in mine]) for x, t in zip(sent, (np.uint64, "<u4", "<u4"), strict=True))
-            own, at, of = np.unique(key, return_index=True, return_inverse=True)
-            good.append(own[np.bincount(of, weights=met) >= need[at]])
+        for k in range(3):
+            own, at, of = np.unique(key[kind == k], return_index=True, return_inverse=True)
+            good.append(own[np.bincount(of, weights=met[kind == k], minlength=len(own)) >= need[kind == k][at]])
         return pa.table({"k": pa.array(np.unique(np.concatenate(good)).astype(np.int64), pa.int64())})
 
     # a fixed number of partitions: little data here is much work
-    met = _packed(source, rule, targets, None).repartition(spread, "target").groupBy("target").applyInArrow(count, "q int, kind int, keys binary, need binary, met binary")
-    return written(met.groupBy("q").applyInArrow(judge, "k long"), "alive")
+    met = _packed(source, rule).repartition(targets, "target").groupBy("target").applyInArrow(count, "q int, keys binary, counts binary, kinds binary")
+    return written(met.repartition(targets, "q").groupBy("q").applyInArrow(judge, "k long"), "alive")
 
 
 def cheapest(owner: np.ndarray, part: np.ndarray, first: np.ndarray, second: np.ndarray, need: np.ndarray) -> np.ndarray:
@@ -448,10 +459,11 @@ def cheapest(owner: np.ndarray, part: np.ndarray, first: np.ndarray, second: np.
     return np.bincount(index[taken], minlength=len(owner))
 
 
-def weighed(source: DataFrame, rule: Rule, bits: np.ndarray | None) -> DataFrame:
+def weighed(source: DataFrame, rule: Rule) -> DataFrame:
     """The entries that are left when each set looks up its cheapest parts:
     (target, keys, signatures, flags), see ``_LOOKS``."""
-    spread, targets = _targets(source.sparkSession)
+    labels = _labels(source.sparkSession)
+    targets = len(labels)
 
     def count(table: pa.Table) -> pa.Table:
         b = _Buckets(table)
@@ -463,14 +475,14 @@ def weighed(source: DataFrame, rule: Rule, bits: np.ndarray | None) -> DataFrame
             more = np.where(b.less, whole, less)
             use = (plain + more > 0) | (~b.lower & (b.count(b.lower) > 0))
             key = (b.key << np.uint64(1) | b.lower.astype(np.uint64))[use]
-            values = [x[use] for x in (b.size, b.all_parts, b.signature, b.kind, b.part, np.minimum(plain, 1 << 30), np.minimum(more, 1 << 30))]
+            values = [x[use] for x in (b.size, b.parts, b.plurals, b.signature, b.kind, b.part, np.minimum(plain, 1 << 30), np.minimum(more, 1 << 30))]
             order, shares = _dealt((K.mix(key >> np.uint64(1)) % np.uint64(targets)).astype(np.int64), targets)
             t = table.column("target")[0].as_py()
             for q, x, y in shares:
                 mine = order[x:y]
                 keys, place, short = np.unique(key[mine], return_index=True, return_inverse=True)
-                size, parts, signature, kind, part, plain, more = (v[mine] for v in values)
-                row = (q, t, keys.tobytes(), np.stack([size[place], parts[place]]).astype("<u8").tobytes(), short.astype("<u4").tobytes())
+                size, parts, plurals, signature, kind, part, plain, more = (v[mine] for v in values)
+                row = (labels[q], t, keys.tobytes(), np.stack([size[place], parts[place], plurals[place]]).astype("<u4").tobytes(), short.astype("<u4").tobytes())
                 row += (_five(signature).tobytes(), kind.tobytes(), part.astype("<u4").tobytes(), np.stack([plain, more]).astype("<u4").tobytes())
                 for into, v in zip(out, row, strict=True):
                     into.append(v)
@@ -480,16 +492,16 @@ def weighed(source: DataFrame, rule: Rule, bits: np.ndarray | None) -> DataFrame
 
     def choose(table: pa.Table) -> pa.Table:
         c = {name: table.column(name).to_pylist() for name in table.column_names}
-        two = lambda column, t: np.concatenate([np.frombuffer(x, t).reshape(2, -1) for x in c[column]], axis=1).astype(np.int64)
+        rows_of = lambda column, n: np.concatenate([np.frombuffer(x, "<u4").reshape(n, -1) for x in c[column]], axis=1).astype(np.int64)
         keys = np.frombuffer(b"".join(c["keys"]), np.uint64)
         first = np.cumsum([0, *(len(x) // 8 for x in c["keys"])])
         at = np.concatenate([np.frombuffer(x, "<u4") + f for x, f in zip(c["owners"], first, strict=False)])
         sig, kind = _of_five(c["signatures"]), np.frombuffer(b"".join(c["kinds"]), np.uint8)
         target = np.repeat(np.array(c["target"], np.int64), [len(x) // 4 for x in c["owners"]])
-        part, (plain, more), (sizes, parts) = np.frombuffer(b"".join(c["part"]), "<u4").astype(np.int64), two("costs", "<u4"), two("sizes", "<u8")
+        part, (plain, more), (sizes, parts, plurals) = np.frombuffer(b"".join(c["part"]), "<u4").astype(np.int64), rows_of("costs", 2), rows_of("sizes", 3)
         less, plural = kind > 1, (kind & 1) > 0
         own, place, number = np.unique(keys[at], return_index=True, return_inverse=True)
-        size, p, q, lower = sizes[at][place], parts[at][place] & 0xFFFFFFFF, parts[at][place] >> 32, (own & np.uint64(1)).astype(bool)
+        size, p, q, lower = sizes[at][place], parts[at][place], plurals[at][place], (own & np.uint64(1)).astype(bool)
         tops = np.array(bands(rule, int(size.max())), np.int64)
         reach = np.where(lower, tops[np.maximum(np.searchsorted(tops, size) - 1, 0)], size)
         # the parts of which entries came; of the others nothing meets anybody, so they catch their differences for nothing
@@ -505,26 +517,26 @@ def weighed(source: DataFrame, rule: Rule, bits: np.ndarray | None) -> DataFrame
         flags |= ((step > 1) & less & (more > 0)).astype(np.uint8) | less.astype(np.uint8) << 2
         keep = (flags & 3 > 0) | ~lower[number]
         rows: list[list] = [[], [], [], []]
-        order, shares = _dealt(target[keep], targets)
+        here = np.searchsorted(numbered, target[keep])
+        order, shares = _dealt(here, targets)
         which = np.flatnonzero(keep)[order]
         for t, x, y in shares:
             mine = which[x:y]
-            for into, v in zip(rows, (t, keys[at[mine]].tobytes(), _five(sig[mine]).tobytes(), flags[mine].tobytes()), strict=True):
+            for into, v in zip(rows, (int(numbered[t]), keys[at[mine]].tobytes(), _five(sig[mine]).tobytes(), flags[mine].tobytes()), strict=True):
                 into.append(v)
         release()
         return pa.table({n: pa.array(x, pa.binary() if i else pa.int32()) for i, (n, x) in enumerate(zip(("target", "keys", "signatures", "flags"), rows, strict=True))})
 
-    counted = _packed(source, rule, targets, bits, deletions=True).repartition(spread, "target").groupBy("target")
+    numbered = np.sort(np.array(labels, np.int64))
+    counted = _packed(source, rule, deletions=True).repartition(targets, "target").groupBy("target")
     counted = counted.applyInArrow(count, "q int, target int, keys binary, sizes binary, owners binary, signatures binary, kinds binary, part binary, costs binary")
-    return counted.repartition(spread, "q").groupBy("q").applyInArrow(choose, "target int, keys binary, signatures binary, flags binary")
+    return counted.repartition(targets, "q").groupBy("q").applyInArrow(choose, "target int, keys binary, signatures binary, flags binary")
 
 
 def met(chosen: DataFrame) -> DataFrame:
     """Written table (a, b, n, looks, needed): each member a of the buckets that
     somebody looks up, with the bucket's first set b; in how many buckets, whether
     a looks any of them up, and whether one of the two does."""
-    spread, _ = _targets(chosen.sparkSession)
-
     def find(table: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
         sig = _of_five(table.column("signatures").to_pylist())
@@ -555,6 +567,7 @@ def met(chosen: DataFrame) -> DataFrame:
         release()
         return pa.table({"a": a[new].astype(np.int64), "b": b[new].astype(np.int64), "n": n, "looks": some(look), "needed": some(need)})
 
+    spread = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = chosen.repartition(spread, "target").groupBy("target").applyInArrow(find, "a long, b long, n long, looks boolean, needed boolean")
     return written(rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("looks").alias("looks"), F.max("needed").alias("needed")), "met")
 
@@ -564,7 +577,7 @@ def met(chosen: DataFrame) -> DataFrame:
 
 def _wanted(ids: DataFrame) -> np.ndarray:
     """Bit filter of the set keys of a table; others may pass it.  It has about 8
-    bits a key (16 KB to 128 MB), and steers costs only."""
+    bits a key (16 KB to 128 MB), and steers costs only: a set more is stored."""
     bits = 1 << min(30, max(17, (8 * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -580,29 +593,8 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sent(source: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
-    """(k, grams): the sets that pass the filter; a set may come from several tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys, found = [], []
-            for _, grams, bounds in _read(batch, rule):
-                own = keys_of(grams, bounds)
-                for i in np.flatnonzero(_passes(bits, own)):
-                    if (k := int(own[i])) not in seen:
-                        seen.add(k)
-                        keys.append(k)
-                        found.append(grams[bounds[i] : bounds[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["k", "grams"])
-        release()
-
-    return source.mapInArrow(run, "k long, grams binary")
-
-
 def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Written table of the pairs (a, b) of set keys that are linked, by exact intersection."""
-    bits = _wanted(pairs.select(F.explode(F.array("a", "b"))))
 
     def check(group: pa.Table) -> pa.Table:
         centre = group.column("b")[0].as_py()
@@ -621,7 +613,7 @@ def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     dealt = pairs.select("a", "b").join(shares, "b")
     members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
     centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    sent = _sent(source, rule, bits).join(members.union(centres), "k").select("b", "share", "k", "grams")
+    sent = source.join(members.union(centres), "k").select("b", "share", "k", "grams")
     return written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
 
 
@@ -683,16 +675,17 @@ def compared(source: DataFrame, members: DataFrame, rule: Rule, work, schema: st
     each pair of its shares is one task's, so no task holds a whole large group.
     """
     shares = lambda which: F.ceil(F.greatest(F.sum(which.cast("long")) / SHARE, F.sum(F.when(which, F.col("size")).otherwise(0)) / GRAMS)).cast("int")
-    counted = members.groupBy("g").agg(shares(F.col("looks")).alias("_lookers"), shares(~F.col("looks")).alias("_others"))
-    own = members.join(counted, "g")
+    counted = members.groupBy("g").agg(shares(F.lit(True)).alias("_all"), shares(F.col("looks")).alias("_lookers"), shares(~F.col("looks")).alias("_others"))
+    # a group that fits into one share is one
+    alone = F.col("_all") == 1
+    counted = counted.select("g", alone.alias("_alone"), F.when(alone, 1).otherwise(F.col("_lookers")).alias("_lookers"), F.when(alone, 0).otherwise(F.col("_others")).alias("_others"))
+    own = members.join(counted, "g").withColumn("_looks", F.col("_alone") | F.col("looks"))
     number = F.xxhash64("k")
-    own = own.withColumn("_own", F.when(F.col("looks"), F.pmod(number, F.greatest("_lookers", F.lit(1)))).otherwise(F.col("_lookers") + F.pmod(number, F.greatest("_others", F.lit(1)))).cast("int"))
-    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("looks"), F.col("_lookers") + F.col("_others")).otherwise(F.col("_lookers")) - 1)))
-    dealt = own.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_lookers", "_others", "_other")
+    own = own.withColumn("_own", F.when(F.col("_looks"), F.pmod(number, F.greatest("_lookers", F.lit(1)))).otherwise(F.col("_lookers") + F.pmod(number, F.greatest("_others", F.lit(1)))).cast("int"))
+    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("_looks"), F.col("_lookers") + F.col("_others")).otherwise(F.col("_lookers")) - 1)))
+    dealt = own.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_alone", "_looks", "_lookers", "_others", "_other")
 
     def run(group: pa.Table) -> pa.Table:
-        _, at = np.unique(group.column("k").to_numpy(), return_index=True)  # a set may be sent twice
-        group = group.take(pa.array(at))
         sets = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
         size = np.array([len(x) for x in sets], np.int64)
         second = group.column("_own").to_numpy() != group.column("_i").to_numpy()
@@ -703,7 +696,7 @@ def compared(source: DataFrame, members: DataFrame, rule: Rule, work, schema: st
             np.fill_diagonal(linked, False)
         return work(linked, group, x, y, same)
 
-    sent = _sent(source, rule, _wanted(members.select("k"))).join(dealt, "k")
+    sent = source.join(dealt, "k")
     return sent.groupBy("g", "_i", "_j").applyInArrow(run, schema)
 
 
@@ -756,7 +749,7 @@ def _classed(docs: DataFrame, rule: Rule, key: str, text: str) -> tuple[DataFram
     wanted = _wanted(alive(texts(docs, text=text), rule))
     collect_garbage(spark)  # the largest shuffle of all is done with
     store = stored(docs, rule, wanted, text)
-    found = met(weighed(store, rule, None))
+    found = met(weighed(store, rule))
     collect_garbage(spark)
     sized = found
     for c in ("a", "b"):
