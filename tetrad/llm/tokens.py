@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetrad.llm import kernels as K
-from tetrad.llm.shared import blocks, folder_files, new_folder, small_batches, text_bytes, texts, written
+from tetrad.llm.shared import blocks, folder_files, new_folder, release, small_batches, text_bytes, texts, written
 
 #: Bytes that make a text go whole to the library: control characters that libraries class differently.
 _ODD = np.zeros(256, bool)
@@ -49,7 +49,7 @@ _POINT[[c for c in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
 #: The first k bytes of a little-endian number of 8.
 _FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Slots of a process's table of chunks, chunks that it holds besides, and their ids; beyond them, it forgets and begins anew.
-SLOTS, BESIDES, POOL = 1 << 21, 1 << 17, 1 << 23
+SLOTS, BESIDES, POOL = 1 << 21, 1 << 16, 1 << 22
 
 
 def tokenizer_path(name: str) -> str:
@@ -281,6 +281,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, key: str = "d
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
                 [key, "piece", "start", "length", "ids_crc32"],
             )
+        release()
 
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
@@ -429,6 +430,7 @@ def write_sequences(
             )
         if writer is not None:
             writer.close()
+        release()
 
     index = ranged.mapInArrow(run, f"file string, part long, `{key}` {source.schema[key].dataType.simpleString()}, at long, n_tokens long")
     return folder, written(index, "sequence-index")
