@@ -11,16 +11,16 @@ def test_class_pairs_of_large_classes(spark, tmp_path):
     """A class of more than 2000 rows keeps its band of 1,000,000 // n pairs a row."""
     rows = [(i, f"name {i}", "large" if i < 2100 else "small", "type") for i in range(2130)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
-    got = queries.QUERIES["msd_class_pairs_all"](spark, str(tmp_path))
+    got = queries.QUERIES["msd_class_pairs"](spark, str(tmp_path))
     found = {r["brand"]: tuple(r)[1:] for r in got.groupBy("brand").agg(F.count("i"), F.countDistinct("i", "j"), F.min(F.col("j") - F.col("i")), F.max(F.col("j") - F.col("i"))).collect()}
     for brand, n in (("large", 2100), ("small", 30)):
         k = min(n, 1_000_000 // n)
         pairs = sum(min(k, n - i) for i in range(n))
         assert found[brand] == (pairs, pairs, 0, k - 1)
     total = sum(x[0] for x in found.values())
-    assert queries.QUERIES["enrich_quads_all"](spark, str(tmp_path)).count() == 8 * total
-    assert queries.QUERIES["negative_quads_all"](spark, str(tmp_path)).count() == 3 * total
-    assert queries.QUERIES["balanced_negatives_all"](spark, str(tmp_path)).where("i >= 2100").count() == 8 * found["small"][0]
+    assert queries.QUERIES["enrich_quads"](spark, str(tmp_path)).count() == 8 * total
+    assert queries.QUERIES["negative_quads"](spark, str(tmp_path)).count() == 3 * total
+    assert queries.QUERIES["balanced_negatives"](spark, str(tmp_path)).where("i >= 2100").count() == 8 * found["small"][0]
 
 
 def test_whole_vocabulary(spark, tmp_path):
@@ -35,12 +35,12 @@ def test_whole_vocabulary(spark, tmp_path):
     of = defaultdict(list)
     for w in sorted(words):
         of["".join(sorted(w))].append(w)
-    assert sorted(run("alphagrams_all")) == sorted((w, a) for a, x in of.items() for w in x)
-    assert sorted(run("inverse_dictionary_all")) == sorted((a, " ".join(x)) for a, x in of.items())
-    assert sorted(run("indistinguishables_all")) == sorted((x[0], " ".join(x)) for x in of.values())
-    assert sorted(run("equivalents_of_word_all")) == sorted((w, " ".join(x)) for x in of.values() for w in x)
-    assert {w for w, _ in run("train_test_split_all")} == words and len(run("random_sample_100_all")) == 100
-    checked = run("ascii_checks_all")
+    assert sorted(run("alphagrams")) == sorted((w, a) for a, x in of.items() for w in x)
+    assert sorted(run("inverse_dictionary")) == sorted((a, " ".join(x)) for a, x in of.items())
+    assert sorted(run("indistinguishables")) == sorted((x[0], " ".join(x)) for x in of.values())
+    assert sorted(run("equivalents_of_word")) == sorted((w, " ".join(x)) for x in of.values() for w in x)
+    assert {w for w, _ in run("train_test_split")} == words and len(run("random_sample_100_all")) == 100
+    checked = run("ascii_checks")
     assert len(checked) == 4 * 2500 + 1 and {r[0] for r in checked if not r[2]} == {"de"}
-    assert len(run("sample_each_language_all")) == 80
-    assert len(run("transfer_matrix_all")) == 16
+    assert len(run("sample_each_language")) == 80
+    assert len(run("transfer_matrix")) == 16

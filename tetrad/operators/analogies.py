@@ -3,9 +3,10 @@ equivalent and negative forms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tetrad.functions.solver import solve_analogy
 from tetrad.functions.strings import characters_balance, distances_balance, trivial_analogy
 from tetrad.operators.windows import numbered, sample_each
 
@@ -70,3 +71,23 @@ def balanced_negatives(quads: DataFrame, keys: list[str], n: int = 8, all_forms:
         return negatives(turned)
     forms = enriched(quads).withColumnRenamed("form", "of")
     return sample_each(negatives(forms), keys, ["of", "form", *keys], n, seed)
+
+
+def random_equations(spark: SparkSession, n: int, length: int = 8, letters: int = 8, seed: int = 0) -> DataFrame:
+    """(id, a, b, c): equations of random words of 1 to ``length`` of that many
+    letters, by hashes of their numbers."""
+    digit = lambda column, *salt: F.conv(F.substring(F.md5(F.concat_ws("|", column, *[F.lit(str(x)) for x in (*salt, seed)])), 1, 8), 16, 10).cast("bigint")
+
+    def word(name: str) -> F.Column:
+        size = F.pmod(digit("id", name), F.lit(length)) + 1
+        drawn = [F.chr(F.lit(97) + F.pmod(digit("id", name, k), F.lit(letters))) for k in range(length)]
+        return F.array_join(F.slice(F.array(*drawn), 1, size.cast("int")), "")
+
+    return spark.range(n).select("id", *[word(x).alias(x) for x in "abc"])
+
+
+def success(equations: DataFrame) -> DataFrame:
+    """(equations, solved, rate) of (a, b, c)."""
+    done = equations.withColumn("_d", solve_analogy("a", "b", "c"))
+    out = done.agg(F.count(F.lit(1)).alias("equations"), F.count("_d").alias("solved"))
+    return out.withColumn("rate", F.round(F.col("solved") / F.col("equations"), 6))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tetrad.functions.strings import lcs_distance, multiset_minus
+from tetrad.functions.strings import alphagram, lcs_distance, lcs_length, multiset_minus
 
 #: Up to so many vectors are broadcast in the self-join; the size is counted first.
 BROADCAST = 20_000
@@ -51,12 +51,15 @@ def raw_clusters(vectors: DataFrame, least: int = 2, most: int | None = None, ot
     """(cluster_id, size, a, b): ratios of the clusters of least to most ratios.
 
     A first pass counts differences by their hash alone, without the words; the
-    pairs of the rest are then grouped by the difference itself.
+    pairs of the rest are then grouped by the difference itself.  With ``focus``,
+    only clusters that have that word, or another one of its letters, stay: a
+    word is found by its alphagram, so also by an equivalent of its representative.
     """
     pairs = ratio_pairs(vectors, other)
     hashed = pairs.select(F.xxhash64("d").alias("h"), "a", "b")
+    is_it = lambda c: alphagram(c) == alphagram(F.lit(focus))
     if focus is not None:
-        about = hashed.where((F.col("a") == focus) | (F.col("b") == focus)).select("h").distinct()
+        about = hashed.where(is_it("a") | is_it("b")).select("h").distinct()
         hashed = hashed.join(about, "h", "left_semi")
     often = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h")
     kept = pairs.withColumn("h", F.xxhash64("d")).join(often, "h", "left_semi")
@@ -66,7 +69,7 @@ def raw_clusters(vectors: DataFrame, least: int = 2, most: int | None = None, ot
     if most is not None:
         sized = sized.where(F.col("size") <= most)
     if focus is not None:
-        has = F.max(((F.col("a") == focus) | (F.col("b") == focus)).cast("int")).over(Window.partitionBy("cluster_id"))
+        has = F.max((is_it("a") | is_it("b")).cast("int")).over(Window.partitionBy("cluster_id"))
         sized = sized.withColumn("_has", has).where("_has = 1").drop("_has")
     return sized.select("cluster_id", "size", "a", "b")
 
@@ -185,20 +188,34 @@ def filter_words(ratios: DataFrame, words: DataFrame, delete: bool) -> DataFrame
 
 
 def normalized(ratios: DataFrame) -> DataFrame:
-    """All ratios of a cluster turned round if the first one's a is longer than its b."""
-    first = F.min_by(F.struct("a", "b"), F.struct("a", "b")).over(Window.partitionBy("cluster_id"))
+    """All ratios of a cluster turned round if the first one's a is longer than
+    its b; then in a cluster of two ratios a : b :: c : d, b and c change places
+    if a has less in common with b than with c (longest common subsequences).
+    The first ratio is the smallest of the cluster as it comes."""
+    whole = Window.partitionBy("cluster_id")
+    placed = ratios.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_k", F.row_number().over(whole.orderBy("a", "b")))
+    first = F.min_by(F.struct("a", "b"), F.col("_k")).over(whole)
     turn = F.length(first["a"]) > F.length(first["b"])
-    return ratios.select("cluster_id", F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+    turned = placed.select("cluster_id", "_n", "_k", F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+    several = turned.where("_n <> 2").select("cluster_id", "a", "b")
+    two = turned.where("_n = 2").groupBy("cluster_id").agg(*[F.max(F.when(F.col("_k") == k, F.col(c))).alias(name) for k, c, name in ((1, "a", "a"), (1, "b", "b"), (2, "a", "c"), (2, "b", "d"))])
+    swap = lcs_length("a", "b") < lcs_length("a", "c")
+    b, c = F.when(swap, F.col("c")).otherwise(F.col("b")), F.when(swap, F.col("b")).otherwise(F.col("c"))
+    pair = F.explode(F.array(F.struct(F.col("a").alias("a"), b.alias("b")), F.struct(c.alias("a"), F.col("d").alias("b"))))
+    return several.union(two.select("cluster_id", pair.alias("r")).select("cluster_id", "r.a", "r.b"))
 
 
 def median_order(ratios: DataFrame) -> DataFrame:
-    """(cluster_id, rank, a, b, total): ratios by the sum of the distances of
-    their first word to all others of the cluster."""
-    x, y = ratios.alias("x"), ratios.alias("y")
-    pairs = x.join(y, F.col("x.cluster_id") == F.col("y.cluster_id")).select(F.col("x.cluster_id").alias("cluster_id"), F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.a").alias("other"))
-    far = pairs.select("a", "other").distinct().withColumn("d", lcs_distance("a", "other"))
-    total = pairs.join(far, ["a", "other"]).groupBy("cluster_id", "a", "b").agg(F.sum("d").alias("total"))
-    return total.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("total", "a", "b")))
+    """(cluster_id, rank, a, b, total): ratios by the sum of their distances, as
+    written, ``a : b``, to all others of the cluster; exact, of all of them."""
+    written = ratios.select("cluster_id", "a", "b", F.concat("a", F.lit(" : "), "b").alias("r"))
+    x, y = written.alias("x"), written.alias("y")
+    pairs = x.join(y, (F.col("x.cluster_id") == F.col("y.cluster_id")) & (F.col("x.r") < F.col("y.r"))).select(F.col("x.cluster_id").alias("cluster_id"), F.col("x.r").alias("r"), F.col("y.r").alias("other"))
+    far = pairs.select("r", "other").distinct().withColumn("d", lcs_distance("r", "other"))
+    measured = pairs.join(far, ["r", "other"])
+    total = measured.select("cluster_id", "r", "d").union(measured.select("cluster_id", "other", "d")).groupBy("cluster_id", "r").agg(F.sum("d").alias("total"))
+    ordered = written.join(total, ["cluster_id", "r"], "left").select("cluster_id", "a", "b", F.coalesce("total", F.lit(0)).alias("total"))
+    return ordered.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("total", "a", "b")))
 
 
 def attributes(ratios: DataFrame) -> DataFrame:
@@ -214,13 +231,71 @@ def intersection(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def all_distances_agree(ratios: DataFrame) -> DataFrame:
-    """(cluster_id, agree): whether d(a, a') = d(b, b') for all pairs of ratios."""
+    """(cluster_id, agree): whether d(a, a') = d(b, b') for all pairs of ratios,
+    and d(a, b) is the same for all ratios."""
     x, y = ratios.alias("x"), ratios.alias("y")
     pairs = x.join(y, (F.col("x.cluster_id") == F.col("y.cluster_id")) & (F.struct("x.a", "x.b") < F.struct("y.a", "y.b")))
-    agree = lcs_distance("x.a", "y.a") == lcs_distance("x.b", "y.b")
+    agree = (lcs_distance("x.a", "y.a") == lcs_distance("x.b", "y.b")) & (lcs_distance("x.a", "x.b") == lcs_distance("y.a", "y.b"))
     return pairs.select(F.col("x.cluster_id").alias("cluster_id"), agree.alias("agree")).groupBy("cluster_id").agg(F.bool_and("agree").alias("agree"))
 
 
+def no_duplicate_words(ratios: DataFrame) -> DataFrame:
+    """(cluster_id, unique): whether no word is the a, or the b, of two ratios, or both of one."""
+    once = (F.count_distinct("a") == F.count(F.lit(1))) & (F.count_distinct("b") == F.count(F.lit(1))) & F.bool_and(F.col("a") != F.col("b"))
+    return ratios.groupBy("cluster_id").agg(once.alias("unique"))
+
+
+def marked(ratios: DataFrame) -> DataFrame:
+    """(cluster_id, mark): OOO for clusters with duplicate words whose distances
+    agree all the same, XXX for those whose distances do not, else nothing."""
+    both = no_duplicate_words(ratios).join(all_distances_agree(ratios), "cluster_id", "left")
+    return both.select("cluster_id", F.when(F.col("unique"), "").when(F.coalesce("agree", F.lit(True)), "OOO ").otherwise("XXX ").alias("mark"))
+
+
+def look_up(ratios: DataFrame, word: str) -> DataFrame:
+    """(cluster_id) of the clusters that have the word."""
+    return ratios.where((F.col("a") == word) | (F.col("b") == word)).select("cluster_id").distinct()
+
+
+def meeting(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(cluster_id, other_id): pairs of clusters that have a word in common; all
+    other pairs have an empty intersection."""
+    words = lambda r, name: r.select(F.col("cluster_id").alias(name), F.explode(F.array("a", "b")).alias("word")).distinct()
+    return words(one, "cluster_id").join(words(other, "other_id"), "word").select("cluster_id", "other_id").distinct()
+
+
+def empty_intersections(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
+    """The given pairs (cluster_id, other_id) of clusters without a word in common."""
+    return pairs.join(meeting(one, other), ["cluster_id", "other_id"], "left_anti")
+
+
+def gamma_hypothesis(ratios: DataFrame) -> DataFrame:
+    """Clusters of more than two ratios, and those of two a : b :: c : d in which
+    s(x, y) + s(x, z) - |x| is the same for each word x and its two neighbours,
+    where s(x, y) = |x| + |y| - 2 d(x, y)."""
+    whole = Window.partitionBy("cluster_id")
+    sized = ratios.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_k", F.row_number().over(whole.orderBy("a", "b")))
+    two = sized.where("_n = 2").groupBy("cluster_id").agg(*[F.max(F.when(F.col("_k") == k, F.col(c))).alias(name) for k, c, name in ((1, "a", "a"), (1, "b", "b"), (2, "a", "c"), (2, "b", "d"))])
+    same = lambda x, y: F.length(x) + F.length(y) - 2 * lcs_distance(x, y)
+    gamma = [same(x, y) + same(x, z) - F.length(x) for x, y, z in (("a", "b", "c"), ("b", "a", "d"), ("c", "a", "d"), ("d", "b", "c"))]
+    good = two.where((gamma[0] == gamma[1]) & (gamma[1] == gamma[2]) & (gamma[2] == gamma[3])).select("cluster_id")
+    return sized.where("_n > 2").select("cluster_id", "a", "b").union(ratios.join(good, "cluster_id", "left_semi").select("cluster_id", "a", "b"))
+
+
+def neighbours(edges: DataFrame, vertex: int) -> DataFrame:
+    """(v): the vertices that have an edge (a, b) with this one."""
+    return edges.where((F.col("a") == vertex) | (F.col("b") == vertex)).select(F.when(F.col("a") == vertex, F.col("b")).otherwise(F.col("a")).alias("v")).distinct()
+
+
+def random_edges(vertices: DataFrame, share: float = 0.5, seed: int = 0) -> DataFrame:
+    """(a, b), a < b: a symmetric relation that has that share of all pairs of the
+    vertices (v), by a hash of the pair; every pair is thrown for, by definition."""
+    thrown = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "a", "b", F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"), F.lit(1000))
+    every = vertices.select(F.col("v").alias("a"), F.sequence(F.col("v") + 1, F.lit(vertices.agg(F.max("v")).first()[0])).alias("bs"))
+    pairs = every.where(F.col("a") < F.element_at("bs", -1)).select("a", F.explode("bs").alias("b")).join(vertices.select(F.col("v").alias("b")), "b")
+    return pairs.where(thrown < int(share * 1000)).select("a", "b")
+
+
 def discrepancies(ratios: DataFrame) -> DataFrame:
     """(cluster_id, a, b, n): with how many other ratios each one disagrees."""
     x, y = ratios.alias("x"), ratios.alias("y")
@@ -234,6 +309,25 @@ def statistics(ratios: DataFrame) -> DataFrame:
     return ratios.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def report(ratios: DataFrame, classes: DataFrame) -> DataFrame:
+    """(what, size, n): how many classes of equivalents, and how many clusters,
+    are of each size; how many clusters have duplicate words, or distances that
+    do not agree (size is null)."""
+    of_classes = classes.groupBy(F.size("members").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("class").alias("what"), "size", "n")
+    of_clusters = statistics(ratios).select(F.lit("cluster").alias("what"), "size", F.col("freq").alias("n"))
+    bad = lambda df, c, what: df.agg(F.count_if(~F.col(c)).alias("n")).select(F.lit(what).alias("what"), F.lit(None).cast("long").alias("size"), "n")
+    return of_classes.union(of_clusters).union(bad(no_duplicate_words(ratios), "unique", "duplicate words")).union(bad(all_distances_agree(ratios), "agree", "distances differ"))
+
+
+def surface(one: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """(pairs): how many pairs of words a clustering looks at."""
+    n = one.agg(F.count(F.lit(1)).alias("x"))
+    if other is None:
+        return n.select((F.col("x") * (F.col("x") - 1) / 2).cast("long").alias("pairs"))
+    m = other.agg(F.count(F.lit(1)).alias("y"))
+    return n.join(m, F.lit(True)).select((F.col("x") * F.col("y")).alias("pairs"))
+
+
 def paradigm_lexicon(ratios: DataFrame) -> DataFrame:
     """(word, degree, partners)."""
     both = ratios.select(F.col("a").alias("word"), F.col("b").alias("other")).union(ratios.select(F.col("b").alias("word"), F.col("a").alias("other")))
@@ -242,10 +336,10 @@ def paradigm_lexicon(ratios: DataFrame) -> DataFrame:
 
 
 def annotated_lexicon(ratios: DataFrame) -> DataFrame:
-    """(word, notes): the first ratio of each cluster that has the word, with the
+    """(word, notes): the median ratio of each cluster that has the word, with the
     word's side of it in angle brackets."""
-    first = ratios.groupBy("cluster_id").agg(F.min(F.struct("a", "b")).alias("m"))
-    named = ratios.join(first, "cluster_id")
+    median = median_order(ratios).where("rank = 1").select("cluster_id", F.struct("a", "b").alias("m"))
+    named = ratios.join(median, "cluster_id")
     left = named.select(F.col("a").alias("word"), F.concat(F.lit("<"), F.col("m.a"), F.lit("> : "), F.col("m.b")).alias("note"))
     right = named.select(F.col("b").alias("word"), F.concat(F.col("m.a"), F.lit(" : <"), F.col("m.b"), F.lit(">")).alias("note"))
     return left.union(right).groupBy("word").agg(F.array_sort(F.collect_set("note")).alias("notes"))

@@ -176,6 +176,11 @@ def statistics(cells: DataFrame) -> DataFrame:
     return attributes(cells).groupBy("size", "saturation").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def averages(cells: DataFrame) -> DataFrame:
+    """(grids, size, saturation): how many grids, and their mean size and saturation."""
+    return attributes(cells).agg(F.count(F.lit(1)).alias("grids"), F.round(F.avg("size"), 6).alias("size"), F.round(F.avg("saturation"), 6).alias("saturation"))
+
+
 def predictable_words(cells: DataFrame) -> DataFrame:
     """(grid_id, row, col, word): words for the holes, each solved from the first
     rectangle of filled cells (by row, then place) that has a solution."""

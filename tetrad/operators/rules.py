@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def leaves(trees: DataFrame, lang: str = "lang", tree: str = "tree", depth: int = 8) -> DataFrame:
-    """(lang, path, leaf) of JSON trees as text, level by level down to ``depth``."""
+def leaves(trees: DataFrame, lang: str = "lang", tree: str = "tree") -> DataFrame:
+    """(lang, path, leaf) of JSON trees as text, level by level until all are
+    leaves.  A tree is a rule set of a language, so a level is small; each is
+    looked at before the next one is unfolded."""
     inner = T.MapType(T.StringType(), T.StringType())
     now = trees.select(F.col(lang).alias("lang"), F.array().cast("array<string>").alias("path"), F.col(tree).alias("node"))
     out = None
-    for _ in range(depth):
+    while True:
         children = F.from_json("node", inner)
-        ends = now.where(children.isNull()).select("lang", "path", F.col("node").alias("leaf"))
+        is_tree = children.isNotNull() & F.trim("node").startswith("{")
+        ends = now.where(~F.coalesce(is_tree, F.lit(False))).select("lang", "path", F.col("node").alias("leaf"))
         out = ends if out is None else out.union(ends)
-        now = now.where(children.isNotNull()).select("lang", "path", F.explode(children).alias("k", "node")).select("lang", F.concat("path", F.array("k")).alias("path"), "node")
-    return out
+        now = now.where(is_tree).select("lang", "path", F.explode(children).alias("k", "node")).select("lang", F.concat("path", F.array("k")).alias("path"), "node")
+        if now.isEmpty():
+            return out
 
 
 def shared_leaves(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -41,3 +45,8 @@ def similarity(one: DataFrame, other: DataFrame) -> DataFrame:
 def assigned(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """Leaves with the changes' leaf where the path is in both."""
     return rows.join(changes.withColumnRenamed("leaf", "_leaf"), ["lang", "path"], "left").select("lang", "path", F.coalesce("_leaf", "leaf").alias("leaf"))
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """(lang, path, value) lines of leaves, as a page or a form shows them."""
+    return rows.select("lang", F.array_join("path", "/").alias("path"), F.concat(F.array_join("path", " > "), F.lit(" = "), "leaf").alias("value"))

@@ -3,18 +3,23 @@ and the languages' dendrogram and communities.
 
 A scorer is a Column function of (model language, a, b, c, d) to a probability.
 The default knows which characters a model language has: an analogy is likely
-if its characters balance and are known.
+if its characters balance and are known.  ``train`` fits a logistic regression
+for each language in its place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tetrad.functions.strings import characters_balance, chars
+from tetrad.functions.strings import characters_balance, chars, lcs_distance
+
+if TYPE_CHECKING:
+    from pyspark.ml.classification import LogisticRegressionModel as Model
 
 Scorer = Callable[[Column, str, str, str, str], Column]
 
@@ -31,15 +36,91 @@ def accuracy(probability: str, truth: str, least: float = 0.5) -> Column:
     return F.avg(((F.col(probability) > least) == F.col(truth)).cast("double"))
 
 
-def matrix(models: DataFrame, quads: DataFrame, scorer: Scorer = rule_scorer) -> DataFrame:
-    """(model_lang, data_lang, acc_valid, acc_invalid): models (lang, alphabet)
-    against quads (lang, a, b, c, d, valid).  Languages are few, so all pairs of
-    them are judged."""
-    pairs = quads.withColumnRenamed("lang", "data_lang").crossJoin(F.broadcast(models.withColumnRenamed("lang", "model_lang")))
+FEATURES = ("balance", "lengths", "across", "along", "known")
+
+
+def features(alphabet: Column | str, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> list[Column]:
+    """What a learned scorer looks at: whether the characters balance, how far the
+    lengths and the distances of a proportion are apart, and the share of
+    characters that the model language knows."""
+    every = F.concat(*[chars(x) for x in (a, b, c, d)])
+    known = F.size(F.filter(every, lambda x: F.array_contains(alphabet, x))) / F.greatest(F.size(every), F.lit(1))
+    lengths = F.abs(F.length(a) + F.length(d) - F.length(b) - F.length(c)).cast("double")
+    across = F.abs(lcs_distance(a, b) - lcs_distance(c, d)).cast("double")
+    along = F.abs(lcs_distance(a, c) - lcs_distance(b, d)).cast("double")
+    return [characters_balance(a, b, c, d).cast("double"), lengths, across, along, known.cast("double")]
+
+
+def train(models: DataFrame, quads: DataFrame, regularisation: float = 0.01) -> dict[str, Model]:
+    """A logistic regression for each language on its own quads (lang, a, b, c, d, valid)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    known = quads.join(models, "lang")
+    rows = known.select("lang", F.col("valid").cast("double").alias("label"), *[F.round(x, 6).alias(n) for n, x in zip(FEATURES, features("alphabet"), strict=True)])
+    # equal rows are one of a weight, so what is gone through again and again is small
+    rows = rows.groupBy("lang", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("lang", "label", "weight", "features").persist()
+    learner = LogisticRegression(regParam=regularisation, standardization=False, weightCol="weight", maxIter=50)
+    out = {r["lang"]: learner.fit(rows.where(F.col("lang") == r["lang"]).coalesce(8)) for r in rows.select("lang").distinct().orderBy("lang").collect()}  # one row a language
+    rows.unpersist()
+    return out
+
+
+def save(models: dict[str, Model], folder: str) -> None:
+    """The learned models, each in a folder of its language's name."""
+    for lang, model in models.items():
+        model.write().overwrite().save(f"{folder}/{lang}")
+
+
+def load(languages: list[str], folder: str) -> dict[str, Model]:
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    return {lang: LogisticRegressionModel.load(f"{folder}/{lang}") for lang in languages}
+
+
+def weights(spark: SparkSession, models: dict[str, Model]) -> DataFrame:
+    """(lang, weights, intercept) of the learned models."""
+    rows = [(lang, [float(x) for x in m.coefficients], float(m.intercept)) for lang, m in models.items()]
+    return spark.createDataFrame(rows, "lang string, weights array<double>, intercept double")
+
+
+def learned(model: Column | str, alphabet: Column | str, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> Column:
+    """Probability by a learned model (a struct of weights and intercept)."""
+    model = F.col(model) if isinstance(model, str) else model
+    score = sum((F.get(model["weights"], F.lit(i)) * x for i, x in enumerate(features(alphabet, a, b, c, d))), start=model["intercept"])
+    return 1 / (1 + F.exp(-score))
+
+
+#: Rows of languages that go to every task at most; more of them meet in a plain join.
+LANGUAGES = 10_000
+
+
+def matrix(models: DataFrame, quads: DataFrame, scorer: Scorer = rule_scorer, mode: str = "full") -> DataFrame:
+    """(model_lang, data_lang, acc_valid, acc_invalid, acc_raw): models (lang,
+    alphabet, and what else the scorer takes) against quads (lang, a, b, c, d,
+    valid).  Languages are few, so all pairs of them are judged; their number is
+    looked at before they go to all tasks.  In mode 'full' a model's language
+    gives scorer and alphabet, in mode 'partial' the data's own gives the alphabet.
+    """
+    if mode not in ("full", "partial"):
+        raise ValueError("mode is full or partial")
+    few = models.limit(LANGUAGES + 1).count() <= LANGUAGES
+    rows = models.withColumnRenamed("lang", "model_lang")
+    data = quads.withColumnRenamed("lang", "data_lang")
+    if mode == "partial":
+        rows = rows.drop("alphabet")
+        data = data.join(models.select(F.col("lang").alias("data_lang"), "alphabet"), "data_lang")
+    pairs = data.crossJoin(F.broadcast(rows) if few else rows)
     scored = pairs.withColumn("p", scorer(F.col("alphabet"), "a", "b", "c", "d"))
     right = ((F.col("p") > 0.5) == F.col("valid")).cast("double")
-    out = scored.groupBy("model_lang", "data_lang").agg(F.avg(F.when(F.col("valid"), right)).alias("acc_valid"), F.avg(F.when(~F.col("valid"), right)).alias("acc_invalid"))
-    return out.select("model_lang", "data_lang", F.round("acc_valid", 6).alias("acc_valid"), F.round("acc_invalid", 6).alias("acc_invalid"))
+    means = {"acc_valid": F.when(F.col("valid"), right), "acc_invalid": F.when(~F.col("valid"), right), "acc_raw": right}
+    return scored.groupBy("model_lang", "data_lang").agg(*[F.round(F.avg(x), 6).alias(n) for n, x in means.items()])
+
+
+def look_up(long: DataFrame, model_lang: str, data_lang: str) -> DataFrame:
+    """One pair's row of a matrix."""
+    return long.where((F.col("model_lang") == model_lang) & (F.col("data_lang") == data_lang))
 
 
 def pivoted(long: DataFrame, languages: list[str], value: str = "acc_invalid") -> DataFrame:

@@ -52,7 +52,7 @@ def tokens(spark: SparkSession, d: str, n: int, lang: str | None = "en") -> Data
     return windows.first_n(counted, ["lang"], [F.desc("n"), "word"], n)
 
 
-def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+def every_token(spark: SparkSession, d: str) -> DataFrame:
     """(lang, word, n): all tokens of all languages."""
     words = table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -60,7 +60,7 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 def all_words(spark: SparkSession, d: str) -> DataFrame:
     """(word): the distinct tokens of all languages."""
-    return vocabulary(spark, d).select("word").distinct()
+    return every_token(spark, d).select("word").distinct()
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:
@@ -81,11 +81,31 @@ RAW = "raw as (select id cluster_id, count(*) over (partition by id) size, a, b
 CORE = f"with {V}, {ALPHA}, {VEC}, {REP}, {PAIR}, {RAW}"
 
 
+#: All tokens of all languages, and the distinct words among them.
+ALL = "t as (select lang, w word, count(*) n from (select lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) w from documents) group by lang, w)"
+WORDS = f"{ALL.replace('t as', 'every as', 1)}, t as (select distinct word from every)"
+ACORE = f"{WORDS}, v as (select word w from t), {ALPHA}, {VEC}"
+
+
 def top(n: int, lang: str | None = "en") -> str:
     where = f"where lang = '{lang}'" if lang else ""
     return f"t as (select lang, w word, count(*) n from (select lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) w from documents {where}) group by lang, w qualify row_number() over (partition by lang order by count(*) desc, w) <= {n})"
 
 
+GRAM = "list_sort(string_split({0}, ''))"
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """Longest common subsequence: rows of the usual table, each a running maximum."""
+    same = f"list_transform(string_split({a}, ''), lambda x: list_transform(string_split({b}, ''), lambda y: (x = y)::int))"
+    row = "list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(above[k], coalesce(above[k - 1], 0) + m[k]))))::int[]"
+    return f"coalesce(list_max(list_reduce([list_transform(string_split({b}, ''), lambda y: 0)] || {same}, lambda above, m: {row})), 0)"
+
+
+def far_sql(a: str, b: str) -> str:
+    return f"(length({a}) + length({b}) - 2 * {lcs_sql(a, b)})::int"
+
+
 TCORE = f"{top(2000)}, v as (select word w from t), {ALPHA}, {VEC}"
 
 # ---- sources and features --------------------------------------------------------
@@ -162,34 +182,34 @@ def shared_alphabet(spark: SparkSession, d: str) -> DataFrame:
     return features.char_vectors(other, letters).select("word", F.array_join("v", ",").alias("v"))
 
 
-@query()
+@query(f"with {V}, {ALPHA}, codes as (select list(b order by bit_count(b::utinyint), b) c from range(256) t(b)), r as (select w, list_transform(string_split(w, ''), lambda x: c[list_position(a, x)]) k from v, alpha, codes) select w word, array_to_string(list_transform(range(8), lambda i: list_sum(list_transform(k, lambda y: (y >> i) & 1))::int), ',') v from r")
 def bit_vectors(spark: SparkSession, d: str) -> DataFrame:
     words = names(spark, d)
     ranks = {c: i for i, c in enumerate(features.symbols(features.alphabet(words), "ch"))}
     return words.select("word", F.array_join(S.bit_vector("word", ranks), ",").alias("v"))
 
 
-@query(f"with {TCORE} select min(w) rep, string_agg(w, ' ' order by w) members from vec group by x")
+@query(f"with {ACORE} select min(w) rep, string_agg(w, ' ' order by w) members from vec group by x")
 def indistinguishables(spark: SparkSession, d: str) -> DataFrame:
-    classes = features.equivalence_classes(features.char_vectors(tokens(spark, d, 2000)))
+    classes = features.equivalence_classes(features.char_vectors(all_words(spark, d)))
     return classes.select("rep", F.array_join("members", " ").alias("members"))
 
 
-@query(f"with {TCORE}, g as (select x, string_agg(w, ' ' order by w) m from vec group by x) select w word, m members from vec join g using (x)")
+@query(f"with {ACORE}, g as (select x, string_agg(w, ' ' order by w) m from vec group by x) select w word, m members from vec join g using (x)")
 def equivalents_of_word(spark: SparkSession, d: str) -> DataFrame:
-    words = tokens(spark, d, 2000).select("word")
+    words = all_words(spark, d)
     found = features.equivalents(words, features.equivalence_classes(features.char_vectors(words)))
     return found.select("word", F.array_join("members", " ").alias("members"))
 
 
-@query(f"with {top(2000)} select word, array_to_string(list_sort(string_split(word, '')), '') alphagram from t")
+@query(f"with {WORDS} select word, array_to_string(list_sort(string_split(word, '')), '') alphagram from t")
 def alphagrams(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d, 2000).select("word", S.alphagram("word").alias("alphagram"))
+    return all_words(spark, d).select("word", S.alphagram("word").alias("alphagram"))
 
 
-@query(f"with {top(2000)} select array_to_string(list_sort(string_split(word, '')), '') alphagram, string_agg(word, ' ' order by word) keys from t group by 1")
+@query(f"with {WORDS} select array_to_string(list_sort(string_split(word, '')), '') alphagram, string_agg(word, ' ' order by word) keys from t group by 1")
 def inverse_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokens(spark, d, 2000).select("word", S.alphagram("word").alias("alphagram"))
+    rows = all_words(spark, d).select("word", S.alphagram("word").alias("alphagram"))
     return features.inverse(rows, "word", "alphagram").select("alphagram", F.array_join("keys", " ").alias("keys"))
 
 
@@ -212,15 +232,16 @@ def character_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return features.vocabulary(names(spark, d)).select("ch", F.col("id").cast("int").alias("id"))
 
 
-@query(f"with {top(300, None)} select lang, word, not regexp_matches(word, '[^\\x00-\\x7F]') is_ascii, regexp_replace(word, '[^\\x00-\\x7F]', '?', 'g') masked, strlen(word) utf8_bytes from t")
+@query(f"with {ALL} select lang, word, not regexp_matches(word, '[^\\x00-\\x7F]') is_ascii, regexp_replace(word, '[^\\x00-\\x7F]', '?', 'g') masked, strlen(word) utf8_bytes from t")
 def ascii_checks(spark: SparkSession, d: str) -> DataFrame:
-    t = tokens(spark, d, 300, None)
+    t = every_token(spark, d)
     return t.select("lang", "word", S.is_ascii("word").alias("is_ascii"), S.mask_non_ascii("word").alias("masked"), S.utf8_size("word").cast("long").alias("utf8_bytes"))
 
 
-@query("select event_id, (event_id // 3600) || ':' || lpad(((event_id // 60) % 60)::varchar, 2, '0') || ':' || lpad((event_id % 60)::varchar, 2, '0') t, case when event_type in ('view', 'click') then null else null end::boolean truth from events")
+@query("select event_id, (event_id // 3600) || ':' || lpad(((event_id // 60) % 60)::varchar, 2, '0') || ':' || lpad((event_id % 60)::varchar, 2, '0') t, case event_id % 7 when 0 then true when 1 then false when 2 then true when 3 then false when 4 then true when 5 then false end::boolean truth from events")
 def durations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", S.duration("event_id").alias("t"), S.truth("event_type").alias("truth"))
+    said = F.element_at(F.array(*[F.lit(x) for x in ("yes", "No", "T", "n", "1", "0", "maybe")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", S.duration("event_id").alias("t"), S.truth(said).alias("truth"))
 
 
 # ---- clusters ----------------------------------------------------------------------
@@ -248,10 +269,11 @@ def cross_file_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.raw_clusters(v.where("word < 'm'"), other=v.where("word >= 'm'"))
 
 
-@query(f"{CORE}, f as (select min(w) w from rep) select cluster_id, size, a, b from raw where cluster_id in (select cluster_id from raw, f where a = w or b = w)")
+@query(f"{CORE}, f as (select min(w) w from rep) select cluster_id, size, a, b from raw where cluster_id in (select cluster_id from raw, f where {GRAM.format('a')} = {GRAM.format('w')} or {GRAM.format('b')} = {GRAM.format('w')})")
 def focus_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The word is given backwards: it is found by its letters."""
     v = features.representatives(features.char_vectors(names(spark, d)))
-    return clusters.raw_clusters(v, focus=v.agg(F.min("word")).first()[0])
+    return clusters.raw_clusters(v, focus=v.agg(F.min("word")).first()[0][::-1])
 
 
 @query(f"{CORE} select cluster_id, size, a, b from raw where size between 3 and 20")
@@ -266,13 +288,19 @@ def clusters_of_2000_tokens(spark: SparkSession, d: str) -> DataFrame:
     return clusters.statistics(clusters.raw_clusters(features.representatives(features.char_vectors(tokens(spark, d, 2000)))))
 
 
-@query()
+REST = "array_to_string(list_filter(string_split({0}, ''), lambda c: length({0}) - length(replace({0}, c, '')) = length({1}) - length(replace({1}, c, ''))), '')"
+
+
+@query(f"{CORE}, p as (select distinct a, b from raw), f as (select a, b, {far_sql('a', 'b')} d from p) select a, b, d, d d_arrow, {REST.format('a', 'b')} = {REST.format('b', 'a')} common_rest from f")
 def lcs_distances(spark: SparkSession, d: str) -> DataFrame:
     pairs = ratios(spark, d).select("a", "b").distinct()
     return pairs.select("a", "b", S.lcs_distance("a", "b").alias("d"), S.lcs_distance_arrow("a", "b").alias("d_arrow"), S.common_rest("a", "b").alias("common_rest"))
 
 
-@query()
+FAR = f"{CORE}, f as (select a, b, {far_sql('a', 'b')} d from (select distinct a, b from raw))"
+
+
+@query(f"{FAR} select cluster_id, d, a, b from raw join f using (a, b) qualify count(*) over (partition by cluster_id, d) >= 2")
 def horizontal_split(spark: SparkSession, d: str) -> DataFrame:
     return clusters.horizontal_split(ratios(spark, d))
 
@@ -303,22 +331,21 @@ def paradigm_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return clusters.paradigm_lexicon(ratios(spark, d)).select("word", "degree", F.array_join("partners", ",").alias("partners"))
 
 
-@query(f"{CORE}, m as (select cluster_id, min((a, b)) r from raw group by cluster_id), o as (select a word, '<' || r[1] || '> : ' || r[2] note from raw join m using (cluster_id) union select b, r[1] || ' : <' || r[2] || '>' from raw join m using (cluster_id)) select word, string_agg(note, ',' order by note) notes from o group by word")
-def annotated_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.annotated_lexicon(ratios(spark, d)).select("word", F.array_join("notes", ",").alias("notes"))
+NORMAL = f"{CORE}, k as (select *, row_number() over (partition by cluster_id order by a, b) k, length(first_value(a) over o) > length(first_value(b) over o) turn from raw window o as (partition by cluster_id order by a, b)), u as (select cluster_id, size, k, case when turn then b else a end a, case when turn then a else b end b from k), two as (select x.cluster_id, x.a, x.b, y.a c, y.b d, {lcs_sql('x.a', 'x.b')} < {lcs_sql('x.a', 'y.a')} swap from u x join u y using (cluster_id) where x.size = 2 and x.k = 1 and y.k = 2)"
 
 
-@query(f"{CORE}, f as (select cluster_id, min((a, b)) r from raw group by cluster_id) select cluster_id, case when length(r[1]) > length(r[2]) then b else a end a, case when length(r[1]) > length(r[2]) then a else b end b from raw join f using (cluster_id)")
+@query(f"{NORMAL} select cluster_id, a, b from u where size > 2 union all select cluster_id, a, case when swap then c else b end, from two union all select cluster_id, case when swap then b else c end, d from two")
 def normalized_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.normalized(ratios(spark, d))
 
 
-@query()
-def cluster_attributes(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.attributes(ratios(spark, d))
+MINUS = "array_to_string(list_transform(list_sort(list_distinct(string_split({0}, ''))), lambda c: repeat(c, greatest(length({0}) - length(replace({0}, c, '')) - length({1}) + length(replace({1}, c, '')), 0))), '')"
+ATTR = f"{CORE}, f1 as (select cluster_id, min((a, b)) r from raw group by cluster_id), f2 as (select cluster_id, r[1] a, r[2] b from f1), attr as (select cluster_id, {far_sql('a', 'b')} distance, {MINUS.format('a', 'b')} left_diff, {MINUS.format('b', 'a')} right_diff from f2)"
 
 
-MINUS = "array_to_string(list_transform(list_sort(list_distinct(string_split({0}, ''))), lambda c: repeat(c, greatest(length({0}) - length(replace({0}, c, '')) - length({1}) + length(replace({1}, c, '')), 0))), '')"
+@query(f"{ATTR} select * from attr")
+def cluster_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.attributes(ratios(spark, d))
 
 
 @query(f"{CORE} select distinct a, b, {MINUS.format('a', 'b')} left_diff, {MINUS.format('b', 'a')} right_diff from raw")
@@ -327,23 +354,35 @@ def multiset_differences(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", S.multiset_minus("a", "b").alias("left_diff"), S.multiset_minus("b", "a").alias("right_diff"))
 
 
-@query()
+@query(f"{ATTR}, big as (select attr.* from attr where cluster_id in (select cluster_id from raw where size >= 4)) select x.cluster_id, y.cluster_id other_id from attr x join big y using (distance, left_diff, right_diff)")
 def cluster_intersection(spark: SparkSession, d: str) -> DataFrame:
     r = ratios(spark, d)
     return clusters.intersection(r, r.where("size >= 4"))
 
 
-@query()
+TOTAL = f"{CORE}, w as (select cluster_id, a, b, a || ' : ' || b r from raw), tot as (select x.cluster_id, x.a, x.b, sum({far_sql('x.r', 'y.r')})::bigint total from w x join w y using (cluster_id) group by all), med as (select cluster_id, a, b, total, row_number() over (partition by cluster_id order by total, a, b)::int as rank from tot)"
+
+
+@query(f"{TOTAL} select * from med")
 def median_ratio_order(spark: SparkSession, d: str) -> DataFrame:
     return clusters.median_order(ratios(spark, d).drop("size"))
 
 
-@query()
+@query(f"{TOTAL}, o as (select raw.a word, '<' || med.a || '> : ' || med.b note from raw join med using (cluster_id) where rank = 1 union select raw.b, med.a || ' : <' || med.b || '>' from raw join med using (cluster_id) where rank = 1) select word, string_agg(note, ',' order by note) notes from o group by word")
+def annotated_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.annotated_lexicon(ratios(spark, d)).select("word", F.array_join("notes", ",").alias("notes"))
+
+
+TWO = "raw x join raw y on x.cluster_id = y.cluster_id and (x.a, x.b) < (y.a, y.b)"
+AGREE = f"{far_sql('x.a', 'y.a')} = {far_sql('x.b', 'y.b')} and {far_sql('x.a', 'x.b')} = {far_sql('y.a', 'y.b')}"
+
+
+@query(f"{CORE} select x.cluster_id, bool_and({AGREE}) agree from {TWO} group by x.cluster_id")
 def agreeing_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.all_distances_agree(ratios(spark, d).drop("size"))
 
 
-@query()
+@query(f"{CORE} select x.cluster_id, x.a, x.b, sum(({far_sql('x.a', 'y.a')} <> {far_sql('x.b', 'y.b')})::int)::bigint n from raw x join raw y on x.cluster_id = y.cluster_id and (x.a, x.b) <> (y.a, y.b) group by all")
 def cluster_discrepancies(spark: SparkSession, d: str) -> DataFrame:
     return clusters.discrepancies(ratios(spark, d).drop("size"))
 
@@ -386,7 +425,7 @@ def cluster_analogies(spark: SparkSession, d: str) -> DataFrame:
     return analogies.of_clusters(ratios(spark, d), check=False)
 
 
-@query()
+@query(f"{CORE}, {QUAD} select cluster_id, a, b, c, d from quad where {far_sql('a', 'b')} = {far_sql('c', 'd')} and {far_sql('a', 'c')} = {far_sql('b', 'd')}")
 def valid_analogies(spark: SparkSession, d: str) -> DataFrame:
     return analogies.of_clusters(ratios(spark, d))
 
@@ -397,18 +436,18 @@ def char_constraint(spark: SparkSession, d: str) -> DataFrame:
     return q.select("a", "b", "c", "d", S.characters_balance("a", "b", "c", "d").alias("balance"), S.covers("a", "b", "c").alias("covered"))
 
 
-PAIRS = f"{MSD}, p as (select brand, id, row_number() over (partition by brand order by id) - 1 p, 2000 // count(*) over (partition by brand) k from m), ij as (select x.brand brand, x.id i, y.id j from p x join p y on x.brand = y.brand and y.p >= x.p and y.p < x.p + x.k)"
+PAIRS = f"{MSD}, p as (select brand, id, row_number() over (partition by brand order by id) - 1 p, {analogies.PAIRS} // count(*) over (partition by brand) k from m), ij as (select x.brand brand, x.id i, y.id j from p x join p y on x.brand = y.brand and y.p >= x.p and y.p < x.p + x.k)"
 PQUAD = f"{PAIRS}, q as (select i, j, x.lemma a, x.form b, y.lemma c, y.form d from ij join m x on x.id = i join m y on y.id = j)"
 
 
 @query(f"with {PAIRS} select brand, i, j from ij")
 def msd_class_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return analogies.class_pairs(tagged(spark, d), "brand", "id", pairs=2000)
+    return analogies.class_pairs(tagged(spark, d), "brand", "id")
 
 
 def quads(spark: SparkSession, d: str) -> DataFrame:
     rows = tagged(spark, d)
-    return analogies.of_pairs(analogies.class_pairs(rows, "brand", "id", pairs=2000), rows, "id", "lemma", "form")
+    return analogies.of_pairs(analogies.class_pairs(rows, "brand", "id"), rows, "id", "lemma", "form")
 
 
 def _orders(orders: tuple[str, ...], source: str) -> str:
@@ -434,36 +473,6 @@ def balanced_negatives(spark: SparkSession, d: str) -> DataFrame:
     return analogies.balanced_negatives(quads(spark, d), ["i", "j"]).select("i", "j", "of", "form", "a", "b", "c", "d")
 
 
-#: The band of the operator itself, 1,000,000 pairs a class.
-PAIRS_ALL = PAIRS.replace("2000 //", f"{analogies.PAIRS} //")
-PQUAD_ALL = PQUAD.replace(PAIRS, PAIRS_ALL)
-
-
-@query(SQL["msd_class_pairs"].replace(PAIRS, PAIRS_ALL))
-def msd_class_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    return analogies.class_pairs(tagged(spark, d), "brand", "id")
-
-
-def quads_all(spark: SparkSession, d: str) -> DataFrame:
-    rows = tagged(spark, d)
-    return analogies.of_pairs(analogies.class_pairs(rows, "brand", "id"), rows, "id", "lemma", "form")
-
-
-@query(SQL["enrich_quads"].replace(PQUAD, PQUAD_ALL))
-def enrich_quads_all(spark: SparkSession, d: str) -> DataFrame:
-    return analogies.enriched(quads_all(spark, d))
-
-
-@query(SQL["negative_quads"].replace(PQUAD, PQUAD_ALL))
-def negative_quads_all(spark: SparkSession, d: str) -> DataFrame:
-    return analogies.negatives(quads_all(spark, d))
-
-
-@query(SQL["balanced_negatives"].replace(PQUAD, PQUAD_ALL))
-def balanced_negatives_all(spark: SparkSession, d: str) -> DataFrame:
-    return analogies.balanced_negatives(quads_all(spark, d), ["i", "j"]).select("i", "j", "of", "form", "a", "b", "c", "d")
-
-
 @query()
 def solve_analogies(spark: SparkSession, d: str) -> DataFrame:
     q = analogies.of_clusters(ratios(spark, d), check=False)
@@ -510,7 +519,8 @@ def grid_sink(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pretty_grids(spark: SparkSession, d: str) -> DataFrame:
-    return text.pretty_grids(_cells(spark, d))
+    cells = _cells(spark, d)
+    return text.pretty_grids(cells, grids.attributes(cells))
 
 
 @query()
@@ -542,14 +552,14 @@ def top_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens(spark, d, 50, None)
 
 
-@query(f"with {top(2000)} select word from t order by md5(word || '|0'), word limit 100")
+@query(f"with {WORDS} select word from t order by md5(word || '|0'), word limit 100")
 def random_sample_100(spark: SparkSession, d: str) -> DataFrame:
-    return windows.sample(tokens(spark, d, 2000).select("word"), ["word"], 100)
+    return windows.sample(all_words(spark, d), ["word"], 100)
 
 
-@query(f"with {top(500, None)} select lang, word from t qualify row_number() over (partition by lang order by md5(lang || '|' || word || '|0'), lang, word) <= 20")
+@query(f"with {ALL} select lang, word from t qualify row_number() over (partition by lang order by md5(lang || '|' || word || '|0'), lang, word) <= 20")
 def sample_each_language(spark: SparkSession, d: str) -> DataFrame:
-    return windows.sample_each(tokens(spark, d, 500, None).select("lang", "word"), ["lang"], ["lang", "word"], 20)
+    return windows.sample_each(every_token(spark, d).select("lang", "word"), ["lang"], ["lang", "word"], 20)
 
 
 @query(f"with {V}, s as (select w, row_number() over (order by w) - 1 r, count(*) over () c from v) select w word from range(10) t(k) join s on r = ('0x' || substr(md5(k || '|0'), 1, 8))::bigint % c")
@@ -557,9 +567,9 @@ def examples_with_replacement(spark: SparkSession, d: str) -> DataFrame:
     return windows.sample_with_replacement(names(spark, d), "word", 10)
 
 
-@query(f"with {top(2000)} select word, case when ('0x' || substr(md5(word || '|42'), 1, 8))::bigint % 1000 < 700 then 'train' else 'test' end part from t")
+@query(f"with {WORDS} select word, case when ('0x' || substr(md5(word || '|42'), 1, 8))::bigint % 1000 < 700 then 'train' else 'test' end part from t")
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
-    return windows.split(tokens(spark, d, 2000).select("word"), ["word"])
+    return windows.split(all_words(spark, d), ["word"])
 
 
 # ---- rules, languages, JSON ----------------------------------------------------------------
@@ -592,21 +602,22 @@ def json_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LANGS = f"{top(40, None)}, al as (select lang, list(distinct c) alphabet from (select lang, unnest(string_split(word, '')) c from t) group by lang), r as (select lang, word, row_number() over (partition by lang order by n desc, word) k from t), q as (select x.lang lang, x.word a, x.word || 's' b, y.word c, y.word || 's' d, true valid from r x join r y on x.lang = y.lang and y.k = x.k + 1 union all select x.lang, x.word, x.word || 's', y.word, y.word || 'st', false from r x join r y on x.lang = y.lang and y.k = x.k + 1)"
-SCORED = f"{LANGS}, s as (select al.lang model_lang, q.lang data_lang, valid, case when {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} then case when list_has_all(alphabet, string_split(a || b || c || d, '')) then 0.9 else 0.6 end else 0.1 end p from q, al), mx as (select model_lang, data_lang, round(avg(((p > 0.5) = valid)::int) filter (valid), 6) acc_valid, round(avg(((p > 0.5) = valid)::int) filter (not valid), 6) acc_invalid from s group by model_lang, data_lang)"
-
-
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _matrix_of(tokens(spark, d, 40, None))
+LANGS = f"{ALL}, al as (select lang, list(distinct c) alphabet from (select lang, unnest(string_split(word, '')) c from t) group by lang), r as (select lang, word, row_number() over (partition by lang order by n desc, word) k from t), q as (select x.lang lang, x.word a, x.word || 's' b, y.word c, y.word || 's' d, true valid from r x join r y on x.lang = y.lang and y.k = x.k + 1 union all select x.lang, x.word, x.word || 's', y.word, y.word || 'st', false from r x join r y on x.lang = y.lang and y.k = x.k + 1)"
+SCORED = f"{LANGS}, s as (select al.lang model_lang, q.lang data_lang, valid, case when {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} then case when list_has_all(alphabet, string_split(a || b || c || d, '')) then 0.9 else 0.6 end else 0.1 end p from q, al), mx as (select model_lang, data_lang, round(avg(((p > 0.5) = valid)::int) filter (valid), 6) acc_valid, round(avg(((p > 0.5) = valid)::int) filter (not valid), 6) acc_invalid, round(avg(((p > 0.5) = valid)::int), 6) acc_raw from s group by model_lang, data_lang)"
 
 
-def _matrix_of(t: DataFrame) -> DataFrame:
+def _quads(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Languages with their alphabets, and analogies of each language's words in a row, half of them false."""
     models = t.select("lang", F.explode(S.chars("word")).alias("ch")).groupBy("lang").agg(F.collect_set("ch").alias("alphabet"))
     ranked = windows.numbered(t, ["lang"], [F.desc("n"), "word"], "k")
     x, y = ranked.alias("x"), ranked.alias("y")
     pairs = x.join(y, (F.col("x.lang") == F.col("y.lang")) & (F.col("y.k") == F.col("x.k") + 1)).select(F.col("x.lang").alias("lang"), F.col("x.word").alias("a"), F.col("y.word").alias("c"))
     made = pairs.select("lang", "a", F.concat("a", F.lit("s")).alias("b"), "c", F.explode(F.array(F.struct(F.concat("c", F.lit("s")).alias("d"), F.lit(True).alias("valid")), F.struct(F.concat("c", F.lit("st")).alias("d"), F.lit(False).alias("valid")))).alias("o"))
-    return transfer.matrix(models, made.select("lang", "a", "b", "c", "o.d", "o.valid"))
+    return models, made.select("lang", "a", "b", "c", "o.d", "o.valid")
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return transfer.matrix(*_quads(every_token(spark, d)))
 
 
 @query(f"with {SCORED} select * from mx")
@@ -634,87 +645,215 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return transfer.communities(transfer.adjacency(_matrix(spark, d), "acc_valid"))
 
 
-# ---- the whole vocabulary --------------------------------------------------------------------
+@query(f"with {SCORED} select * from mx where model_lang = 'de' and data_lang = 'fr'")
+def transfer_cell(spark: SparkSession, d: str) -> DataFrame:
+    return transfer.look_up(_matrix(spark, d), "de", "fr")
 
 
-ALL = "t as (select lang, w word, count(*) n from (select lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) w from documents) group by lang, w)"
-#: The distinct words in place of the ranked ones.
-WORDS = f"{ALL.replace('t as', 'every as', 1)}, t as (select distinct word from every)"
+@query()
+def learned_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A logistic regression for each language, judged on all languages' analogies."""
+    models, quads = _quads(every_token(spark, d))
+    weights = transfer.weights(spark, transfer.train(models, quads))
+    known = models.join(weights, "lang").select("lang", "alphabet", F.struct("weights", "intercept").alias("model"))
+    return transfer.matrix(known, quads, lambda alphabet, a, b, c, d: transfer.learned("model", alphabet, a, b, c, d))
 
 
-def _whole(name: str) -> str:
-    """SQL of a query on ranked tokens, on the whole vocabulary."""
-    out = SQL[name]
-    for n, lang, other in ((2000, "en", WORDS), (300, None, ALL), (500, None, ALL), (40, None, ALL)):
-        out = out.replace(top(n, lang), other)
-    return out
+@query("with " + SCORED.split(", s as (")[0].removeprefix("with ") + f", s as (select m.lang model_lang, q.lang data_lang, valid, case when {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} then case when list_has_all(al.alphabet, string_split(a || b || c || d, '')) then 0.9 else 0.6 end else 0.1 end p from q join al using (lang), al m) select model_lang, data_lang, round(avg(((p > 0.5) = valid)::int) filter (valid), 6) acc_valid, round(avg(((p > 0.5) = valid)::int) filter (not valid), 6) acc_invalid, round(avg(((p > 0.5) = valid)::int), 6) acc_raw from s group by model_lang, data_lang")
+def partial_transfer(spark: SparkSession, d: str) -> DataFrame:
+    return transfer.matrix(*_quads(every_token(spark, d)), mode="partial")
 
 
-@query(_whole("indistinguishables"))
-def indistinguishables_all(spark: SparkSession, d: str) -> DataFrame:
-    classes = features.equivalence_classes(features.char_vectors(all_words(spark, d)))
-    return classes.select("rep", F.array_join("members", " ").alias("members"))
+CHANGED = "(values ('two', ['V','PST','3'], 'tet'), ('one', ['X'], 'y'))"
 
 
-@query(_whole("equivalents_of_word"))
-def equivalents_of_word_all(spark: SparkSession, d: str) -> DataFrame:
-    words = all_words(spark, d)
-    found = features.equivalents(words, features.equivalence_classes(features.char_vectors(words)))
-    return found.select("word", F.array_join("members", " ").alias("members"))
+@query(f"with {LEAVES}, ch(lang, path, leaf) as (select * from {CHANGED}) select l.lang, array_to_string(l.path, '/') path, array_to_string(l.path, ' > ') || ' = ' || coalesce(ch.leaf, l.leaf) value from leaves l left join ch on l.lang = ch.lang and l.path = ch.path")
+def changed_rules(spark: SparkSession, d: str) -> DataFrame:
+    changes = spark.createDataFrame([("two", ["V", "PST", "3"], "tet"), ("one", ["X"], "y")], "lang string, path array<string>, leaf string")
+    return rules.rendered(rules.assigned(_leaves(spark), changes))
 
 
-@query(_whole("alphagrams"))
-def alphagrams_all(spark: SparkSession, d: str) -> DataFrame:
-    return all_words(spark, d).select("word", S.alphagram("word").alias("alphagram"))
+# ---- files read and written -----------------------------------------------------------------
 
 
-@query(_whole("inverse_dictionary"))
-def inverse_dictionary_all(spark: SparkSession, d: str) -> DataFrame:
-    rows = all_words(spark, d).select("word", S.alphagram("word").alias("alphagram"))
-    return features.inverse(rows, "word", "alphagram").select("alphagram", F.array_join("keys", " ").alias("keys"))
+EQUAL = "string_agg(w, ' == ' order by w)"
 
 
-@query(_whole("ascii_checks"))
-def ascii_checks_all(spark: SparkSession, d: str) -> DataFrame:
-    t = vocabulary(spark, d)
-    return t.select("lang", "word", S.is_ascii("word").alias("is_ascii"), S.mask_non_ascii("word").alias("masked"), S.utf8_size("word").cast("long").alias("utf8_bytes"))
+@query(f"with {ACORE}, g as (select x, min(w) w, count(*) n, {EQUAL} m from vec group by x) select '# ' || m as value from g where n > 1 union all select w || chr(9) || '(' || array_to_string(x, ', ') || ')' from g")
+def vector_file(spark: SparkSession, d: str) -> DataFrame:
+    return text.vector_file(features.char_vectors(all_words(spark, d)))
 
 
-@query(_whole("random_sample_100"))
-def random_sample_100_all(spark: SparkSession, d: str) -> DataFrame:
-    return windows.sample(all_words(spark, d), ["word"], 100)
+@query(f"with {ACORE}, g as (select x, min(w) w from vec group by x) select w word, array_to_string(x, ',') v from g")
+def vector_file_source(spark: SparkSession, d: str) -> DataFrame:
+    back = text.vectors(text.vector_file(features.char_vectors(all_words(spark, d))))
+    return back.select("word", F.array_join("v", ",").alias("v"))
 
 
-@query(_whole("sample_each_language"))
-def sample_each_language_all(spark: SparkSession, d: str) -> DataFrame:
-    return windows.sample_each(vocabulary(spark, d).select("lang", "word"), ["lang"], ["lang", "word"], 20)
+@query(f"with {ACORE}, g as (select min(w) rep, count(*) n, string_agg(w, ' ' order by w) members from vec group by x) select rep, members from g where n > 1")
+def equivalents_source(spark: SparkSession, d: str) -> DataFrame:
+    back = text.equivalents(text.vector_file(features.char_vectors(all_words(spark, d))))
+    return back.select("rep", F.array_join("members", " ").alias("members"))
 
 
-@query(_whole("train_test_split"))
-def train_test_split_all(spark: SparkSession, d: str) -> DataFrame:
-    return windows.split(all_words(spark, d), ["word"])
+@query(f"{CORE} select cluster_id, size, a, b from raw")
+def clusters_of_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the vectors that a file holds."""
+    lines = text.vector_file(features.char_vectors(names(spark, d)))
+    return clusters.raw_clusters(text.vectors(lines))
+
+
+MARKS = f"dup as (select cluster_id, count(distinct a) = count(*) and count(distinct b) = count(*) and bool_and(a <> b) \"unique\" from raw group by cluster_id), agr as (select x.cluster_id, bool_and({AGREE}) agree from {TWO} group by x.cluster_id), mark as (select cluster_id, case when \"unique\" then '' when agree then 'OOO ' else 'XXX ' end mark from dup join agr using (cluster_id))"
+
+
+@query(f"{CORE}, {MARKS} select size, cluster_id, size || chr(9) || mark || string_agg(a || ' : ' || b, ' :: ' order by a, b) as value from raw join mark using (cluster_id) group by size, cluster_id, mark")
+def marked_cluster_sink(spark: SparkSession, d: str) -> DataFrame:
+    r = ratios(spark, d).select("cluster_id", "a", "b")
+    rows = windows.numbered(r, ["cluster_id"], ["a", "b"], "pos")
+    return text.cluster_lines(rows, marks=clusters.marked(r), sizes=True).select(F.col("size").cast("long").alias("size"), "cluster_id", "value")
+
+
+@query(f"{CORE}, s as (select string_agg(a || ' : ' || b, ' :: ' order by a, b) line, list((a, b)) r from raw group by cluster_id), u as (select line cluster_id, unnest(r) r from s) select cluster_id, r[1] a, r[2] b from u")
+def cluster_file(spark: SparkSession, d: str) -> DataFrame:
+    """A file with the equivalents' header, sizes and marks, read again."""
+    r = ratios(spark, d).select("cluster_id", "a", "b")
+    head = text.equivalent_lines(features.equivalence_classes(features.char_vectors(names(spark, d))))
+    rows = windows.numbered(r, ["cluster_id"], ["a", "b"], "pos")
+    lines = text.concatenated(head, text.cluster_lines(rows, marks=clusters.marked(r), sizes=True).select("value"))
+    return text.cluster_file(lines)[1].select("cluster_id", "a", "b")
+
+
+@query(f"{CORE}, every as (select distinct x.a, x.b, y.a c, y.b d from {TWO}) select a, b, c, d from every where not ((a = b and c = d) or (a = c and b = d)) and {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} and {far_sql('a', 'b')} = {far_sql('c', 'd')} and {far_sql('a', 'c')} = {far_sql('b', 'd')}")
+def analogy_source(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of all pairs of a cluster's ratios, read again without the invalid and trivial ones."""
+    x, y = ratios(spark, d).alias("x"), ratios(spark, d).alias("y")
+    pairs = x.join(y, (F.col("x.cluster_id") == F.col("y.cluster_id")) & (F.struct("x.a", "x.b") < F.struct("y.a", "y.b")))
+    lines = pairs.select(F.concat("x.a", F.lit(" : "), "x.b", F.lit(" :: "), "y.a", F.lit(" : "), "y.b").alias("value"))
+    return text.analogies(lines)
+
+
+@query("select p_type lemma, p_name form, p_brand || ';' || p_size msd, 2 n from part")
+def triples_source(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of lemma, form and features, and some that are none, read again."""
+    part = table(spark, d, "part")
+    lines = part.select(F.concat_ws("\t", "p_type", "p_name", F.concat_ws(";", "p_brand", F.col("p_size").cast("string"))).alias("value"))
+    bad = part.select(F.concat_ws("\t", "p_type", "p_name").alias("value"))
+    return text.sigmorphon(text.concatenated(lines, bad)).select("lemma", "form", "msd", F.size("feats").alias("n"))
+
+
+@query("select p_type lemma, p_brand msd from part")
+def blind_source(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    lines = text.concatenated(part.select(F.concat_ws("\t", "p_type", "p_brand").alias("value")), part.select(F.col("p_name").alias("value")))
+    return text.blind(lines)
+
+
+@query(f"with {V} select w word from v union all select distinct p_type from part")
+def shuffled_words(spark: SparkSession, d: str) -> DataFrame:
+    other = table(spark, d, "part").select(F.col("p_type").alias("word")).distinct()
+    return text.shuffled(text.concatenated(names(spark, d), other))
+
+
+MARKDOWN = ["| Family | Language | Code |", "|---|---|---|", "| Indo-European | English | eng |", "| | German | deu |", "| Uralic | Finnish | fin |", "| | Hungarian | hun |"]
+
+
+@query("select * from (values ('eng', 'germanic', 'English'), ('deu', 'germanic', 'German'), ('fin', 'uralic', 'Finnish'), ('hun', 'uralic', 'Hungarian')) t(code, family, name)")
+def language_table(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.createDataFrame(list(enumerate(MARKDOWN, 1)), "line_no int, value string")
+    return text.markdown_languages(lines)
 
 
-@query(_whole("transfer_matrix"))
-def transfer_matrix_all(spark: SparkSession, d: str) -> DataFrame:
-    return _matrix_of(vocabulary(spark, d))
+# ---- more about clusters ------------------------------------------------------------------------
 
 
-@query(_whole("transfer_pivot"))
-def transfer_pivot_all(spark: SparkSession, d: str) -> DataFrame:
-    return transfer.pivoted(_matrix_of(vocabulary(spark, d)), ["de", "en", "es", "fr"], "acc_valid")
+@query(f"{CORE}, {MARKS} select cluster_id, \"unique\" from dup")
+def no_duplicate_words(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.no_duplicate_words(ratios(spark, d))
 
 
-@query(_whole("language_adjacency"))
-def language_adjacency_all(spark: SparkSession, d: str) -> DataFrame:
-    return transfer.adjacency(_matrix_of(vocabulary(spark, d)))
+@query(f"{CORE}, f as (select min(w) w from rep) select distinct cluster_id from raw, f where a = w or b = w")
+def clusters_with_word(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.look_up(ratios(spark, d), names(spark, d).agg(F.min("word")).first()[0])
+
+
+LARGE = "lw as (select distinct cluster_id, unnest([a, b]) w from raw where size >= 8), sw as (select distinct cluster_id, unnest([a, b]) w from raw where size between 2 and 3), meet as (select distinct lw.cluster_id, sw.cluster_id other_id from lw join sw using (w))"
+
+
+@query(f"{CORE}, {LARGE} select * from meet")
+def meeting_clusters(spark: SparkSession, d: str) -> DataFrame:
+    r = ratios(spark, d)
+    return clusters.meeting(r.where("size >= 8"), r.where("size between 2 and 3"))
+
+
+@query(f"{CORE}, {LARGE}, p as (select x.cluster_id, y.cluster_id other_id from (select cluster_id, min(length(a)) n from raw where size >= 8 group by cluster_id) x join (select cluster_id, min(length(a)) n from raw where size between 2 and 3 group by cluster_id) y using (n)) select * from p anti join meet using (cluster_id, other_id)")
+def empty_intersections(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pairs of a large and a small cluster whose shortest words are as long."""
+    r = ratios(spark, d)
+    large, small = r.where("size >= 8"), r.where("size between 2 and 3")
+    shortest = lambda df, name: df.groupBy(F.col("cluster_id").alias(name)).agg(F.min(F.length("a")).alias("n"))
+    pairs = shortest(large, "cluster_id").join(shortest(small, "other_id"), "n").select("cluster_id", "other_id")
+    return clusters.empty_intersections(pairs, large, small)
+
+
+def _same(x: str, y: str) -> str:
+    return f"(length({x}) + length({y}) - 2 * {far_sql(x, y)})"
+
+
+GAMMA = [f"{_same(x, y)} + {_same(x, z)} - length({x})" for x, y, z in (("a", "b", "c"), ("b", "a", "d"), ("c", "a", "d"), ("d", "b", "c"))]
+
+
+@query(f"{CORE}, two as (select x.cluster_id, x.a, x.b, y.a c, y.b d from {TWO} where x.size = 2), good as (select cluster_id from two where {GAMMA[0]} = {GAMMA[1]} and {GAMMA[1]} = {GAMMA[2]} and {GAMMA[2]} = {GAMMA[3]}) select cluster_id, a, b from raw where size > 2 or cluster_id in (from good)")
+def gamma_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.gamma_hypothesis(ratios(spark, d).drop("size"))
+
+
+@query(f"{CORE}, {MARKS}, c as (select count(*) size from vec group by x), k as (select count(*) size from raw group by cluster_id) select 'class' what, size, count(*) n from c group by size union all select 'cluster', size, count(*) from k group by size union all select 'duplicate words', null, count(*) filter (not \"unique\") from dup union all select 'distances differ', null, count(*) filter (not agree) from agr")
+def cluster_report(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.report(ratios(spark, d), features.equivalence_classes(features.char_vectors(names(spark, d))))
+
+
+@query(f"{CORE} select (count(*) * (count(*) - 1) / 2)::bigint pairs from rep")
+def surface(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.surface(features.representatives(features.char_vectors(names(spark, d))))
+
+
+THROWN = "edge as (select x.n_nationkey a, y.n_nationkey b from nation x join nation y on x.n_nationkey < y.n_nationkey where ('0x' || substr(md5(x.n_nationkey || '|' || y.n_nationkey || '|0'), 1, 8))::bigint % 1000 < 400)"
+
+
+def _relation(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.random_edges(table(spark, d, "nation").select(F.col("n_nationkey").alias("v")), 0.4)
+
+
+@query(f"with {THROWN} select a, b from edge")
+def random_relation(spark: SparkSession, d: str) -> DataFrame:
+    return _relation(spark, d)
+
+
+@query(f"with {THROWN} select b v from edge where a = 7 union select a from edge where b = 7")
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.neighbours(_relation(spark, d), 7)
+
+
+@query(f"with {PQUAD}, e as (select i, j, a, c b, b c, d from q), o as (select * from e where not (a = b or c = d)) {_orders(analogies.NEGATIVE, 'o')}")
+def negatives_of_one_form(spark: SparkSession, d: str) -> DataFrame:
+    return analogies.balanced_negatives(quads(spark, d), ["i", "j"], all_forms=False)
+
+
+@query()
+def success_rate(spark: SparkSession, d: str) -> DataFrame:
+    return analogies.success(analogies.random_equations(spark, 1000))
+
+
+@query()
+def grid_averages(spark: SparkSession, d: str) -> DataFrame:
+    return grids.averages(_cells(spark, d))
 
 
 @query()
-def dendrogram_all(spark: SparkSession, d: str) -> DataFrame:
-    return transfer.dendrogram(transfer.adjacency(_matrix_of(vocabulary(spark, d)), "acc_valid"))
+def grid_statistics_sink(spark: SparkSession, d: str) -> DataFrame:
+    return text.statistics_lines(grids.statistics(_cells(spark, d)))
 
 
 @query()
-def communities_all(spark: SparkSession, d: str) -> DataFrame:
-    return transfer.communities(transfer.adjacency(_matrix_of(vocabulary(spark, d)), "acc_valid"))
+def grid_source(spark: SparkSession, d: str) -> DataFrame:
+    return text.grids(text.grid_lines(_cells(spark, d)).select("value"))

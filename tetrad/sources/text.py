@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tetrad.functions.strings import trivial_analogy, valid_analogy
+
 RATIO, CONFORMITY, COMMENT, EQUAL, HOLE = " : ", " :: ", "#", " == ", "None"
 
 
@@ -83,6 +85,21 @@ def clusters(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select("cluster_id", "pos", F.trim(r[0]).alias("a"), F.trim(r[1]).alias("b"))
 
 
+def cluster_file(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """The classes of equivalents of a cluster file's header, and its clusters;
+    marks before a cluster are no part of its first word."""
+    unmarked = lines.withColumn(column, F.regexp_replace(F.col(column), r"^(\d+\t)?(OOO |XXX )?", ""))
+    return equivalents(lines, column), clusters(unmarked, column)
+
+
+def analogies(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(a, b, c, d) of ``a : b :: c : d`` lines of two ratios, without those that
+    are invalid or trivial."""
+    rows = clusters(lines, column).groupBy("cluster_id").agg(F.array_sort(F.collect_set(F.struct("pos", "a", "b"))).alias("r")).where(F.size("r") == 2)
+    quads = rows.select(*[F.col("r")[i][w].alias(n) for i, w, n in ((0, "a", "a"), (0, "b", "b"), (1, "a", "c"), (1, "b", "d"))])
+    return quads.where(valid_analogy("a", "b", "c", "d") & ~trivial_analogy("a", "b", "c", "d"))
+
+
 def equivalents(lines: DataFrame, column: str = "value") -> DataFrame:
     """(rep, members) of ``# a == b == c`` lines."""
     line = F.col(column)
@@ -133,13 +150,29 @@ def equivalent_lines(classes: DataFrame) -> DataFrame:
     return classes.where(F.size("members") > 1).select(F.concat(F.lit("# "), F.array_join("members", EQUAL)).alias("value"))
 
 
-def cluster_lines(ratios: DataFrame, first: int | None = None) -> DataFrame:
+def vector_file(vectors: DataFrame) -> DataFrame:
+    """(value): the lines of a vector file, classes of equivalents first, then
+    the vectors of their representatives alone."""
+    classes = vectors.groupBy("v").agg(F.array_sort(F.collect_set("word")).alias("members"))
+    head = equivalent_lines(classes).select(F.lit(0).alias("_part"), "value")
+    body = vector_lines(classes.select(F.get("members", F.lit(0)).alias("word"), "v")).select(F.lit(1).alias("_part"), "value")
+    return head.union(body).orderBy("_part", "value").select("value")
+
+
+def cluster_lines(ratios: DataFrame, first: int | None = None, marks: DataFrame | None = None, sizes: bool = False) -> DataFrame:
     """(cluster_id, size, value) of (cluster_id, pos, a, b), largest first; with
-    ``first``, only so many ratios are written."""
+    ``first``, only so many ratios are written; with ``marks`` (cluster_id, mark)
+    a cluster's mark stands before it, with ``sizes`` its size and a tab."""
     joined = ratios.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("r"))
     written = F.transform("r", lambda x: F.concat(x["a"], F.lit(RATIO), x["b"]))
     shown = F.slice(written, 1, first) if first else written
-    return joined.select("cluster_id", F.size("r").alias("size"), F.array_join(shown, CONFORMITY).alias("value")).orderBy(F.desc("size"), "value")
+    value = F.array_join(shown, CONFORMITY)
+    if marks is not None:
+        joined = joined.join(marks, "cluster_id", "left")
+        value = F.concat(F.coalesce("mark", F.lit("")), value)
+    if sizes:
+        value = F.concat(F.size("r").cast("string"), F.lit("\t"), value)
+    return joined.select("cluster_id", F.size("r").alias("size"), value.alias("value")).orderBy(F.desc("size"), "value")
 
 
 def grid_lines(cells: DataFrame) -> DataFrame:
@@ -151,13 +184,23 @@ def grid_lines(cells: DataFrame) -> DataFrame:
     return rows.groupBy("grid_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), CONFORMITY).alias("value"))
 
 
-def pretty_grids(cells: DataFrame) -> DataFrame:
-    """(grid_id, row, value): rows aligned by padding every cell to the grid's longest word."""
+def statistics_lines(counted: DataFrame) -> DataFrame:
+    """(value): tab-separated ``size saturation freq`` lines, smallest first."""
+    return counted.orderBy("size", "saturation").select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("size", "saturation", "freq")]).alias("value"))
+
+
+def pretty_grids(cells: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
+    """(grid_id, row, value): rows aligned by padding every cell to the grid's
+    longest word; with ``attributes`` (grid_id, ...) they stand above it, as row -1."""
     lines = grid_lines(cells)
     parsed = lines.select("grid_id", F.posexplode(F.split("value", CONFORMITY)).alias("row", "line")).withColumn("cells", F.split("line", RATIO))
     width = parsed.groupBy("grid_id").agg(F.max(F.array_max(F.transform("cells", lambda w: F.length(w)))).alias("w"))
     padded = F.transform("cells", lambda w: F.rpad(F.when(w == HOLE, F.lit("")).otherwise(w), F.col("w"), " "))
-    return parsed.join(width, "grid_id").select("grid_id", "row", F.array_join(padded, RATIO).alias("value"))
+    rows = parsed.join(width, "grid_id").select("grid_id", "row", F.array_join(padded, RATIO).alias("value"))
+    if attributes is None:
+        return rows
+    named = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in attributes.columns if c != "grid_id"]
+    return rows.unionByName(attributes.select("grid_id", F.lit(-1).alias("row"), F.concat(F.lit("# "), F.concat_ws(" ", *named)).alias("value")))
 
 
 def to_json_map(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -165,6 +208,14 @@ def to_json_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy().agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))).alias("value"))
 
 
+def concatenated(*files: DataFrame) -> DataFrame:
+    """The lines of all files."""
+    out = files[0]
+    for other in files[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def shuffled(lines: DataFrame, seed: int = 0) -> DataFrame:
     """Lines in an order that a seed gives."""
     return lines.orderBy(F.xxhash64(*lines.columns, F.lit(seed)), *lines.columns)
