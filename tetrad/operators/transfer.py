@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tetrad.functions.strings import characters_balance, chars, lcs_distance
+from tetrad.functions.strings import characters_balance, chars, lcs_distance_arrow
 
 if TYPE_CHECKING:
     from pyspark.ml.classification import LogisticRegressionModel as Model
@@ -39,25 +39,28 @@ def accuracy(probability: str, truth: str, least: float = 0.5) -> Column:
 FEATURES = ("balance", "lengths", "across", "along", "known")
 
 
-def features(alphabet: Column | str, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> list[Column]:
-    """What a learned scorer looks at: whether the characters balance, how far the
-    lengths and the distances of a proportion are apart, and the share of
-    characters that the model language knows."""
-    every = F.concat(*[chars(x) for x in (a, b, c, d)])
-    known = F.size(F.filter(every, lambda x: F.array_contains(alphabet, x))) / F.greatest(F.size(every), F.lit(1))
-    lengths = F.abs(F.length(a) + F.length(d) - F.length(b) - F.length(c)).cast("double")
-    across = F.abs(lcs_distance(a, b) - lcs_distance(c, d)).cast("double")
-    along = F.abs(lcs_distance(a, c) - lcs_distance(b, d)).cast("double")
-    return [characters_balance(a, b, c, d).cast("double"), lengths, across, along, known.cast("double")]
+def measured(quads: DataFrame) -> DataFrame:
+    """Quads with what a learned scorer looks at in every language: whether the
+    characters balance, and how far the lengths and the distances of a proportion
+    are apart."""
+    lengths = F.abs(F.length("a") + F.length("d") - F.length("b") - F.length("c")).cast("double")
+    apart = lambda w, x, y, z: F.abs(lcs_distance_arrow(w, x) - lcs_distance_arrow(y, z)).cast("double")
+    return quads.withColumns({"balance": characters_balance("a", "b", "c", "d").cast("double"), "lengths": lengths, "across": apart("a", "b", "c", "d"), "along": apart("a", "c", "b", "d")})
+
+
+def known_share(alphabet: Column | str) -> Column:
+    """The share of a quad's characters that a language knows."""
+    every = F.concat(*[chars(x) for x in "abcd"])
+    return (F.size(F.filter(every, lambda x: F.array_contains(alphabet, x))) / F.greatest(F.size(every), F.lit(1))).cast("double")
 
 
 def train(models: DataFrame, quads: DataFrame, regularisation: float = 0.01) -> dict[str, Model]:
-    """A logistic regression for each language on its own quads (lang, a, b, c, d, valid)."""
+    """A logistic regression for each language on its own measured quads (lang, a, b, c, d, valid)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     known = quads.join(models, "lang")
-    rows = known.select("lang", F.col("valid").cast("double").alias("label"), *[F.round(x, 6).alias(n) for n, x in zip(FEATURES, features("alphabet"), strict=True)])
+    rows = known.select("lang", F.col("valid").cast("double").alias("label"), *FEATURES[:-1], F.round(known_share("alphabet"), 6).alias("known"))
     # equal rows are one of a weight, so what is gone through again and again is small
     rows = rows.groupBy("lang", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("lang", "label", "weight", "features").persist()
@@ -85,10 +88,11 @@ def weights(spark: SparkSession, models: dict[str, Model]) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, weights array<double>, intercept double")
 
 
-def learned(model: Column | str, alphabet: Column | str, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> Column:
-    """Probability by a learned model (a struct of weights and intercept)."""
+def learned(model: Column | str, alphabet: Column | str) -> Column:
+    """Probability of a measured quad by a learned model (a struct of weights and intercept)."""
     model = F.col(model) if isinstance(model, str) else model
-    score = sum((F.get(model["weights"], F.lit(i)) * x for i, x in enumerate(features(alphabet, a, b, c, d))), start=model["intercept"])
+    values = [*[F.col(x) for x in FEATURES[:-1]], known_share(alphabet)]
+    score = sum((F.get(model["weights"], F.lit(i)) * x for i, x in enumerate(values)), start=model["intercept"])
     return 1 / (1 + F.exp(-score))
 
 

@@ -654,9 +654,10 @@ def transfer_cell(spark: SparkSession, d: str) -> DataFrame:
 def learned_matrix(spark: SparkSession, d: str) -> DataFrame:
     """A logistic regression for each language, judged on all languages' analogies."""
     models, quads = _quads(every_token(spark, d))
+    quads = transfer.measured(quads)
     weights = transfer.weights(spark, transfer.train(models, quads))
     known = models.join(weights, "lang").select("lang", "alphabet", F.struct("weights", "intercept").alias("model"))
-    return transfer.matrix(known, quads, lambda alphabet, a, b, c, d: transfer.learned("model", alphabet, a, b, c, d))
+    return transfer.matrix(known, quads, lambda alphabet, *_: transfer.learned("model", alphabet))
 
 
 @query("with " + SCORED.split(", s as (")[0].removeprefix("with ") + f", s as (select m.lang model_lang, q.lang data_lang, valid, case when {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} then case when list_has_all(al.alphabet, string_split(a || b || c || d, '')) then 0.9 else 0.6 end else 0.1 end p from q join al using (lang), al m) select model_lang, data_lang, round(avg(((p > 0.5) = valid)::int) filter (valid), 6) acc_valid, round(avg(((p > 0.5) = valid)::int) filter (not valid), 6) acc_invalid, round(avg(((p > 0.5) = valid)::int), 6) acc_raw from s group by model_lang, data_lang")
@@ -776,23 +777,22 @@ def clusters_with_word(spark: SparkSession, d: str) -> DataFrame:
     return clusters.look_up(ratios(spark, d), names(spark, d).agg(F.min("word")).first()[0])
 
 
-LARGE = "lw as (select distinct cluster_id, unnest([a, b]) w from raw where size >= 8), sw as (select distinct cluster_id, unnest([a, b]) w from raw where size between 2 and 3), meet as (select distinct lw.cluster_id, sw.cluster_id other_id from lw join sw using (w))"
+MEET = "w as (select distinct cluster_id, unnest([a, b]) w from raw), meet as (select distinct x.cluster_id, y.cluster_id other_id from w x join w y using (w))"
 
 
-@query(f"{CORE}, {LARGE} select * from meet")
+@query(f"{CORE}, {MEET} select * from meet")
 def meeting_clusters(spark: SparkSession, d: str) -> DataFrame:
     r = ratios(spark, d)
-    return clusters.meeting(r.where("size >= 8"), r.where("size between 2 and 3"))
+    return clusters.meeting(r, r)
 
 
-@query(f"{CORE}, {LARGE}, p as (select x.cluster_id, y.cluster_id other_id from (select cluster_id, min(length(a)) n from raw where size >= 8 group by cluster_id) x join (select cluster_id, min(length(a)) n from raw where size between 2 and 3 group by cluster_id) y using (n)) select * from p anti join meet using (cluster_id, other_id)")
+@query(f"{CORE}, {MEET}, k as (select distinct cluster_id, size from raw) select x.cluster_id, y.cluster_id other_id from k x join k y using (size) anti join meet on meet.cluster_id = x.cluster_id and meet.other_id = y.cluster_id")
 def empty_intersections(spark: SparkSession, d: str) -> DataFrame:
-    """Of the pairs of a large and a small cluster whose shortest words are as long."""
+    """Of the pairs of clusters of the same size."""
     r = ratios(spark, d)
-    large, small = r.where("size >= 8"), r.where("size between 2 and 3")
-    shortest = lambda df, name: df.groupBy(F.col("cluster_id").alias(name)).agg(F.min(F.length("a")).alias("n"))
-    pairs = shortest(large, "cluster_id").join(shortest(small, "other_id"), "n").select("cluster_id", "other_id")
-    return clusters.empty_intersections(pairs, large, small)
+    ids = r.select("cluster_id", "size").distinct()
+    pairs = ids.join(ids.withColumnRenamed("cluster_id", "other_id"), "size").select("cluster_id", "other_id")
+    return clusters.empty_intersections(pairs, r, r)
 
 
 def _same(x: str, y: str) -> str:
