@@ -58,11 +58,11 @@ from tetrad.llm.shared import blocks, collect_garbage, release, small_batches, t
 #: The chance that a set has fewer parts than it must look up is held below two to minus this.
 SURE = 80
 #: Sets, and n-grams, of a share of a group whose sets are compared with each other, about; n-grams compared at a time.
-SHARE, GRAMS, WIDTH = 1024, 1_000_000, 4096
+SHARE, GRAMS, WIDTH = 2048, 1_500_000, 4096
 #: Entries that a task holds before it sends them.
-HELD = 1_000_000
+HELD = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 40) - 1)
+_NONE = np.zeros(0, np.int64)
 
 
 @dataclass(frozen=True)
@@ -273,15 +273,30 @@ def _dealt(target: np.ndarray, targets: int) -> tuple[np.ndarray, list[tuple[int
     return order, [(t, int(cut[t]), int(cut[t + 1])) for t in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
 
 
-#: A row of entries for a target: their sets' keys (doubled, odd in the next smaller band's cut), sizes, numbers of parts;
-#: then each entry's signature (its low 40 bits and the target tell it) and the place of its set.
-_PACKED = "target int, keys binary, sizes binary, parts binary, signatures binary, owners binary"
+def _few(values: np.ndarray) -> bytes:
+    """Numbers of 16 bits, or of 32 if one is larger."""
+    return values.astype("<u2" if not len(values) or int(values.max()) < 1 << 16 else "<u4").tobytes()
+
+
+def _of_few(raw: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for x, n in zip(raw, sizes, strict=True))]).astype(np.int64)
+
+
+#: A row of entries for a target: keys of sets in one of their cuts (doubled, odd in the next smaller band's),
+#: how many entries each has, and the entries' signatures (their low 40 bits; the target tells the rest);
+#: and, for the target that judges a set, keys with what is known of them: size, parts, parts of two members or more.
+_ENTRIES = "target int, keys binary, counts binary, signatures binary, known binary, facts binary"
+#: Besides: whether an entry is of a part of two members or more (1), less one of them (2), and which part it is of.
+_PARTS = ", kinds binary, part binary"
+
+
+def _judge(key: np.ndarray, targets: int) -> np.ndarray:
+    """The target that judges each set."""
+    return (K.mix(key + np.uint64(9)) % np.uint64(targets)).astype(np.int64)
 
 
 def _packed(source: DataFrame, rule: Rule, deletions: bool = False) -> DataFrame:
-    """A task's entries by target; with ``deletions`` three columns more: how many
-    of a set's parts have two members or more, whether an entry is of such a part
-    (1) and less one of them (2), and which of its set's parts it is of."""
+    """A task's entries by target; with ``deletions`` those of parts less a member too."""
     labels = _labels(source.sparkSession)
     targets = len(labels)
 
@@ -289,21 +304,30 @@ def _packed(source: DataFrame, rule: Rule, deletions: bool = False) -> DataFrame
         key, size, sig, own, less, part, plural = (np.concatenate(x) for x in held)
         parts, plurals = np.bincount(own[~less], minlength=2 * len(key)), np.bincount(own[~less & plural], minlength=2 * len(key))
         kind = plural.astype(np.uint8) | less.astype(np.uint8) << 1
+        cuts = np.unique(own)
+        doubled = key[cuts >> 1] << np.uint64(1) | (cuts & 1).astype(np.uint64)
+        facts = np.stack([size[cuts >> 1], parts[cuts], plurals[cuts]]).astype("<u4")
+        told, told_shares = _dealt(_judge(key[cuts >> 1], targets), targets)
+        told_of = {t: told[a:b] for t, a, b in told_shares}
         # a part's number within its set
         least = np.full(2 * len(key), 1 << 62, np.int64)
         np.minimum.at(least, own, part)
         part = part - least[own]
-        order, shares = _dealt(((sig >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32), targets)
-        rows: list[list] = [[] for _ in range(9)]
-        for t, a, b in shares:
-            which = order[a:b]
-            mine, short = np.unique(own[which], return_inverse=True)
-            row = (labels[t], (key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes(), size[mine >> 1].astype("<u4").tobytes(), parts[mine].astype("<u4").tobytes())
-            row += (_five(sig[which]).tobytes(), short.astype("<u2").tobytes(), plurals[mine].astype("<u4").tobytes(), kind[which].tobytes(), part[which].astype("<u4").tobytes())
+        target = ((sig >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)
+        order = np.lexsort((own, target))
+        cut = np.searchsorted(target[order], np.arange(targets + 1).astype(np.uint64))
+        rows: list[list] = [[] for _ in range(8)]
+        for t in range(targets):
+            which, known = order[cut[t] : cut[t + 1]], told_of.get(t, _NONE)
+            if not len(which) and not len(known):
+                continue
+            mine, count = np.unique(own[which], return_counts=True)
+            row = (labels[t], (key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes(), _few(count), _five(sig[which]).tobytes())
+            row += (doubled[known].tobytes(), facts[:, known].tobytes(), kind[which].tobytes(), _few(part[which]))
             for into, x in zip(rows, row, strict=True):
                 into.append(x)
-        names = ["target", "keys", "sizes", "parts", "signatures", "owners", "plurals", "kinds", "part"]
-        n = 9 if deletions else 6
+        names = ["target", "keys", "counts", "signatures", "known", "facts", "kinds", "part"]
+        n = 8 if deletions else 6
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:n]]], names[:n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,36 +350,41 @@ def _packed(source: DataFrame, rule: Rule, deletions: bool = False) -> DataFrame
                 for into, x in zip(held, (found[fresh], size, e.signature, 2 * (e.owner + n) + e.lower, e.less, e.part + made, e.plural), strict=True):
                     into.append(x)
                 n, count, made = n + len(size), count + len(e.signature), made + len(e.signature)
-                if count > HELD or n > 20_000:  # a row's sets have 16-bit numbers, two for each
+                if count > HELD:
                     yield flush(held)
                     held, n, count, made = [[] for _ in range(7)], 0, 0, 0
         if count:
             yield flush(held)
         release()
 
-    return source.mapInArrow(run, _PACKED + (", plurals binary, kinds binary, part binary" if deletions else ""))
+    return source.mapInArrow(run, _ENTRIES + (_PARTS if deletions else ""))
+
+
+def _facts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets in one of their cuts, ascending, and (size, parts, plural parts) of each."""
+    key = np.frombuffer(b"".join(table.column("known").to_pylist()), np.uint64)
+    facts = np.concatenate([np.zeros((3, 0), "<u4"), *(np.frombuffer(x, "<u4").reshape(3, -1) for x in table.column("facts").to_pylist())], axis=1)
+    own, at = np.unique(key, return_index=True)
+    return own, facts[:, at].astype(np.int64)
 
 
 class _Buckets:
     """A target's entries that share their signatures, in the order of these:
-    bucket number, key, whether of the next smaller band's cut, size, parts, and
-    where they come from."""
+    bucket number, key, whether of the next smaller band's cut, kind, part."""
 
     def __init__(self, table: pa.Table) -> None:
-        columns = {c: table.column(c).to_pylist() for c in table.column_names if c != "target"}
-        sig = _of_five(columns["signatures"])
-        owners = [np.frombuffer(x, "<u2") for x in columns["owners"]]
-        first = np.cumsum([0, *(len(x) // 8 for x in columns["keys"])])
-        owner = np.concatenate([o + np.int64(f) for o, f in zip(owners, first, strict=False)])
-        kinds = np.frombuffer(b"".join(columns["kinds"]), np.uint8) if "kinds" in columns else np.zeros(len(sig), np.uint8)
+        c = {name: table.column(name).to_pylist() for name in table.column_names if name != "target"}
+        sig = _of_five(c["signatures"])
+        sets = [len(x) // 8 for x in c["keys"]]
+        owner = np.repeat(np.arange(sum(sets)), _of_few(c["counts"], sets))
+        kinds = np.frombuffer(b"".join(c["kinds"]), np.uint8) if "kinds" in c else np.zeros(len(sig), np.uint8)
         order = np.argsort(sig)
         same = sig[order][1:] == sig[order][:-1]
         shared = np.zeros(len(sig), bool)
         shared[1:] |= same
         shared[:-1] |= same
         order = order[shared]
-        key = np.frombuffer(b"".join(columns["keys"]), np.uint64)[owner[order]]
-        kind = kinds[order]
+        key, kind = np.frombuffer(b"".join(c["keys"]), np.uint64)[owner[order]], kinds[order]
         # a set that several tasks sent counts once
         sort = np.lexsort((kind, key, sig[order]))
         order, key, kind = order[sort], key[sort], kind[sort]
@@ -365,18 +394,14 @@ class _Buckets:
             order, key, kind, own = order[once], key[once], kind[once], own[once]
             number = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
         else:
-            number = np.zeros(0, np.int64)
+            number = _NONE
         self.number, self.signature, self.kind, self.less = number, own, kind, kind > 1
-        self.key, self.lower = key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
-        at = owner[order]
-        self.size = np.frombuffer(b"".join(columns["sizes"]), "<u4")[at].astype(np.int64)
-        self.parts = np.frombuffer(b"".join(columns["parts"]), "<u4")[at].astype(np.int64)
-        self.plurals = np.frombuffer(b"".join(columns["plurals"]), "<u4")[at].astype(np.int64) if "plurals" in columns else None
-        self.part = np.frombuffer(b"".join(columns["part"]), "<u4")[order].astype(np.int64) if "part" in columns else None
+        self.doubled, self.key, self.lower = key, key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
+        self.part = _of_few(c["part"], [len(x) // 5 for x in c["signatures"]])[order] if "part" in c else None
 
     def count(self, which: np.ndarray) -> np.ndarray:
         """How many of these entries each entry's bucket holds."""
-        return np.bincount(self.number, weights=which)[self.number].astype(np.int64) if len(self.number) else np.zeros(0, np.int64)
+        return np.bincount(self.number, weights=which)[self.number].astype(np.int64) if len(self.number) else _NONE
 
 
 def _labels(spark: SparkSession) -> list[int]:
@@ -405,41 +430,36 @@ def alive(source: DataFrame, rule: Rule) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         b = _Buckets(table)
-        out: list[list] = [[], [], [], []]
+        rows = [(table.column("target")[0].as_py(), b"", b"", b"", b"".join(table.column("known").to_pylist()), np.concatenate([np.frombuffer(x, "<u4").reshape(3, -1) for x in table.column("facts").to_pylist()], axis=1).tobytes())]
         if len(b.number):
             n_own, n_lower = b.count(~b.lower), b.count(b.lower)
-            tops = np.array(bands(rule, int(b.size.max())), np.int64)
-            band = np.searchsorted(tops, b.size)
-            need = lambda other: np.maximum(b.parts - rule.difference(b.size, other), 1)
-            kinds = (
-                (~b.lower & (n_own > 1), need(tops[band])),  # with a set of its own band
-                (~b.lower & (n_lower > 0), need(b.size * rule.den // rule.num)),  # with a larger set that looks down
-                (b.lower & (n_own > 0), need(tops[np.maximum(band - 1, 0)])),  # with a smaller set
-            )
-            found: list[list[np.ndarray]] = []
-            for kind, (hit, least) in enumerate(kinds):
-                own, at, met = np.unique(b.key[hit], return_index=True, return_counts=True)
-                found.append([own, np.full(len(own), kind), least[hit][at], met])
-            key, kind, least, met = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, shares = _dealt((K.mix(key) % np.uint64(targets)).astype(np.int64), targets)
+            # met by a set of its own band; by a larger set that looks down; in the lower cut, by a smaller set
+            found = [(k, *np.unique(b.doubled[hit], return_counts=True)) for k, hit in enumerate((~b.lower & (n_own > 1), ~b.lower & (n_lower > 0), b.lower & (n_own > 0)))]
+            kind = np.concatenate([np.full(len(x), k, np.uint8) for k, x, _ in found])
+            key, met = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+            order, shares = _dealt(_judge(key >> np.uint64(1), targets), targets)
             for t, x, y in shares:
                 mine = order[x:y]
-                for into, v in zip(out, (labels[t], key[mine].tobytes(), np.stack([least[mine], met[mine]]).astype("<u4").tobytes(), kind[mine].astype(np.uint8).tobytes()), strict=True):
-                    into.append(v)
+                rows.append((labels[t], key[mine].tobytes(), _few(met[mine]), kind[mine].tobytes(), b"", b""))
         release()
-        return pa.table({c: pa.array(x, pa.binary() if i else pa.int32()) for i, (c, x) in enumerate(zip(("q", "keys", "counts", "kinds"), out, strict=True))})
+        return pa.table({n: pa.array(x, pa.binary() if i else pa.int32()) for i, (n, x) in enumerate(zip(("q", "keys", "met", "kinds", "known", "facts"), zip(*rows, strict=True), strict=True))})
 
     def judge(table: pa.Table) -> pa.Table:
-        key, kind = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("kinds", np.uint8)))
-        need, met = np.concatenate([np.frombuffer(x, "<u4").reshape(2, -1) for x in table.column("counts").to_pylist()], axis=1)
+        own, (size, parts, _) = _facts(table)
+        raw = table.column("keys").to_pylist()
+        key, kind, met = np.frombuffer(b"".join(raw), np.uint64), np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint8), _of_few(table.column("met").to_pylist(), [len(x) // 8 for x in raw])
+        at = np.searchsorted(own, key)
+        tops = np.array(bands(rule, int(size.max()) if len(size) else 1), np.int64)
+        band = np.searchsorted(tops, size)
         good = [np.zeros(0, np.uint64)]
-        for k in range(3):
-            own, at, of = np.unique(key[kind == k], return_index=True, return_inverse=True)
-            good.append(own[np.bincount(of, weights=met[kind == k], minlength=len(own)) >= need[kind == k][at]])
-        return pa.table({"k": pa.array(np.unique(np.concatenate(good)).astype(np.int64), pa.int64())})
+        # the largest set that each kind of partner can be
+        for k, reach in enumerate((tops[band], size * rule.den // rule.num, tops[np.maximum(band - 1, 0)])):
+            hits = np.bincount(at[kind == k], weights=met[kind == k], minlength=len(own))
+            good.append(own[(hits > 0) & (hits >= parts - rule.difference(size, reach))])
+        return pa.table({"k": pa.array(np.unique(np.concatenate(good) >> np.uint64(1)).astype(np.int64), pa.int64())})
 
     # a fixed number of partitions: little data here is much work
-    met = _packed(source, rule).repartition(targets, "target").groupBy("target").applyInArrow(count, "q int, keys binary, counts binary, kinds binary")
+    met = _packed(source, rule).repartition(targets, "target").groupBy("target").applyInArrow(count, "q int, keys binary, met binary, kinds binary, known binary, facts binary")
     return written(met.repartition(targets, "q").groupBy("q").applyInArrow(judge, "k long"), "alive")
 
 
@@ -467,45 +487,41 @@ def weighed(source: DataFrame, rule: Rule) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         b = _Buckets(table)
-        out: list[list] = [[] for _ in range(9)]
+        t = table.column("target")[0].as_py()
+        rows = [(t, t, b"", b"", b"", b"", b"", b"", b"".join(table.column("known").to_pylist()), np.concatenate([np.frombuffer(x, "<u4").reshape(3, -1) for x in table.column("facts").to_pylist()], axis=1).tobytes())]
         if len(b.number):
             whole, less = b.count(~b.lower & ~b.less), b.count(~b.lower & b.less)
             # whom a look-up meets: a part meets parts, and with its deletions also others' parts less a member; less a member it meets parts
             plain = np.where(b.less, 0, whole - (~b.lower & ~b.less))
             more = np.where(b.less, whole, less)
-            use = (plain + more > 0) | (~b.lower & (b.count(b.lower) > 0))
-            key = (b.key << np.uint64(1) | b.lower.astype(np.uint64))[use]
-            values = [x[use] for x in (b.size, b.parts, b.plurals, b.signature, b.kind, b.part, np.minimum(plain, 1 << 30), np.minimum(more, 1 << 30))]
-            order, shares = _dealt((K.mix(key >> np.uint64(1)) % np.uint64(targets)).astype(np.int64), targets)
-            t = table.column("target")[0].as_py()
+            use = np.flatnonzero((plain + more > 0) | (~b.lower & (b.count(b.lower) > 0)))
+            use = use[np.argsort(b.doubled[use], kind="stable")]
+            order, shares = _dealt(_judge(b.key[use], targets), targets)
             for q, x, y in shares:
-                mine = order[x:y]
-                keys, place, short = np.unique(key[mine], return_index=True, return_inverse=True)
-                size, parts, plurals, signature, kind, part, plain, more = (v[mine] for v in values)
-                row = (labels[q], t, keys.tobytes(), np.stack([size[place], parts[place], plurals[place]]).astype("<u4").tobytes(), short.astype("<u4").tobytes())
-                row += (_five(signature).tobytes(), kind.tobytes(), part.astype("<u4").tobytes(), np.stack([plain, more]).astype("<u4").tobytes())
-                for into, v in zip(out, row, strict=True):
-                    into.append(v)
-        names = ["q", "target", "keys", "sizes", "owners", "signatures", "kinds", "part", "costs"]
+                mine = use[order[x:y]]
+                keys, count = np.unique(b.doubled[mine], return_counts=True)
+                costs = np.minimum(np.stack([plain[mine], more[mine]]), 0xFFFF)  # dearer ones are all as dear
+                rows.append((labels[q], t, keys.tobytes(), _few(count), _five(b.signature[mine]).tobytes(), b.kind[mine].tobytes(), _few(b.part[mine]), costs.astype("<u2").tobytes(), b"", b""))
+        names = ["q", "target", "keys", "counts", "signatures", "kinds", "part", "costs", "known", "facts"]
         release()
-        return pa.table({c: pa.array(x, pa.int32() if i < 2 else pa.binary()) for i, (c, x) in enumerate(zip(names, out, strict=True))})
+        return pa.table({c: pa.array(x, pa.int32() if i < 2 else pa.binary()) for i, (c, x) in enumerate(zip(names, zip(*rows, strict=True), strict=True))})
 
     def choose(table: pa.Table) -> pa.Table:
         c = {name: table.column(name).to_pylist() for name in table.column_names}
-        rows_of = lambda column, n: np.concatenate([np.frombuffer(x, "<u4").reshape(n, -1) for x in c[column]], axis=1).astype(np.int64)
-        keys = np.frombuffer(b"".join(c["keys"]), np.uint64)
-        first = np.cumsum([0, *(len(x) // 8 for x in c["keys"])])
-        at = np.concatenate([np.frombuffer(x, "<u4") + f for x, f in zip(c["owners"], first, strict=False)])
+        own, (size, p, q) = _facts(table)
+        sets, entries = [len(x) // 8 for x in c["keys"]], [len(x) // 5 for x in c["signatures"]]
+        key = np.repeat(np.frombuffer(b"".join(c["keys"]), np.uint64), _of_few(c["counts"], sets))
+        number = np.searchsorted(own, key)
         sig, kind = _of_five(c["signatures"]), np.frombuffer(b"".join(c["kinds"]), np.uint8)
-        target = np.repeat(np.array(c["target"], np.int64), [len(x) // 4 for x in c["owners"]])
-        part, (plain, more), (sizes, parts, plurals) = np.frombuffer(b"".join(c["part"]), "<u4").astype(np.int64), rows_of("costs", 2), rows_of("sizes", 3)
-        less, plural = kind > 1, (kind & 1) > 0
-        own, place, number = np.unique(keys[at], return_index=True, return_inverse=True)
-        size, p, q, lower = sizes[at][place], parts[at][place], plurals[at][place], (own & np.uint64(1)).astype(bool)
+        target, part = np.repeat(np.array(c["target"], np.int64), entries), _of_few(c["part"], entries)
+        plain, more = np.concatenate([np.zeros((2, 0), "<u2"), *(np.frombuffer(x, "<u2").reshape(2, -1) for x in c["costs"])], axis=1).astype(np.int64)
+        less, plural, lower = kind > 1, (kind & 1) > 0, (own & np.uint64(1)).astype(bool)
+        if not len(own):
+            return pa.table({n: pa.array([], pa.binary() if i else pa.int32()) for i, n in enumerate(("target", "keys", "signatures", "flags"))})
         tops = np.array(bands(rule, int(size.max())), np.int64)
         reach = np.where(lower, tops[np.maximum(np.searchsorted(tops, size) - 1, 0)], size)
         # the parts of which entries came; of the others nothing meets anybody, so they catch their differences for nothing
-        piece, at_piece, back = np.unique(number * (int(part.max()) + 1) + part, return_index=True, return_inverse=True)
+        piece, at_piece, back = np.unique(number * (int(part.max(initial=0)) + 1) + part, return_index=True, return_inverse=True)
         whose, has_two = number[at_piece], plural[at_piece]
         free = p - np.bincount(whose, minlength=len(own)) + q - np.bincount(whose, weights=has_two, minlength=len(own)).astype(np.int64)
         need = rule.difference(size, reach) + 1 - free
@@ -522,14 +538,14 @@ def weighed(source: DataFrame, rule: Rule) -> DataFrame:
         which = np.flatnonzero(keep)[order]
         for t, x, y in shares:
             mine = which[x:y]
-            for into, v in zip(rows, (int(numbered[t]), keys[at[mine]].tobytes(), _five(sig[mine]).tobytes(), flags[mine].tobytes()), strict=True):
+            for into, v in zip(rows, (int(numbered[t]), key[mine].tobytes(), _five(sig[mine]).tobytes(), flags[mine].tobytes()), strict=True):
                 into.append(v)
         release()
         return pa.table({n: pa.array(x, pa.binary() if i else pa.int32()) for i, (n, x) in enumerate(zip(("target", "keys", "signatures", "flags"), rows, strict=True))})
 
     numbered = np.sort(np.array(labels, np.int64))
     counted = _packed(source, rule, deletions=True).repartition(targets, "target").groupBy("target")
-    counted = counted.applyInArrow(count, "q int, target int, keys binary, sizes binary, owners binary, signatures binary, kinds binary, part binary, costs binary")
+    counted = counted.applyInArrow(count, "q int, target int, keys binary, counts binary, signatures binary, kinds binary, part binary, costs binary, known binary, facts binary")
     return counted.repartition(targets, "q").groupBy("q").applyInArrow(choose, "target int, keys binary, signatures binary, flags binary")
 
 
@@ -613,7 +629,7 @@ def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     dealt = pairs.select("a", "b").join(shares, "b")
     members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
     centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    sent = source.join(members.union(centres), "k").select("b", "share", "k", "grams")
+    sent = source.join(members.union(centres).hint("merge"), "k").select("b", "share", "k", "grams")
     return written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
 
 
@@ -696,7 +712,7 @@ def compared(source: DataFrame, members: DataFrame, rule: Rule, work, schema: st
             np.fill_diagonal(linked, False)
         return work(linked, group, x, y, same)
 
-    sent = source.join(dealt, "k")
+    sent = source.join(dealt.hint("merge"), "k")
     return sent.groupBy("g", "_i", "_j").applyInArrow(run, schema)
 
 
