@@ -469,6 +469,24 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_raw_and_silent_elements():
+    texts = lambda page: [x[0] for x in html.leaves(page)]
+    assert texts('<article><h1>Title</h1><p>first para</p><svg class="i"/><p>second para</p><svg><title>t</title><text>no</text></svg><p>third</p></article>') == ["Title", "first para", "second para", "third"]
+    assert texts("<div><form><select><option>a<option>b</form><p>after</p><template><p>no</p></div><p>end</p>") == ["after", "end"]
+    assert texts("<p>&am<b>p;</b> &amp; &#233;<br>x</p><script>var a = '<p>no</p>'</script><p>y") == ["&amp; & \u00e9 x", "y"]
+
+
+def test_html_long_and_deep_pages(spark):
+    """100,000 leaves in one page; a footer whose text stands in many unnamed wrappers."""
+    long = "<html><body><article>" + "".join(f"<p>{'word ' * 20}number {i}.</p>" for i in range(100_000)) + "</article></body></html>"
+    wraps = "<div>" * 9
+    body = "".join(f"<p>{words(random.Random(i), 40)}.</p>" for i in range(6))
+    deep = f"<html><body><nav>{wraps}<a href='/'>Home</a>{'</div>' * 9}</nav><article><h1>A title</h1>{body}</article><footer>{wraps}<p>All rights reserved. Contact, privacy and terms of use.</p>{'</div>' * 9}</footer></body></html>"
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([(1, "u", long), (2, "u", deep)], "page_id long, url string, html string")).collect()}
+    assert got[1].count("\n\n") >= 99_990
+    assert "rights" not in got[2] and "Home" not in got[2] and got[2].count("\n\n") == 6
+
+
 def test_html_held_out():
     from tetrad.llm.html_training import accuracy
 

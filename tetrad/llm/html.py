@@ -7,7 +7,8 @@ words, shape of the text) and labels every leaf as main text or not, with the
 whole page as context.  Its weights are trained by ``html_training`` on pages
 that are generated there; no test table is used.
 
-Text in ``NEVER_TEXT`` elements and comments is markup and never a leaf.
+Text in ``RAW`` and ``SILENT`` elements and comments is markup and never a leaf.
+Character references are decoded within a run of text, never across a tag.
 
 Defined results: null and empty pages, and pages without a main leaf, give an
 empty text; unclosed tags end with their parent, and an unfinished tag at the
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 from tetrad.llm import kernels as K
 from tetrad.llm.shared import small_batches
 
-NEVER_TEXT = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "svg", "title")
+#: Elements whose content is read as raw text up to their end tag, as in the HTML standard; it is no text of the page.
+RAW = ("script", "style", "noscript", "textarea", "iframe", "title")
+#: Elements with tags of their own whose text is none of the page; unclosed ones end with their parent.
+SILENT = frozenset(("template", "select", "svg"))
 #: Tags that do not end a leaf.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +47,7 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 SCOPE = frozenset("html body table td th article section div nav aside main footer header form ul ol button".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(NEVER_TEXT) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z)|<[!?][^>]*(?:>|\Z)|<|[^<]+",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z)|<[!?][^>]*(?:>|\Z)|<|[^<]+",
     re.S | re.I,
 )
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -71,7 +75,7 @@ class Leaf:
         self.path, self.names, self.raw, self.link = path, names, [], 0
 
     def text(self) -> str:
-        return " ".join(unescape("".join(self.raw)).split())
+        return " ".join("".join(self.raw).split())
 
 
 def leaves(html: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], float]]:
@@ -80,7 +84,7 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], float
     names: list[tuple[str, ...]] = []
     out: list[Leaf] = []
     now: Leaf | None = None
-    linked = 0
+    linked = silent = 0
 
     def drop(at: int) -> None:
         del stack[at:], names[at:]
@@ -89,16 +93,16 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], float
         tag = m["tag"]
         if tag is None:
             part = m[0]
-            if m["raw"] or part[:2] in ("<!", "<?"):
+            if m["raw"] or part[:2] in ("<!", "<?") or silent:
                 continue
             if now is None:
                 if part.isspace():
                     continue
                 now = Leaf(tuple(stack), tuple(n for s in names for n in s))
                 out.append(now)
-            now.raw.append(part)
+            now.raw.append(unescape(part))
             if linked:
-                now.link += len(part)
+                now.link += len(now.raw[-1])
             continue
         if not m["close"]:
             break  # the page ends inside a tag
@@ -113,7 +117,7 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], float
             if tag in stack:
                 at = len(stack) - 1 - stack[::-1].index(tag)
                 drop(at)
-                linked = stack.count("a")
+                linked, silent = stack.count("a"), sum(x in SILENT for x in stack)
             continue
         ended = ENDS.get(tag) or ({"p"} if tag in ENDS_P else None)
         if ended:
@@ -123,11 +127,12 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], float
                     break
                 if stack[at] in SCOPE:
                     break
-            linked = stack.count("a")
+            linked, silent = stack.count("a"), sum(x in SILENT for x in stack)
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         stack.append(tag)
         linked += tag == "a"
+        silent += tag in SILENT
         found = _NAME.findall(m["attrs"]) if "=" in m["attrs"] else ()
         names.append(tuple(w for x in found for w in _PART.findall((x[0] or x[1] or x[2]).lower()) if not w.isdigit()))
     made = ((x.text(), x.path, x.names, x.link / max(1, sum(map(len, x.raw)))) for x in out)
@@ -167,12 +172,14 @@ def vectors(pages: list[list[tuple[str, tuple[str, ...], tuple[str, ...], float]
         first += n
     for i, (_, path, names, _) in enumerate(flat):
         row = out[i]
-        for depth, tag in enumerate(reversed(path[-6:])):
+        for depth, tag in enumerate(reversed(path)):
             at, s = _slot(tag, PATH)
-            row[at] += s * (1.0 if depth < 2 else 0.7)
+            row[at] += s * (1.0 if depth < 2 else 0.7 if depth < 6 else 4.2 / depth)
         for name in names:
             at, s = _slot(name, NAMES)
             row[PATH + at] += s
+    # many wrappers of one kind say no more than some
+    np.clip(out[:, :PATH], -3, 3, out=out[:, :PATH])
     return out
 
 
@@ -180,8 +187,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """States over time of x (time, pages, width), and what training needs again."""
+def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, trace: bool = True) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """States over time of x (time, pages, width), and, with ``trace``, what training needs again."""
     h = c = np.zeros((x.shape[1], HIDDEN), x.dtype)
     gates, states, kept = x @ w + b, np.empty((*x.shape[:2], HIDDEN), x.dtype), []
     for t in range(len(x)):
@@ -192,7 +199,8 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np
         c = f * c + i * a
         h = o * np.tanh(c)
         states[t] = h
-        kept.append((i, f, o, a, before, c, last))
+        if trace:
+            kept.append((i, f, o, a, before, c, last))
     return states, kept
 
 
@@ -223,8 +231,8 @@ def scores(weights: dict[str, np.ndarray], rows: np.ndarray, counts: list[int])
         own = [counts[p] for p in group]
         take = np.concatenate([np.arange(firsts[p], firsts[p + 1]) for p in group])
         ahead, back = padded(rows[take], own)
-        fore, _ = lstm(ahead, weights["w0"], weights["u0"], weights["b0"])
-        aft, _ = lstm(back, weights["w1"], weights["u1"], weights["b1"])
+        fore, _ = lstm(ahead, weights["w0"], weights["u0"], weights["b0"], trace=False)
+        aft, _ = lstm(back, weights["w1"], weights["u1"], weights["b1"], trace=False)
         logit_f, logit_b = fore @ weights["v0"], aft @ weights["v1"]
         got = np.concatenate([logit_f[:n, k] + logit_b[:n, k][::-1] for k, n in enumerate(own)])
         out[take] = sigmoid(got + weights["c"][0])

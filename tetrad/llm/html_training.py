@@ -9,6 +9,7 @@ the structure of the page and not on a language.
 from __future__ import annotations
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -149,6 +150,19 @@ class Page:
             return f"<main><article>{inner}</article>{self.comments() if r.random() < 0.3 else ''}</main>"
         return f"<div{self.name('content', 'post', 'article-body', 'entry-content', 'main', 'story', often=1)}>{inner}</div>"
 
+    def nested(self, body: str) -> str:
+        """The page with unnamed wrappers around its paragraphs, within its items, and icons."""
+        r, deep = self.r, self.r.randint(1, 14)
+
+        def wrapped(m: re.Match) -> str:
+            n = r.randint(deep // 2, deep)
+            icon = r.choice(['<svg class="i"/>', '<svg viewBox="0 0 1 1"><path d="M0 0"/></svg>']) * (r.random() < 0.1)
+            if m[1] in ("li", "td", "dd"):
+                return f"<{m[1]}{m[2]}>{'<div>' * n}{icon}{m[3]}{'</div>' * n}</{m[1]}>"
+            return f"{'<div>' * n}<{m[1]}{m[2]}>{icon}{m[3]}</{m[1]}>{'</div>' * n}"
+
+        return re.sub(r"<(p|li|h[1-6]|td|dd)\b([^>]*)>((?:(?!<(?:p|li|h[1-6]|td|dd|ul|ol|div|table)\b).)*?)</\1>", wrapped, body, flags=re.S)
+
     def page(self) -> str:
         r = self.r
         before = [f() for f in (self.header, self.nav, self.notice, self.ad, self.form, self.sidebar) for _ in range(r.random() < (0.75 if f == self.nav else 0.4))]
@@ -159,6 +173,8 @@ class Page:
         if r.random() < 0.2:
             body = f"<div{self.name('page', 'wrap', 'container', 'layout')}>{body}</div>"
         head = f"<head><title>{self.words(2, 12)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+        if r.random() < 0.3:
+            body = self.nested(body)
         html = f"<!DOCTYPE html><html>{head * (r.random() < 0.95)}<body>{body}</body></html>"
         return html[: r.randint(len(html) * 9 // 10, len(html))] if r.random() < 0.1 else html
 
@@ -192,7 +208,7 @@ def gradients(x: np.ndarray, kept: list, w: np.ndarray, u: np.ndarray, upper: np
     return dw, du, db
 
 
-def train(pages: int = 6000, epochs: int = 9, batch: int = 40, rate: float = 0.004, seed: int = 7) -> dict[str, np.ndarray]:
+def train(pages: int = 20000, epochs: int = 12, batch: int = 40, rate: float = 0.004, seed: int = 7) -> dict[str, np.ndarray]:
     """Adam on the cross entropy of all leaves."""
     rng = np.random.default_rng(seed)
     rows, counts, labels = generated(pages, seed)

@@ -13,14 +13,17 @@
 3. A classifier on the restored words: from at most ``SAMPLE`` labelled rows
    (a bound on the training rows only; every text is scored), each word, word
    start and letter sequence gets the lower confidence bound of its log odds;
-   a logistic regression on a text's strongest words gives the score.
+   words of one labelled text only are left out, as the label would be learned
+   by heart.  A logistic regression gives the score: on the STRONGEST three words
+   of a text, and on how many strong words and words with evidence it has in all.
 
 Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of a text
 without any evidence; without labelled rows of both kinds every score is 0;
-repeated rows are scored alike, one result each; rows of labels that repeat or
-have null labels are merged (largest label) or left out; extra columns are
+repeated rows are scored alike, one result each; of different texts of one id
+the smallest is learned from; rows of labels that repeat or have null labels are
+merged (largest label) or left out; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -40,6 +43,8 @@ from tetrad.llm.shared import small_batches, texts, written
 
 #: Most labelled rows that the classifier learns from (chosen by a hash of the id).
 SAMPLE = 20_000
+#: Words of a text whose strength is a feature of its own; the others count.
+STRONGEST = 3
 #: Distinct tokens whose scores a process remembers.
 MEMORY = 500_000
 
@@ -225,7 +230,7 @@ class Model:
             if v:
                 found.append(v)
         found.sort(reverse=True)
-        top = [*found[:3], 0.0, 0.0, 0.0][:3]
+        top = [*found, *[0.0] * STRONGEST][:STRONGEST]
         strong = sum(v > 2.5 for v in found)
         return [*top, math.log1p(strong), math.log1p(len(found))]
 
@@ -263,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         # a hash threshold, so that which rows are taken depends on their id only
         given = given.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     # about ``sample`` ids at most, so they may be broadcast; one text an id
-    rows = texts(docs, key, text=text).join(F.broadcast(given), key).dropDuplicates([key])
+    rows = texts(docs, key, text=text).join(F.broadcast(given), key).groupBy(key).agg(F.min("text").alias("text"), F.max("_y").alias("_y"))
     rows = written(rows.select("text", "_y"), "labelled")
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +317,7 @@ def _evidence(rows: DataFrame, model: Model, *keys: str) -> DataFrame:
                 if len(known) > MEMORY:
                     known.clear()
                 out.append(model.evidence(text, known))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(out, pa.list_(pa.float64())), pa.array(model.score(np.array(out).reshape(len(out), 5)), pa.float64())], [*keys, "_e", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(out, pa.list_(pa.float64())), pa.array(model.score(np.array(out).reshape(len(out), STRONGEST + 2)), pa.float64())], [*keys, "_e", "score"])
 
     kinds = {k: rows.schema[k].dataType.simpleString() for k in keys}
     return rows.select(*[f"`{k}`" for k in keys], "text").mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", _e array<double>, score double")
