@@ -111,6 +111,36 @@ def test_fingerprints(docs, empty, spark):
     assert len(only) == 1 and only[0]["near_next"] == 1
 
 
+def test_syncmers(spark):
+    """Links against a plain reading of whichever k-mers are chosen; likeness by them."""
+    r = random.Random(31)
+    base = words(r, 300, 3000)
+    cjk = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200))
+    texts = [base, base + " a tail of words", "x " + base, words(r, 300, 3000), cjk, cjk[:100] + "\u4e01" + cjk[100:], "one", "one two", words(r, 19), words(r, 20), "", "ab" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    steps = fingerprints.with_anchors(rows, "text", "_a")
+    got = {x["doc_id"]: x["_a"] for x in steps.collect()}
+    assert all(len(v) > 0 for v in got.values())
+    near = lambda a, b: len({*got[a]} & {*got[b]}) / len({*got[a]} | {*got[b]})
+    assert near(0, 1) > 0.9 and near(0, 2) > 0.9 and near(0, 3) < 0.05 and near(4, 5) > 0.85
+    # two links for seven symbols, whatever the length
+    assert 0.2 < len(got[0]) / 300 < 0.4 and len(got[4]) > 30
+    # one word more moves only the links around it
+    cut = base.split()
+    more = " ".join([*cut[:150], "inserted", *cut[150:]])
+    one = fingerprints.with_anchors(spark.createDataFrame([(0, base), (1, more)], "doc_id long, text string"), "text", "_a").orderBy("doc_id").collect()
+    assert len({*one[0]["_a"]} - {*one[1]["_a"]}) <= 10
+    # which k-mers are chosen, by the definition
+    syms = re.findall(r"\S{1,24}", base)
+    hs = [x["h"] for x in spark.createDataFrame([(i, w) for i, w in enumerate(syms)], "i int, w string").selectExpr("i", "xxhash64(w) h").orderBy("i").collect()]
+    k = fingerprints.K
+    hs = [*range(k - 1), *hs, *range(k, 2 * k - 1)]
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(hs, hs[1:], strict=False))], "i int, a long, b long").selectExpr("i", "xxhash64(a, b) s").orderBy("i").collect()
+    s = [x["s"] for x in pairs]
+    chosen = sum(min(s[i : i + 7]) in (s[i], s[i + 6]) for i in range(len(hs) - k + 1))
+    assert len(got[0]) == chosen
+
+
 def test_next_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 3)
     r = random.Random(1)
@@ -428,6 +458,63 @@ def test_mixing(docs, empty, spark):
     assert mixing.mix(empty, empty, targets).count() == mixing.mixed(empty, empty, targets).count() == 0
 
 
+def test_mixing_least_squares():
+    """The projected gradient against the normal equations, and a case at the floor."""
+    r = np.random.default_rng(5)
+    p = r.dirichlet([0.3, 0.3, 0.3], 400)
+    n = r.integers(1, 50, 400)
+    weights = np.array([0.2, 0.3, 0.5])
+
+    class Frame:  # what ``fit`` asks of a table, in this process
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array(n), pa.array(p.tolist())], ["n_tokens", "p"])
+            self.rows = [{"k": int(k), "v": float(v)} for b in run(iter([batch])) for k, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, *_):
+            return self
+
+        def collect(self):
+            return self.rows
+
+    for floor in (0.0, 0.9):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing.F, "sum", lambda *_: type("C", (), {"alias": lambda *_: None})())
+            steps, targets, reached = mixing.fit(Frame(), weights, floor, rounds=400)
+        rate = mixing.rates(p, steps, floor)
+        assert rate.min() >= floor and np.allclose((rate * n) @ p, targets, rtol=5e-3) and np.allclose(targets / targets.sum(), weights)
+        if not floor:
+            # without a bound in the way, what is left of the gradient steps is the least change that does it
+            assert np.allclose(rate - 1, p @ np.linalg.lstsq((p * n[:, None]).T @ p, targets - n @ p, rcond=None)[0], atol=5e-3) or (rate == 0).any()
+    with pytest.MonkeyPatch.context() as m, pytest.warns(UserWarning, match="off by"):
+        m.setattr(mixing.F, "sum", lambda *_: type("C", (), {"alias": lambda *_: None})())
+        mixing.fit(Frame(), weights, rounds=1)
+
+
+def test_mixing_clashing_columns_and_samples(docs, spark):
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumn("_rate", F.lit(5)).withColumn("_COPY", F.lit(6)).withColumn("_half", F.lit("h"))
+    out = mixing.mixed(odd, odd, {"en": 0.5, "de": 0.5})
+    assert out.columns == odd.columns and {tuple(r) for r in out.select("_rate", "_COPY", "_half").collect()} == {(5, 6, "h")}
+    # a rare domain is learned from too, and posteriors are told apart as far as labels are found again
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{lang}{r.randrange(30)}" for _ in range(20)), lang) for i in range(3000) for lang in ["de" if i % 100 == 0 else "en"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = mixing.learn(df, ["de", "en"], sample=200)
+    assert (model.sharpness > 5).all()
+    found = {x["doc_id"]: x["p"] for x in mixing.posteriors(df, model).collect()}
+    assert sum((found[i][0] > 0.5) == (lang == "de") for i, _, lang in rows) > 2980
+
+
 def test_toxicity(docs, empty, spark):
     r = random.Random(7)
     rows, labels = [], []

@@ -1,16 +1,23 @@
 """Mixing to target weights with soft membership.
 
-A classifier learned from a labelled table (at most ``SAMPLE`` rows of each
-domain's share) gives every document posteriors over the domains: word counts
-in hashed buckets, smoothed, and a softmax of the mean log likelihood.  Rates
-r >= 0 for documents are then fitted by projected-gradient least squares so
+A classifier learned from a labelled table gives every document posteriors over
+the domains: word counts in hashed buckets, smoothed, and a softmax of the mean
+log likelihood.  How far these are told apart is fitted too, so that posteriors
+are probabilities: the value under which the labels of the other half are
+likeliest.  The labelled rows are halved by a hash of the id, and a document is
+judged by the half that its id is not in, so never by a model that has learned
+from its own label.  At most about ``SAMPLE`` rows are learned from, as many of
+each domain; which, a hash of id and text says.
+
+Rates r >= 0 for documents are then fitted by projected-gradient least squares so
 that the expected tokens of each domain, sum over documents of r * tokens *
 posterior, match the targets.
 
 A rate is a function of the document's own row and of the residuals of the
 steps so far (as many numbers as domains), so the driver holds nothing else,
 and every step is one pass over a narrow written table with one row of sums
-per partition.
+per partition.  A fit that does not come close in ``ROUNDS`` steps is used, with a
+warning that says how far off it is.
 
 Targets are weights; the total is the least for which no domain needs to
 shrink, so that a mix repeats documents of scarce domains; with a floor of 1 it
@@ -21,12 +28,14 @@ more for the share of ids (by hash) that its fraction says.
 Defined results: null and empty texts have no tokens, the prior as posterior
 and rate 1; rows with null or unknown labels are not learned from; repeated
 rows have the same rate; a domain without tokens is left out of the fit; extra
-columns are kept by ``mix``; an empty table gives an empty result.
+columns are kept by ``mixed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +44,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tetrad.llm import kernels as K
-from tetrad.llm.shared import blocks, small_batches, text_bytes, texts, written
+from tetrad.llm.shared import blocks, release, small_batches, text_bytes, texts, written
 
-#: Most labelled rows that the classifier learns from (chosen by a hash of the text).
+#: Labelled rows that the classifier learns from, about.
 SAMPLE = 20_000
 BUCKETS = 1 << 15
-#: How far apart mean log likelihoods are told.
-SHARPNESS = 6.0
+#: How far apart mean log likelihoods may be told: the values that are tried.
+SHARPNESS = np.geomspace(0.5, 500, 61)
+#: Steps of the least squares.
+ROUNDS = 60
+
+
+class Model(NamedTuple):
+    """For each half of the ids, learned from the other one: log likelihoods
+    (half, bucket, domain), log priors, and how far they are told apart."""
+
+    likely: np.ndarray
+    prior: np.ndarray
+    sharpness: np.ndarray
+
+
+def _half(key: str) -> Column:
+    """Which half of the ids a row is in."""
+    return F.pmod(F.xxhash64(F.lit("half"), f"`{key}`"), F.lit(2)).cast("int")
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -53,61 +84,91 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield a, b - a, K.owners(starts, at), (K.hashes(part, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def learn(labelled: DataFrame, domains: list[str], text: str = "text", label: str = "lang", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Log likelihoods (bucket, domain) and log priors."""
+def learn(labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
+    """The classifier of both halves."""
     small_batches(labelled.sparkSession)
-    known = labelled.where(F.col(f"`{label}`").isin(domains)).select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{label}`").alias("label"))
-    n = known.count()
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    size = len(domains)
+    known = labelled.where(F.col(f"`{label}`").isin(domains)).select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{label}`").alias("label"), _half(key).alias("half"), F.xxhash64(F.lit("sample"), f"`{key}`", f"`{text}`").alias("hash"))
+    there = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # one row a domain
+    part = F.coalesce(*[F.when(F.col("label") == d, F.lit(int(min(1.0, sample / size / n) * 1_000_000))) for d, n in there.items()], F.lit(0))
+    known = written(known.where(F.pmod("hash", F.lit(1_000_000)) < part).select("text", "label", "half"), "labelled")
     number = {d: i for i, d in enumerate(domains)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros((len(domains), BUCKETS), np.int64), np.zeros(len(domains), np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros((2, size, BUCKETS), np.int64), np.zeros((2, size), np.int64)
         for batch in batches:
-            of = np.array([number[x] for x in batch.column("label").to_pylist()], np.int64)
-            rows += np.bincount(of, minlength=len(domains))
+            of = batch.column("half").to_numpy() * size + np.array([number[x] for x in batch.column("label").to_pylist()], np.int64)
+            rows += np.bincount(of, minlength=2 * size).reshape(2, size)
             for first, _, owner, bucket in _words(batch.column("text")):
                 counts += np.bincount(of[first + owner] * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([*there, *(-1 - np.arange(len(domains)))], pa.int64()), pa.array([*counts.reshape(-1)[there], *rows], pa.int64())], ["at", "n"])
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([*at, *(-1 - np.arange(2 * size))], pa.int64()), pa.array([*counts.reshape(-1)[at], *rows.reshape(-1)], pa.int64())], ["at", "n"])
 
-    counts, rows = np.zeros(len(domains) * BUCKETS), np.zeros(len(domains))
-    for r in known.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most domains x BUCKETS rows
+    counts, rows = np.zeros(2 * size * BUCKETS), np.zeros(2 * size)
+    for r in known.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2 x domains x BUCKETS rows
         if r["at"] < 0:
             rows[-1 - r["at"]] = r["n"]
         else:
             counts[r["at"]] = r["n"]
-    counts = counts.reshape(len(domains), BUCKETS)
-    common = (counts.sum(0) + 0.1) / (counts.sum() + 0.1 * BUCKETS)
-    likely = np.log((counts + 200 * common) / (counts.sum(1, keepdims=True) + 200))
-    return np.ascontiguousarray(likely.T), np.log((rows + 1) / (rows.sum() + len(domains)))
+    # a half's model is of the other half
+    counts, rows = counts.reshape(2, size, BUCKETS)[::-1], rows.reshape(2, size)[::-1]
+    common = (counts.sum(1, keepdims=True) + 0.1) / (counts.sum((1, 2), keepdims=True) + 0.1 * BUCKETS)
+    likely = np.log((counts + 200 * common) / (counts.sum(2, keepdims=True) + 200))
+    plain = Model(np.ascontiguousarray(likely.transpose(0, 2, 1)), np.log((rows + 1) / (rows.sum(1, keepdims=True) + size)), np.ones(2))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Minus log likelihood of the labels of each half, at each sharpness."""
+        total = np.zeros((2, len(SHARPNESS)))
+        for batch in batches:
+            half = batch.column("half").to_numpy()
+            own = np.array([number[x] for x in batch.column("label").to_pylist()], np.int64)
+            _, found = _told(batch.column("text"), half, plain)
+            for k, sharp in enumerate(SHARPNESS):
+                logit = plain.prior[half] + found * sharp
+                top = logit.max(1, keepdims=True, initial=-np.inf)
+                off = (top + np.log(np.exp(logit - top).sum(1, keepdims=True)))[:, 0] - logit[np.arange(len(own)), own]
+                total[:, k] += np.bincount(half, weights=off, minlength=2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["k", "v"])
+
+    off = np.zeros(2 * len(SHARPNESS))
+    for r in known.mapInArrow(judge, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # two rows a value
+        off[r["k"]] = r["v"]
+    return plain._replace(sharpness=SHARPNESS[off.reshape(2, -1).argmin(1)])
+
+
+def _told(column: pa.Array, half: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the mean log likelihood of its words in each domain."""
+    size = model.prior.shape[1]
+    sizes, found = np.zeros(len(column), np.int64), np.zeros((len(column), size))
+    flat = model.likely.reshape(-1, size)
+    for first, n, owner, bucket in _words(column):
+        count = sizes[first : first + n] = np.bincount(owner, minlength=n)
+        at = half[first + owner].astype(np.int64) * BUCKETS + bucket
+        for k in range(size):
+            found[first : first + n, k] = np.bincount(owner, weights=flat[at, k], minlength=n) / np.maximum(count, 1)
+    return sizes, found
 
 
-def _membership(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _membership(column: pa.Array, half: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text, and its posteriors (text, domain)."""
-    likely, prior = model
-    sizes, found = np.zeros(len(column), np.int64), np.zeros((len(column), len(prior)))
-    for first, n, owner, bucket in _words(column):
-        count = sizes[first : first + n] = np.bincount(owner, minlength=n)
-        for k in range(len(prior)):
-            found[first : first + n, k] = np.bincount(owner, weights=likely[bucket, k], minlength=n) / np.maximum(count, 1)
-    logit = prior + found * SHARPNESS
+    sizes, found = _told(column, half, model)
+    logit = model.prior[half] + found * model.sharpness[half][:, None]
     p = np.exp(logit - logit.max(1, keepdims=True, initial=-np.inf))
     return sizes, p / p.sum(1, keepdims=True)
 
 
-def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, p): words of each text and the posterior of each domain."""
     small_batches(docs.sparkSession)
-    size = len(model[1])
+    size = model.prior.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, p = _membership(batch.column("text"), model)
+            sizes, p = _membership(batch.column(1), batch.column(2).to_numpy(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), size).cast(pa.list_(pa.float64()))], [key, "n_tokens", "p"])
+        release()
 
-    source = texts(docs, key, text=text)
+    source = texts(docs, key, text=text).select(f"`{key}`", "text", _half(key))
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, n_tokens long, p array<double>")
 
 
@@ -119,7 +180,7 @@ def rates(p: np.ndarray, steps: list[np.ndarray], floor: float = 0.0) -> np.ndar
     return r
 
 
-def fit(member: DataFrame, weights: np.ndarray, floor: float = 0.0, rounds: int = 40, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit(member: DataFrame, weights: np.ndarray, floor: float = 0.0, rounds: int = ROUNDS, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps whose rates match the targets; the targets; the tokens reached.
 
     Least squares of (expected tokens - targets), each domain in units of its
@@ -164,13 +225,17 @@ def fit(member: DataFrame, weights: np.ndarray, floor: float = 0.0, rounds: int
             break
         steps.append(scale * (scale * off) / top)
         reached = summed(steps)[:size]
+    else:
+        off = np.abs(np.where(there, reached - targets, 0) / np.maximum(targets, 1)).max()
+        if off > close:
+            warnings.warn(f"the fit is off by {off:.2e} of a target after {rounds} steps", stacklevel=2)
     return steps, targets, reached
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str = "doc_id", text: str = "text", label: str = "lang", floor: float = 0.0) -> DataFrame:
     """(key, n_tokens, domain, p, rate, copies) of every document; no rate is below the floor."""
     domains = sorted(targets)
-    member = written(posteriors(docs, learn(labelled, domains, text, label), key, text), "posteriors")
+    member = written(posteriors(docs, learn(labelled, domains, key, text, label), key, text), "posteriors")
     steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]), floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +252,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key:
 
 def _copies(rate: str, key: str) -> Column:
     """Whole copies for a rate; one a hair below a whole number is that number."""
-    near = F.col(rate) + 1e-4
+    near = F.col(f"`{rate}`") + 1e-4
     part = F.pmod(F.xxhash64(F.lit("copies"), f"`{key}`"), F.lit(1 << 20)) / (1 << 20)
     return (F.floor(near) + F.when(part < near - F.floor(near), 1).otherwise(0)).cast("long")
 
@@ -199,17 +264,19 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], ke
     text is shuffled.
     """
     domains = sorted(targets)
-    model = learn(labelled, domains, text, label)
+    model = learn(labelled, domains, key, text, label)
     member = written(posteriors(docs, model, key, text), "posteriors")
     steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]), floor)
+    rate, copy, half = (_unused(docs, c) for c in ("_rate", "_copy", "_half"))
     whole = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
-    schema = T.StructType([*whole.schema.fields, T.StructField("_rate", T.DoubleType())])
+    schema = T.StructType([*whole.schema.fields, T.StructField(rate, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, p = _membership(batch.column(text).fill_null(""), model)
-            rate = np.where(sizes > 0, rates(p, steps, floor), 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate, pa.float64())], [*batch.schema.names, "_rate"])
+            sizes, p = _membership(batch.column(text).fill_null(""), batch.column(batch.num_columns - 1).to_numpy(), model)
+            found = np.where(sizes > 0, rates(p, steps, floor), 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], rate])
+        release()
 
-    copied = whole.mapInArrow(run, schema).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies("_rate", key).cast("int"))))
-    return copied.drop("_rate", "_copy")
+    copied = whole.withColumn(half, _half(key)).mapInArrow(run, schema).withColumn(copy, F.explode(F.array_repeat(F.lit(1), _copies(rate, key).cast("int"))))
+    return copied.drop(rate, copy)
