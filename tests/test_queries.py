@@ -39,7 +39,7 @@ def test_whole_vocabulary(spark, tmp_path):
     assert sorted(run("inverse_dictionary")) == sorted((a, " ".join(x)) for a, x in of.items())
     assert sorted(run("indistinguishables")) == sorted((x[0], " ".join(x)) for x in of.values())
     assert sorted(run("equivalents_of_word")) == sorted((w, " ".join(x)) for x in of.values() for w in x)
-    assert {w for w, _ in run("train_test_split")} == words and len(run("random_sample_100_all")) == 100
+    assert {w for w, _ in run("train_test_split")} == words and len(run("random_sample_100")) == 100
     checked = run("ascii_checks")
     assert len(checked) == 4 * 2500 + 1 and {r[0] for r in checked if not r[2]} == {"de"}
     assert len(run("sample_each_language")) == 80
