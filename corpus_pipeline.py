@@ -2,8 +2,12 @@
 
 Each stage works on all that its predecessor kept; its result is written as
 Parquet and read again as the next stage's documents.  The tables that a stage
-has written for itself are deleted when the next one begins, whose input is
-then complete.
+has written for itself are deleted when the same application's next stage
+begins, whose input is then complete: a stage's result is to be written before.
+
+Defined results: an empty table gives an empty one; null and empty texts are
+rejected by the quality rules; of repeated rows with one id, one of each class
+stays; extra columns are kept up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -16,15 +20,17 @@ from tetrad.llm import jaccard, mixing, packing, quality, repeats, shared
 from tetrad.llm.queries import TARGETS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_done: list[str] = []
+#: By application, the paths of tables whose stage is done when the next one begins.
+_done: dict[str, list[str]] = {}
 
 
 def _stage(work: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.delete(spark, _done)
+        done = _done.setdefault(spark.sparkContext.applicationId, [])
+        shared.delete(spark, done)
         first = shared.written_since()
         out = work(spark, docs, sf_dir)
-        _done.extend(shared.written_since(first))
+        done.extend(shared.written_since(first))
         return out
 
     run_stage.__name__, run_stage.__doc__ = work.__name__, work.__doc__

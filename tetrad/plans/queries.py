@@ -288,6 +288,12 @@ def clusters_of_2000_tokens(spark: SparkSession, d: str) -> DataFrame:
     return clusters.statistics(clusters.raw_clusters(features.representatives(features.char_vectors(tokens(spark, d, 2000)))))
 
 
+@query(f"with {TCORE.replace(top(2000), top(5000))}, {REP}, {PAIR}, {RAW} select size, count(*) freq from (select cluster_id, count(*) size from raw group by cluster_id) group by size")
+def clusters_of_5000_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the clusters of a vocabulary, twelve million pairs."""
+    return clusters.statistics(clusters.raw_clusters(features.representatives(features.char_vectors(tokens(spark, d, 5000)))))
+
+
 REST = "array_to_string(list_filter(string_split({0}, ''), lambda c: length({0}) - length(replace({0}, c, '')) = length({1}) - length(replace({1}, c, ''))), '')"
 
 
