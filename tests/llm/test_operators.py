@@ -76,6 +76,39 @@ def test_quality(docs, empty):
     assert quality.measure(empty).count() == quality.keep(empty).count() == 0
 
 
+def test_quality_coverage(spark):
+    """Characters inside repeated n-grams and lines, and the verdict, against a plain count."""
+    r = random.Random(41)
+    limits = quality.Limits()
+    rows = [(i, "\n".join(" ".join(words(r, r.randint(1, 12), r.choice([5, 40, 3000])).split()) for _ in range(r.randint(1, 25)))) for i in range(60)]
+    rows += [(60, "\n".join(["a b c d e f g h"] * 9)), (61, words(r, 9000, 5000)), (62, "x " * 5000)]
+    for row in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = dict(rows)[row["doc_id"]]
+        w = re.findall(WORD, t)
+        total = max(1, sum(map(len, w)))
+        good = not row["base_failed"] and row["n_symbols"] <= limits.symbols_per_word * len(w)
+        for n, most in limits.ngrams:
+            grams = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+            inside = {k + j for k in range(len(w) - n + 1) if grams[tuple(w[k : k + n])] > 1 for j in range(n)}
+            share = sum(len(w[k]) for k in inside) / total
+            assert abs(row[f"coverage_{n}"] - share) < 1e-9
+            good &= share <= most
+        lines = Counter(t.split("\n"))
+        share = sum(len(x) for line in t.split("\n") if lines[line] > 1 for x in re.findall(WORD, line)) / total
+        assert abs(row["coverage_lines"] - share) < 1e-9
+        assert row["kept"] == (good and share <= limits.lines)
+
+
+def test_regular_lines_are_told_apart(spark):
+    """Lines whose characters change in the way that fools a polynomial modulo a power of two."""
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    got = quality.measure(spark.createDataFrame([(1, f"{one}\n{other}"), (2, f"{one}\n{one}")], "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["n_dup_lines"] for x in got} == {1: 0, 2: 1}
+
+
 def test_licenses(docs, empty):
     got = sorted(tuple(r)[:6] for r in licenses.scan(docs).collect())
     phrases = {t.label: list(t.words) for t in licenses.BASE}

@@ -83,6 +83,24 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+class Rolling:
+    """Hashes of the n-grams of any length at each place of a sequence of word
+    hashes, all from one pass: a polynomial rolls over the words, and an n-gram's
+    value is the difference of two of its sums, moved to place 0."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        n = len(words)
+        ahead, back = np.full(n, np.uint64(_BASE)), np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
+        ahead[:1] = back[:1] = 1
+        self.back = np.cumprod(back)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(ahead))])
+
+    def __call__(self, n: int) -> np.ndarray:
+        if len(self.total) <= n:
+            return np.zeros(0, np.uint64)
+        return mix((self.total[n:] - self.total[:-n]) * self.back[: len(self.total) - n])
+
+
 def owners(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Index of the text that each place belongs to."""
     return np.searchsorted(offsets, places, "right") - 1

@@ -68,7 +68,7 @@ def _block(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str, n
     np.add.at(in_line, np.searchsorted(starts, line_ends[both]), -1)
     line_chars = K.sums(chars * (np.cumsum(in_line[:-1]) > 0), owner, n)
 
-    salt = K.mix(owner.astype(np.uint64) + np.uint64(77))
+    salt, rolling = K.mix(owner.astype(np.uint64) + np.uint64(77)), K.Rolling(words)
 
     def covered(size: int) -> np.ndarray:
         """Words inside n-grams of this size that occur twice or more in their text."""
@@ -77,7 +77,7 @@ def _block(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str, n
         if count > 0:
             whole = owner[:count] == owner[size - 1 :]
             at = np.flatnonzero(whole)
-            grams = (K.ngrams(words, size) ^ salt[:count])[at]
+            grams = (rolling(size) ^ salt[:count])[at]
             at = at[K.repeated(grams)]
             out[at] += 1
             out[at + size] -= 1
