@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tetrad.llm.oracles import SQL as SQL
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -81,4 +83,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_best_fit_packing, op4_token_files, op5_fingerprints, op6_toxicity, op7_quality_rules, op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_mixing)}
-SQL: dict[str, str] = {}
