@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tetrad.llm.licenses import BASE, NOTICES, Template
 from tetrad.llm.quality import Limits
 
 LIMITS = Limits()
@@ -58,4 +59,22 @@ kept as (select d.r, array_to_string(list_transform(range(1, len(a) + 2), lambda
 select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept.hx, d.hx))) kept_sha256 from d left join gone using (r) left join kept using (r)
 """
 
-SQL = {"op7_quality_rules": OP7, "op8_ngram_jaccard_join": OP8, "op9_suffix_array_dedup": OP9}
+
+
+def _row(t: Template) -> str:
+    at = next(i for i in range(len(t.words)) if t.words[i : i + len(t.key)] == t.key)
+    return f"('{t.label}', {str(t.base).lower()}, {list(t.words)}, {list(t.key)}, {at})"
+
+
+#: Every place of a template's key, and the share of the template's words that stand in place around it.
+OP1 = (
+    f"with t(label, base, tw, kw, pre) as (values {', '.join(map(_row, (*BASE, *NOTICES)))}), "
+    r"d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents), "
+    "pos as (select r, unnest(range(1, len(w) + 1)) p, unnest(w) x from d), "
+    "hit as (select r, label, base, p - 1 start, list_sum(list_transform(range(1, len(tw) + 1), lambda i: case when i > pre and i <= pre + len(kw) then 1 when p - pre + i - 1 between 1 and len(w) and w[p - pre + i - 1] = tw[i] then 1 else 0 end))::double / len(tw) share from pos join t on x = kw[1] join d using (r) where w[p:p + len(kw) - 1] = kw), "
+    "kept as (select * from hit where base or share >= 0.6), "
+    "m as (select r, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word, string_agg(distinct label, ',' order by label) filter (base) base_labels, string_agg(distinct label, ',' order by label) labels, max(share) score from kept group by r) "
+    "select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0)::double score from d left join m using (r)"
+)
+
+SQL = {"op1_license_scan": OP1, "op7_quality_rules": OP7, "op8_ngram_jaccard_join": OP8, "op9_suffix_array_dedup": OP9}
