@@ -12,3 +12,6 @@ def test_streams(spark, tmp_path):
     q = windowed_words(timed, "ts").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["word"], r["n"]) for r in spark.table("windowed").collect()) == [("a", 1), ("b", 2)]
+    q = new_words(timed, time="ts").writeStream.format("memory").queryName("bounded").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r["word"] for r in spark.table("bounded").collect()) == ["a", "b"]

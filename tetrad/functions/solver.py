@@ -152,6 +152,23 @@ def verify_analogy(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd
     return _each(verify, a, b, c, d)
 
 
+@F.pandas_udf(T.StringType())
+def first_solution(equations: pd.Series) -> pd.Series:
+    """The solution of the first of an array of equations [a, b, c] that has one."""
+    known: dict[tuple, str | None] = {}
+    out = []
+    for row in equations:
+        found = None
+        for equation in map(tuple, row):
+            if equation not in known:
+                known[equation] = solve(*equation)
+            found = known[equation]
+            if found is not None:
+                break
+        out.append(found)
+    return pd.Series(out, dtype=object)
+
+
 def register(spark: SparkSession) -> None:
     """The functions by name, for SQL."""
     from tetrad.functions.strings import lcs_distance_arrow

@@ -14,8 +14,8 @@ def alphabet(words: DataFrame, column: str = "word") -> DataFrame:
 
 
 def symbols(rows: DataFrame, column: str) -> list[str]:
-    """A dimension's symbols in order.  Alphabets, tag sets and token sets only:
-    they are the columns of the vectors and must fit one."""
+    """A dimension's symbols in order.  Alphabets and tag sets only: they are the
+    columns of the vectors and must fit one."""
     return [r[0] for r in rows.select(column).distinct().orderBy(column).collect()]
 
 
@@ -37,11 +37,44 @@ def char_counts(words: DataFrame, column: str = "word") -> DataFrame:
     return words.select(F.col(column).alias("word"), F.explode(chars(column)).alias("ch")).groupBy("word", "ch").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dimensions(rows: DataFrame, column: str) -> DataFrame:
+    """(symbol, at): the distinct values in order, numbered from 0.  They are
+    numbered share by share of a range of them, so no task orders them all."""
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.col(column).alias("symbol")).distinct().repartitionByRange(spread, "symbol").sortWithinPartitions("symbol")
+    dealt = dealt.select("symbol", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")).persist()
+    shares = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).collect()  # one row a partition
+    before, known = 0, []
+    for r in sorted(shares, key=lambda r: r["part"]):
+        known.append((r["part"], r["first"] - before))
+        before += r["n"]
+    shift = rows.sparkSession.createDataFrame(known, "part int, shift long")
+    return dealt.join(F.broadcast(shift), "part").select("symbol", (F.col("id") - F.col("shift")).cast("int").alias("at"))
+
+
+def _dense(counts: DataFrame, n: int) -> DataFrame:
+    """(word, v) of n places from (word, at, n)."""
+    of = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    return of.select("word", F.transform(places, lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("int")).alias("v"))
+
+
+def token_counts(words: DataFrame, delimiter: str = " ", column: str = "word") -> DataFrame:
+    """(word, token, n): the sparse form."""
+    found = words.select(F.col(column).alias("word"), F.explode(F.split(column, "\\Q" + delimiter + "\\E")).alias("token")).where("token <> ''")
+    return found.groupBy("word", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_vectors(words: DataFrame, delimiter: str = " ", tokens: list[str] | None = None, column: str = "word") -> DataFrame:
-    """(word, v) with counts of whole tokens."""
-    found = words.select(F.explode(F.split(column, "\\Q" + delimiter + "\\E")).alias("t")).where("t <> ''")
-    tokens = symbols(found, "t") if tokens is None else tokens
-    return words.select(F.col(column).alias("word"), token_vector(column, tokens, delimiter).alias("v"))
+    """(word, v) of distinct words, with counts of whole tokens, by default of all
+    that occur; the tokens stay a table.  A vector has a place for each of them:
+    for large vocabularies ``token_counts`` is the form to work with."""
+    if tokens is not None:
+        return words.select(F.col(column).alias("word"), token_vector(column, tokens, delimiter).alias("v"))
+    counted = token_counts(words.select(column).distinct(), delimiter, column)
+    numbered = dimensions(counted, "token")
+    n = numbered.count()
+    return _dense(counted.join(numbered, counted["token"] == numbered["symbol"]).select("word", "at", "n"), n)
 
 
 def tag_vectors(forms: DataFrame, mode: str = "tag", delimiter: str = ";") -> DataFrame:
@@ -55,9 +88,11 @@ def tag_vectors(forms: DataFrame, mode: str = "tag", delimiter: str = ";") -> Da
 
 
 def lemma_vectors(forms: DataFrame) -> DataFrame:
-    """(word, v) of (form, lemma): one place for each lemma."""
-    lemmas = symbols(forms, "lemma")
-    return forms.select(F.col("form").alias("word"), F.array(*[(F.col("lemma") == x).cast("int") for x in lemmas]).alias("v"))
+    """(word, v) of (form, lemma): one place for each lemma, the lemmas stay a table."""
+    numbered = dimensions(forms, "lemma")
+    n = numbered.count()
+    placed = forms.join(numbered, F.col("lemma") == F.col("symbol")).select(F.col("form").alias("word"), "at")
+    return placed.select("word", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == F.col("at")).cast("int")).alias("v"))
 
 
 def concatenated(one: DataFrame, other: DataFrame) -> DataFrame:

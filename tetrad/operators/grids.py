@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tetrad.functions.solver import solve_analogy
+from tetrad.functions.solver import first_solution
 
 Ratios = list[tuple[str, str]]
 
@@ -191,5 +191,5 @@ def predictable_words(cells: DataFrame) -> DataFrame:
     up = cells.select("grid_id", F.col("row").alias("r2"), "col", F.col("word").alias("c_side"))
     corner = cells.select("grid_id", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("word").alias("a"))
     boxes = holes.join(side, ["grid_id", "row"]).join(up, ["grid_id", "col"]).join(corner, ["grid_id", "r2", "c2"])
-    solved = boxes.withColumn("word", solve_analogy("a", "b_side", "c_side")).where("word is not null")
-    return solved.groupBy("grid_id", "row", "col").agg(F.min_by("word", F.struct("r2", "c2")).alias("word"))
+    ranked = boxes.groupBy("grid_id", "row", "col").agg(F.array_sort(F.collect_list(F.struct("r2", "c2", "a", F.col("b_side").alias("b"), F.col("c_side").alias("c")))).alias("boxes"))
+    return ranked.select("grid_id", "row", "col", first_solution(F.transform("boxes", lambda x: F.array(x["a"], x["b"], x["c"]))).alias("word")).where("word is not null")

@@ -53,8 +53,15 @@ def sample_with_replacement(rows: DataFrame, column: str, n: int, seed: int = 0)
     if not count:
         return rows.select(column)
     draws = rows.sparkSession.range(n).select(F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "id", F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"), F.lit(count)).alias("_n"))
-    # a table of examples to show, numbered as a whole
-    order = rows.withColumn("_n", F.row_number().over(Window.orderBy(column)) - 1)
+    # rows are numbered within ranges, and ranges by how many rows are before them
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(column).repartitionByRange(spread, column).sortWithinPartitions(column).select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")).persist()
+    shift, before = [], 0
+    for r in sorted(dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).collect(), key=lambda r: r["_part"]):  # one row a partition
+        shift.append((r["_part"], r["first"] - before))
+        before += r["n"]
+    known = rows.sparkSession.createDataFrame(shift, "_part int, _shift long")
+    order = dealt.join(F.broadcast(known), "_part").select(column, (F.col("_id") - F.col("_shift")).alias("_n"))
     return draws.join(order, "_n").select(column)
 
 
