@@ -1,15 +1,18 @@
 """Licence scans with a positional index of rare licence words (native Spark).
 
-Each phrase or notice of the table below is looked up through its rarest words:
+The phrases and notices of the table below are indexed by their rarest words:
 the document frequencies of all licence words are counted over all documents,
-each template takes its words of highest IDF as anchors, the anchors' places in
-a text are shifted by their places in the template and intersected, and what
-remains is verified word by word: phrases as a whole, notices by their
-mandatory key phrase and by the share of words that stand where they should.
+and each template is listed under its key's words of highest IDF (its anchors),
+with their places.  A text looks up its own rare licence words in that index:
+each place of one gives, for every template listed there, where the template
+would begin.  Beginnings that all anchors of a template agree on are verified
+word by word: the mandatory key phrase as a whole, and the share of the
+template's words that stand where they should.  What a text costs depends on
+its rare licence words, not on the number of templates.
 
 Only DataFrame functions are used.  One pass cuts the texts into words; a text
-is kept for the look-up only if it holds all words of some phrase, which loses
-no match.  Nothing but one row per licence word reaches the driver.
+is kept for the look-up only if it holds all words of some key, which loses no
+match.  Nothing but one row per licence word reaches the driver.
 
 Defined results: null and empty texts have 0 words, no labels and score 0;
 a phrase that overlaps itself or another counts at every place; repeated rows
@@ -20,6 +23,7 @@ gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -83,30 +87,22 @@ def _idf(counts: dict[str, int], n: int, word: str) -> float:
     return math.log((n + 1) / (counts.get(word, 0) + 1))
 
 
-def _posting(words: Column, word: str, at: int) -> Column:
-    """Places of a word in the text, less its place in the template."""
-    return F.transform(F.filter("_places", lambda p: F.get(words, p) == word), lambda p: p - at)
+#: A template's number and a place, in one number.
+_PLACES = 1 << 40
 
 
-def _matches(template: Template, counts: dict[str, int], n: int, least: float, anchors: int) -> Column:
-    """Array of (start, share of the template's words in place) in ``_words``.
+def _agreed(votes: Column, need: list[int], which: Callable[[Column], Column]) -> Column:
+    """Of sorted votes, each value that comes as often as its template needs."""
+    needed = lambda v: F.get(F.lit(need), which(v).cast("int"))
+    return F.filter(votes, lambda v, i: (F.coalesce(F.get(votes, i - 1) != v, F.lit(True))) & F.coalesce(F.get(votes, i + needed(v) - 1) == v, F.lit(False)))
 
-    A phrase's anchors are its rarest words; a notice's are the rarest words of
-    its key, so that text missing around the key does not hide it.
-    """
-    words, size = F.col("_words"), F.size("_words")
-    key_at = next(i for i in range(len(template.words)) if template.words[i : i + len(template.key)] == template.key)
-    ranked = sorted(range(len(template.key)), key=lambda i: (-_idf(counts, n, template.key[i]), i))
-    rare = sorted(ranked[:anchors])
-    starts = None
-    for i in rare:
-        shifted = _posting(words, template.key[i], i)
-        starts = shifted if starts is None else F.array_intersect(starts, shifted)
-    key = F.array(*[F.lit(w) for w in template.key])
-    starts = F.filter(starts, lambda s: (s >= 0) & (s + len(template.key) <= size) & (F.slice(words, F.greatest(s, F.lit(0)) + 1, len(template.key)) == key))
-    in_place = lambda s: sum(F.when(F.get(words, s - key_at + i) == w, 1).otherwise(0) if (i < key_at) or i >= key_at + len(template.key) else F.lit(1) for i, w in enumerate(template.words))
-    found = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start"), (F.coalesce(in_place(s), F.lit(len(template.key))) / len(template.words)).alias("share")))
-    return F.filter(found, lambda m: m["share"] >= least)
+
+def _index(entries: list[tuple[str, int]]) -> Column:
+    """A map of words to arrays of numbers."""
+    of: dict[str, list[int]] = {}
+    for word, value in entries:
+        of.setdefault(word, []).append(value)
+    return F.create_map(*[x for w in sorted(of) for x in (F.lit(w), F.array(*[F.lit(v).cast("bigint") for v in of[w]]))])
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES, least: float = 0.6, anchors: int = 2) -> DataFrame:
@@ -116,25 +112,43 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: tuple[T
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     cut = texts(docs, key, text=text).select(f"`{key}`", F.regexp_extract_all(F.translate("text", upper, lower), F.lit(WORD), F.lit(0)).alias("_words"))
     found = cut.withColumn("_found", F.array_intersect("_words", F.array(*[F.lit(w) for w in vocabulary])))
-    whole = [F.size(F.array_except(F.array(*[F.lit(w) for w in sorted(set(t.key))]), "_found")) == 0 for t in templates]
-    any_whole = whole[0]
-    for c in whole[1:]:
-        any_whole = any_whole | c
-    table = written(
-        found.select(f"`{key}`", F.size("_words").cast("long").alias("n_words"), "_found", F.when((F.size("_found") > 0) & any_whole, F.col("_words")).alias("_words")),
-        "license-words",
-    )
+    # templates of which the text has all words of the key
+    of_word = _index([(w, n) for n, t in enumerate(templates) for w in sorted(set(t.key))])
+    found = found.withColumn("_votes", F.array_sort(F.flatten(F.transform("_found", lambda w: F.element_at(of_word, w)))))
+    whole = F.size(_agreed(F.col("_votes"), [len(set(t.key)) for t in templates], lambda v: v)) > 0
+    table = written(found.select(f"`{key}`", F.size("_words").cast("long").alias("n_words"), "_found", F.when(whole, F.col("_words")).alias("_words")), "license-words")
     n = table.count()
     counts = {r["w"]: r["count"] for r in table.select(F.explode("_found").alias("w")).groupBy("w").count().collect()}  # one row a licence word at most
-    places = F.when(F.col("_words").isNull(), F.array().cast("array<int>")).otherwise(
-        F.filter(F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(F.array().cast("array<int>")), lambda p: F.get("_words", p).isin(vocabulary))
-    )
-    indexed = table.withColumn("_places", places)
-    none = F.array().cast("array<struct<start: bigint, share: double>>")
-    match = lambda t, floor: F.coalesce(F.when(F.size("_places") > 0, _matches(t, counts, n, floor, anchors)), none)
-    labelled = lambda t, floor: F.transform(match(t, floor), lambda m: F.struct(F.lit(t.label).alias("label"), m["start"].alias("start"), F.lit(len(t.key)).cast("long").alias("n_words"), m["share"].alias("share")))
-    spans = indexed.select(f"`{key}`", "n_words", F.concat(*[labelled(t, 1.0) for t in base]).alias("_base"), F.concat(*[labelled(t, least) for t in notices]).alias("_more"))
-    joined = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda m: m["label"]) for c in columns]))), ",")
+    # the index: each template under its key's rarest words; a number for the template, less the word's place in the key
+    listed: list[tuple[str, int]] = []
+    for number, t in enumerate(templates):
+        rare = sorted(range(len(t.key)), key=lambda i: (-_idf(counts, n, t.key[i]), i))[:anchors]
+        listed += [(t.key[i], number * _PLACES - i) for i in sorted(rare)]
+    index, rare_words = _index(listed), sorted({w for w, _ in listed})
+    words, none = F.col("_words"), F.array().cast("array<int>")
+    every = F.when(F.coalesce(F.size("_words"), F.lit(0)) > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(none)
+    looked = table.withColumn("_places", F.when(words.isNull(), none).otherwise(F.filter(every, lambda p: F.get(words, p).isin(rare_words))))
+    votes = F.array_sort(F.flatten(F.transform("_places", lambda p: F.transform(F.element_at(index, F.get(words, p)), lambda x: x + p))))
+    # a place before the text's beginning is none, whatever number it would have
+    looked = looked.withColumn("_votes", F.filter(votes, lambda v: v % _PLACES < (_PLACES >> 1)))
+    number = lambda v: F.floor(v / F.lit(_PLACES)).cast("int")
+    agreed = _agreed(F.col("_votes"), [min(anchors, len(t.key)) for t in templates], number)
+    of = lambda values, v: F.get(F.lit(values), number(v))
+    start = lambda v: (v % _PLACES).cast("int")
+    keys, bodies = [list(t.key) for t in templates], [list(t.words) for t in templates]
+    inside = [next(i for i in range(len(t.words)) if t.words[i : i + len(t.key)] == t.key) for t in templates]
+    stands = F.filter(agreed, lambda v: F.slice(words, start(v) + 1, F.size(of(keys, v))) == of(keys, v))
+
+    def share(v: Column) -> Column:
+        body, first, long = of(bodies, v), of(inside, v), F.size(of(keys, v))
+        here = lambda i: F.coalesce(F.get(words, start(v) - first + i) == F.get(body, i), F.lit(False))
+        return F.size(F.filter(F.sequence(F.lit(0), F.size(body) - 1), lambda i: ((i >= first) & (i < first + long)) | here(i))) / F.size(body)
+
+    labels = [t.label for t in templates]
+    match = lambda v: F.struct(of(labels, v).alias("label"), start(v).cast("long").alias("start"), F.size(of(keys, v)).cast("long").alias("n_words"), share(v).alias("share"), of([t.base for t in templates], v).alias("base"))
+    spans = looked.withColumn("_stands", stands).withColumn("_all", F.transform("_stands", match))
+    spans = spans.withColumn("_all", F.filter("_all", lambda m: m["base"] | (m["share"] >= least))).withColumn("_base", F.filter("_all", lambda m: m["base"]))
+    joined = lambda column: F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda m: m["label"]))), ",")
     starts = F.transform("_base", lambda m: m["start"])
     return spans.select(
         f"`{key}`",
@@ -143,7 +157,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: tuple[T
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
         joined("_base").alias("base_labels"),
-        joined("_base", "_more").alias("labels"),
-        F.coalesce(F.array_max(F.transform(F.concat("_base", "_more"), lambda m: m["share"])), F.lit(0.0)).alias("score"),
-        F.concat("_base", "_more").alias("spans"),
+        joined("_all").alias("labels"),
+        F.coalesce(F.array_max(F.transform("_all", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+        F.col("_all").alias("spans"),
     )
