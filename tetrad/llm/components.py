@@ -15,7 +15,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours to its smallest neighbour, then its smaller ones; both keep the
     components, and rounds end when nothing changes, after about the logarithm
     of the number of nodes.  A node of many neighbours is only ever aggregated
-    (min), joined on and never gathered in one place.
+    (min), joined on and never gathered in one place; its rows in a join are one
+    skewed key against one row, which adaptive execution splits over tasks.
     """
     # every edge from its larger to its smaller end
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
