@@ -93,6 +93,23 @@ def test_files(spark):
     assert rows(text.concatenated(lines, quads, lines)) == sorted(rows(lines) * 2 + rows(quads))
 
 
+def test_language_split(spark, tmp_path):
+    for category, family, n in (("development", "germanic", 1), ("surprise", "uralic", 2)):
+        (tmp_path / category / family).mkdir(parents=True)
+        (tmp_path / category / family / "deu.dev").write_text("".join(f"lemma{i}\tform{i}\tV;PST\n" for i in range(n)) + "bad line\n")
+        (tmp_path / category / family / "deu.trn").write_text("a\tb\tN\n")
+    got = rows(text.language_split(spark, str(tmp_path), "deu"), "category", "family", "lang", "mode", "lemma")
+    assert got == [("development", "germanic", "deu", "dev", "lemma0"), ("surprise", "uralic", "deu", "dev", "lemma0"), ("surprise", "uralic", "deu", "dev", "lemma1")]
+    assert text.language_split(spark, str(tmp_path), "deu", category="surprise").count() == 2
+    with pytest.raises(ValueError):
+        text.language_split(spark, str(tmp_path), "german")
+
+
+def test_lexicon_is_in_order(spark):
+    got = clusters.paradigm_lexicon(ratios(spark, "a : b :: c : d", "a : d :: x : a")).collect()
+    assert [(r["word"], r["degree"]) for r in got] == [("a", 3), ("d", 2), ("x", 1), ("c", 1), ("b", 1)]
+
+
 def test_grid_statistics(spark):
     cells = spark.createDataFrame([("g", 0, 0, "a"), ("g", 0, 1, "b"), ("g", 1, 0, "c"), ("h", 0, 0, "x"), ("h", 1, 1, "y")], "grid_id string, row int, col int, word string")
     assert rows(grids.averages(cells)) == [(2, 4.0, 0.625)]

@@ -329,10 +329,10 @@ def surface(one: DataFrame, other: DataFrame | None = None) -> DataFrame:
 
 
 def paradigm_lexicon(ratios: DataFrame) -> DataFrame:
-    """(word, degree, partners)."""
+    """(word, degree, partners), the words of most partners first."""
     both = ratios.select(F.col("a").alias("word"), F.col("b").alias("other")).union(ratios.select(F.col("b").alias("word"), F.col("a").alias("other")))
     found = both.groupBy("word").agg(F.array_sort(F.collect_set("other")).alias("partners"))
-    return found.select("word", F.size("partners").alias("degree"), "partners")
+    return found.select("word", F.size("partners").alias("degree"), "partners").orderBy(F.desc("degree"), F.desc("word"))
 
 
 def annotated_lexicon(ratios: DataFrame) -> DataFrame:

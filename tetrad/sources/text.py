@@ -33,11 +33,11 @@ def sniff_sigmorphon(lines: DataFrame, column: str = "value") -> str:
     raise ValueError("three fields, but no known feature format")
 
 
-def sigmorphon(lines: DataFrame, year: int = 2017, column: str = "value") -> DataFrame:
-    """(lemma, form, msd, feats) of the lines with exactly three fields."""
+def sigmorphon(lines: DataFrame, year: int = 2017, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(lemma, form, msd, feats) of the lines with exactly three fields, behind the columns to keep."""
     f = F.split(F.rtrim(F.col(column)), "\t")
     lemma, form, msd = (f[0], f[1], f[2]) if year >= 2017 else (f[0], f[2], f[1])
-    rows = lines.where(F.size(f) == 3).select(lemma.alias("lemma"), form.alias("form"), msd.alias("msd"))
+    rows = lines.where(F.size(f) == 3).select(*keep, lemma.alias("lemma"), form.alias("form"), msd.alias("msd"))
     return rows.withColumn("feats", F.array_distinct(F.split("msd", ";" if year >= 2017 else ",")))
 
 
@@ -61,12 +61,16 @@ def last_of_each_form(triples: DataFrame, order: str) -> DataFrame:
     return triples.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
-def language_split(spark: SparkSession, root: str, language: str, mode: str = "dev") -> DataFrame:
-    """Triples of ``<root>/*/<language>.<mode>``, wherever the file's family is."""
+def language_split(spark: SparkSession, root: str, language: str, mode: str = "dev", category: str | None = None) -> DataFrame:
+    """(category, family, lang, mode, lemma, form, msd, feats) of the files
+    ``<root>/<category>/<family>/<language>.<mode>``; only those files are read."""
     if len(language) != 3 or mode not in ("trn", "dev", "tst"):
         raise ValueError("a three-letter language and trn, dev or tst are needed")
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{language}.{mode}").text(root)
-    return sigmorphon(files)
+    place = root.rstrip("/") + (f"/{category}" if category else "")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{language}.{mode}").text(place)
+    folder = F.split(F.input_file_name(), "/")
+    named = files.select("value", F.element_at(folder, -3).alias("category"), F.element_at(folder, -2).alias("family"), F.lit(language).alias("lang"), F.lit(mode).alias("mode"))
+    return sigmorphon(named, keep=("category", "family", "lang", "mode"))
 
 
 def vectors(lines: DataFrame, column: str = "value") -> DataFrame:
