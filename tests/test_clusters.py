@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tetrad.functions.strings import lcs
 from tetrad.operators import analogies, clusters, features, grids
+from tests import golden_clusters as golden
 
 # Word lists with known numbers of clusters.
 DUMMY = "makan makanan memakan dimakan pemakan minum minuman meminum peminum main mainan lihat melihat dilihat"
@@ -37,6 +38,12 @@ def test_golden_counts(spark, words, raw, kept):
         assert b == {frozenset({("tata", "toto"), ("papa", "popo")}), frozenset({("popo", "toto"), ("papa", "tata")})}
 
 
+@pytest.mark.parametrize(("words", "kept", "dropped"), [(golden.SMALL, golden.SMALL_KEPT, golden.SMALL_DROPPED), (TINY, golden.TINY_KEPT, []), (DUMMY, golden.DUMMY_KEPT, [])])
+def test_golden_sets(spark, words, kept, dropped):
+    read = lambda lines: {frozenset(min((a, b), (b, a)) for a, b in (r.split(" : ") for r in line.split(" :: "))) for line in lines}
+    assert found(spark, words) == (read([*kept, *dropped]), read(kept))
+
+
 def test_distances_split_equal_differences(spark):
     """ambil : mengambil and keluaran : mengeluarkan have one difference, but not one distance pattern."""
     _, kept = found(spark, "ambil mengambil keluaran mengeluarkan")
