@@ -132,13 +132,17 @@ def components(ratios: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder, set in a temporary folder where the session has none."""
+    """A checkpoint in the shared folder; a local master that has none gets a
+    temporary one, a cluster without one is an error."""
+    import re
     import tempfile
 
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tetrad-")
-        context.setCheckpointDir(folder)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tetrad-"))
     return df.checkpoint()
 
 

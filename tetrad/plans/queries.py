@@ -863,3 +863,67 @@ def grid_statistics_sink(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def grid_source(spark: SparkSession, d: str) -> DataFrame:
     return text.grids(text.grid_lines(_cells(spark, d)).select("value"))
+
+
+# ---- grids of given cells ----------------------------------------------------------------------
+
+
+CELL = "cell as (select p_brand grid_id, (p_size % 7)::int as \"row\", (length(p_name) % 5)::int col, min(p_name) word from part group by 1, 2, 3)"
+SHAPE = f"{CELL}, shape as (select grid_id, max(\"row\") + 1 length, max(col) + 1 width, count(*) filled from cell group by grid_id), attr as (select grid_id, length, width, length * width size, filled, round(filled / (length * width), 6) saturation from shape)"
+FULL = f"{SHAPE}, full_ as (select grid_id, r.i::int as \"row\", c.i::int col from shape, range(7) r(i), range(5) c(i) where r.i < length and c.i < width), named as (select grid_id, \"row\", col, coalesce(word, 'None') word from full_ left join cell using (grid_id, \"row\", col))"
+
+
+def _part_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Part names as cells of one grid a brand."""
+    cell = table(spark, d, "part").groupBy(F.col("p_brand").alias("grid_id"), (F.col("p_size") % 7).cast("int").alias("row"), (F.length("p_name") % 5).cast("int").alias("col"))
+    return cell.agg(F.min("p_name").alias("word"))
+
+
+@query(f"with {SHAPE} select * from attr")
+def part_grid_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return grids.attributes(_part_cells(spark, d))
+
+
+@query(f"with {SHAPE} select size, saturation, count(*) freq from attr group by all")
+def part_grid_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return grids.statistics(_part_cells(spark, d))
+
+
+@query(f"with {SHAPE} select count(*) grids, round(avg(size), 6) size, round(avg(saturation), 6) saturation from attr")
+def part_grid_averages(spark: SparkSession, d: str) -> DataFrame:
+    return grids.averages(_part_cells(spark, d))
+
+
+@query(f"with {SHAPE} select size || chr(9) || saturation || chr(9) || count(*) as value from attr group by size, saturation")
+def part_grid_statistics_sink(spark: SparkSession, d: str) -> DataFrame:
+    return text.statistics_lines(grids.statistics(_part_cells(spark, d)))
+
+
+LINES = f"{FULL}, l as (select grid_id, \"row\", string_agg(word, ' : ' order by col) line from named group by all)"
+
+
+@query(f"with {LINES} select grid_id, string_agg(line, ' :: ' order by \"row\") as value from l group by grid_id")
+def part_grid_sink(spark: SparkSession, d: str) -> DataFrame:
+    return text.grid_lines(_part_cells(spark, d))
+
+
+@query(f"with {LINES}, g as (select grid_id, string_agg(line, ' :: ' order by \"row\") id from l group by grid_id) select id grid_id, \"row\", col, word from cell join g using (grid_id)")
+def part_grid_source(spark: SparkSession, d: str) -> DataFrame:
+    return text.grids(text.grid_lines(_part_cells(spark, d)).select("value"))
+
+
+@query(f"with {FULL}, wide as (select grid_id, max(length(word)) w from named group by grid_id) select grid_id, \"row\", string_agg(rpad(case when word = 'None' then '' else word end, w::int, ' '), ' : ' order by col) as value from named join wide using (grid_id) group by all")
+def part_pretty_grids(spark: SparkSession, d: str) -> DataFrame:
+    return text.pretty_grids(_part_cells(spark, d))
+
+
+@query(f"with {top(400)}, v as (select word w from t), {ALPHA}, {VEC}, {REP}, {PAIR}, {RAW}, class as (select min(w) over (partition by x) rep, w from vec) select cluster_id, p.w a, q.w b from raw join class p on p.rep = a join class q on q.rep = b")
+def expanded_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the representatives of 400 tokens, with all their equivalents."""
+    v = features.char_vectors(tokens(spark, d, 400))
+    return clusters.expanded(clusters.raw_clusters(features.representatives(v)), features.equivalence_classes(v))
+
+
+@query(f"{CORE.replace('with', 'with recursive', 1)}, member as (select distinct cluster_id c, unnest([a, b]) w from raw where size between 2 and 8), meet as (select distinct x.c, y.c other from member x join member y using (w)), reach(c, other) as (select c, other from meet union select reach.c, meet.other from reach join meet on reach.other = meet.c) select c cluster_id, min(other) component from reach group by c")
+def cluster_components(spark: SparkSession, d: str) -> DataFrame:
+    return grids.components(ratios(spark, d).where("size between 2 and 8").select("cluster_id", "a", "b"))
