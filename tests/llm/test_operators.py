@@ -459,6 +459,12 @@ def test_repeats_of_a_frequent_passage(spark, monkeypatch, many):
     assert got == want and sum(k[2] for k in want) > 10_000
 
 
+def test_repeats_of_texts_without_any(spark):
+    rows = [(1, "nothing here " + "".join(map(str, range(200)))), (2, "short"), (3, None)]
+    got = repeats.spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["n_removed"]) for r in got.collect()} == {(1, 0), (2, 0), (3, 0)}
+
+
 def test_repeats_of_a_document_above_a_block(spark):
     r = random.Random(13)
     base = "".join(f"{r.randrange(10**8):x} " for _ in range(500_000))

@@ -251,7 +251,8 @@ class Distinct:
         self.chosen = order[new]
         self.often = np.bincount(self.number, minlength=len(self.chosen)) > 1
         own, at = np.unique(target[self.chosen], return_index=True)
-        self.shares = list(zip(own.tolist(), at.tolist(), [*at[1:].tolist(), len(self.chosen)], strict=True))
+        bounds = [*at.tolist(), len(self.chosen)]
+        self.shares = list(zip(own.tolist(), bounds, bounds[1:], strict=False))
 
 
 # ---- what is known of the anchors -------------------------------------------
