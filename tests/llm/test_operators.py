@@ -277,6 +277,10 @@ def test_wide_ids_and_several_files(docs, spark, monkeypatch):
     ids = _ids("byte_bpe_50k.json", 70_000)
     got = {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokens.read_sequences(spark, folder, index).collect()}
     assert got == {(i, len(ids[i]), zlib.crc32(ids[i].tobytes())) for i, _ in ROWS}
+    nulls = frame(spark, [(None, "b"), (None, "a b c"), (None, None), (2, "x"), (-1, "y z")])
+    folder, index = tokens.write_sequences(nulls, "byte_bpe_50k.json", end_id=2, length=4, rows_per_file=2)
+    back = sorted(tokens.read_sequences(spark, folder, index).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in back] == [None, None, None, -1, 2] and [r["start"] for r in back] == np.cumsum([0, *(r["n_tokens"] for r in back)])[:-1].tolist()
     with pytest.raises(Exception, match="16 bits"):
         tokens.write_sequences(docs, "byte_bpe_50k.json", end_id=70_000, small_ids=True)
 
@@ -579,6 +583,13 @@ def test_toxicity(docs, empty, spark):
     none = toxicity.learn(docs, given.limit(0))
     assert {x["score"] for x in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(empty, model).count() == 0
+    # a sample of the labelled rows; null labels and other texts of an id change nothing
+    odd = given.union(spark.createDataFrame([(5, None), (None, 1), (7, 0)], "doc_id long, toxic int"))
+    repeated = df.union(spark.createDataFrame([(i, "zz " + t) for i, t in rows[:30]], "doc_id long, text string"))
+    few, again = toxicity.learn(repeated, odd, sample=250), toxicity.learn(repeated.orderBy("text"), odd, sample=250)
+    assert few.odds == again.odds and few.weights.tolist() == again.weights.tolist()
+    found = [x for x in toxicity.score(df, few).collect() if x["held_out"]]
+    assert sum(x["predicted"] == dict(labels)[x["doc_id"]] for x in found) / len(found) > 0.9
 
 
 PAGE = '<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Home page</a></li><li><a href="/y">About us</a></li></ul></nav><div class="ad">Buy things now</div><article><h1>A title here</h1><p><b>First words &amp; more<br><p>Second  paragraph\nof &eacute;t&eacute; text that goes on for some words.</p></article><div class="comments"><p>Nice one</p></div><footer>&copy; someone</footer></body></html>'
