@@ -282,9 +282,10 @@ def _of_few(raw: list[bytes], sizes: list[int]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for x, n in zip(raw, sizes, strict=True))]).astype(np.int64)
 
 
-#: A row of entries for a target: keys of sets in one of their cuts (doubled, odd in the next smaller band's),
-#: how many entries each has, and the entries' signatures (their low 40 bits; the target tells the rest);
-#: and, for the target that judges a set, keys with what is known of them: size, parts, parts of two members or more.
+#: A row of entries for a target: keys of sets, how many entries each has, and the entries' signatures (39 of their
+#: bits, besides those that the target tells, and whether they are of the next smaller band's cut); and, for the target
+#: that judges a set, keys of sets in one of their cuts (doubled, odd in the next smaller band's) with what is known
+#: of them: size, parts, parts of two members or more.
 _ENTRIES = "target int, keys binary, counts binary, signatures binary, known binary, facts binary"
 #: Besides: whether an entry is of a part of two members or more (1), less one of them (2), and which part it is of.
 _PARTS = ", kinds binary, part binary"
@@ -314,15 +315,16 @@ def _packed(source: DataFrame, rule: Rule, deletions: bool = False) -> DataFrame
         np.minimum.at(least, own, part)
         part = part - least[own]
         target = ((sig >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)
-        order = np.lexsort((own, target))
+        order = np.lexsort((own >> 1, target))
         cut = np.searchsorted(target[order], np.arange(targets + 1).astype(np.uint64))
+        told_sig = sig << np.uint64(1) | (own & 1).astype(np.uint64)
         rows: list[list] = [[] for _ in range(8)]
         for t in range(targets):
             which, known = order[cut[t] : cut[t + 1]], told_of.get(t, _NONE)
             if not len(which) and not len(known):
                 continue
-            mine, count = np.unique(own[which], return_counts=True)
-            row = (labels[t], (key[mine >> 1] << np.uint64(1) | (mine & 1).astype(np.uint64)).tobytes(), _few(count), _five(sig[which]).tobytes())
+            mine, count = np.unique(own[which] >> 1, return_counts=True)
+            row = (labels[t], key[mine].tobytes(), _few(count), _five(told_sig[which]).tobytes())
             row += (doubled[known].tobytes(), facts[:, known].tobytes(), kind[which].tobytes(), _few(part[which]))
             for into, x in zip(rows, row, strict=True):
                 into.append(x)
@@ -374,7 +376,8 @@ class _Buckets:
 
     def __init__(self, table: pa.Table) -> None:
         c = {name: table.column(name).to_pylist() for name in table.column_names if name != "target"}
-        sig = _of_five(c["signatures"])
+        told = _of_five(c["signatures"])
+        sig, lower = told >> np.uint64(1), told & np.uint64(1)
         sets = [len(x) // 8 for x in c["keys"]]
         owner = np.repeat(np.arange(sum(sets)), _of_few(c["counts"], sets))
         kinds = np.frombuffer(b"".join(c["kinds"]), np.uint8) if "kinds" in c else np.zeros(len(sig), np.uint8)
@@ -384,7 +387,7 @@ class _Buckets:
         shared[1:] |= same
         shared[:-1] |= same
         order = order[shared]
-        key, kind = np.frombuffer(b"".join(c["keys"]), np.uint64)[owner[order]], kinds[order]
+        key, kind = np.frombuffer(b"".join(c["keys"]), np.uint64)[owner[order]] << np.uint64(1) | lower[order], kinds[order]
         # a set that several tasks sent counts once
         sort = np.lexsort((kind, key, sig[order]))
         order, key, kind = order[sort], key[sort], kind[sort]
