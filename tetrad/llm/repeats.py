@@ -46,7 +46,7 @@ from tetrad.llm.suffixes import repeated_windows
 
 GRAM = 64
 #: Bytes of text in a block (longer documents are blocks of their own), of blocks in a file, and of text for one target.
-BLOCK, FILE, SHARE = 3 << 20, 256 << 20, 16 << 20
+BLOCK, FILE, SHARE = 3 << 19, 256 << 20, 16 << 20
 #: Different segments of an anchor beyond which its runs are split, and into how many.
 MANY, SPLIT = 1000, 8
 #: Bytes of segments that are sorted together, about; one anchor's are never parted.

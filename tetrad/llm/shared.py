@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and Python; bounds both sides' memory.
-ARROW_ROWS = 1000
+ARROW_ROWS = 400
 #: Bytes of text that a numpy kernel works on at once (a longer text is one block).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _written: list[str] = []
 
@@ -85,6 +85,17 @@ def folder_files(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
+def _thrifty() -> None:
+    """Let this process give large arrays back as soon as they are freed: the C
+    library would otherwise learn to keep ever larger ones, and Arrow all of its own."""
+    with contextlib.suppress(OSError, AttributeError):
+        c = ctypes.CDLL(None)
+        for name, value in ((-3, 8 << 20), (-1, 16 << 20), (-8, 2)):  # thresholds to map and to trim, arenas
+            c.mallopt(name, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_thrifty()
 _released = 0.0
 
 
