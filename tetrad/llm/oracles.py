@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tetrad.llm.licenses import BASE, NOTICES, Template
+import re
+
+from tetrad.llm.chat import Template
+from tetrad.llm.licenses import BASE, NOTICES
+from tetrad.llm.licenses import Template as Notice
 from tetrad.llm.quality import Limits
 
 LIMITS = Limits()
@@ -61,7 +65,7 @@ select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coal
 
 
 
-def _row(t: Template) -> str:
+def _row(t: Notice) -> str:
     at = next(i for i in range(len(t.words)) if t.words[i : i + len(t.key)] == t.key)
     return f"('{t.label}', {str(t.base).lower()}, {list(t.words)}, {list(t.key)}, {at})"
 
@@ -77,4 +81,43 @@ OP1 = (
     "select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0)::double score from d left join m using (r)"
 )
 
-SQL = {"op1_license_scan": OP1, "op7_quality_rules": OP7, "op8_ngram_jaccard_join": OP8, "op9_suffix_array_dedup": OP9}
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebooks by rounds of assignment and means, each a step of the statement."""
+    near = "{name} as materialized (select x.r, x.p, min(list_sum(list_transform(list_zip(x.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + c.k) m from x join {book} c on x.p = c.p group by x.r, x.p)"
+    step = (
+        "t{i} as (select n.p, m % 256 k, j, sum(x[j])::hugeint s, count(*) n from n{i} n join x on x.r = n.r and x.p = n.p, (select unnest(range(1, (select max(len(x)) + 1 from x))) j) group by n.p, k, j), "
+        "c{o} as materialized (select p, k, coalesce(t.x, c.x) x from c{i} c left join (select p, k, list(((s - ((s % n) + n) % n) // n)::bigint order by j) x from t{i} group by p, k) t using (p, k))"
+    )
+    return (
+        "with q as (select row_number() over (order by vec_id nulls last, embedding) r, vec_id, label, list_transform(embedding, lambda e: floor(4096 * e::double)::bigint) v from embeddings where embedding is not null and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = len(embedding)), "
+        f"x as materialized (select r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] x from q, range({parts}) t(p)), "
+        f"c0 as materialized (select p, r - 1 k, x from x where r <= {entries}), "
+        + ", ".join(f"{near.format(name=f'n{i}', book=f'c{i}')}, {step.format(i=i, o=i + 1)}" for i in range(rounds))
+        + f", {near.format(name='f', book=f'c{rounds}')}, "
+        "coded as (select r, vec_id, label, string_agg(printf('%02x', (m % 256)::int), '' order by p) code, sum(m // 256)::bigint error from f join q using (r) group by r, vec_id, label), "
+        f"h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, k)) codebooks_sha256 from c{rounds}) "
+        "select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, codebooks_sha256 from coded, h"
+    )
+
+
+def _formatted(t: Template, spoken: str) -> str:
+    """Escaped texts between marks; a text under the loss is one of the assistant's."""
+    escaped = "regexp_replace(regexp_replace({0}, '(<)(\\\\*)(" + "|".join(re.escape(c[1:]) for c in t.controls if c[0] == "<") + ")', '\\1\\\\\\2\\3', 'g'), '(\\[)(\\\\*)(" + "|".join(re.escape(c[1:]) for c in t.controls if c[0] == "[") + ")', '\\1\\\\\\2\\3', 'g')"
+    marks = len(t.turn + t.body + t.end)
+    return (
+        f"with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') t from conversations union all values (-7, 0, 'user', '{spoken}'), (-7, 1, 'assistant', '{spoken}')) "
+        "select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn nulls first, role, t)) turns_sha256, "
+        "coalesce(sum(length(t)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(t, '' order by turn nulls first, t) filter (role = 'assistant'), '')) loss_sha256, "
+        f"sum({marks} + length({escaped.format('role')}) + length({escaped.format('t')}))::bigint formatted_chars, 0::bigint n_attachments, 0::bigint expanded_tokens from c group by conv_id"
+    )
+
+
+SQL = {
+    "op1_license_scan": OP1,
+    "op7_quality_rules": OP7,
+    "op8_ngram_jaccard_join": OP8,
+    "op9_suffix_array_dedup": OP9,
+    "op12_vector_codes": _codes(),
+    "op13_chat_formatting": _formatted(Template(), "</s>[INST] ok [/INST]"),
+}

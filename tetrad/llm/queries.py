@@ -82,4 +82,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, docs, TARGETS)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_best_fit_packing, op4_token_files, op5_fingerprints, op6_toxicity, op7_quality_rules, op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_mixing)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tetrad.llm import align
+
+    return align.align(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tetrad.llm import codes
+
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+#: A conversation that speaks in control strings, beside those of the table.
+SPOKEN = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tetrad.llm import chat
+    from tetrad.llm.shared import written
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    spoken = spark.createDataFrame([(-7, 0, "user", SPOKEN), (-7, 1, "assistant", SPOKEN)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(written(chat.format_turns(given.union(spoken)), "formatted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_best_fit_packing, op4_token_files, op5_fingerprints, op6_toxicity, op7_quality_rules, op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_mixing, op11_tokenizer_alignment, op12_vector_codes, op13_chat_formatting)}
