@@ -1,7 +1,11 @@
 """Expected values of the solver and the verifier."""
 
+import random
+from collections import Counter
+
 import pytest
 
+from tetrad.functions import solver
 from tetrad.functions.solver import solve, verify
 
 # Analogies that hold.
@@ -57,6 +61,7 @@ changer : tu changes :: observer : tu observes
 marcher : tu marches :: démenager : tu démenages
 préférer : je préfère :: vénérer : je vénère
 préférer : je préfère :: révérer : je révère
+préférer : je préfère :: zébrer : je zèbre
 fini : infini :: exact : inexact
 recevoir : j'ai reçu :: percevoir : j'ai perçu
 décevoir : j'ai déçu :: percevoir : j'ai perçu
@@ -88,6 +93,7 @@ spiewać : spiewaczka :: łechtać : łechtaczka
 wyszedłem : wyszłaS :: poszedłem : poszłaS
 rozproszyć : rozpraszać :: rozmnożyć się : rozmnażać się
 stworzyć : stwarzać :: mnożyć się : mnażać się
+stworzyć : stwarzać :: rozmnożyć się : rozmnażać się
 wyszedłeś : wyszłaś :: poszedłeś : poszłaś
 zgubiony : zgubieni :: zmartwiony : zmartwieni
 ṥpiewać : ṥpiewaczka :: biegać : biegaczka
@@ -161,16 +167,12 @@ abbaab : abab :: abab : ab
 ab : aabb :: aabb : aababb
 """.strip("\n").splitlines()
 
-# Analogies that are said to hold and are not found.  The last word of the first has a
-# character that no other word has; in the others, a character of the first word is matched elsewhere.
-MISSED = """
-نضفضزض : نضضفهز :: سضنضوض : سضضنهر
-préférer : je préfère :: zébrer : je zèbre
-stworzyć : stwarzać :: rozmnożyć się : rozmnażać się
-""".strip("\n").splitlines()
+# Fixed value: an analogy that is said to hold, but whose last word has a character that no other word has.
+UNBALANCED = "نضفضزض : نضضفهز :: سضنضوض : سضضنهر"
 
 # Solutions, and words that are none.
 SOLVED = """
+eue : rue :: nous devons : nous drvons
 tata : tàtà :: haha : hàhà
 tété : tete :: héhé : hehe
 tete : tété :: hehe : héhé
@@ -183,8 +185,6 @@ sue : rue :: nous devons : nous desons
 eue : rue :: nous devons : nous devons
 sus : vus :: nous devons : nous devons
 """.strip("\n").splitlines()
-# Said to be solved: in the third word the characters of the first do not stand in their order.
-NOT_IN_ORDER = "eue : rue :: nous devons : nous drvons"
 
 
 def words(line):
@@ -201,10 +201,11 @@ def test_does_not_hold(line):
     assert not verify(*words(line))
 
 
-@pytest.mark.parametrize("line", MISSED)
-@pytest.mark.xfail(strict=True)
-def test_holds_but_is_not_found(line):
-    assert verify(*words(line))
+def test_characters_that_do_not_balance():
+    """A proportion keeps characters: what is solved has the one that the other words have."""
+    a, b, c, d = words(UNBALANCED)
+    assert Counter(a + d) != Counter(b + c) and not verify(a, b, c, d)
+    assert Counter(a + solve(a, b, c)) == Counter(b + c) and solve(a, b, c)[:-1] == d[:-1]
 
 
 @pytest.mark.parametrize("line", SOLVED)
@@ -213,7 +214,7 @@ def test_solved(line):
     assert solve(a, b, c) == d
 
 
-@pytest.mark.parametrize("line", [*UNSOLVED, NOT_IN_ORDER])
+@pytest.mark.parametrize("line", UNSOLVED)
 def test_not_solved(line):
     a, b, c, d = words(line)
     assert solve(a, b, c) != d
@@ -231,3 +232,46 @@ def test_solutions(a, b, c, d):
 def test_length_of_solution(line):
     a, b, c, _ = words(line)
     assert len(solve(a, b, c)) == len(b) + len(c) - len(a)
+
+
+def best(a, b, c):
+    """The alignment of least cost by tables over all prefixes, and the preferred of equals."""
+    if b == c and not is_in(a, b):
+        return None
+    cost = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            for k in range(len(c) + 1):
+                ways = [cost[s] + n for s, _, n in solver._columns(a, b, c, (i, j, k)) if s in cost]
+                if not (i or j or k) or ways:
+                    cost[i, j, k] = min(ways, default=0)
+    now, out = (len(a), len(b), len(c)), ""
+    if now not in cost:
+        return None
+    while any(now):
+        now, x = next((s, x) for s, x, n in solver._columns(a, b, c, now) if s in cost and cost[s] + n == cost[now])
+        out = x + out
+    return out
+
+
+def is_in(a, b):
+    rest = iter(b)
+    return all(x in rest for x in a)
+
+
+def test_search_finds_what_tables_find():
+    r = random.Random(4)
+    solved = 0
+    for n in range(4000):
+        word = lambda most: "".join(r.choice("abcd"[: 2 + n % 3]) for _ in range(r.randint(0, most)))
+        a, b, c = word(5), word(8), word(8)
+        assert solver._reading(a, b, c) == best(a, b, c), (a, b, c)
+        solved += best(a, b, c) is not None
+    assert solved > 1000
+
+
+def test_long_words():
+    r = random.Random(5)
+    stem = "".join(r.choice("abcdefgh") for _ in range(300))
+    other = "".join(r.choice("ijklmnop") for _ in range(300))
+    assert solve(stem + "er", "ge" + stem + "t", other + "er") == "ge" + other + "t"

@@ -1,15 +1,26 @@
 """Solving and verifying word analogies a : b :: c : d.
 
-In d every character of b and c is found again, in order, but those that a has
-too: a is read off b and c, each of its characters in b, in c, or in both, and
-only those in both come once into d.  Readings follow longest common
-subsequences of (a, b) and (a, c) from the right end, in an order of preference
-(``_readings``); a reading that leads nowhere is left for the next.
-
-Of the first READINGS different words so read, d is the one for which the
-distances of a proportion agree best: that of b and d with that of a and c, and
-that of c and d with that of a and b, first without replacements (a longest
-common subsequence's distance), then with them; the preferred one of equals.
+A solution is an alignment of the four words, read from its columns.  Each
+character of a is found again in b, in c, or in both; a column is one of
+
+    all four words      a = b = c, d gets it
+    a and b             a's character is missing in c, and so in d
+    a and c             a's character is missing in b, and so in d
+    b alone, c alone    a character that d gets too
+    a and c against b   c's character takes the place that b's has, d gets b's
+    a and b against c   b's character takes the place that c's has, d gets c's
+
+so what changes from a to b changes from c to d, and what changes from a to c
+from b to d.  d is what an alignment of the fewest columns other than those of
+all four words spells; of equal ones, the one that is preferred column by column
+from the right end (``_columns``).
+
+The edit distances of all prefixes of a and b, and of a and c, bound what is
+left from below: a column that costs anything costs in one of them only.  The
+search goes down no way that the bound forbids, and raises its limit until an
+alignment is found; what has failed once is not tried again.  So the alignment
+is the best of all, whatever the lengths.
+
 If b and c are the same word, it is read in one way only, so a must be in it.
 """
 
@@ -17,108 +28,99 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Different readings that are compared, and how many are gone through for them.
-READINGS, TRIED = 24, 1000
+State = tuple[int, int, int]
+#: The next state, what d gets, and the cost.
+Column = tuple[State, str, int]
 
 
-def _table(a: str, b: str) -> list[list[int]]:
-    """Longest common subsequences of all prefixes."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        above, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(above[j] + 1 if x == y else max(row[-1], above[j + 1]))
+def _distances(a: str, b: str) -> list[list[int]]:
+    """Edit distances of all prefixes, replacements costing as much as one insertion."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        above, row = rows[-1], [i]
+        for j, y in enumerate(b, 1):
+            row.append(above[j - 1] if x == y else 1 + min(above[j - 1], above[j], row[-1]))
         rows.append(row)
     return rows
 
 
-def _distance(a: str, b: str, replacing: float = 2) -> float:
-    """Edit distance with insertions and deletions of 1."""
-    row: list[float] = list(range(len(b) + 1))
-    for x in a:
-        above, row = row, [row[0] + 1]
-        for j, y in enumerate(b):
-            row.append(above[j] if x == y else min(above[j] + replacing, row[-1] + 1, above[j + 1] + 1))
-    return row[-1]
-
-
-def _readings(a: str, b: str, c: str, ab: list[list[int]], ac: list[list[int]]) -> Iterator[str]:
-    """What is read off b and c, the preferred readings first; words may come again."""
-
-    def moves(i: int, j: int, k: int) -> list[tuple[int, int, int, str]]:
-        """Next states and what they add to d, the preferred first."""
-        in_b = i and j and a[i - 1] == b[j - 1]
-        in_c = i and k and a[i - 1] == c[k - 1]
-        shared = [(i - 1, j - 1, k - 1, a[i - 1])] if in_b and in_c else []
-        only_b = [(i - 1, j - 1, k, "")] if in_b else []
-        only_c = [(i - 1, j, k - 1, "")] if in_c else []
-        add_b = [(i, j - 1, k, b[j - 1])] if j else []
-        add_c = [(i, j, k - 1, c[k - 1])] if k else []
-        if in_b and in_c:
-            return [*shared, *add_c, *add_b, *only_b, *only_c]
-        if in_b:
-            return [*add_c, *only_b, *add_b]
-        if in_c:
-            return [*add_b, *only_c, *add_c]
-        # a's character may be missing in one word only: the other one is read on until it comes
-        free_b = i and ab[i - 1][j] == ab[i][j]
-        free_c = i and ac[i - 1][k] == ac[i][k]
-        short_b, short_c = i - ab[i][j], i - ac[i][k]  # characters of a that b, c lack
-        b_first = short_b < short_c or (short_b == short_c and i == 0 and j < k)
-        if bool(free_b) != bool(free_c):
-            b_first = bool(free_c)
-        return [*add_b, *add_c] if b_first else [*add_c, *add_b]
+def _columns(a: str, b: str, c: str, state: State) -> list[Column]:
+    """The last columns that an alignment of the prefixes may have, the preferred first.
+
+    A character of a that is in both words is shared.  If it is in one of them,
+    the other word is read on in search of it, and if it is in neither, the one
+    that has it further on.  What stands before a's first character comes from
+    b, then from c.
+    """
+    i, j, k = state
+    x = a[i - 1] if i else None
+    y, z = b[j - 1] if j else None, c[k - 1] if k else None
+    in_b, in_c = i > 0 and x == y, i > 0 and x == z
+    from_b: list[Column] = [((i, j - 1, k), y, 1)] if j else []
+    from_c: list[Column] = [((i, j, k - 1), z, 1)] if k else []
+    if in_b and in_c:
+        return [((i - 1, j - 1, k - 1), x, 0), *from_c, *from_b, ((i - 1, j - 1, k), "", 1), ((i - 1, j, k - 1), "", 1)]
+    if in_b:
+        return [*from_c, ((i - 1, j - 1, k), "", 1), *([((i - 1, j - 1, k - 1), z, 1)] if k else []), *from_b]
+    if in_c:
+        return [*from_b, ((i - 1, j, k - 1), "", 1), *([((i - 1, j - 1, k - 1), y, 1)] if j else []), *from_c]
+    c_first = i == 0 or (x in c[:k] and x not in b[:j])
+    return [*from_c, *from_b] if c_first else [*from_b, *from_c]
+
+
+def _found_again(a: str, b: str, c: str) -> bool:
+    """Whether b and c together hold a's characters in order: for each suffix of
+    a, the places of b and c that are left, as far as none is better than another."""
+    left = [(len(b), len(c))]
+    for x in reversed(a):
+        after = {(b.rfind(x, 0, j), k) for j, k in left} | {(j, c.rfind(x, 0, k)) for j, k in left}
+        left, most = [], -1
+        for j, k in sorted((p for p in after if min(p) >= 0), reverse=True):
+            if k > most:
+                left.append((j, k))
+                most = k
+        if not left:
+            return False
+    return True
+
 
+def _reading(a: str, b: str, c: str) -> str | None:
+    if Counter(a) - (Counter(b) + Counter(c)) or not _found_again(a, b, c) or (b == c and not _found_again(a, b, "")):
+        return None
+    ab, ac = _distances(a, b), _distances(a, c)
     start = (len(a), len(b), len(c))
-    together = ab[-1][-1] + ac[-1][-1] - len(a)  # characters of a that are in both
-    dead: set[tuple[int, int, int]] = set()
-    path = [[start, together, "", iter(moves(*start)), False]]
+    limit = ab[-1][-1] + ac[-1][-1]
+    while True:
+        found = _within(a, b, c, ab, ac, start, limit)
+        if found is not None:
+            return found
+        limit += 1
+
+
+def _within(a: str, b: str, c: str, ab: list[list[int]], ac: list[list[int]], start: State, limit: int) -> str | None:
+    """What the first alignment of at most that cost spells, in the order of preference."""
+    failed: dict[State, int] = {}
+    path: list[tuple[State, int, str, Iterator[Column]]] = [(start, limit, "", iter(_columns(a, b, c, start)))]
     while path:
-        (i, j, k), both, _, rest, _ = path[-1]
-        if not (i or j or k):
-            yield "".join(step[2] for step in path)[::-1]
-            for step in path:
-                step[4] = True
-            path.pop()
-            continue
-        for ni, nj, nk, x in rest:
-            used = both - (ni < i and nj < j and nk < k)
-            state = (ni, nj, nk)
-            # what is left must still be readable with the shared characters left
-            if used >= 0 and state not in dead and ab[ni][nj] + ac[ni][nk] - ni == used:
-                path.append([state, used, x, iter(moves(*state)), False])
+        state, left, _, columns = path[-1]
+        if not any(state):
+            return "".join(step[2] for step in path)[::-1]
+        for after, x, cost in columns:
+            i, j, k = after
+            rest = left - cost
+            if ab[i][j] + ac[i][k] <= rest and failed.get(after, -1) < rest:
+                path.append((after, rest, x, iter(_columns(a, b, c, after))))
                 break
         else:
-            if not path.pop()[4]:
-                dead.add((i, j, k))
-
-
-def _reading(a: str, b: str, c: str) -> str | None:
-    if Counter(a) - (Counter(b) + Counter(c)):
-        return None
-    ab, ac = _table(a, b), _table(a, c)
-    if ab[-1][-1] + ac[-1][-1] < len(a) or (b == c and ab[-1][-1] < len(a)):
-        return None
-    best, least = None, (float("inf"), float("inf"))
-    seen: set[str] = set()
-    wanted = [[_distance(a, c, r), _distance(a, b, r)] for r in (2, 1.5)]
-    for d in islice(_readings(a, b, c, ab, ac), TRIED):
-        if d in seen:
-            continue
-        seen.add(d)
-        apart = tuple(abs(x - _distance(b, d, r)) + abs(y - _distance(c, d, r)) for (x, y), r in zip(wanted, (2, 1.5), strict=True))
-        if apart < least:
-            best, least = d, apart
-        if least == (0, 0) or len(seen) == READINGS:
-            break
-    return best
+            failed[state] = max(left, failed.get(state, -1))
+            path.pop()
+    return None
 
 
 def solve(a: str, b: str, c: str) -> str | None:
