@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tetrad.functions import strings as S
 from tetrad.functions.solver import solve_analogy, verify_analogy
-from tetrad.operators import analogies, clusters, features, grids, rules, transfer, windows
+from tetrad.operators import analogies, clusters, features, grids, levels, rules, transfer, windows
 from tetrad.sources import text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,6 +294,47 @@ def clusters_of_5000_tokens(spark: SparkSession, d: str) -> DataFrame:
     return clusters.statistics(clusters.raw_clusters(features.representatives(features.char_vectors(tokens(spark, d, 5000)))))
 
 
+def _sizes(n: int) -> str:
+    return f"with {TCORE.replace(top(2000), top(n))}, {REP}, {PAIR}, {RAW} select size, count(*) freq from (select cluster_id, count(*) size from raw group by cluster_id) group by size"
+
+
+def _vocabulary(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """One word for each vector of the commonest English tokens."""
+    return features.representatives(features.char_vectors(tokens(spark, d, n)))
+
+
+TREE = "r as (select x, row_number() over (order by x) - 1 rk from (select distinct x from vec)), lv as (select rk, x, unnest(range(0, len(x) + 1)) l from r), nd as (select l, min(rk) s, count(*) c, any_value(case when l = 0 then 0 else x[l] end)::int v, bool_and(len(list_filter(x[greatest(l, 1):], lambda e: e <> 0)) = 0) rest from lv group by l, x[1:l]), num as (select *, row_number() over (order by l, s) - 1 k, s + c e from nd)"
+
+
+@query(f"with {TCORE.replace(top(2000), top(5000))}, {TREE} select n.k number, n.l::int as level, n.s as start, n.e as stop, n.c size, n.v as value, n.c = 1 and n.rest empty_rest, coalesce(f.k, -1) first_child, coalesce(g.k, -1) last_child from num n left join num f on f.l = n.l + 1 and f.s = n.s left join num g on g.l = n.l + 1 and g.e = n.e")
+def block_nodes_of_5000_english_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The prefix tree of a vocabulary's vectors."""
+    return levels.linked(levels.nodes(_vocabulary(spark, d, 5000)))
+
+
+@query(f"with {TCORE}, {REP}, {PAIR}, {RAW} select cluster_id, size, a, b from raw")
+def clusters_by_levels_of_2000_english_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return levels.clusters(_vocabulary(spark, d, 2000))
+
+
+@query()
+def expanded_pairs_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of nodes the clustering of 5000 English tokens expands."""
+    return levels.report(_vocabulary(spark, d, 5000))
+
+
+@query(_sizes(10_000))
+def clusters_of_10000_english_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the clusters of a vocabulary, ten million pairs and more, by levels."""
+    return levels.sizes(_vocabulary(spark, d, 10_000))
+
+
+@query()
+def clusters_of_20000_english_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the clusters of a vocabulary, thirty million pairs and more, by levels."""
+    return levels.sizes(_vocabulary(spark, d, 20_000))
+
+
 REST = "array_to_string(list_filter(string_split({0}, ''), lambda c: length({0}) - length(replace({0}, c, '')) = length({1}) - length(replace({1}, c, ''))), '')"
 
 
