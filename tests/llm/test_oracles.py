@@ -15,7 +15,8 @@ def test_query_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     got = queries.QUERIES[name](spark, DATA)
     want = con.execute(queries.SQL[name])
     names = [x[0] for x in want.description]
