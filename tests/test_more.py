@@ -126,18 +126,31 @@ def test_learned_scorers(spark, tmp_path):
             made += [(lang, x, x + end, y, y + end, True), (lang, x, x + end, y, y[::-1] + end + "q", False)]
     quads = transfer.measured(spark.createDataFrame(made, "lang string, a string, b string, c string, d string, valid boolean"))
     models = quads.select("lang", F.explode(F.split(F.concat("a", "b"), "")).alias("ch")).groupBy("lang").agg(F.collect_set("ch").alias("alphabet"))
-    learned = transfer.train(models, quads)
+    learned = transfer.train(quads)
     transfer.save(learned, str(tmp_path))
     again = transfer.load(sorted(learned), str(tmp_path))
     assert [list(m.coefficients) for m in again.values()] == [list(m.coefficients) for _, m in sorted(learned.items())]
-    known = models.join(transfer.weights(spark, again), "lang").select("lang", "alphabet", F.struct("weights", "intercept").alias("model"))
+    known = models.join(transfer.weights(spark, again), "lang")
     for mode in ("full", "partial"):
-        found = transfer.matrix(known, quads, lambda alphabet, *_: transfer.learned("model", alphabet), mode)
+        found = transfer.matrix(known, quads, transfer.learned, mode)
         assert found.count() == 4 and transfer.look_up(found, "one", "one").first()["acc_raw"] > 0.95
     with pytest.raises(ValueError):
         transfer.matrix(known, quads, mode="half")
 
 
+def test_models_that_lack_letters(spark, monkeypatch):
+    quads = [("x", "ab", "abc", "b", "bc", True), ("x", "ab", "abc", "b", "cb", False), ("x", "a", "az", "b", "bz", True), ("x", "ab", "b", "abc", "bc", False), ("y", "d", "de", "", "e", True), ("y", "d", "de", "", "ee", False)]
+    df = transfer.looked_at(spark.createDataFrame(quads, "lang string, a string, b string, c string, d string, valid boolean"))
+    models = spark.createDataFrame([("x", list("abcz")), ("y", list("de")), ("w", list("abc"))], "lang string, alphabet array<string>")
+    want = {("x", "x"): (1, 0, 0.5), ("y", "x"): (0, 1, 0.5), ("w", "x"): (0.5, 0, 0.25), ("x", "y"): (0, 1, 0.5), ("y", "y"): (1, 1, 1), ("w", "y"): (0, 1, 0.5)}
+    for bound in (transfer.LANGUAGES, 1):
+        monkeypatch.setattr(transfer, "LANGUAGES", bound)
+        assert {tuple(r)[:2]: tuple(r)[2:] for r in transfer.matrix(models, df).collect()} == want
+    own = {tuple(r)[:2]: tuple(r)[2:] for r in transfer.matrix(models, df, mode="partial").collect()}
+    assert own == {(m, d): (1, 0, 0.5) if d == "x" else (1, 1, 1) for m in "xyw" for d in "xy"}
+    assert transfer.matrix(models, df.limit(0)).count() == 0
+
+
 def test_success_rate(spark):
     equations = analogies.random_equations(spark, 200, length=4, letters=2)
     assert all(1 <= len(r[x]) <= 4 and set(r[x]) <= set("ab") for r in equations.collect() for x in "abc")
@@ -146,7 +159,7 @@ def test_success_rate(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
-@pytest.mark.parametrize("name", "bit_vectors durations lcs_distances horizontal_split cluster_attributes cluster_intersection median_ratio_order annotated_lexicon agreeing_clusters cluster_discrepancies normalized_clusters focus_clusters valid_analogies marked_cluster_sink cluster_file analogy_source gamma_clusters cluster_report meeting_clusters empty_intersections changed_rules partial_transfer vector_file negatives_of_one_form neighbours".split())
+@pytest.mark.parametrize("name", "bit_vectors durations lcs_distances horizontal_split cluster_attributes cluster_intersection median_ratio_order annotated_lexicon agreeing_clusters cluster_discrepancies normalized_clusters focus_clusters valid_analogies marked_cluster_sink cluster_file analogy_source gamma_clusters cluster_report meeting_clusters empty_intersections changed_rules partial_transfer transfer_matrix transfer_pivot language_adjacency transfer_cell vector_file negatives_of_one_form neighbours".split())
 def test_query_against_sql(spark, name):
     import duckdb
 

@@ -43,4 +43,4 @@ def test_whole_vocabulary(spark, tmp_path):
     checked = run("ascii_checks")
     assert len(checked) == 4 * 2500 + 1 and {r[0] for r in checked if not r[2]} == {"de"}
     assert len(run("sample_each_language")) == 80
-    assert len(run("transfer_matrix")) == 16
+    assert run("transfer_matrix") == []  # no word is another one and a letter

@@ -1,10 +1,14 @@
 """How well analogies of one language are judged by another language's scorer,
 and the languages' dendrogram and communities.
 
-A scorer is a Column function of (model language, a, b, c, d) to a probability.
-The default knows which characters a model language has: an analogy is likely
-if its characters balance and are known.  ``train`` fits a logistic regression
-for each language in its place.
+What does not depend on the model is found once a quad, before models and quads
+meet: its letters, whether its characters balance, and how far distances are
+apart.  For each pair of a model's and a data's language it is known which
+letters of the data the model lacks.  A scorer is a Column function of these
+columns, and of what the model has besides, to a probability.  The default
+believes what balances and is spelled with letters that it knows.  ``train``
+fits a logistic regression for each language in its place, and
+``tetrad.operators.neural`` a network.
 """
 
 from __future__ import annotations
@@ -21,19 +25,26 @@ from tetrad.functions.strings import characters_balance, chars, lcs_distance_arr
 if TYPE_CHECKING:
     from pyspark.ml.classification import LogisticRegressionModel as Model
 
-Scorer = Callable[[Column, str, str, str, str], Column]
+#: From the columns of a quad, of its language's ``missing`` letters and of a model to a probability.
+Scorer = Callable[[], Column]
 
 
-def rule_scorer(alphabet: Column, a: str, b: str, c: str, d: str) -> Column:
-    """0.9 for balanced characters all known to the model language, 0.6 with
+def rule_scorer() -> Column:
+    """0.9 for balanced characters all known to the model's language, 0.4 with
     unknown ones, else 0.1."""
-    known = F.forall(F.concat(*[chars(x) for x in (a, b, c, d)]), lambda x: F.array_contains(alphabet, x))
-    return F.when(characters_balance(a, b, c, d), F.when(known, 0.9).otherwise(0.6)).otherwise(0.1)
+    return F.when(F.col("balance") == 1, F.when(F.arrays_overlap("letters", "missing"), 0.4).otherwise(0.9)).otherwise(0.1)
 
 
-def accuracy(probability: str, truth: str, least: float = 0.5) -> Column:
-    """Share of rows whose probability is on the right side."""
-    return F.avg(((F.col(probability) > least) == F.col(truth)).cast("double"))
+def accuracy(probability: str, truth: str, least: float = 0.5, only: Column | bool = True) -> Column:
+    """Share of rows whose probability is on the right side, of those that ``only`` takes."""
+    right = ((F.col(probability) > least) == F.col(truth)).cast("double")
+    return F.avg(right if only is True else F.when(only, right))
+
+
+def looked_at(quads: DataFrame) -> DataFrame:
+    """Quads with their distinct letters, and 1 or 0 for whether their characters balance."""
+    letters = F.array_distinct(F.concat(*[chars(x) for x in "abcd"]))
+    return quads.withColumns({"letters": letters, "balance": characters_balance("a", "b", "c", "d").cast("double")})
 
 
 FEATURES = ("balance", "lengths", "across", "along", "known")
@@ -45,22 +56,21 @@ def measured(quads: DataFrame) -> DataFrame:
     are apart."""
     lengths = F.abs(F.length("a") + F.length("d") - F.length("b") - F.length("c")).cast("double")
     apart = lambda w, x, y, z: F.abs(lcs_distance_arrow(w, x) - lcs_distance_arrow(y, z)).cast("double")
-    return quads.withColumns({"balance": characters_balance("a", "b", "c", "d").cast("double"), "lengths": lengths, "across": apart("a", "b", "c", "d"), "along": apart("a", "c", "b", "d")})
+    return looked_at(quads).withColumns({"lengths": lengths, "across": apart("a", "b", "c", "d"), "along": apart("a", "c", "b", "d")})
 
 
-def known_share(alphabet: Column | str) -> Column:
-    """The share of a quad's characters that a language knows."""
-    every = F.concat(*[chars(x) for x in "abcd"])
-    return (F.size(F.filter(every, lambda x: F.array_contains(alphabet, x))) / F.greatest(F.size(every), F.lit(1))).cast("double")
+def known_share() -> Column:
+    """The share of a quad's letters that the model's language has."""
+    return (F.size(F.array_except("letters", "missing")) / F.greatest(F.size("letters"), F.lit(1))).cast("double")
 
 
-def train(models: DataFrame, quads: DataFrame, regularisation: float = 0.01) -> dict[str, Model]:
-    """A logistic regression for each language on its own measured quads (lang, a, b, c, d, valid)."""
+def train(quads: DataFrame, regularisation: float = 0.01) -> dict[str, Model]:
+    """A logistic regression for each language on its own measured quads (lang,
+    a, b, c, d, valid), whose letters it all knows."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    known = quads.join(models, "lang")
-    rows = known.select("lang", F.col("valid").cast("double").alias("label"), *FEATURES[:-1], F.round(known_share("alphabet"), 6).alias("known"))
+    rows = quads.select("lang", F.col("valid").cast("double").alias("label"), *FEATURES[:-1], F.lit(1.0).alias("known"))
     # equal rows are one of a weight, so what is gone through again and again is small
     rows = rows.groupBy("lang", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("lang", "label", "weight", "features").persist()
@@ -88,38 +98,45 @@ def weights(spark: SparkSession, models: dict[str, Model]) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, weights array<double>, intercept double")
 
 
-def learned(model: Column | str, alphabet: Column | str) -> Column:
-    """Probability of a measured quad by a learned model (a struct of weights and intercept)."""
-    model = F.col(model) if isinstance(model, str) else model
-    values = [*[F.col(x) for x in FEATURES[:-1]], known_share(alphabet)]
-    score = sum((F.get(model["weights"], F.lit(i)) * x for i, x in enumerate(values)), start=model["intercept"])
+def learned() -> Column:
+    """Probability of a measured quad by a learned model (columns weights and intercept)."""
+    values = [*[F.col(x) for x in FEATURES[:-1]], known_share()]
+    score = sum((F.get("weights", F.lit(i)) * x for i, x in enumerate(values)), start=F.col("intercept"))
     return 1 / (1 + F.exp(-score))
 
 
-#: Rows of languages that go to every task at most; more of them meet in a plain join.
+#: Pairs of languages that go to every task at most; more of them meet in a plain join.
 LANGUAGES = 10_000
+MODES = ("full", "partial")
+
+
+def meetings(models: DataFrame, quads: DataFrame, mode: str) -> DataFrame:
+    """(model_lang, data_lang, missing, and what the models have): each model with
+    each language of the quads, and the letters of that language's quads that the
+    model's alphabet lacks; in mode 'partial' none, as the data's own alphabet is
+    taken.  Both sides have one row a language."""
+    if mode not in MODES:
+        raise ValueError("mode is full or partial")
+    spelled = quads.select(F.col("lang").alias("data_lang"), F.explode("letters").alias("ch")).distinct().groupBy("data_lang").agg(F.collect_set("ch").alias("_letters"))
+    languages = quads.select(F.col("lang").alias("data_lang")).distinct().join(spelled, "data_lang", "left")
+    of = models.withColumnsRenamed({"lang": "model_lang", "alphabet": "_alphabet"})
+    none = F.array().cast("array<string>")
+    missing = F.coalesce(F.array_except("_letters", "_alphabet"), none) if mode == "full" else none
+    return of.crossJoin(languages).withColumn("missing", missing).drop("_letters", "_alphabet")
 
 
 def matrix(models: DataFrame, quads: DataFrame, scorer: Scorer = rule_scorer, mode: str = "full") -> DataFrame:
     """(model_lang, data_lang, acc_valid, acc_invalid, acc_raw): models (lang,
     alphabet, and what else the scorer takes) against quads (lang, a, b, c, d,
-    valid).  Languages are few, so all pairs of them are judged; their number is
-    looked at before they go to all tasks.  In mode 'full' a model's language
-    gives scorer and alphabet, in mode 'partial' the data's own gives the alphabet.
+    valid, and what ``looked_at`` or ``measured`` adds).  A quad meets the models
+    in an equi-join on its language; the pairs of languages are counted before
+    they go to all tasks.
     """
-    if mode not in ("full", "partial"):
-        raise ValueError("mode is full or partial")
-    few = models.limit(LANGUAGES + 1).count() <= LANGUAGES
-    rows = models.withColumnRenamed("lang", "model_lang")
-    data = quads.withColumnRenamed("lang", "data_lang")
-    if mode == "partial":
-        rows = rows.drop("alphabet")
-        data = data.join(models.select(F.col("lang").alias("data_lang"), "alphabet"), "data_lang")
-    pairs = data.crossJoin(F.broadcast(rows) if few else rows)
-    scored = pairs.withColumn("p", scorer(F.col("alphabet"), "a", "b", "c", "d"))
-    right = ((F.col("p") > 0.5) == F.col("valid")).cast("double")
-    means = {"acc_valid": F.when(F.col("valid"), right), "acc_invalid": F.when(~F.col("valid"), right), "acc_raw": right}
-    return scored.groupBy("model_lang", "data_lang").agg(*[F.round(F.avg(x), 6).alias(n) for n, x in means.items()])
+    pairs = meetings(models, quads, mode)
+    few = pairs.limit(LANGUAGES + 1).count() <= LANGUAGES
+    scored = quads.withColumnRenamed("lang", "data_lang").join(F.broadcast(pairs) if few else pairs, "data_lang").withColumn("p", scorer())
+    means = {"acc_valid": F.col("valid"), "acc_invalid": ~F.col("valid"), "acc_raw": True}
+    return scored.groupBy("model_lang", "data_lang").agg(*[F.round(accuracy("p", "valid", only=x), 6).alias(n) for n, x in means.items()])
 
 
 def look_up(long: DataFrame, model_lang: str, data_lang: str) -> DataFrame:

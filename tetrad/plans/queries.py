@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetrad.functions import strings as S
@@ -649,22 +649,48 @@ def json_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LANGS = f"{ALL}, al as (select lang, list(distinct c) alphabet from (select lang, unnest(string_split(word, '')) c from t) group by lang), r as (select lang, word, row_number() over (partition by lang order by n desc, word) k from t), q as (select x.lang lang, x.word a, x.word || 's' b, y.word c, y.word || 's' d, true valid from r x join r y on x.lang = y.lang and y.k = x.k + 1 union all select x.lang, x.word, x.word || 's', y.word, y.word || 'st', false from r x join r y on x.lang = y.lang and y.k = x.k + 1)"
-SCORED = f"{LANGS}, s as (select al.lang model_lang, q.lang data_lang, valid, case when {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} then case when list_has_all(alphabet, string_split(a || b || c || d, '')) then 0.9 else 0.6 end else 0.1 end p from q, al), mx as (select model_lang, data_lang, round(avg(((p > 0.5) = valid)::int) filter (valid), 6) acc_valid, round(avg(((p > 0.5) = valid)::int) filter (not valid), 6) acc_invalid, round(avg(((p > 0.5) = valid)::int), 6) acc_raw from s group by model_lang, data_lang)"
+LANGS = (
+    f"{ALL}, al as (select lang, list(distinct c) alphabet from (select lang, unnest(string_split(word, '')) c from t) group by lang), "
+    "g as (select y.lang, x.word a, y.word b, right(y.word, 1) x from t x join t y on x.lang = y.lang and x.word = left(y.word, length(y.word) - 1)), "
+    "n as (select * from (select lang, a, b, lead(a) over w c, lead(b) over w d from g window w as (partition by lang, x, left(a, 2) order by a)) where c is not null), "
+    "o as (select lang, word, lead(word) over (partition by lang, list_sort(string_split(word, '')) order by word) other from t), "
+    "q as (select lang, a, b, c, d, true valid from n union all select lang, b, a, c, d, false from n union all select n.lang, a, b, c, other, false from n join o on n.lang = o.lang and n.d = o.word where other is not null)"
+)
+MEANS = "round(avg(((p > 0.5) = valid)::int) filter (valid), 6) acc_valid, round(avg(((p > 0.5) = valid)::int) filter (not valid), 6) acc_invalid, round(avg(((p > 0.5) = valid)::int), 6) acc_raw"
+
+
+def _scored(known: str) -> str:
+    """The matrix of the rule scorer, where the letters that a model knows are those of its language or of the data's."""
+    return f"{LANGS}, s as (select m.lang model_lang, q.lang data_lang, valid, case when {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} then case when list_has_all({known}, string_split(a || b || c || d, '')) then 0.9 else 0.4 end else 0.1 end p from q join al own using (lang), al m), mx as (select model_lang, data_lang, {MEANS} from s group by model_lang, data_lang)"
+
+
+SCORED = _scored("m.alphabet")
 
 
-def _quads(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Languages with their alphabets, and analogies of each language's words in a row, half of them false."""
-    models = t.select("lang", F.explode(S.chars("word")).alias("ch")).groupBy("lang").agg(F.collect_set("ch").alias("alphabet"))
-    ranked = windows.numbered(t, ["lang"], [F.desc("n"), "word"], "k")
-    x, y = ranked.alias("x"), ranked.alias("y")
-    pairs = x.join(y, (F.col("x.lang") == F.col("y.lang")) & (F.col("y.k") == F.col("x.k") + 1)).select(F.col("x.lang").alias("lang"), F.col("x.word").alias("a"), F.col("y.word").alias("c"))
-    made = pairs.select("lang", "a", F.concat("a", F.lit("s")).alias("b"), "c", F.explode(F.array(F.struct(F.concat("c", F.lit("s")).alias("d"), F.lit(True).alias("valid")), F.struct(F.concat("c", F.lit("st")).alias("d"), F.lit(False).alias("valid")))).alias("o"))
-    return models, made.select("lang", "a", "b", "c", "o.d", "o.valid")
+def _alphabets(t: DataFrame) -> DataFrame:
+    return t.select("lang", F.explode(S.chars("word")).alias("ch")).groupBy("lang").agg(F.collect_set("ch").alias("alphabet"))
 
 
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return transfer.matrix(*_quads(every_token(spark, d)))
+def _quads(t: DataFrame) -> DataFrame:
+    """Analogies of real words: of two words and what they are with one more
+    letter, next to each other among the words that begin alike.  Of each, two
+    that do not hold: one turned round, and where the last word has the letters of
+    another one, with that, so that characters balance all the same."""
+    one, more = t.select("lang", F.col("word").alias("a")), t.select("lang", F.col("word").alias("b"), F.expr("left(word, length(word) - 1)").alias("a"), F.expr("right(word, 1)").alias("x"))
+    grown = one.join(more, ["lang", "a"])
+    begin = Window.partitionBy("lang", "x", F.substring("a", 1, 2)).orderBy("a")
+    good = grown.select("lang", "a", "b", F.lead("a").over(begin).alias("c"), F.lead("b").over(begin).alias("d")).where("c is not null")
+    alike = Window.partitionBy("lang", S.alphagram("word")).orderBy("word")
+    other = t.select("lang", F.col("word").alias("d"), F.lead("word").over(alike).alias("other")).where("other is not null")
+    swapped = good.join(other, ["lang", "d"]).select("lang", "a", "b", "c", F.col("other").alias("d"))
+    turned = good.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "c", "d")
+    truth = lambda df, valid: df.withColumn("valid", F.lit(valid))
+    return truth(good, True).union(truth(turned, False)).union(truth(swapped, False))
+
+
+def _matrix(spark: SparkSession, d: str, mode: str = "full") -> DataFrame:
+    t = every_token(spark, d)
+    return transfer.matrix(_alphabets(t), transfer.looked_at(_quads(t)), mode=mode)
 
 
 @query(f"with {SCORED} select * from mx")
@@ -700,16 +726,15 @@ def transfer_cell(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def learned_matrix(spark: SparkSession, d: str) -> DataFrame:
     """A logistic regression for each language, judged on all languages' analogies."""
-    models, quads = _quads(every_token(spark, d))
-    quads = transfer.measured(quads)
-    weights = transfer.weights(spark, transfer.train(models, quads))
-    known = models.join(weights, "lang").select("lang", "alphabet", F.struct("weights", "intercept").alias("model"))
-    return transfer.matrix(known, quads, lambda alphabet, *_: transfer.learned("model", alphabet))
+    t = every_token(spark, d)
+    quads = transfer.measured(_quads(t)).persist()
+    weights = transfer.weights(spark, transfer.train(quads))
+    return transfer.matrix(_alphabets(t).join(weights, "lang"), quads, transfer.learned)
 
 
-@query("with " + SCORED.split(", s as (")[0].removeprefix("with ") + f", s as (select m.lang model_lang, q.lang data_lang, valid, case when {SORTED.format('a', 'd')} = {SORTED.format('b', 'c')} then case when list_has_all(al.alphabet, string_split(a || b || c || d, '')) then 0.9 else 0.6 end else 0.1 end p from q join al using (lang), al m) select model_lang, data_lang, round(avg(((p > 0.5) = valid)::int) filter (valid), 6) acc_valid, round(avg(((p > 0.5) = valid)::int) filter (not valid), 6) acc_invalid, round(avg(((p > 0.5) = valid)::int), 6) acc_raw from s group by model_lang, data_lang")
+@query(f"with {_scored('own.alphabet')} select * from mx")
 def partial_transfer(spark: SparkSession, d: str) -> DataFrame:
-    return transfer.matrix(*_quads(every_token(spark, d)), mode="partial")
+    return _matrix(spark, d, mode="partial")
 
 
 CHANGED = "(values ('two', ['V','PST','3'], 'tet'), ('one', ['X'], 'y'))"
