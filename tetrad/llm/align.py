@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tetrad.llm import kernels as K
 from tetrad.llm import tokens as T
-from tetrad.llm.shared import blocks, release, small_batches, text_bytes, texts, written
+from tetrad.llm.shared import blocks, release, small_batches, text_bytes, texts
 
 #: A block ends when its documents have so many links (counted once a document), or when it has so many documents.
 LINKS, DOCUMENTS = 1 << 19, 1 << 15
@@ -277,7 +277,7 @@ def align(docs: DataFrame, one: str, other: str, key: str = "doc_id", text: str
     counts of a document's links up, and ``n_best`` is how many of them have the
     highest count of all links of their first id.
     """
-    made = written(blocks_of_links(docs, one, other, key, text), "links")
+    made = blocks_of_links(docs, one, other, key, text).persist(StorageLevel.DISK_ONLY)  # lost blocks are made again
     pairs = made.where(F.size("pair") > 0).select("block", F.posexplode(F.arrays_zip("pair", "held")).alias("place", "x")).select("block", "place", "x.pair", "x.held")
     counts = pairs.groupBy("pair").agg(F.sum("held").alias("count"))
     most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("most"))
