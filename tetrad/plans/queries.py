@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tetrad.functions import strings as S
 from tetrad.functions.solver import solve_analogy, verify_analogy
-from tetrad.operators import analogies, clusters, features, grids, levels, rules, transfer, windows
+from tetrad.operators import analogies, clusters, features, grids, levels, neural, rules, transfer, windows
 from tetrad.sources import text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -737,6 +737,23 @@ def partial_transfer(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(spark, d, mode="partial")
 
 
+def _trained(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """Networks of all languages, trained on seven tenths of their quads, judged on the rest."""
+    quads = windows.split(_quads(every_token(spark, d)), ["lang", "a", "b", "c", "d"]).persist()
+    trained = neural.train(quads.where("part = 'train'"))
+    return neural.matrix(trained, quads.where("part = 'test'"), mode)
+
+
+@query()
+def trained_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _trained(spark, d, "full")
+
+
+@query()
+def trained_partial_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _trained(spark, d, "partial")
+
+
 CHANGED = "(values ('two', ['V','PST','3'], 'tet'), ('one', ['X'], 'y'))"
 
 
