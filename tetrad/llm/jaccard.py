@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from tetrad.llm import kernels as K
 from tetrad.llm.components import components
-from tetrad.llm.shared import blocks, collect_garbage, release, small_batches, text_bytes, texts, written
+from tetrad.llm.shared import blocks, collect_garbage, release, small_batches, text_bytes, texts, unused, written
 
 #: The chance that a set has fewer parts than it must look up is held below two to minus this.
 SURE = 80
@@ -844,15 +844,14 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text:
     some = kept.groupBy("_key").agg(F.count(F.lit(1)).alias("m"))
     rows = rows.join(some, rows["_key"].eqNullSafe(some["_key"]), "left").select(rows["_key"], "n", "full", F.coalesce("m", F.lit(0)).alias("m"))
     rows = written(rows.where("n > 1 or _key is null or (full > 0 and m = 0)").withColumn("gone", F.expr("full = n and m = 0 and _key is not null")), "rows")
-    out = docs.join(rows.select(F.col("_key").alias("_k")), F.col(f"`{key}`").eqNullSafe(F.col("_k")), "left_anti")
-    odd = rows.where("not gone").select(F.col("_key").alias("_k"))
+    name, k, s = (unused(docs, c) for c in ("_set_key", "_k", "_s"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(f"`{k}`"))
+    out = docs.join(rows.select(F.col("_key").alias(k)), same, "left_anti")
+    odd = rows.where("not gone").select(F.col("_key").alias(k))
     if odd.limit(1).count():
-        name = "_set_key"
-        while name in docs.columns:
-            name = f"_{name}"
-        several = docs.join(odd, F.col(f"`{key}`").eqNullSafe(F.col("_k")), "left_semi")
+        several = docs.join(odd, same, "left_semi")
         several = _keyed(several.withColumn(text, F.col(f"`{text}`").cast("string")), rule, text, name)
-        mine = kept.select(F.col("_key").alias("_k"), F.col("set_key").alias("_s"))
-        good = several.join(mine, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col(name) == F.col("_s")), "left_semi").dropDuplicates([key, name])
-        out = out.unionByName(good.drop(name)).unionByName(several.where(F.col(name).isNull()).drop(name))
+        mine = kept.select(F.col("_key").alias(k), F.col("set_key").alias(s))
+        good = several.join(mine, same & (F.col(f"`{name}`") == F.col(f"`{s}`")), "left_semi").dropDuplicates([key, name])
+        out = out.unionByName(good.drop(name)).unionByName(several.where(F.col(f"`{name}`").isNull()).drop(name))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,31 +9,34 @@ judged by the half that its id is not in, so never by a model that has learned
 from its own label.  At most about ``SAMPLE`` rows are learned from, as many of
 each domain; which, a hash of id and text says.
 
-Rates r >= 0 for documents are then fitted by projected-gradient least squares so
-that the expected tokens of each domain, sum over documents of r * tokens *
-posterior, match the targets.
+Rates r >= 0 for documents are then fitted by projected-gradient least squares,
+with momentum, so that the expected tokens of each domain, sum over documents of
+r * tokens * posterior, match the targets.
 
 A rate is a function of the document's own row and of the residuals of the
 steps so far (as many numbers as domains), so the driver holds nothing else,
 and every step is one pass over a narrow written table with one row of sums
-per partition.  A fit that does not come close in ``ROUNDS`` steps is used, with a
-warning that says how far off it is.
-
-Targets are weights; the total is the least for which no domain needs to
-shrink, so that a mix repeats documents of scarce domains; with a floor of 1 it
-drops none, whatever the posteriors.
+per partition.
+
+Targets are weights; their total is fitted with the rates.  It is at least the
+one for which no domain needs to shrink, so that a mix repeats documents of
+scarce domains; with a floor of 1 it drops none, whatever the posteriors.
+``off`` says how far the fit is from the target that it misses by the largest
+share.  Where that is more than ``LOOSE``, the posteriors cannot meet the
+targets, as when texts do not tell the domains apart: then nothing is mixed,
+every rate is 1, and ``off`` is that of the documents as they are.
 ``copies`` turns a rate into a whole number of copies: its whole part, and one
 more for the share of ids (by hash) that its fraction says.
 
 Defined results: null and empty texts have no tokens, the prior as posterior
 and rate 1; rows with null or unknown labels are not learned from; repeated
-rows have the same rate; a domain without tokens is left out of the fit; extra
+rows have the same rate; a domain without tokens or without labelled rows is
+left out of the fit, and if fewer than two are left, every rate is 1; extra
 columns are kept by ``mixed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -44,24 +47,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tetrad.llm import kernels as K
-from tetrad.llm.shared import blocks, release, small_batches, text_bytes, texts, written
+from tetrad.llm.shared import blocks, release, small_batches, text_bytes, texts, unused, written
 
 #: Labelled rows that the classifier learns from, about.
 SAMPLE = 20_000
 BUCKETS = 1 << 15
 #: How far apart mean log likelihoods may be told: the values that are tried.
 SHARPNESS = np.geomspace(0.5, 500, 61)
-#: Steps of the least squares.
-ROUNDS = 60
+#: Steps of the least squares at most; they end when every target is met to CLOSE of it, or when nothing moves any more.
+ROUNDS, CLOSE = 200, 1e-4
+#: A fit that misses a target by a larger share than this is none.
+LOOSE = 0.1
 
 
 class Model(NamedTuple):
     """For each half of the ids, learned from the other one: log likelihoods
-    (half, bucket, domain), log priors, and how far they are told apart."""
+    (half, bucket, domain), log priors, and how far they are told apart; and which
+    domains have labelled rows."""
 
     likely: np.ndarray
     prior: np.ndarray
     sharpness: np.ndarray
+    labelled: np.ndarray
+
+
+class Fit(NamedTuple):
+    """Steps, each a direction in the space of domains and a momentum; targets and
+    tokens reached by domain; and by which share of it a target is missed at most."""
+
+    steps: list[tuple[np.ndarray, float]]
+    targets: np.ndarray
+    reached: np.ndarray
+    off: float
 
 
 def _half(key: str) -> Column:
@@ -69,12 +86,6 @@ def _half(key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("half"), f"`{key}`"), F.lit(2)).cast("int")
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    return name
-
-
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For blocks of texts: first row, count, owner of each word, bucket of each word."""
     data, offsets = text_bytes(column)
@@ -114,7 +125,7 @@ def learn(labelled: DataFrame, domains: list[str], key: str = "doc_id", text: st
     counts, rows = counts.reshape(2, size, BUCKETS)[::-1], rows.reshape(2, size)[::-1]
     common = (counts.sum(1, keepdims=True) + 0.1) / (counts.sum((1, 2), keepdims=True) + 0.1 * BUCKETS)
     likely = np.log((counts + 200 * common) / (counts.sum(2, keepdims=True) + 200))
-    plain = Model(np.ascontiguousarray(likely.transpose(0, 2, 1)), np.log((rows + 1) / (rows.sum(1, keepdims=True) + size)), np.ones(2))
+    plain = Model(np.ascontiguousarray(likely.transpose(0, 2, 1)), np.log((rows + 1) / (rows.sum(1, keepdims=True) + size)), np.ones(2), rows.sum(0) > 0)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Minus log likelihood of the labels of each half, at each sharpness."""
@@ -172,82 +183,102 @@ def posteriors(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, n_tokens long, p array<double>")
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
-    """Rates after the gradient steps: each moves along the posteriors and stops at the floor."""
-    r = np.ones(len(p))
-    for step in steps:
-        r = np.maximum(r - p @ step, floor)
-    return r
-
+def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]], floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the gradient steps, and where the next one starts: each step
+    moves along the posteriors and stops at the floor, and momentum carries on."""
+    now = ahead = np.ones(len(p))
+    for step, momentum in steps:
+        last, now = now, np.maximum(ahead - p @ step, floor)
+        ahead = now + momentum * (now - last)
+    return now, ahead
 
-def fit(member: DataFrame, weights: np.ndarray, floor: float = 0.0, rounds: int = ROUNDS, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps whose rates match the targets; the targets; the tokens reached.
 
-    Least squares of (expected tokens - targets), each domain in units of its
+def fit(member: DataFrame, weights: np.ndarray, floor: float = 0.0, rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
+    """Least squares of (expected tokens - targets), each domain in units of its
     own Gram diagonal; the step is one over the scaled Gram matrix's largest
-    eigenvalue.
+    eigenvalue.  Momentum is that of accelerated gradients, begun anew when the
+    misfit grows.
     """
     size = len(weights)
 
-    def summed(steps: list[np.ndarray]) -> np.ndarray:
-        """Expected tokens a domain, and the Gram matrix, at the rates of the steps."""
+    def summed(steps: list[tuple[np.ndarray, float]]) -> np.ndarray:
+        """Expected tokens a domain at the rates of the steps and at the next one's start, and the Gram matrix."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size + size * size)
+            total = np.zeros(2 * size + size * size)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 n = batch.column("n_tokens").to_numpy()
                 p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                total[:size] += (rates(p, steps, floor) * n) @ p
-                total[size:] += ((p * n[:, None]).T @ p).reshape(-1)
+                for k, r in enumerate(rates(p, steps, floor)):
+                    total[k * size : (k + 1) * size] += (r * n) @ p
+                total[2 * size :] += ((p * n[:, None]).T @ p).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
         rows = member.select("n_tokens", "p").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(size + size * size)
+        out = np.zeros(2 * size + size * size)
         for r in rows:
             out[r["k"]] = r["v"]
         return out
 
     first = summed([])
-    reached, gram = first[:size], first[size:].reshape(size, size)
+    reached, gram = first[:size], first[2 * size :].reshape(size, size)
     there = (reached > 0) & (weights > 0)
-    if not there.any():
-        return [], np.zeros(size), reached
+    if there.sum() < 2:
+        return Fit([], np.where(there, reached, 0), reached, 0.0)
     share = np.where(there, weights, 0) / weights[there].sum()
-    targets = share * (reached[there] / share[there]).max()
+    least = (reached[there] / share[there]).max()
     scale = np.where(there, 1 / np.sqrt(np.maximum(np.diag(gram), 1e-12)), 0)
     top = np.linalg.eigvalsh(scale[:, None] * gram * scale).max()
-    steps: list[np.ndarray] = []
+    along = scale * share
+    wanted = lambda x: share * max(least, (along @ (scale * x)) / (along @ along))
+    missed = lambda x: (np.abs(x - wanted(x))[there] / wanted(x)[there]).max()
+    unmixed = Fit([], wanted(reached), reached, float(missed(reached)))
+    steps: list[tuple[np.ndarray, float]] = []
+    ahead, pace, misfit = reached, 1.0, np.inf
     for _ in range(rounds):
-        off = np.where(there, reached - targets, 0)
-        if (np.abs(off) <= close * np.maximum(targets, 1)).all():
+        if missed(reached) <= close:
             break
-        steps.append(scale * (scale * off) / top)
-        reached = summed(steps)[:size]
-    else:
-        off = np.abs(np.where(there, reached - targets, 0) / np.maximum(targets, 1)).max()
-        if off > close:
-            warnings.warn(f"the fit is off by {off:.2e} of a target after {rounds} steps", stacklevel=2)
-    return steps, targets, reached
+        after = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        steps.append((scale * (scale * (ahead - wanted(ahead))) / top, (pace - 1) / after))
+        both = summed(steps)
+        last, reached, ahead, pace = reached, both[:size], both[size : 2 * size], after
+        now = float(((scale * (reached - wanted(reached))) ** 2).sum())
+        if now > misfit:  # too fast: the next step starts from here
+            steps[-1] = (steps[-1][0], 0.0)
+            ahead, pace = reached, 1.0
+        elif np.abs(scale * (reached - last)).max() <= 1e-9 * np.abs(scale * reached).max():
+            break  # at the closest point
+        misfit = now
+    found = Fit(steps, wanted(reached), reached, float(missed(reached)))
+    return found if found.off <= LOOSE else unmixed
+
+
+def _fitted(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str, text: str, label: str, floor: float) -> tuple[Model, DataFrame, Fit]:
+    """The classifier, the documents' posteriors, and the fit."""
+    domains = sorted(targets)
+    model = learn(labelled, domains, key, text, label)
+    member = written(posteriors(docs, model, key, text), "posteriors")
+    weights = np.array([float(targets[d]) for d in domains]) * model.labelled
+    return model, member, fit(member, weights, floor)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str = "doc_id", text: str = "text", label: str = "lang", floor: float = 0.0) -> DataFrame:
-    """(key, n_tokens, domain, p, rate, copies) of every document; no rate is below the floor."""
+    """(key, n_tokens, domain, p, rate, off, copies) of every document; no rate is below the floor."""
     domains = sorted(targets)
-    member = written(posteriors(docs, learn(labelled, domains, key, text, label), key, text), "posteriors")
-    steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]), floor)
+    _, member, (steps, _, _, off) = _fitted(docs, labelled, targets, key, text, label, floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(domains))
             best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
-            r = np.where(batch.column("n_tokens").to_numpy() > 0, rates(p, steps, floor), 1.0)
+            r = np.where(batch.column("n_tokens").to_numpy() > 0, rates(p, steps, floor)[0], 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_tokens"), pa.array([domains[k] for k in best], pa.string()), pa.array(p.max(1, initial=0) if len(p) else [], pa.float64()), pa.array(r, pa.float64())], [key, "n_tokens", "domain", "p", "rate"])
 
     kind = member.schema[key].dataType.simpleString()
     rated = member.mapInArrow(run, f"`{key}` {kind}, n_tokens long, domain string, p double, rate double")
-    return rated.withColumn("copies", _copies("rate", key))
+    return rated.withColumn("off", F.lit(off)).withColumn("copies", _copies("rate", key))
 
 
 def _copies(rate: str, key: str) -> Column:
@@ -263,18 +294,15 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], ke
     The posteriors are found again where the documents are read, so that no
     text is shuffled.
     """
-    domains = sorted(targets)
-    model = learn(labelled, domains, key, text, label)
-    member = written(posteriors(docs, model, key, text), "posteriors")
-    steps, _, _ = fit(member, np.array([float(targets[d]) for d in domains]), floor)
-    rate, copy, half = (_unused(docs, c) for c in ("_rate", "_copy", "_half"))
+    model, _, (steps, *_) = _fitted(docs, labelled, targets, key, text, label, floor)
+    rate, copy, half = (unused(docs, c) for c in ("_rate", "_copy", "_half"))
     whole = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
     schema = T.StructType([*whole.schema.fields, T.StructField(rate, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, p = _membership(batch.column(text).fill_null(""), batch.column(batch.num_columns - 1).to_numpy(), model)
-            found = np.where(sizes > 0, rates(p, steps, floor), 1.0)
+            found = np.where(sizes > 0, rates(p, steps, floor)[0], 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], rate])
         release()
 

@@ -118,6 +118,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """That name, or one like it that no column has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def texts(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """The key columns and the text as string, null text as empty; other columns go."""
     return df.select(*[F.col(f"`{k}`") for k in keys], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
