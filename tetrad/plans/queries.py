@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tetrad.functions import strings as S
 from tetrad.functions.solver import solve_analogy, verify_analogy
-from tetrad.operators import analogies, clusters, features, grids, levels, neural, rules, transfer, windows
+from tetrad.operators import analogies, cliques, clusters, features, grids, levels, neural, rules, transfer, windows
 from tetrad.sources import text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -918,6 +918,25 @@ def random_relation(spark: SparkSession, d: str) -> DataFrame:
     return _relation(spark, d)
 
 
+@query(
+    f"with recursive {THROWN}, near as (select a, b from edge union all select b, a from edge), "
+    "grown(m) as (select [n_nationkey] from nation union all select list_append(m, b) from grown join edge on edge.a = m[len(m)] where (select count(*) from near where near.b = edge.b and list_contains(m, near.a)) = len(m)) "
+    "select array_to_string(m, ',') members, len(m) size from grown where not exists (select 1 from near where list_contains(m, near.a) group by near.b having count(*) = len(m))"
+)
+def maximal_cliques(spark: SparkSession, d: str) -> DataFrame:
+    vertices = table(spark, d, "nation").select(F.col("n_nationkey").alias("v"))
+    found = cliques.maximal_cliques(_relation(spark, d), vertices)
+    return found.select(F.array_join(F.transform("members", lambda v: v.cast("string")), ",").alias("members"), F.size("members").cast("long").alias("size"))
+
+
+@query()
+def consistent_cliques(spark: SparkSession, d: str) -> DataFrame:
+    """All maximal sets of consistent ratios of the clusters of the part names."""
+    found = cliques.consistent_cliques(clusters.horizontal_split(ratios(spark, d)))
+    said = F.array_join(F.transform("members", lambda r: F.concat_ws(" : ", r["a"], r["b"])), " :: ")
+    return found.select("cluster_id", "d", said.alias("members"))
+
+
 @query(f"with {THROWN} select b v from edge where a = 7 union select a from edge where b = 7")
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     return clusters.neighbours(_relation(spark, d), 7)
