@@ -159,7 +159,7 @@ def test_success_rate(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
-@pytest.mark.parametrize("name", "bit_vectors durations lcs_distances horizontal_split cluster_attributes cluster_intersection median_ratio_order annotated_lexicon agreeing_clusters cluster_discrepancies normalized_clusters focus_clusters valid_analogies marked_cluster_sink cluster_file analogy_source gamma_clusters cluster_report meeting_clusters empty_intersections changed_rules partial_transfer transfer_matrix transfer_pivot language_adjacency transfer_cell vector_file negatives_of_one_form neighbours".split())
+@pytest.mark.parametrize("name", "bit_vectors durations lcs_distances horizontal_split cluster_attributes cluster_intersection median_ratio_order annotated_lexicon agreeing_clusters cluster_discrepancies normalized_clusters focus_clusters valid_analogies marked_cluster_sink cluster_file analogy_source gamma_clusters cluster_report meeting_clusters empty_intersections changed_rules partial_transfer transfer_matrix transfer_pivot language_adjacency transfer_cell transfer_table filtered_clusters solve_analogies verify_analogies encode_words_with_marks json_map sniffed_formats maximal_cliques vector_file negatives_of_one_form neighbours".split())
 def test_query_against_sql(spark, name):
     import duckdb
 

@@ -60,3 +60,13 @@ def test_languages(spark):
     assert dict(map(tuple, transfer.communities(edges).collect())) == {"a": "a", "b": "a", "c": "c", "d": "c"}
     steps = transfer.dendrogram(edges).orderBy("step").collect()
     assert [r["size"] for r in steps] == [2, 2, 4]
+
+
+def test_matrix_file(spark, tmp_path):
+    rows = [(m, d, 0.5 + i / 10, 1.0, None if m == d else 1e-05) for i, m in enumerate(("de", "en-x", "f r")) for d in ("de", "en-x", "a.b") if (m, d) != ("de", "a.b")]
+    long = spark.createDataFrame(rows, "model_lang string, data_lang string, acc_valid double, acc_invalid double, acc_raw double")
+    text.write_matrix(long, str(tmp_path / "m.csv"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "m.csv")).collect()]
+    assert lines[0] == "model_lang,a.b,de,en-x" and len(lines) == 4 and lines[1].startswith('de,,"(0.5, 1.0, nan)"')
+    assert sorted(map(tuple, text.read_matrix(spark, str(tmp_path / "m.csv")).collect())) == sorted(rows)
+    assert text.matrix(text.matrix_table(long.limit(0))).count() == 0

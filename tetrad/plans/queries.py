@@ -220,6 +220,14 @@ def encode_words(spark: SparkSession, d: str) -> DataFrame:
     return words.select("word", F.array_join(F.transform(S.encode("word", voc), lambda i: i.cast("string")), ",").alias("ids"))
 
 
+@query(f"with {V}, voc as (select list(c order by c) a from (select distinct unnest(string_split(w, '')) c from v)) select w word, array_to_string(list_append(list_prepend(len(a), list_transform(string_split(w, ''), lambda c: list_position(a, c) - 1)), len(a) + 1), ',') ids from v, voc")
+def encode_words_with_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the letters, between those of a begin and of an end."""
+    words = names(spark, d)
+    voc = features.symbols(features.alphabet(words), "ch")
+    return words.select("word", F.array_join(F.transform(S.encode("word", voc, marks=True), lambda i: i.cast("string")), ",").alias("ids"))
+
+
 @query(f"with {V} select w word, w decoded from v")
 def decode_words(spark: SparkSession, d: str) -> DataFrame:
     words = names(spark, d)
@@ -352,7 +360,28 @@ def horizontal_split(spark: SparkSession, d: str) -> DataFrame:
     return clusters.horizontal_split(ratios(spark, d))
 
 
-@query()
+#: Ratios of all equivalents, split by distance, then into covering cliques of ratios whose distances agree: from each
+#: ratio not yet covered, those of most agreements first, one look at all of them.
+FILTERED = (
+    f"{CORE}, mem as (select r.w rep, v.w member from rep r join vec v on r.x = v.x), "
+    "ex as (select cluster_id, p.member a, q.member b from raw join mem p on raw.a = p.rep join mem q on raw.b = q.rep), "
+    f"f as (select a, b, {far_sql('a', 'b')} d from (select distinct a, b from ex)), "
+    "h as (select cluster_id, d, a, b, row_number() over (partition by cluster_id, d order by a, b) i from (select * from ex join f using (a, b) qualify count(*) over (partition by cluster_id, d) >= 2)), "
+    "w2 as (select distinct x.a u, y.a w from h x join h y using (cluster_id, d) union select distinct x.b, y.b from h x join h y using (cluster_id, d)), "
+    f"fw as (select u, w, {far_sql('u', 'w')} far from w2), "
+    "e as (select x.cluster_id, x.d, x.i, y.i j from h x join h y on x.cluster_id = y.cluster_id and x.d = y.d and x.i <> y.i join fw s on s.u = x.a and s.w = y.a join fw t on t.u = x.b and t.w = y.b where s.far = t.far), "
+    "n as (select h.cluster_id, h.d, h.i, coalesce(list(j) filter (j is not null), []) js from h left join e on e.cluster_id = h.cluster_id and e.d = h.d and e.i = h.i group by all), "
+    "g as (select cluster_id, d, list(i order by len(js) desc, i) o, list(js order by i) adj from n group by cluster_id, d), "
+    "c as (select cluster_id, d, list_reduce(list_prepend([]::bigint[][], list_transform(o, lambda v: [[v]])), lambda acc, x: case when list_contains(flatten(acc), x[1][1]) then acc else "
+    "list_append(acc, list_reduce(list_prepend([x[1][1]], list_transform(list_filter(o, lambda w: w <> x[1][1]), lambda w: [w])), lambda m, w: case when len(list_filter(m, lambda u: list_contains(adj[u], w[1]))) = len(m) then list_append(m, w[1]) else m end)) end) cliques from g), "
+    "p as (select cluster_id, d, k - 1 k, list_sort(big[k]) m from (select cluster_id, d, list_filter(cliques, lambda m: len(m) >= 2) big from c), lateral (select unnest(range(1, len(big) + 1)) k)), "
+    "s as (select p.cluster_id, p.d, k || ':' || z.a || ' : ' || z.b part, h.a, h.b from p join h z on z.cluster_id = p.cluster_id and z.d = p.d and z.i = m[1] join h on h.cluster_id = p.cluster_id and h.d = p.d and list_contains(m, h.i)), "
+    "once as (select * from s qualify count(*) over (partition by cluster_id, d, part, a) = 1 and count(*) over (partition by cluster_id, d, part, b) = 1), "
+    "filtered as (select cluster_id || '|' || d || '|' || part cluster_id, a, b from once qualify count(*) over (partition by cluster_id, d, part) >= 2)"
+)
+
+
+@query(f"{FILTERED} select cluster_id, a, b from filtered")
 def filtered_clusters(spark: SparkSession, d: str) -> DataFrame:
     v = features.char_vectors(names(spark, d))
     return clusters.filtered_clusters(ratios(spark, d), features.equivalence_classes(v))
@@ -520,13 +549,17 @@ def balanced_negatives(spark: SparkSession, d: str) -> DataFrame:
     return analogies.balanced_negatives(quads(spark, d), ["i", "j"]).select("i", "j", "of", "form", "a", "b", "c", "d")
 
 
-@query()
+HOLDS = f"{far_sql('a', 'b')} = {far_sql('c', 'd')} and {far_sql('a', 'c')} = {far_sql('b', 'd')}"
+
+
+# what balances in characters, and is as far apart along as across, is what the solver finds
+@query(f"{CORE}, {QUAD} select a, b, c, d, case when {HOLDS} then d end solved from quad")
 def solve_analogies(spark: SparkSession, d: str) -> DataFrame:
     q = analogies.of_clusters(ratios(spark, d), check=False)
     return q.select("a", "b", "c", "d", solve_analogy("a", "b", "c").alias("solved"))
 
 
-@query()
+@query(f"{CORE}, {QUAD} select a, b, c, d, {HOLDS} holds from quad")
 def verify_analogies(spark: SparkSession, d: str) -> DataFrame:
     q = analogies.of_clusters(ratios(spark, d), check=False)
     return q.select("a", "b", "c", "d", verify_analogy("a", "b", "c", "d").alias("holds"))
@@ -644,6 +677,25 @@ def rule_similarity(spark: SparkSession, d: str) -> DataFrame:
     return rules.similarity(found.where("lang = 'one'"), found.where("lang = 'two'"))
 
 
+@query("select '{' || string_agg('\"' || p_brand || '\":' || n, ',' order by p_brand) || '}' as value from (select p_brand, count(*) n from part group by p_brand)")
+def json_map(spark: SparkSession, d: str) -> DataFrame:
+    counted = table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return text.to_json_map(counted, "p_brand", "n")
+
+
+@query(f"with {MSD} select kind, n, case when kind = 'words' then 'plain' when kind = 'fields' then 'sig2017' else 'sig2016' end sniffed from (select unnest(['words', 'fields', 'attributes']) kind), (select count(*) n from m)")
+def sniffed_formats(spark: SparkSession, d: str) -> DataFrame:
+    """What the lines of each kind of file are taken for."""
+    rows = tagged(spark, d)
+    kinds = {"words": F.col("form"), "fields": F.concat_ws("\t", "lemma", "form", "msd"), "attributes": F.concat_ws("\t", "lemma", F.concat(F.lit("type="), "lemma", F.lit(",brand="), "brand"), "form")}
+    out = None
+    for kind, line in kinds.items():
+        lines = rows.select(line.alias("value"))
+        one = lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n", F.lit(text.sniff_sigmorphon(lines)).alias("sniffed"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("select (props::json ->> 'k')::bigint k, count(*) n from events group by 1")
 def json_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -718,6 +770,12 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return transfer.communities(transfer.adjacency(_matrix(spark, d), "acc_valid"))
 
 
+@query(f"with {SCORED} select model_lang, data_lang, acc_valid, acc_invalid, acc_raw from mx")
+def transfer_table(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix as a wide table of tuples, and read from that again."""
+    return text.matrix(text.matrix_table(_matrix(spark, d)))
+
+
 @query(f"with {SCORED} select * from mx where model_lang = 'de' and data_lang = 'fr'")
 def transfer_cell(spark: SparkSession, d: str) -> DataFrame:
     return transfer.look_up(_matrix(spark, d), "de", "fr")

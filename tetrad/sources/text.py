@@ -133,8 +133,38 @@ def markdown_languages(lines: DataFrame, order: str = "line_no", column: str = "
 
 def tuple_cell(cell: Column | str, index: int = 1) -> Column:
     """A number of a cell like ``(0.9, 0.8, 0.7)``."""
-    found = F.regexp_extract_all(cell, F.lit(r"[-+0-9.eE]+"), F.lit(0))
-    return F.get(found, F.lit(index)).cast("double")
+    found = F.regexp_extract_all(cell, F.lit(r"[-+0-9.eE]+|nan"), F.lit(0))
+    return F.nullif(F.get(found, F.lit(index)), F.lit("nan")).cast("double")
+
+
+ACCURACIES = ("acc_valid", "acc_invalid", "acc_raw")
+
+
+def matrix_table(long: DataFrame, values: tuple[str, ...] = ACCURACIES) -> DataFrame:
+    """A matrix (model_lang, data_lang, and values) as a wide table: a row for each
+    model, a column for each data language, cells like ``(0.9, 0.8, 0.7)``."""
+    said = F.concat(F.lit("("), F.concat_ws(", ", *[F.coalesce(F.col(v).cast("string"), F.lit("nan")) for v in values]), F.lit(")"))
+    return long.groupBy("model_lang").pivot("data_lang").agg(F.first(said))
+
+
+def matrix(wide: DataFrame, values: tuple[str, ...] = ACCURACIES) -> DataFrame:
+    """Such a table as a matrix again: whatever its columns are called, the first
+    one names the models and the others are data languages; empty cells go."""
+    first, *others = wide.columns
+    cells = wide.select(F.col(f"`{first}`").alias("model_lang"), *[F.col(f"`{c}`").cast("string").alias(c) for c in others])
+    if not others:
+        return cells.select("model_lang", F.lit(None).cast("string").alias("data_lang"), *[F.lit(None).cast("double").alias(v) for v in values]).limit(0)
+    long = cells.unpivot("model_lang", [f"`{c}`" for c in others], "data_lang", "cell").where("cell is not null")
+    return long.select("model_lang", "data_lang", *[tuple_cell("cell", i).alias(v) for i, v in enumerate(values)])
+
+
+def write_matrix(long: DataFrame, path: str, values: tuple[str, ...] = ACCURACIES) -> None:
+    """A matrix as a CSV file with a head, models in order."""
+    matrix_table(long, values).orderBy("model_lang").coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def read_matrix(spark: SparkSession, path: str, values: tuple[str, ...] = ACCURACIES) -> DataFrame:
+    return matrix(spark.read.csv(path, header=True), values)
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
