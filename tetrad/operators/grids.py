@@ -3,13 +3,17 @@
 Clusters that share no word can never stand in one grid, so grids are built
 within connected components of clusters, each in one grouped map; within it,
 clusters are tried in order of size and text, pass after pass, until none fits
-any more, and then the next grid begins.
+any more, and then the next grid begins.  A component's clusters are held by one
+task, and looked at about as often as their words gain a cell (``assemble``).
 """
 
 from __future__ import annotations
 
+import functools
+from heapq import heappop, heappush
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tetrad.functions.solver import first_solution
@@ -56,10 +60,11 @@ class Grid:
                         return axis, where[0], where[1]
         return None
 
-    def insert(self, ratios: Ratios, axis: int, first: int | None, second: int | None) -> None:
+    def insert(self, ratios: Ratios, axis: int, first: int | None, second: int | None) -> set[str]:
         """Put the ratios so that their a words share one line (axis 0) or place
         (axis 1), and their b words another; ratios without a word there get a
-        new one across."""
+        new one across.  Gives the words that were put."""
+        placed = set()
         known = 0 if first is not None else 1
         where = [first, second]
         if where[1 - known] is None:
@@ -77,6 +82,8 @@ class Grid:
                 continue
             for side in sides:
                 self.put(*((where[side], across) if axis == 0 else (across, where[side])), pair[side])
+                placed.add(pair[side])
+        return placed
 
     def saturation(self) -> float:
         return len(self.cells) / (self.shape[0] * self.shape[1])
@@ -88,27 +95,50 @@ class Grid:
 
 
 def assemble(clusters: list[Ratios], saturation: float = 0.0) -> list[Grid]:
-    """Grids of clusters in their order."""
-    left, grids = list(clusters), []
+    """Grids of clusters in their order: pass after pass, each cluster that fits is
+    put into the grid, until a pass puts none; then the next grid begins.
+
+    Whether a cluster fits depends on where its words stand.  So a pass looks only
+    at clusters that have a word which was put since they were looked at, and at
+    those that fitted but left the grid too empty; what comes before the cluster
+    that put the word waits for the next pass.  A cluster is looked at as often as
+    its words are put, whatever the number of passes.
+    """
+    waiting: dict[str, list[int]] = {}
+    for i, ratios in enumerate(clusters):
+        for word in {w for pair in ratios for w in pair}:
+            waiting.setdefault(word, []).append(i)
+    left, grids = dict.fromkeys(range(len(clusters))), []
     while left:
-        grid = Grid(left.pop(0))
+        first = next(iter(left))
+        del left[first]
+        grid = Grid(clusters[first])
         grids.append(grid)
-        changed = True
-        while changed:
-            changed, rest = False, []
-            for ratios in left:
-                spot = grid.fit(ratios)
-                trial = grid
-                if spot and saturation:
-                    trial = grid.copy()
-                if spot:
-                    trial.insert(ratios, *spot)
-                    if not saturation or trial.saturation() >= saturation:
-                        grid.cells, grid.at, grid.shape = trial.cells, trial.at, trial.shape
-                        changed = True
-                        continue
-                rest.append(ratios)
-            left = rest
+        about = lambda words: {i for w in words for i in waiting[w] if i in left}
+        coming, rejected = about(grid.at), set()
+        while coming:
+            # of this pass, in order; ``queued`` are those that are in it
+            now, queued, coming, changed = sorted(coming), set(coming), set(), False
+            while now:
+                i = heappop(now)
+                rejected.discard(i)
+                spot = grid.fit(clusters[i])
+                if not spot:
+                    continue
+                trial = grid.copy() if saturation else grid
+                placed = trial.insert(clusters[i], *spot)
+                if saturation and trial.saturation() < saturation:
+                    rejected.add(i)
+                    continue
+                grid.cells, grid.at, grid.shape, changed = trial.cells, trial.at, trial.shape, True
+                del left[i]
+                for j in about(placed):
+                    if j < i:
+                        coming.add(j)
+                    elif j not in queued:
+                        queued.add(j)
+                        heappush(now, j)
+            coming = coming | rejected if changed else set()
     return grids
 
 
@@ -185,15 +215,40 @@ def averages(cells: DataFrame) -> DataFrame:
     return attributes(cells).agg(F.count(F.lit(1)).alias("grids"), F.round(F.avg("size"), 6).alias("size"), F.round(F.avg("saturation"), 6).alias("saturation"))
 
 
+#: Rectangles of a hole that a round tries: one at first, then so many.
+TRIED = 64
+
+
 def predictable_words(cells: DataFrame) -> DataFrame:
     """(grid_id, row, col, word): words for the holes, each solved from the first
-    rectangle of filled cells (by row, then place) that has a solution."""
+    rectangle of filled cells (by row, then place) that has a solution.
+
+    Holes are gone through in rounds: each tries the next rectangles of those that
+    have no word yet, and no hole ever holds more than ``TRIED`` of them.  Rounds
+    end when every hole has a word, or no rectangle left.
+    """
+    hole = ["grid_id", "row", "col"]
+    cells = _kept(cells.select(*hole, "word"))
     shape = cells.groupBy("grid_id").agg(F.max("row").alias("r"), F.max("col").alias("c"))
     full = shape.select("grid_id", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("row"), "c").select("grid_id", "row", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("col"))
-    holes = full.join(cells, ["grid_id", "row", "col"], "left_anti")
-    side = cells.select("grid_id", "row", F.col("col").alias("c2"), F.col("word").alias("b_side"))
-    up = cells.select("grid_id", F.col("row").alias("r2"), "col", F.col("word").alias("c_side"))
+    side = cells.select("grid_id", "row", F.col("col").alias("c2"), F.col("word").alias("b"))
+    up = cells.select("grid_id", F.col("row").alias("r2"), "col", F.col("word").alias("c"))
     corner = cells.select("grid_id", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("word").alias("a"))
-    boxes = holes.join(side, ["grid_id", "row"]).join(up, ["grid_id", "col"]).join(corner, ["grid_id", "r2", "c2"])
-    ranked = boxes.groupBy("grid_id", "row", "col").agg(F.array_sort(F.collect_list(F.struct("r2", "c2", "a", F.col("b_side").alias("b"), F.col("c_side").alias("c")))).alias("boxes"))
-    return ranked.select("grid_id", "row", "col", first_solution(F.transform("boxes", lambda x: F.array(x["a"], x["b"], x["c"]))).alias("word")).where("word is not null")
+    start = F.struct(F.lit(-1).alias("r2"), F.lit(-1).alias("c2"))
+    waiting, found = full.join(cells, hole, "left_anti").withColumn("last", start), []
+    tried = 1
+    while True:
+        boxes = waiting.join(side, ["grid_id", "row"]).join(up, ["grid_id", "col"]).join(corner, ["grid_id", "r2", "c2"])
+        later = boxes.where(F.struct("r2", "c2") > F.col("last"))
+        order = Window.partitionBy(*hole).orderBy("r2", "c2")
+        taken = later.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= tried)
+        held = F.array_sort(F.collect_list(F.struct("r2", "c2", "a", "b", "c")))
+        each = taken.groupBy(*hole).agg(held.alias("boxes"), F.max(F.struct("r2", "c2")).alias("last"))
+        solved = each.select(*hole, "last", F.size("boxes").alias("n"), first_solution(F.transform("boxes", lambda x: F.array(x["a"], x["b"], x["c"]))).alias("word"))
+        solved = _kept(solved)
+        found.append(solved.where("word is not null").select(*hole, "word"))
+        # a hole that has had fewer than it could take has no rectangle left
+        waiting = solved.where((F.col("n") == tried) & F.col("word").isNull()).select(*hole, "last")
+        tried = TRIED
+        if not waiting.limit(1).count():
+            return functools.reduce(DataFrame.union, found)
