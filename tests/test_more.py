@@ -151,6 +151,15 @@ def test_models_that_lack_letters(spark, monkeypatch):
     assert transfer.matrix(models, df.limit(0)).count() == 0
 
 
+def test_rows_beyond_the_first_are_dropped_before_groups_meet(spark):
+    from tetrad.operators import windows
+
+    rows = spark.createDataFrame([(i % 3, i) for i in range(60)], "g int, x int")
+    top = windows.first_n(rows, ["g"], [F.desc("x")], 2)
+    assert sorted(map(tuple, top.collect())) == sorted((g, x) for g in range(3) for x in (57 + g, 54 + g))
+    assert "WindowGroupLimit" in top._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_success_rate(spark):
     equations = analogies.random_equations(spark, 200, length=4, letters=2)
     assert all(1 <= len(r[x]) <= 4 and set(r[x]) <= set("ab") for r in equations.collect() for x in "abc")

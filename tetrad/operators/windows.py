@@ -28,7 +28,9 @@ def forward_filled(rows: DataFrame, column: str, order: str, group: list[str]) -
 
 
 def first_n(rows: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
-    return numbered(rows, group, order, "_n").where(F.col("_n") < n).drop("_n")
+    """The first n rows of each group; tasks drop what cannot be among them before groups meet."""
+    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return placed.where(F.col("_n") <= n).drop("_n")
 
 
 def hashed_order(*columns: str, seed: int = 0) -> F.Column:
