@@ -6,8 +6,11 @@ has written for itself are deleted when the same application's next stage
 begins, whose input is then complete: a stage's result is to be written before.
 
 Defined results: an empty table gives an empty one; null and empty texts are
-rejected by the quality rules; of repeated rows with one id, one of each class
-stays; extra columns are kept up to the last stage, which returns its own.
+rejected by the quality rules; texts of any length go through whole, and are cut
+into pieces by the last stage only; of repeated rows with one id, and of equal
+or near texts, one of each class stays, that of the smallest id; documents whose
+language is null are neither learned from nor dropped; extra columns, whatever
+their names, are kept up to the last stage, which returns its own.
 """
 
 from __future__ import annotations

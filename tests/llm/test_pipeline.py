@@ -37,3 +37,25 @@ def test_stages(spark, tmp_path):
     assert pieces == mixed
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.count() == seen["packed_sequences"].count()
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    """No rows at all, and columns named as the stages name their own."""
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], plain).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    r = random.Random(10)
+    odd = ("_k", "_S", "_key", "set_key", "class", "_rate", "_copy", "_half", "kept", "n_words", "piece", "start", "length")
+    rows = [(i, words(r, 80, 3000), "en" if i % 2 else "de", "src", 5, *odd) for i in range(20)]
+    rows += [(20, rows[3][1], "en", "src", 5, *odd), (21, None, None, None, None, *odd)]
+    docs = spark.createDataFrame(rows, plain + "".join(f", {c} string" for c in odd))
+    docs.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path / "odd"))
+        assert now.columns == docs.columns, name
+        assert {tuple(x)[5:] for x in now.collect()} == {odd}
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    assert {x["doc_id"] for x in now.collect()} == set(range(20))
+    assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()} == set(range(20))
