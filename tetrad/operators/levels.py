@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tetrad.operators.grids import _kept
+
 #: Up to so many vectors, counted first, a level's nodes are sent to all tasks; beyond, they are joined.
 BROADCAST = 100_000
 #: Groups are dealt at the last level whose pairs of nodes are at most this share of all pairs.
@@ -132,14 +134,17 @@ def refine(vectors: DataFrame, least: int = 2) -> Levels:
     Two different differences are taken for equal by a chance of about 2**-80.
     """
     spark = vectors.sparkSession
+    # one row a vector, read again on every level: the plan of a level begins here
+    vectors = _kept(vectors.select("word", "v"))
     order = _places(vectors)
     rare = F.array(*[F.get("v", F.lit(i)) for i in order]) if order else F.col("v")
-    numbered = ranked(vectors.select("word", "v", rare.alias("u")), "u", "rank").persist()
+    numbered = _kept(ranked(vectors.select("word", "v", rare.alias("u")), "u", "rank"))
     words, n = numbered.select("word", "v", "rank"), numbered.count()
     groups = ", ".join(f"{c} long" for c in Levels.groups)
     if not order or n < 2:
         return Levels(spark.createDataFrame([], f"r long, s long, {groups}"), words, [])
-    side = F.broadcast if n <= BROADCAST else (lambda df: df)
+    small = n <= BROADCAST
+    side = F.broadcast if small else (lambda df: df)
     cuts, dealt = _cuts(numbered.select(F.col("u").alias("v")), len(order))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * n // 2 // PAIRS)
     now = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("r", "s", *Levels.groups)])
@@ -151,6 +156,7 @@ def refine(vectors: DataFrame, least: int = 2) -> Levels:
         new = F.slice("u", before + 1, level - before)
         part = numbered.select(node(level).alias("node"), node(before).alias("up"), _signature(new, 1).alias("s1"), _signature(new, 2).alias("s2"))
         children = part.groupBy("up", "node", "s1", "s2").agg(F.count(F.lit(1)).alias("w"))
+        children = _kept(children.coalesce(1) if small else children)
         one, other = (side(children.select(*[F.col(c).alias(f"{c}_{x}") for c in children.columns])) for x in "xy")
         met = now.join(one, F.col("r") == F.col("up_x")).join(other, (F.col("s") == F.col("up_y")) & (F.col("node_x") <= F.col("node_y")))
         surface = F.when(F.col("node_x") == F.col("node_y"), F.expr("w_x * (w_x - 1) div 2")).otherwise(F.col("w_x") * F.col("w_y"))
