@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tetrad.operators.grids import _kept
+from tetrad.operators.grids import kept
 
 #: Rounds of one level at most, and how many may pass without a gain.
 ROUNDS, PATIENCE = 40, 4
@@ -62,19 +62,19 @@ def communities(edges: DataFrame) -> DataFrame:
     named by its smallest vertex.  Edges with a null end or weight go."""
     kind = edges.schema["a"].dataType.simpleString()
     good = edges.where("a is not null and b is not null and w > 0").select("a", "b", F.col("w").cast("double").alias("w"))
-    both = _kept(_both(good))
-    member = _kept(both.select("v").distinct().select("v", F.col("v").alias("c")))
+    both = kept(_both(good))
+    member = kept(both.select("v").distinct().select("v", F.col("v").alias("c")))
     if not both.limit(1).count():
         return both.sparkSession.createDataFrame([], f"v {kind}, community {kind}")
     turn = 0
     while True:
-        degree = _kept(both.groupBy("v").agg(F.sum("w").alias("degree")))
+        degree = kept(both.groupBy("v").agg(F.sum("w").alias("degree")))
         total = degree.agg(F.sum("degree").alias("t")).first()["t"]
-        label = best = _kept(degree.select("v", F.col("v").alias("c")))
+        label = best = kept(degree.select("v", F.col("v").alias("c")))
         most, idle, still = _quality(both, label), 0, 0
         for _ in range(ROUNDS):
             turn += 1
-            after = _kept(_moved(both, degree, total, label, turn))
+            after = kept(_moved(both, degree, total, label, turn))
             changed = after.join(label.withColumnRenamed("c", "old"), "v").where("c <> old").limit(1).count()
             label, still = after, 0 if changed else still + 1
             if still == 4:  # nobody of either half, in all likelihood, wants to move
@@ -89,9 +89,9 @@ def communities(edges: DataFrame) -> DataFrame:
         merged = best.where("v <> c").limit(1).count()
         if not merged:
             break
-        member = _kept(member.join(best.select(F.col("v").alias("c"), F.col("c").alias("to")), "c").select("v", F.col("to").alias("c")))
+        member = kept(member.join(best.select(F.col("v").alias("c"), F.col("c").alias("to")), "c").select("v", F.col("to").alias("c")))
         ends = best.select(F.col("v").alias("u"), F.col("c").alias("cu"))
         # loops stand for what is inside; from both ends, they are there twice, as they should
-        both = _kept(both.join(best, "v").join(ends, "u").groupBy(F.col("c").alias("v"), F.col("cu").alias("u")).agg(F.sum("w").alias("w")))
+        both = kept(both.join(best, "v").join(ends, "u").groupBy(F.col("c").alias("v"), F.col("cu").alias("u")).agg(F.sum("w").alias("w")))
     named = member.groupBy("c").agg(F.min("v").alias("community"))
     return member.join(named, "c").select("v", "community")

@@ -145,7 +145,7 @@ def assemble(clusters: list[Ratios], saturation: float = 0.0) -> list[Grid]:
 def components(ratios: DataFrame, rounds: int = 50) -> DataFrame:
     """(cluster_id, component): clusters joined by common words, named by their
     smallest cluster id.  Labels spread over words until none changes."""
-    member = _kept(ratios.select("cluster_id", F.explode(F.array("a", "b")).alias("word")).distinct())
+    member = kept(ratios.select("cluster_id", F.explode(F.array("a", "b")).alias("word")).distinct())
     label = member.select("cluster_id", F.col("cluster_id").alias("component")).distinct()
     for _ in range(rounds):
         by_word = member.join(label, "cluster_id").groupBy("word").agg(F.min("component").alias("component"))
@@ -153,7 +153,7 @@ def components(ratios: DataFrame, rounds: int = 50) -> DataFrame:
         # a label that is itself relabelled is followed at once, which halves long chains
         jump = after.select(F.col("cluster_id").alias("component"), F.col("component").alias("to"))
         after = after.join(jump, "component").select("cluster_id", F.col("to").alias("component"))
-        after = _kept(after)
+        after = kept(after)
         changed = after.alias("x").join(label.alias("y"), "cluster_id").where("x.component <> y.component").limit(1).count()
         label = after
         if not changed:
@@ -161,7 +161,7 @@ def components(ratios: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder; a local master that has none gets a
     temporary one, a cluster without one is an error."""
     import re
@@ -181,7 +181,7 @@ def grids(ratios: DataFrame, saturation: float = 0.0, least: int = 2) -> DataFra
     grid's id is its component and number."""
     size = ratios.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     # the rounds below read it again and again
-    kept = _kept(ratios.join(size, "cluster_id").select("cluster_id", "a", "b"))
+    large = kept(ratios.join(size, "cluster_id").select("cluster_id", "a", "b"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["a", "b"])
@@ -195,7 +195,7 @@ def grids(ratios: DataFrame, saturation: float = 0.0, least: int = 2) -> DataFra
             out += [(f"{component}#{n}", r, c, w) for (r, c), w in sorted(grid.cells.items())]
         return pd.DataFrame(out, columns=["grid_id", "row", "col", "word"])
 
-    labelled = kept.join(components(kept), "cluster_id").select("component", "cluster_id", "a", "b")
+    labelled = large.join(components(large), "cluster_id").select("component", "cluster_id", "a", "b")
     return labelled.groupBy("component").applyInPandas(build, "grid_id string, row int, col int, word string")
 
 
@@ -228,7 +228,7 @@ def predictable_words(cells: DataFrame) -> DataFrame:
     end when every hole has a word, or no rectangle left.
     """
     hole = ["grid_id", "row", "col"]
-    cells = _kept(cells.select(*hole, "word"))
+    cells = kept(cells.select(*hole, "word"))
     shape = cells.groupBy("grid_id").agg(F.max("row").alias("r"), F.max("col").alias("c"))
     full = shape.select("grid_id", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("row"), "c").select("grid_id", "row", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("col"))
     side = cells.select("grid_id", "row", F.col("col").alias("c2"), F.col("word").alias("b"))
@@ -245,7 +245,7 @@ def predictable_words(cells: DataFrame) -> DataFrame:
         held = F.array_sort(F.collect_list(F.struct("r2", "c2", "a", "b", "c")))
         each = taken.groupBy(*hole).agg(held.alias("boxes"), F.max(F.struct("r2", "c2")).alias("last"))
         solved = each.select(*hole, "last", F.size("boxes").alias("n"), first_solution(F.transform("boxes", lambda x: F.array(x["a"], x["b"], x["c"]))).alias("word"))
-        solved = _kept(solved)
+        solved = kept(solved)
         found.append(solved.where("word is not null").select(*hole, "word"))
         # a hole that has had fewer than it could take has no rectangle left
         waiting = solved.where((F.col("n") == tried) & F.col("word").isNull()).select(*hole, "last")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tetrad.operators.grids import _kept
+from tetrad.operators.grids import kept
 
 #: Up to so many vectors, counted first, a level's nodes are sent to all tasks; beyond, they are joined.
 BROADCAST = 100_000
@@ -135,10 +135,10 @@ def refine(vectors: DataFrame, least: int = 2) -> Levels:
     """
     spark = vectors.sparkSession
     # one row a vector, read again on every level: the plan of a level begins here
-    vectors = _kept(vectors.select("word", "v"))
+    vectors = kept(vectors.select("word", "v"))
     order = _places(vectors)
     rare = F.array(*[F.get("v", F.lit(i)) for i in order]) if order else F.col("v")
-    numbered = _kept(ranked(vectors.select("word", "v", rare.alias("u")), "u", "rank"))
+    numbered = kept(ranked(vectors.select("word", "v", rare.alias("u")), "u", "rank"))
     words, n = numbered.select("word", "v", "rank"), numbered.count()
     groups = ", ".join(f"{c} long" for c in Levels.groups)
     if not order or n < 2:
@@ -156,7 +156,7 @@ def refine(vectors: DataFrame, least: int = 2) -> Levels:
         new = F.slice("u", before + 1, level - before)
         part = numbered.select(node(level).alias("node"), node(before).alias("up"), _signature(new, 1).alias("s1"), _signature(new, 2).alias("s2"))
         children = part.groupBy("up", "node", "s1", "s2").agg(F.count(F.lit(1)).alias("w"))
-        children = _kept(children.coalesce(1) if small else children)
+        children = kept(children.coalesce(1) if small else children)
         one, other = (side(children.select(*[F.col(c).alias(f"{c}_{x}") for c in children.columns])) for x in "xy")
         met = now.join(one, F.col("r") == F.col("up_x")).join(other, (F.col("s") == F.col("up_y")) & (F.col("node_x") <= F.col("node_y")))
         surface = F.when(F.col("node_x") == F.col("node_y"), F.expr("w_x * (w_x - 1) div 2")).otherwise(F.col("w_x") * F.col("w_y"))
@@ -179,9 +179,9 @@ def clusters(vectors: DataFrame, least: int = 2) -> DataFrame:
     clusters are, found by levels."""
     found = refine(vectors, least)
     size = F.count(F.lit(1)).over(Window.partitionBy(*Levels.groups))
-    kept = found.pairs.select("r", "s", size.alias("size")).where(F.col("size") >= least)
+    counted = found.pairs.select("r", "s", size.alias("size")).where(F.col("size") >= least)
     side = lambda at, word, v: found.numbered.select(F.col("rank").alias(at), F.col("word").alias(word), F.col("v").alias(v))
-    spoken = kept.join(side("r", "x", "vx"), "r").join(side("s", "y", "vy"), "s")
+    spoken = counted.join(side("r", "x", "vx"), "r").join(side("s", "y", "vy"), "s")
     # ratios stand in the order of the vectors as they are, which is the same for all of a cluster
     turned = F.col("vx") > F.col("vy")
     either = lambda p, q: F.when(turned, F.col(p)).otherwise(F.col(q))

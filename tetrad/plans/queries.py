@@ -15,6 +15,7 @@ from tetrad.functions import strings as S
 from tetrad.functions.solver import solve_analogy, verify_analogy
 from tetrad.operators import analogies, cliques, clusters, features, grids, levels, neural, rules, transfer, windows
 from tetrad.operators import communities as graph
+from tetrad.operators.grids import kept
 from tetrad.sources import text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -735,15 +736,21 @@ def _quads(t: DataFrame) -> DataFrame:
     good = grown.select("lang", "a", "b", F.lead("a").over(begin).alias("c"), F.lead("b").over(begin).alias("d")).where("c is not null")
     alike = Window.partitionBy("lang", S.alphagram("word")).orderBy("word")
     other = t.select("lang", F.col("word").alias("d"), F.lead("word").over(alike).alias("other")).where("other is not null")
-    swapped = good.join(other, ["lang", "d"]).select("lang", "a", "b", "c", F.col("other").alias("d"))
-    turned = good.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "c", "d")
-    truth = lambda df, valid: df.withColumn("valid", F.lit(valid))
-    return truth(good, True).union(truth(turned, False)).union(truth(swapped, False))
+    quad = lambda a, b, c, d, valid: F.struct(*[F.col(x).alias(y) for x, y in zip((a, b, c, d), "abcd", strict=True)], F.lit(valid).alias("valid"))
+    swapped = F.when(F.col("other").isNotNull(), quad("a", "b", "c", "other", False))
+    made = F.array_compact(F.array(quad("a", "b", "c", "d", True), quad("b", "a", "c", "d", False), swapped))
+    return good.join(other, ["lang", "d"], "left").select("lang", F.explode(made).alias("q")).select("lang", "q.*")
+
+
+def _spoken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The languages' alphabets, and the analogies of their words; documents are read once."""
+    t = kept(every_token(spark, d).select("lang", "word"))
+    return _alphabets(t), _quads(t)
 
 
 def _matrix(spark: SparkSession, d: str, mode: str = "full") -> DataFrame:
-    t = every_token(spark, d)
-    return transfer.matrix(_alphabets(t), transfer.looked_at(_quads(t)), mode=mode)
+    alphabets, quads = _spoken(spark, d)
+    return transfer.matrix(alphabets, kept(transfer.looked_at(quads)), mode=mode)
 
 
 @query(f"with {SCORED} select * from mx")
@@ -785,7 +792,7 @@ def transfer_cell(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def word_communities(spark: SparkSession, d: str) -> DataFrame:
     """Communities of all words, each joined to what it is with one more letter."""
-    t = all_words(spark, d)
+    t = kept(all_words(spark, d))
     grown = t.select(F.col("word").alias("b"), F.expr("left(word, length(word) - 1)").alias("a"))
     edges = grown.join(t.select(F.col("word").alias("a")), "a").select("a", "b", F.lit(1.0).alias("w"))
     return graph.communities(edges)
@@ -794,10 +801,10 @@ def word_communities(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def learned_matrix(spark: SparkSession, d: str) -> DataFrame:
     """A logistic regression for each language, judged on all languages' analogies."""
-    t = every_token(spark, d)
-    quads = transfer.measured(_quads(t)).persist()
+    alphabets, quads = _spoken(spark, d)
+    quads = kept(transfer.measured(quads))
     weights = transfer.weights(spark, transfer.train(quads))
-    return transfer.matrix(_alphabets(t).join(weights, "lang"), quads, transfer.learned)
+    return transfer.matrix(alphabets.join(weights, "lang"), quads, transfer.learned)
 
 
 @query(f"with {_scored('own.alphabet')} select * from mx")
@@ -807,7 +814,7 @@ def partial_transfer(spark: SparkSession, d: str) -> DataFrame:
 
 def _trained(spark: SparkSession, d: str, mode: str) -> DataFrame:
     """Networks of all languages, trained on seven tenths of their quads, judged on the rest."""
-    quads = windows.split(_quads(every_token(spark, d)), ["lang", "a", "b", "c", "d"]).persist()
+    quads = kept(windows.split(_spoken(spark, d)[1], ["lang", "a", "b", "c", "d"]))
     trained = neural.train(quads.where("part = 'train'"))
     return neural.matrix(trained, quads.where("part = 'test'"), mode)
 
