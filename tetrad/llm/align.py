@@ -278,6 +278,7 @@ def align(docs: DataFrame, one: str, other: str, key: str = "doc_id", text: str
     highest count of all links of their first id.
     """
     made = blocks_of_links(docs, one, other, key, text).persist(StorageLevel.DISK_ONLY)  # lost blocks are made again
+    made.count()  # now, and once: the stages below run side by side and would each begin it
     pairs = made.where(F.size("pair") > 0).select("block", F.posexplode(F.arrays_zip("pair", "held")).alias("place", "x")).select("block", "place", "x.pair", "x.held")
     counts = pairs.groupBy("pair").agg(F.sum("held").alias("count"))
     most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("most"))
