@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tetrad.functions import strings as S
 from tetrad.functions.solver import solve_analogy, verify_analogy
 from tetrad.operators import analogies, cliques, clusters, features, grids, levels, neural, rules, transfer, windows
-from tetrad.operators import communities as graph
 from tetrad.operators.grids import kept
 from tetrad.sources import text
 
@@ -789,15 +788,6 @@ def transfer_cell(spark: SparkSession, d: str) -> DataFrame:
     return transfer.look_up(_matrix(spark, d), "de", "fr")
 
 
-@query()
-def word_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of all words, each joined to what it is with one more letter."""
-    t = kept(all_words(spark, d))
-    grown = t.select(F.col("word").alias("b"), F.expr("left(word, length(word) - 1)").alias("a"))
-    edges = grown.join(t.select(F.col("word").alias("a")), "a").select("a", "b", F.lit(1.0).alias("w"))
-    return graph.communities(edges)
-
-
 @query()
 def learned_matrix(spark: SparkSession, d: str) -> DataFrame:
     """A logistic regression for each language, judged on all languages' analogies."""
