@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tetrad.plans import queries
@@ -23,6 +24,21 @@ def test_class_pairs_of_large_classes(spark, tmp_path):
     assert queries.QUERIES["balanced_negatives"](spark, str(tmp_path)).where("i >= 2100").count() == 8 * found["small"][0]
 
 
+def _parts(spark, path, rows):
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{path}/part.parquet")
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_negatives_are_picked_before_they_are_made(spark, tmp_path):
+    """No window over the 24 negatives of a pair."""
+    _parts(spark, tmp_path, [(i, f"name {i}", "brand", f"type {i}") for i in range(9)])
+    got = queries.QUERIES["balanced_negatives"](spark, str(tmp_path))
+    assert "md5" not in "".join(x for x in _plan(got).splitlines() if "Window" in x) and got.count() == 45 * 8
+
+
 def test_whole_vocabulary(spark, tmp_path):
     """More than 2000 tokens in four languages: the rare ones stay, in every language."""
     letters = "abcdefghijkl"
