@@ -37,6 +37,7 @@ def test_negatives_are_picked_before_they_are_made(spark, tmp_path):
     _parts(spark, tmp_path, [(i, f"name {i}", "brand", f"type {i}") for i in range(9)])
     got = queries.QUERIES["balanced_negatives"](spark, str(tmp_path))
     assert "md5" not in "".join(x for x in _plan(got).splitlines() if "Window" in x) and got.count() == 45 * 8
+    assert _plan(queries.QUERIES["negatives_of_one_form"](spark, str(tmp_path))).count("cdab") == 0
 
 
 def test_whole_vocabulary(spark, tmp_path):
