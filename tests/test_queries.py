@@ -79,3 +79,19 @@ def test_whole_vocabulary(spark, tmp_path):
     assert len(checked) == 4 * 2500 + 1 and {r[0] for r in checked if not r[2]} == {"de"}
     assert len(run("sample_each_language")) == 80
     assert run("transfer_matrix") == []  # no word is another one and a letter
+
+
+def test_words_meet_by_their_letters(spark, tmp_path):
+    """Classes of equal vectors and their files, as SQL has them; documents are read once, and no vectors are made to group by."""
+    rows = [(1, "Ab ba b\U00010400c c\U00010428b aab", "en"), (2, None, "de"), (3, "", "fr"), (4, "ünü nüü x-y Yx aba baa aba", "de"), (5, "AB 12 x", "es")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for query in ("equivalents_of_word",):
+        got = queries.QUERIES[query](spark, str(tmp_path))
+        want = db.execute(queries.SQL[query])
+        found = [tuple(r[c[0]] for c in want.description) for r in got.collect()]
+        assert sorted(found) == sorted(want.fetchall()) and found, query
+        plan = _plan(got)
+        assert plan.count("lower(text#") == (query in ("indistinguishables", "equivalents_of_word")), query
+        assert all("_letters" in x for x in plan.splitlines() if "collect_set" in x), query

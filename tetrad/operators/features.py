@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tetrad.functions.strings import char_vector, chars, token_vector
+from tetrad.functions.strings import alphagram, char_vector, chars, token_vector
 
 
 def alphabet(words: DataFrame, column: str = "word") -> DataFrame:
@@ -111,9 +111,29 @@ def representatives(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("v").agg(F.min("word").alias("word")).select("word", "v")
 
 
-def equivalents(words: DataFrame, classes: DataFrame) -> DataFrame:
-    """(word, members): all equivalents of each word, itself if it is in no class."""
+def anagrams(words: DataFrame, column: str = "word") -> DataFrame:
+    """(rep, members): the ``equivalence_classes`` of ``char_vectors`` over all
+    letters, found without vectors: words meet by their letters in order.  The
+    number of shares keeps small words, of which much is made, from one task."""
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = words.select(F.col(column).alias("word"), alphagram(column).alias("_letters")).repartition(spread, "_letters")
+    classes = rows.groupBy("_letters").agg(F.array_sort(F.collect_set("word")).alias("members"))
+    return classes.select(F.get("members", F.lit(0)).alias("rep"), "members")
+
+
+def anagram_vectors(words: DataFrame, column: str = "word") -> DataFrame:
+    """(rep, members, v): the same classes with the vectors of those that
+    represent them; a vector is made once a class."""
+    letters = symbols(alphabet(words, column), "ch")
+    return anagrams(words, column).select("rep", "members", char_vector("rep", letters).alias("v"))
+
+
+def equivalents(words: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """(word, members): all equivalents of each word, itself if it is in no class;
+    without words, of those of the classes."""
     of = classes.select(F.explode("members").alias("word"), "members")
+    if words is None:
+        return of
     return words.join(of, "word", "left").select("word", F.coalesce("members", F.array("word")).alias("members"))
 
 
