@@ -176,7 +176,7 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def vector_lines(rows: DataFrame) -> DataFrame:
     """``word<TAB>(1, 0, 2)`` of (word, v)."""
-    return rows.select(F.concat("word", F.lit("\t("), F.array_join(F.transform("v", lambda x: x.cast("string")), ", "), F.lit(")")).alias("value"))
+    return rows.select(F.concat("word", F.lit("\t("), F.array_join(F.col("v").cast("array<string>"), ", "), F.lit(")")).alias("value"))
 
 
 def equivalent_lines(classes: DataFrame) -> DataFrame:
@@ -188,9 +188,16 @@ def vector_file(vectors: DataFrame) -> DataFrame:
     """(value): the lines of a vector file, classes of equivalents first, then
     the vectors of their representatives alone."""
     classes = vectors.groupBy("v").agg(F.array_sort(F.collect_set("word")).alias("members"))
+    return class_file(classes.select(F.get("members", F.lit(0)).alias("rep"), "members", "v"))
+
+
+def class_file(classes: DataFrame, ordered: bool = True) -> DataFrame:
+    """(value): the same file of (rep, members, v); without ``ordered``, its lines
+    as they come, for readers to whom their order is nothing."""
     head = equivalent_lines(classes).select(F.lit(0).alias("_part"), "value")
-    body = vector_lines(classes.select(F.get("members", F.lit(0)).alias("word"), "v")).select(F.lit(1).alias("_part"), "value")
-    return head.union(body).orderBy("_part", "value").select("value")
+    body = vector_lines(classes.select(F.col("rep").alias("word"), "v")).select(F.lit(1).alias("_part"), "value")
+    lines = head.union(body)
+    return (lines.orderBy("_part", "value") if ordered else lines).select("value")
 
 
 def cluster_lines(ratios: DataFrame, first: int | None = None, marks: DataFrame | None = None, sizes: bool = False) -> DataFrame:
