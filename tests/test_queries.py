@@ -87,7 +87,7 @@ def test_words_meet_by_their_letters(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    for query in ("equivalents_of_word", "indistinguishables", "vector_file_source", "vector_file"):
+    for query in ("equivalents_of_word", "indistinguishables", "vector_file_source", "vector_file", "equivalents_source"):
         got = queries.QUERIES[query](spark, str(tmp_path))
         want = db.execute(queries.SQL[query])
         found = [tuple(r[c[0]] for c in want.description) for r in got.collect()]
