@@ -39,3 +39,16 @@ def test_links_within_components(spark, tmp_path, monkeypatch, share):
     for x in got:
         group.setdefault(x["component_id"], []).append(x["n_links"])
     assert any(min(v) < len(v) - 1 for v in group.values())
+
+
+def test_shuffles_go_before_the_next_step(spark, tmp_path, monkeypatch):
+    """After the sets are stored and after each comparison of pairs, shuffle files are let go before anything else is written."""
+    steps = []
+    write, collect = jaccard.written, jaccard.collect_garbage
+    monkeypatch.setattr(jaccard, "written", lambda df, name: steps.append(name) or write(df, name))
+    monkeypatch.setattr(jaccard, "collect_garbage", lambda s: steps.append("-") or collect(s))
+    words = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[1:])), (2, "other words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    queries.op8_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert steps[steps.index("set-store") + 1] == "-" and steps[steps.index("links") + 1] == "-"

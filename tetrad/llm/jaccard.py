@@ -633,7 +633,9 @@ def verify(source: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     members = dealt.select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
     centres = shares.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     sent = source.join(members.union(centres).hint("merge"), "k").select("b", "share", "k", "grams")
-    return written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
+    out = written(sent.groupBy("b", "share").applyInArrow(check, "a long, b long"), "links")
+    collect_garbage(source.sparkSession)  # all stored sets were dealt out for it; the next step deals them again
+    return out
 
 
 def common_of(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -768,6 +770,7 @@ def _classed(docs: DataFrame, rule: Rule, key: str, text: str) -> tuple[DataFram
     wanted = _wanted(alive(texts(docs, text=text), rule))
     collect_garbage(spark)  # the largest shuffle of all is done with
     store = stored(docs, rule, wanted, text)
+    collect_garbage(spark)
     found = met(weighed(store, rule))
     collect_garbage(spark)
     sized = found
