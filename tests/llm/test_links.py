@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tetrad.llm import jaccard, queries
@@ -52,3 +53,13 @@ def test_shuffles_go_before_the_next_step(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     queries.op8_ngram_jaccard_join(spark, str(tmp_path)).collect()
     assert steps[steps.index("set-store") + 1] == "-" and steps[steps.index("links") + 1] == "-"
+
+
+def test_filter_lets_few_others_through(spark):
+    """Sets that cannot be linked are stored only where the filter takes them for others: few, and no larger a share of more rows."""
+    keys = np.random.default_rng(3).integers(1, 1 << 62, 60_000)
+    own, others = keys[:20_000].astype(np.uint64), keys[20_000:].astype(np.uint64)
+    bits = jaccard._wanted(spark.createDataFrame([(k,) for k in keys[:20_000].tolist()], "k long"))
+    assert jaccard._passes(bits, own).all()
+    assert jaccard._passes(bits, others).mean() < 0.01
+    assert not jaccard._passes(bits, np.zeros(1, np.uint64)).any()

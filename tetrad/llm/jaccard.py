@@ -61,6 +61,8 @@ SURE = 80
 SHARE, GRAMS, WIDTH = 2048, 1_500_000, 4096
 #: Entries that a task holds before it sends them.
 HELD = 500_000
+#: Bits that a filter of sets has for each.
+PROBES = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.zeros(0, np.int64)
 
@@ -246,12 +248,19 @@ class Entries:
         self.signature, self.owner, self.lower, self.less, self.part, self.plural = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True))
 
 
-def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+def _places(keys: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of a filter of so many bits that each key has, and the bit in each."""
+    for i in range(PROBES):
+        at = K.mix(keys + np.uint64(i << 32)) % np.uint64(bits)
+        yield (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Sets that a filter lets through; empty ones never."""
-    if bits is None:
-        return keys != 0
-    at = K.mix(keys) % np.uint64(8 * len(bits))
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (keys != 0)
+    out = keys != 0
+    for byte, bit in _places(keys, 8 * len(bits)):
+        out &= (bits[byte] >> bit & 1).astype(bool)
+    return out
 
 
 def _of_five(raw: list[bytes]) -> np.ndarray:
@@ -595,15 +604,16 @@ def met(chosen: DataFrame) -> DataFrame:
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
-    """Bit filter of the set keys of a table; others may pass it.  It has about 8
-    bits a key (16 KB to 128 MB), and steers costs only: a set more is stored."""
-    bits = 1 << min(30, max(17, (8 * ids.count()).bit_length()))
+    """Bit filter of the set keys of a table; others may pass it, one of 400 at
+    most up to 64 million keys.  It has 16 to 32 bits a key (16 KB to 128 MB),
+    and steers costs only: a set more is stored."""
+    bits = 1 << min(30, max(17, (16 * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            at = K.mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(bits)
-            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+            for byte, bit in _places(batch.column(0).to_numpy().astype(np.uint64), bits):
+                np.bitwise_or.at(out, byte, np.uint8(1) << bit)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(bits // 8, np.uint8)
