@@ -111,3 +111,18 @@ def test_pieces_are_the_librarys(seed):
             want = other.encode(t) or other.encode("\n")[:1]
             assert ids[bounds[i] : bounds[i + 1]].tolist() == want, repr(t)
     assert np.diff(bounds).min() > 0
+
+
+def test_pieces_of_nul_and_of_written_blanks():
+    """Chunks of NULs, chunks that differ by NULs only, and U+2581 within a run of blanks."""
+    encoder, (_, other) = align.PieceEncoder(B), libraries()
+    texts = ["a\n\x00", "x", "x\x00", "x\x00\x00", "\n\x00\n\x00\x00\n", "b \x00", "b ", "ß▁  ", "▁ ▁ x", " ▁"]
+    data, offsets = text_bytes(pa.array([f" {t}" for t in texts], pa.large_string()))
+    for _ in range(2):
+        ids, bounds = encoder.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [other.encode(t) for t in texts]
+
+
+def test_documents_with_nul_have_tokens(spark):
+    got = align.align(spark.createDataFrame([(1, "a\n\x00"), (2, "plain")], "doc_id long, text string"), A, B).collect()
+    assert {r["doc_id"]: r["n_b"] for r in got} == {1: 3, 2: 1}

@@ -84,7 +84,9 @@ class PieceEncoder(T.Encoder):
         blank, line = data == 0x20, data == _NEWLINE
         cut[1:] = line[1:] | line[:-1]
         if self.cut_blank:
-            cut[1:] |= blank[1:] & ~blank[:-1]
+            # the library takes U+2581 for a blank too, so a run goes on after it
+            blank[2:] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+            cut[1:] |= (data[1:] == 0x20) & ~blank[:-1]
         if self.cut_point:
             cut[1:] |= T._POINT[data[1:]] & T._PLAIN[data[:-1]]
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True

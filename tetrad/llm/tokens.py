@@ -155,6 +155,10 @@ class Encoder:
         mixed = K.mix(low + high * np.uint64(0x9E3779B97F4A7C15))
         slots = (mixed >> np.uint64(43)).astype(np.int64), (mixed & np.uint64(SLOTS - 1)).astype(np.int64)
         short = sizes <= 16
+        # a chunk that holds a NUL looks like one without it, or like a free slot
+        nul = np.flatnonzero(data == 0)
+        if len(nul) and len(starts):
+            short[np.searchsorted(starts, nul, "right") - 1] = False
         at = slots[0]
         hit = short & (self.low[at] == low) & (self.high[at] == high)
         miss = np.flatnonzero(~hit & short)
