@@ -5,6 +5,7 @@ from collections import defaultdict
 import duckdb
 from pyspark.sql import functions as F
 
+from tetrad.operators import analogies
 from tetrad.plans import queries
 
 
@@ -50,6 +51,24 @@ def test_pairs_meet_in_cells(spark, tmp_path):
                 assert len(joins) == 1 and "(cell#" in joins[0], query
 
 
+def test_all_pairs_of_a_class(spark):
+    """Without a number of pairs none is left out, also where the band drops most, and no cell has more than 1000 rows."""
+    small = [(i, f"brand {i % 3}" if i % 5 else None, f"type {i % 4}", f"name {i % 7}") for i in range(90)]
+    rows = spark.createDataFrame([*small, *[(i, "large", "type", f"name {i}") for i in range(100, 2400)]], "id long, brand string, lemma string, form string")
+    want = {(x[0], y[0], *x[2:], *y[2:]) for x in small for y in small if x[1] and x[1] == y[1] and x[0] <= y[0]}
+    for distinct in (True, False):
+        got = analogies.of_classes(rows, "brand", "id", "lemma", "form", pairs=None, distinct=distinct)
+        found = [tuple(r) for r in got.where("i < 100").select("i", "j", "a", "b", "c", "d").collect()]
+        assert len(found) == len(want) and set(found) == want
+        of = tuple(got.where("i >= 100").agg(F.count("i"), F.sum(F.col("j") - F.col("i")), F.min(F.col("j") - F.col("i")), F.max(F.col("j") - F.col("i"))).first())
+        assert of == (2300 * 2301 // 2, sum(k * (2300 - k) for k in range(2300)), 0, 2299)
+        held = analogies.balanced_negatives(got, ["i", "j"], all_forms=False)
+        assert held.where("i >= 100").groupBy("form").count().count() == 0 and held.where("i < 100").count() == 3 * sum(x[2] != x[4] and x[3] != x[5] for x in want)
+    assert analogies.class_pairs(rows, "brand", "id").where("brand = 'large'").count() < 2300 * 434
+    x, _ = analogies._band(spark.range(5000).selectExpr("'one' brand", "id"), "brand", "id", None)
+    assert sorted(r[1] for r in x.groupBy("cell").count().collect()) == [1000] * 5
+
+
 def test_negatives_are_picked_before_they_are_made(spark, tmp_path):
     """No window over the 24 negatives of a pair."""
     _parts(spark, tmp_path, [(i, f"name {i}", "brand", f"type {i}") for i in range(9)])
